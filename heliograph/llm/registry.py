@@ -1,14 +1,18 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from heliograph.llm import chat, mixing, sharding
+from heliograph.llm import chat, knn, licenses, mixing, secrets, sharding
 
 QUERIES = {
     "op4_sharding": sharding.op4_sharding,
+    "op5_secrets": secrets.op5_secrets,
     "op6_chat": chat.op6_chat,
+    "op7_licenses": licenses.op7_licenses,
+    "op8_topk": knn.op8_topk,
     "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLE_SQL = {
     "op6_chat": chat.OP6_SQL,
+    "op8_topk": knn.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
