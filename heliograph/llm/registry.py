@@ -1,8 +1,9 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from heliograph.llm import chat, knn, licenses, mixing, secrets, sharding
+from heliograph.llm import chat, knn, licenses, mixing, secrets, sharding, simhash
 
 QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
     "op4_sharding": sharding.op4_sharding,
     "op5_secrets": secrets.op5_secrets,
     "op6_chat": chat.op6_chat,
