@@ -146,7 +146,7 @@ def as_log(conversations: DataFrame) -> DataFrame:
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = f"{END}{START}assistant ok"
-    planted = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    planted = spark.sql(f"select * from values (-1L, 0L, 'user', '{said}'), (-1L, 1L, 'assistant', '{said}') as t(conv_id, turn, role, text)")
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     done = render(fold(as_log(turns.unionByName(planted)))).withColumn("read", read_back(F.col("formatted")))
     under = done.withColumn("under", masked(F.col("formatted"), F.col("loss_spans")))

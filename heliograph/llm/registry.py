@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from heliograph.llm import chat, knn, licenses, mixing, secrets, sharding, simhash
+from heliograph.llm import chat, knn, licenses, mixing, repeats, secrets, sharding, simhash
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_licenses": licenses.op7_licenses,
     "op8_topk": knn.op8_topk,
     "op9_mixing": mixing.op9_mixing,
+    "op10_repeats": repeats.op10_repeats,
 }
 
 ORACLE_SQL = {
