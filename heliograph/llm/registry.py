@@ -1,9 +1,11 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from heliograph.llm import chat, knn, licenses, mixing, repeats, secrets, sharding, simhash
+from heliograph.llm import chat, decontaminate, knn, language, licenses, mixing, repeats, secrets, sharding, simhash
 
 QUERIES = {
+    "op1_language": language.op1_language,
     "op2_simhash": simhash.op2_simhash,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_sharding": sharding.op4_sharding,
     "op5_secrets": secrets.op5_secrets,
     "op6_chat": chat.op6_chat,

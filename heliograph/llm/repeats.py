@@ -39,12 +39,11 @@ LAST = (1 << 63) - 1  # stands for a null doc_id
 _U = np.uint64
 
 
-def _random(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Values of the bytes, and powers of an odd base and of its inverse modulo 2^64."""
+def _random(seed: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of the bytes, and powers of an odd base and of its inverse modulo 2^64, up to size."""
     rng = np.random.default_rng(seed)
     values = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
     base = int(rng.integers(0, 1 << 61)) * 8 + 5
-    size = CHUNK + 4 * WINDOW + 1
     powers = lambda b: np.cumprod(np.r_[_U(1), np.full(size, b, np.uint64)], dtype=np.uint64)
     return values, powers(base), powers(pow(base, -1, 1 << 64))
 
@@ -56,8 +55,8 @@ class Hashes:
     """Polynomial hashes of any stretch of data, from one running sum."""
 
     def __init__(self, data: np.ndarray, seed: int):
-        if seed not in _tables:
-            _tables[seed] = _random(seed)
+        if seed not in _tables or len(_tables[seed][1]) <= len(data):
+            _tables[seed] = _random(seed, max(len(data), CHUNK + 4 * WINDOW) + 1)
         values, powers, self.back = _tables[seed]
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(values[data] * powers[: len(data)], out=self.sums[1:])
