@@ -30,9 +30,9 @@ from heliograph.llm.common import column, materialise, table
 
 WINDOW, DIGIT = 50, 28
 SLIDE = WINDOW - DIGIT  # an anchor is this far from its window's start at most
-CHUNK = 1 << 20  # bytes that are hashed at once
-FLUSH = 1 << 20  # suffixes that are combined at once
-BUCKET_BYTES, PART_BYTES = 8 << 20, 12 << 20
+CHUNK = 1 << 18  # bytes that are hashed at once
+FLUSH = 1 << 18  # suffixes that are combined at once
+BUCKET_BYTES, PART_BYTES = 4 << 20, 6 << 20
 AT = (1 << 40) - 1  # the low bits of a position; above them what tells apart texts with one doc_id
 LAST = (1 << 63) - 1  # stands for a null doc_id
 
