@@ -3,23 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from heliograph.llm.common import materialise, table
+from heliograph.llm.decontaminate import clean
+from heliograph.llm.language import fit, identify
 from heliograph.llm.mixing import mixed
+from heliograph.llm.nearcopies import keep_one
 from heliograph.llm.sharding import with_shards
 
 
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the models know; lang becomes the predicted one."""
+    found = identify(docs, fit(docs), carry=tuple(docs.columns)).where("accepted")
+    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies and near copies."""
+    return keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
     return mixed(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with the number of their shard."""
     return with_shards(docs)
 
 
-STAGES = [("mixing", mixing), ("sharding", sharding)]
+STAGES = [
+    ("language ID", language_id),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources to target weights", mixing_to_target_weights),
+    ("sharding", sharding),
+]
 
-#: The language models, fingerprints and tilings of the stages have no SQL form.
+#: Language models, fingerprints and tilings have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
@@ -28,5 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialise(docs, f"stage-{name}")
+            docs = materialise(docs, f"stage-{name.replace(' ', '-')}")
     return docs
