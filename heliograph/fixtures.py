@@ -57,7 +57,7 @@ def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 USAGE = """
 usage as (
-  select event_id, user_id, epoch_us(ts) / 1e6 as ts, ts as at,
+  select event_id, user_id, epoch_us(ts) / 1e6 as ts, ts as moment,
     case event_type when 'click' then 'file_opened' when 'purchase' then 'recommendation_clicked' when 'error' then 'file_revealed'
                     when 'view' then 'result_clicked' when 'signup' then 'query' end as kind,
     (props->>'$.k')::bigint as doc_id,

@@ -95,7 +95,7 @@ def human_size(n: Column | str) -> Column:
     out = F.concat(n.cast("string"), F.lit(" B"))
     for unit, size in (("KB", 1024), ("MB", 1024**2), ("GB", 1024**3)):
         x = n / size  # six significant digits without trailing zeros
-        x = F.when(x < 10, F.round(x, 5)).when(x < 100, F.round(x, 4)).when(x < 1000, F.round(x, 3)).otherwise(F.round(x, 2))
+        x = F.when(x < 10, F.bround(x, 5)).when(x < 100, F.bround(x, 4)).when(x < 1000, F.bround(x, 3)).otherwise(F.bround(x, 2))
         shown = F.regexp_replace(x.cast("string"), r"\.0$", "")
         out = F.when(n >= size, F.concat(shown, F.lit(f" {unit}"))).otherwise(out)
     return out

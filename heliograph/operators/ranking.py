@@ -68,7 +68,7 @@ def prune(files: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
 def personal_boost(signals: DataFrame) -> DataFrame:
     """Adds boost from the signals frequency, recency, type, topic and time; a missing signal is 0."""
     total = sum((w * F.coalesce(F.col(c), F.lit(0.0)) for c, w in PERSONAL_MIX.items()), F.lit(0.0))
-    return signals.withColumn("boost", F.round(total, 6))
+    return signals.withColumn("boost", F.round(total, 8))
 
 
 def personal_reasons(signals: DataFrame) -> DataFrame:
