@@ -49,9 +49,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 
 def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, blocks: int = BLOCKS) -> DataFrame:
-    """Adds to each row: _size (words), _source_size, _target (of its source) and _copies (0 to ``most``).
+    """row (the columns of docs), size (words), source_size, target (of its source) and copies (0 to ``most``) of each row.
 
-    Takes doc_id, text and source; other columns are kept. Every document of a source expects target / size of
+    Takes doc_id, text and source; other columns stay in row, whatever their names. Every document of a source expects target / size of
     its source copies. Expected copies are summed in an order of size classes (the three leading bits of the
     size), blocks (by a hash of doc_id) and sizes; one offset, random but fixed by seed and source, is added; a
     document is taken once for each integer that its stretch crosses. Size order keeps the words taken within
@@ -62,51 +62,50 @@ def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, m
     the text; repeated rows are interchangeable. A source with no words has target 0 and takes nothing. An empty
     table gives an empty result. Reruns agree: nothing depends on how rows are dealt to tasks.
     """
-    size = words(F.col("text"))
-    tail = F.greatest(F.length(F.bin("_size")) - 3, F.lit(0))
+    source = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))  # joins on null, too
+    tail = F.greatest(F.length(F.bin("size")) - 3, F.lit(0)).cast("int")  # all but the three leading bits
     keyed = (
-        docs.withColumn("_size", size)
-        .withColumn("_class", F.call_function("shiftright", F.col("_size"), tail.cast("int")) * F.pow(F.lit(2.0), tail).cast("long"))
-        .withColumn("_order", _number(F.lit(seed), F.col("doc_id").cast("string")))
-        .withColumn("_block", F.col("_order") % blocks)
-        .withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))  # joins on null, too
+        docs.select(
+            F.struct(*docs.columns).alias("row"),
+            F.col("doc_id").alias("id"),
+            F.xxhash64("text").alias("tie"),
+            words(F.col("text")).alias("size"),
+            _number(F.lit(seed), F.col("doc_id").cast("string")).alias("place"),
+            F.col("source").alias("name"),
+            source.alias("source"),
+        )
+        .withColumn("class", F.call_function("shiftleft", F.call_function("shiftright", F.col("size"), tail), tail))
+        .withColumn("block", F.col("place") % blocks)
     )
-    counts = keyed.groupBy("_source", "_class", "_block").agg(F.count("*").alias("_rows"), F.sum("_size").alias("_words"), F.first("source").alias("source"))
-    earlier = Window.partitionBy("_source").orderBy("_class", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("source", "_rows", "_words")
-    sizes = counts.groupBy("_source").agg(F.first("source").alias("source"), F.sum("_words").alias("source_size"))
-    goals = targets(sizes.select("source", "source_size"), weights, most).select(
-        F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_source"),
-        F.col("source_size").alias("_source_size"),
-        F.col("target").alias("_target"),
-        F.coalesce(F.least(F.lit(float(most)), F.try_divide("target", "source_size")), F.lit(0.0)).alias("_rate"),
-        (_number(F.lit(seed), F.lit("offset"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))) / F.lit(float(1 << 52))).alias("_offset"),
+    counts = keyed.groupBy("source", "class", "block").agg(F.count("*").alias("rows"), F.sum("size").alias("words"), F.first("name").alias("name"))
+    earlier = Window.partitionBy("source").orderBy("class", "block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("source", "class", "block", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
+    sizes = counts.groupBy("source").agg(F.first("name").alias("name"), F.sum("words").alias("source_size"))
+    goals = targets(sizes.select(F.col("name").alias("source"), "source_size"), weights, most).select(
+        source.alias("source"),
+        "source_size",
+        "target",
+        F.coalesce(F.least(F.lit(float(most)), F.try_divide("target", "source_size")), F.lit(0.0)).alias("rate"),
+        (_number(F.lit(seed), F.lit("offset"), source) / F.lit(float(1 << 52))).alias("shift"),
     )
-    block = Window.partitionBy("_source", "_class", "_block").orderBy("_size", "_order", "doc_id", F.xxhash64("text"))
-    crossed = lambda n: F.floor(n * F.col("_rate") + F.col("_offset"))
-    place = F.col("_before") + F.col("_n")
+    inside = Window.partitionBy("source", "class", "block").orderBy("size", "place", "id", "tie")
+    crossed = lambda n: F.floor(n * F.col("rate") + F.col("shift"))
+    n = F.col("before") + F.col("n")
     return (
-        keyed.join(offsets.join(goals, "_source"), ["_source", "_class", "_block"])
-        .withColumn("_n", F.row_number().over(block))
-        .withColumn("_copies", (crossed(place) - crossed(place - 1)).cast("int"))
-        .drop("_class", "_order", "_block", "_source", "_before", "_rate", "_offset", "_n")
+        keyed.join(offsets.join(goals, "source"), ["source", "class", "block"])
+        .withColumn("n", F.row_number().over(inside))
+        .select("row", "size", "source_size", "target", (crossed(n) - crossed(n - 1)).cast("int").alias("copies"))
     )
 
 
 def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it takes it; same columns."""
-    return mix(docs, seed).withColumn("_copy", F.explode(F.expr("sequence(1, _copies, if(_copies > 0, 1, -1))"))).where("_copy > 0 and _copies > 0").select(*docs.columns)
+    return mix(docs, seed).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select(
-        "doc_id",
-        F.col("_size").alias("size"),
-        F.col("_source_size").alias("source_size"),
-        F.round("_target", 6).alias("target"),
-        (F.col("_copies") * F.col("_size")).alias("taken"),
-    )
+    return mix(docs).select("row.doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("copies") * F.col("size")).alias("taken"))
 
 
 OP9_SQL = rf"""
