@@ -4,7 +4,7 @@ Sorting every suffix of a corpus to the depth of a window would ship more than t
 it near the corpus' own size:
 
 * Anchors. In every window of WINDOW bytes the DIGIT-byte string with the smallest hash is the window's anchor. Equal
-  windows have equal anchors at equal places, so only the suffixes at anchors (one in twelve) have to be sorted; the
+  windows have equal anchors at equal places, so only the suffixes at anchors (one in ten) have to be sorted; the
   windows around an anchor stand for the rest.
 * Digits, most significant first. The first digit is the anchor string: suffixes alone in their group drop out. The
   second is everything that windows with this anchor can reach; groups that are equal in it are repeated windows as a
@@ -28,13 +28,16 @@ from pyspark.sql import functions as F
 
 from heliograph.llm.common import column, materialise, table
 
-WINDOW, DIGIT = 50, 28
+WINDOW, DIGIT = 50, 32
 SLIDE = WINDOW - DIGIT  # an anchor is this far from its window's start at most
 CHUNK = 1 << 18  # bytes that are hashed at once
 FLUSH = 1 << 18  # suffixes that are combined at once
 BUCKET_BYTES, PART_BYTES = 4 << 20, 6 << 20
 AT = (1 << 40) - 1  # the low bits of a position; above them what tells apart texts with one doc_id
 LAST = (1 << 63) - 1  # stands for a null doc_id
+#: Bytes that travel of both digits' hashes, doc and position. The part holds further bits of the first; two first
+#: digits that are taken for one only cost work, as the second tells them apart.
+WIDTHS = (5, 6, 8, 8)
 
 _U = np.uint64
 
@@ -217,7 +220,7 @@ def _first_pass(parts: int, buckets: int):
             sent = np.concatenate([alone, again])
             none = np.zeros(len(told), np.int64)
             cols = [np.r_[first[sent], told], np.r_[second[sent], none.astype(np.uint64)], np.r_[doc[sent], none], np.r_[pos[sent], none - 1]]
-            out = [_row("suffix", key, pack(*((c[rows], n) for c, n in zip(cols, (6, 7, 8, 8), strict=True)))) for key, rows in _by_key(_parts(cols[0], parts))]
+            out = [_row("suffix", key, pack(*((c[rows], n) for c, n in zip(cols, WIDTHS, strict=True)))) for key, rows in _by_key(_parts(cols[0], parts))]
             out += _to_docs("cover", doc[covered], pos[covered], buckets)
             out += _to_docs("expand", doc[onward], pos[onward], buckets)
             for at in range(0, len(out), 64):
@@ -263,7 +266,7 @@ def _second_pass(buckets: int):
         for _, blobs, passing in _grouped(batches):
             out = list(passing)
             if blobs:
-                first, second, doc, pos = (np.concatenate(c) for c in zip(*(unpack(b, 6, 7, 8, 8) for b in blobs), strict=True))
+                first, second, doc, pos = (np.concatenate(c) for c in zip(*(unpack(b, *WIDTHS) for b in blobs), strict=True))
                 doc, pos = doc.view(np.int64), pos.view(np.int64)
                 _, covered, _, onward = sort_digits(first, second, doc, pos, True)
                 out += _to_docs("cover", doc[covered], pos[covered], buckets)
@@ -419,7 +422,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Takes doc_id and text; other columns are ignored. A null text is empty; texts shorter than a window stay.
     Strings are judged on the input. Rows with equal doc_id never cost each other anything; each gives a row. A null
     doc_id counts as larger than all others. An empty table gives an empty result. Very long texts are hashed in
-    chunks. Equality is by hashes of 96 bits or more of the strings.
+    chunks. Equality is by hashes of 88 bits or more of the strings.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), text.alias("text"))
