@@ -65,8 +65,8 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVOTS)
     """query_id, rank (from 1), vec_id, score: each query's k highest inner products among all rows of data but its own.
 
     data and queries: vec_id and vec as quantise() makes them. Ties go to the smaller vec_id; a query with fewer
-    than k other rows gets them all. Rows with the query's id are its own; of query rows with equal ids the
-    smallest vector counts; repeated rows of data each take part. Empty input gives an empty result.
+    than k other rows gets them all. Rows with the query's id are its own; of query rows with equal ids one
+    counts, the smallest as packed bytes; repeated rows of data each take part. Empty input gives an empty result.
 
     1. Every row joins the cell of its nearest pivot. Cells have summaries: rows, radius, and the same for queries.
     2. With pivots p and radii r, the product of a query in cell i with a row in cell j is at least

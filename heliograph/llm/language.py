@@ -17,8 +17,9 @@ ORDER = 4
 SAMPLE_DOCS = 300
 #: One in so many of these is held back to calibrate the rejection.
 CALIBRATE = 5
-#: Standard deviations above the calibrated cross-entropy from which a text is rejected.
-REJECT = 6.0
+#: Standard deviations above the calibrated cross-entropy from which a text is rejected. The spread between texts
+#: counts as SPREAD at least, so that texts in two known languages, or with few different words, are kept.
+REJECT, SPREAD = 6.0, 0.15
 #: Sharpness of the score; probability of a character that no model knows, within a model's own rest.
 SHARP, UNIFORM = 8.0, 1e-3
 UNDETERMINED = "und"
@@ -203,7 +204,7 @@ class Models:
         least = entropy[np.arange(len(texts)), best]
         score = 1 / np.exp(-SHARP * (entropy - least[:, None])).sum(1)
         limit = np.array([self.limits.get(n, (np.inf, 0.0, 0.0)) for n in self.names])[best]
-        accepted = least <= limit[:, 0] + REJECT * (limit[:, 1] + limit[:, 2] / np.sqrt(np.maximum(size, 1)))
+        accepted = least <= limit[:, 0] + REJECT * (np.maximum(limit[:, 1], SPREAD) + limit[:, 2] / np.sqrt(np.maximum(size, 1)))
         none = letters == 0
         names = [UNDETERMINED if n else self.names[b] for n, b in zip(none, best, strict=True)]
         return names, np.where(none, 0.0, score), np.where(none, np.nan, least), accepted & ~none

@@ -16,7 +16,7 @@ from heliograph.llm.common import column, table, text_bytes
 #: Kinds, as listed; the last is the method's.
 KINDS = ("assign", "access", "hex", "novel")
 #: Marginal compressed bytes for each byte of a candidate from which it is reported.
-NOVELTY = 0.8
+NOVELTY = 0.9
 #: Bytes on either side of a candidate that prime the compressor.
 AROUND = 1024
 #: A sensitive word counts for candidates that begin within so many bytes after it.
