@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -54,9 +55,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def total_bytes(df: DataFrame, text: str = "text") -> int:
-    """UTF-8 bytes of all texts."""
-    return df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that are over; it does so once the driver's garbage is collected,
+    which may otherwise be long after a large exchange has been written out."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -8,8 +8,8 @@ it near the corpus' own size:
   windows around an anchor stand for the rest.
 * Digits, most significant first. The first digit is the anchor string: suffixes alone in their group drop out. The
   second is everything that windows with this anchor can reach; groups that are equal in it are repeated windows as a
-  whole. Only groups with equal anchors but different surroundings, at the ends of repeats, go on to the last digit:
-  the windows one by one.
+  whole. Only groups with equal anchors but different surroundings, at the ends of repeats, go on: to the third digit,
+  the anchor with what stands before or after it, and where two documents share that, to the windows one by one.
 
 Each pass combines equal suffixes where they are read, so that a group sends a row for each task, not for each
 document; rows travel packed in blocks of arrays.
@@ -26,10 +26,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import column, materialise, table
+from heliograph.llm.common import column, materialise, release, table
 
 WINDOW, DIGIT = 50, 32
 SLIDE = WINDOW - DIGIT  # an anchor is this far from its window's start at most
+HALF = SLIDE // 2
 CHUNK = 1 << 18  # bytes that are hashed at once
 FLUSH = 1 << 18  # suffixes that are combined at once
 BUCKET_BYTES, PART_BYTES = 4 << 20, 6 << 20
@@ -247,7 +248,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[byte
         passing = []
         for kind, key, blob in zip(*(batch.column(i) for i in range(3)), strict=True):
             kind, key, blob = kind.as_py(), key.as_py(), blob.as_py()
-            if kind not in ("suffix", "window"):
+            if kind not in ("suffix", "half", "window"):
                 passing.append((kind, key, blob))
                 continue
             if key != now and held:
@@ -277,21 +278,16 @@ def _second_pass(buckets: int):
     return each
 
 
-def _windows(text: bytes, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of all windows that hold an anchor at one of the places, and two hashes of each."""
-    last = len(text) - WINDOW
-    starts = np.unique((places[:, None] - np.arange(SLIDE + 1)).reshape(-1))
-    starts = starts[(starts >= 0) & (starts <= last)]
-    out = []
-    at = 0
+def _hashed(text: bytes, starts: np.ndarray, ends: np.ndarray, seeds: tuple[int, ...]) -> list[np.ndarray]:
+    """Hashes of stretches of a text, whose starts ascend; long texts are hashed piece by piece."""
+    out, at = [np.zeros((0, len(seeds)), np.uint64)], 0
     while at < len(starts):
         low = starts[at]
         end = np.searchsorted(starts, low + CHUNK)
-        data = np.frombuffer(text[low : starts[end - 1] + WINDOW], np.uint8)
-        near = starts[at:end] - low
-        out.append((starts[at:end], Hashes(data, 1).of(near, near + WINDOW), Hashes(data, 2).of(near, near + WINDOW)))
+        data = np.frombuffer(text[low : ends[at:end].max()], np.uint8)
+        out.append(np.stack([Hashes(data, s).of(starts[at:end] - low, ends[at:end] - low) for s in seeds], axis=1))
         at = end
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    return list(np.concatenate(out).T)
 
 
 def _reach(places: np.ndarray, length: int) -> np.ndarray:
@@ -316,11 +312,11 @@ def _result(doc: int, text: bytes, spans: np.ndarray) -> dict:
         kept.update(view[at:start])
         at = end
     kept.update(view[at:])
-    return {"kind": "done", "key": None, "doc_id": None if doc == LAST else doc, "n_bytes": len(text), "n_removed": int((spans[:, 1] - spans[:, 0]).sum()), "n_spans": len(spans), "kept_sha256": kept.hexdigest(), "mark": None, "blob": None, "spans": spans.reshape(-1).tolist()}
+    return {"doc_id": None if doc == LAST else doc, "n_bytes": len(text), "n_removed": int((spans[:, 1] - spans[:, 0]).sum()), "n_spans": len(spans), "kept_sha256": kept.hexdigest(), "spans": spans.reshape(-1).tolist()}
 
 
-_RESULT = pa.schema([("kind", pa.string()), ("key", pa.int32()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("mark", pa.int64()), ("blob", pa.binary()), ("spans", pa.list_(pa.int64()))])
-RESULT = "kind string, key int, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, mark long, blob binary, spans array<long>"
+_RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64()))])
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"
 
 
 def _said(table_: pa.Table, kind: str) -> dict[tuple[int, int], np.ndarray]:
@@ -342,70 +338,137 @@ def _by_text(doc: np.ndarray, pos: np.ndarray) -> dict[tuple[int, int], np.ndarr
     return {(int(doc[a]), int(pos[a] >> 40)): pos[a:b] & AT for a, b in zip(cuts, ends, strict=False)}
 
 
-def _expand(parts: int):
-    """With the texts of a bucket: results of texts that are settled, windows of the others."""
+def _unknown(starts: np.ndarray, covered: np.ndarray) -> np.ndarray:
+    """Starts of windows that aren't known to be covered: a window of a covered anchor is an equal of one in a smaller
+    document, which stands for it."""
+    places = np.r_[np.sort(covered), LAST]
+    return starts[places[np.searchsorted(places, starts)] - starts > SLIDE]
+
+
+_NONE = np.zeros(0, np.int64)
+_ROW = pa.schema([("kind", pa.string()), ("key", pa.int32()), ("blob", pa.binary())])
+
+
+def _table(rows: list[tuple[str, int, bytes]]) -> pa.Table:
+    return pa.Table.from_batches([_batch(rows)]).cast(_ROW) if rows else _ROW.empty_table()
+
+
+def _halves(parts: int, buckets: int):
+    """The third digit. Every window around an anchor holds the HALF bytes before it or the HALF bytes after it (or
+    both). Of each suffix that goes on, the anchor with either is hashed; the side is the hash's lowest bit. Halves that
+    two documents of the bucket have are settled here and sent on once, without a document."""
 
     def each(texts: pa.Table, said: pa.Table) -> pa.Table:
-        cover, expand = _said(said, "cover"), _said(said, "expand")
-        out, waiting, windows = [], [], []
-        for doc, mark, text in _texts(texts):
-            spans = union(_reach(cover.get((doc, mark), np.zeros(0, np.int64)), len(text)))
-            if (doc, mark) not in expand:
-                out.append(_result(doc, text, spans))
-                continue
-            starts, one, two = _windows(text, expand[doc, mark])
-            # a window of a covered anchor is an equal of one in a smaller document, which stands for it
-            places = np.r_[np.sort(cover.get((doc, mark), np.zeros(0, np.int64))), LAST]
-            known = places[np.searchsorted(places, starts)] - starts <= SLIDE
-            starts, one, two = starts[~known], one[~known], two[~known]
-            windows.append((one, two, np.full(len(starts), doc), mark << 40 | starts))
-            waiting.append((doc, mark, text, spans))
-        more: dict[tuple[int, int], np.ndarray] = {}
-        if windows:
-            one, two, doc, pos = (np.concatenate(c) for c in zip(*windows, strict=True))
-            order = np.lexsort((doc, two, one))
-            one, two, doc, pos = one[order], two[order], doc[order], pos[order]
-            new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])] if len(one) else np.zeros(0, bool)
-            later = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(one) else new
-            more = _by_text(doc[later], pos[later])
-            one, two, doc, pos = one[~later], two[~later], doc[~later], pos[~later]
-            for key, rows in _by_key(_parts(one, parts)):
-                blob = pack((one[rows], 8), (two[rows], 8), (doc[rows], 8), (pos[rows], 8))
-                out.append({"kind": "window", "key": int(key), "blob": blob})
-        for doc, mark, text, spans in waiting:
-            if (own := more.get((doc, mark))) is not None:
-                spans = union(np.concatenate([spans, np.stack([own, own + WINDOW], axis=1)]))
-            blob = zstandard.ZstdCompressor(level=3).compress(text)
-            out.append({"kind": "wait", "key": texts["bucket"][0].as_py(), "doc_id": doc, "mark": mark, "blob": blob, "spans": spans.reshape(-1).tolist()})
-        return pa.Table.from_pylist(out, schema=_RESULT)
+        expand = _said(said, "expand")
+        held = [(np.zeros(0, np.uint64), _NONE, _NONE)]
+        for doc, mark, text in _texts(texts) if expand else ():
+            places = np.unique(expand.get((doc, mark), _NONE))
+            for side, start, end in ((0, places - HALF, places + DIGIT), (1, places, places + DIGIT + HALF)):
+                good = (start >= 0) & (end <= len(text))
+                (own,) = _hashed(text, start[good], end[good], (3 + side,))
+                held.append((own & ~_U(1) | _U(side), np.full(len(own), doc), mark << 40 | places[good]))
+        half, doc, pos = (np.concatenate(c) for c in zip(*held, strict=True))
+        met, told = _met(half, doc)
+        out = [*_sides(half[met], doc[met], pos[met], buckets)]
+        none = np.zeros(len(told), np.int64)
+        cols = [np.r_[half[~met], told], np.r_[doc[~met], none], np.r_[pos[~met], none - 1]]
+        out += [_row("half", key, pack(*((c[rows], n) for c, n in zip(cols, (7, 8, 8), strict=True)))) for key, rows in _by_key(_parts(cols[0] << _U(8), parts))]
+        return _table(out)
+
+    return each
+
+
+def _met(half: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether two documents have each row's hash, and these hashes once each."""
+    own, group = np.unique(half, return_inverse=True)
+    least, most = np.full(len(own), LAST), np.full(len(own), -LAST)
+    np.minimum.at(least, group, doc)
+    np.maximum.at(most, group, doc)
+    several = least < most
+    return several[group], own[several]
+
+
+def _sides(half: np.ndarray, doc: np.ndarray, pos: np.ndarray, buckets: int) -> Iterator[tuple[str, int, bytes]]:
+    right = (half & _U(1)) > 0
+    yield from _to_docs("left", doc[~right], pos[~right], buckets)
+    yield from _to_docs("right", doc[right], pos[right], buckets)
+
+
+def _half_pass(buckets: int):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, blobs, passing in _grouped(batches):
+            out = list(passing)
+            if blobs:
+                half, doc, pos = (np.concatenate(c) for c in zip(*(unpack(b, 7, 8, 8) for b in blobs), strict=True))
+                doc, pos = doc.view(np.int64), pos.view(np.int64)
+                row = pos != -1
+                met, _ = _met(half[row], doc[row])
+                met |= np.isin(half[row], half[~row])
+                out += _sides(half[row][met], doc[row][met], pos[row][met], buckets)
+            if out:
+                yield _batch(out)
+
+    return each
+
+
+def _window_rows(parts: int, buckets: int):
+    """The last digit: whole windows on the sides that two documents share. Equals within the bucket are settled here,
+    and only those of its smallest document go on."""
+
+    def each(texts: pa.Table, said: pa.Table) -> pa.Table:
+        cover, left, right = (_said(said, k) for k in ("cover", "left", "right"))
+        held = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), _NONE, _NONE)]
+        for doc, mark, text in _texts(texts) if left or right else ():
+            before = left.get((doc, mark), _NONE)[:, None] - np.arange(HALF, SLIDE + 1)
+            after = right.get((doc, mark), _NONE)[:, None] - np.arange(SLIDE - HALF + 1)
+            starts = np.unique(np.r_[before.reshape(-1), after.reshape(-1)])
+            starts = _unknown(starts[(starts >= 0) & (starts <= len(text) - WINDOW)], cover.get((doc, mark), _NONE))
+            held.append((*_hashed(text, starts, starts + WINDOW, (1, 2)), np.full(len(starts), doc), mark << 40 | starts))
+        one, two, doc, pos = (np.concatenate(c) for c in zip(*held, strict=True))
+        one &= _U((1 << 56) - 1)
+        two &= _U((1 << 40) - 1)
+        later, order = _later(one, two, doc)
+        one, two, doc, pos = one[order], two[order], doc[order], pos[order]
+        out = [*_to_docs("gone", doc[later], pos[later], buckets)]
+        cols = [c[~later] for c in (one, two, doc, pos)]
+        out += [_row("window", key, pack(*((c[rows], n) for c, n in zip(cols, (7, 5, 8, 8), strict=True)))) for key, rows in _by_key(_parts(cols[0] << _U(8), parts))]
+        return _table(out)
 
     return each
 
 
-def _third_pass(buckets: int):
+def _later(one: np.ndarray, two: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In an order that puts equal windows together, by document: whether a smaller document has the window."""
+    order = np.lexsort((doc, two, one))
+    if not len(order):
+        return np.zeros(0, bool), order
+    a, b, d = one[order], two[order], doc[order]
+    new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    return d > np.repeat(d[new], np.diff(np.r_[new, len(d)])), order
+
+
+def _last_pass(buckets: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blobs, _ in _grouped(batches):
-            one, two, doc, pos = (np.concatenate(c) for c in zip(*(unpack(b, 8, 8, 8, 8) for b in blobs), strict=True))
-            doc, pos = doc.view(np.int64), pos.view(np.int64)
-            order = np.lexsort((doc, two, one))
-            one, two, doc, pos = one[order], two[order], doc[order], pos[order]
-            new = np.flatnonzero(np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
-            least = np.repeat(doc[new], np.diff(np.r_[new, len(doc)]))
-            later = doc > least
-            if out := list(_to_docs("window", doc[later], pos[later], buckets)):
+        for _, blobs, passing in _grouped(batches):
+            out = list(passing)
+            if blobs:
+                one, two, doc, pos = (np.concatenate(c) for c in zip(*(unpack(b, 7, 5, 8, 8) for b in blobs), strict=True))
+                doc, pos = doc.view(np.int64), pos.view(np.int64)
+                later, order = _later(one, two, doc)
+                out += _to_docs("gone", doc[order][later], pos[order][later], buckets)
+            if out:
                 yield _batch(out)
 
     return each
 
 
-def _settle(waiting: pa.Table, said: pa.Table) -> pa.Table:
-    found = _said(said, "window")
+def _settle(texts: pa.Table, said: pa.Table) -> pa.Table:
+    cover, gone = _said(said, "cover"), _said(said, "gone")
     out = []
-    for row in waiting.select(["doc_id", "mark", "blob", "spans"]).to_pylist():
-        text = zstandard.ZstdDecompressor().decompress(row["blob"])
-        spans = np.array(row["spans"], np.int64).reshape(-1, 2)
-        own = found.get((row["doc_id"], row["mark"]), np.zeros(0, np.int64))
-        out.append(_result(row["doc_id"], text, union(np.concatenate([spans, np.stack([own, own + WINDOW], axis=1)]))))
+    for doc, mark, text in _texts(texts):
+        own = gone.get((doc, mark), _NONE)
+        spans = np.concatenate([_reach(cover.get((doc, mark), _NONE), len(text)), np.stack([own, own + WINDOW], axis=1)])
+        out.append(_result(doc, text, union(spans)))
     return pa.Table.from_pylist(out, schema=_RESULT)
 
 
@@ -440,13 +503,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     own = whole.select("doc_id", mark.alias("mark"), F.col("text").cast("binary").alias("text"))
 
     row = "kind string, key int, blob binary"
-    spread = lambda df: df.repartition(parts, "kind", "key").sortWithinPartitions("kind", "key")
-    said = spread(own.mapInArrow(_first_pass(parts, buckets), row)).mapInArrow(_second_pass(buckets), row)
-    by_bucket = own.withColumn("bucket", F.pmod("doc_id", F.lit(buckets)).cast("int"))
-    step = materialise(by_bucket.groupBy("bucket").cogroup(said.groupBy("key")).applyInArrow(_expand(parts), RESULT), "repeats")
-    windows = spread(step.where("kind = 'window'").select("kind", "key", "blob")).mapInArrow(_third_pass(buckets), row)
-    rest = step.where("kind = 'wait'").groupBy("key").cogroup(windows.groupBy("key")).applyInArrow(_settle, RESULT)
-    return step.where("kind = 'done'").union(rest).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+    by_bucket = own.withColumn("bucket", F.pmod("doc_id", F.lit(buckets)).cast("int")).groupBy("bucket")
+
+    def passed(rows: DataFrame, one_pass) -> DataFrame:
+        """Rows through the tasks of their parts; what is left for the texts is little, and is written, so that the
+        exchanged rows can go."""
+        out = materialise(rows.repartition(parts, "kind", "key").sortWithinPartitions("kind", "key").mapInArrow(one_pass, row), "repeats")
+        release(docs.sparkSession)
+        return out
+
+    said = passed(own.mapInArrow(_first_pass(parts, buckets), row), _second_pass(buckets))
+    halves = passed(by_bucket.cogroup(said.where("kind = 'expand'").groupBy("key")).applyInArrow(_halves(parts, buckets), row), _half_pass(buckets))
+    cover = said.where("kind = 'cover'")
+    gone = passed(by_bucket.cogroup(cover.union(halves).groupBy("key")).applyInArrow(_window_rows(parts, buckets), row), _last_pass(buckets))
+    return by_bucket.cogroup(cover.union(gone).groupBy("key")).applyInArrow(_settle, RESULT)
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
