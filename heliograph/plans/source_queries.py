@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from heliograph.fixtures import RECORDS, USAGE, file_records, read, usage_events
 from heliograph.sources.extract import extract
+from heliograph.sources.tables import shared_folder
 from heliograph.sources.scan import admitted, chunk_cap, scan_order, size_cap
 from heliograph.sources.transcripts import token_chunks
 from heliograph.streaming.events import session_stream
@@ -61,14 +61,9 @@ select user_id, events::bigint as events, count(*)::bigint as sessions from s wh
 def sessions_by_stream(spark, sf):
     """Sessions that the stream has closed by its watermark, counted by their size."""
     events = usage_events(spark, sf).select("user_id", "kind", F.col("at").alias("ts"))
-    folder = f"{_scratch(spark)}/{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     events.write.parquet(f"{folder}/in")
     stream = session_stream(spark.readStream.schema(events.schema).parquet(f"{folder}/in"))
     query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{folder}/out").groupBy("user_id", "events").agg(F.count("*").alias("sessions"))
-
-
-def _scratch(spark) -> str:
-    """The shared folder of the session; a temporary one where none is set, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="heliograph-")
