@@ -43,7 +43,7 @@ class LearnedRouter:
         self.assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
         rank = F.create_map(*[F.lit(x) for p in TIERS.items() for x in p])
         data = self.assembler.transform(scaled(features)).join(label, "query_id").withColumn("r", rank[F.col("label")])
-        data = data.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(5)))
+        data = data.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(5))).persist()  # a row for each query
         fit = lambda rows, tier: LogisticRegression(regParam=0.05, maxIter=200, standardization=False).fit(rows.withColumn("label", (F.col("r") <= TIERS[tier]).cast("double")))
         self.models = {t: fit(data.where("part <> 0"), t) for t in ("filename", "keyword")}
         judged = self._decide(data.where("part = 0").select("query_id", "features", "label").withColumnRenamed("label", "truth"), rules)

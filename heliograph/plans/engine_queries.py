@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from heliograph.config import NOW
 from heliograph.fixtures import RECORDS, chunks, file_records, read, text_queries
-from heliograph.operators import collection, media, names
+from heliograph.operators import collection, media, names, retrieval
 from heliograph.operators.learning import LearnedRouter, labels
 from heliograph.plans.behaviour_queries import MEDIA, _scores
 from heliograph.plans.engine import Engine
 from heliograph.plans.questions import answer, parse
+from heliograph.sources.tables import written
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -50,10 +51,12 @@ def suggest(spark, sf):
 def learned_router(spark, sf):
     engine, asked = _engine(spark, sf), text_queries(spark, sf)
     parsed = asked.select("query_id", F.col("query").alias("words"), F.lit(None).cast("string").alias("phrase"), F.lit(False).alias("has_filters"))
-    features = names.route_features(parsed, engine.vocabulary(), names.match_filenames(asked, engine.records))
-    found = engine.search(asked, "keyword").select("query_id", F.lit("keyword").alias("tier"), (F.col("confidence") == "strong").alias("strong"))
-    router = LearnedRouter(features, labels(found.unionByName(asked.select("query_id", F.lit("hybrid").alias("tier"), F.lit(True).alias("strong")))), names.route(features))
-    return router.route(features, names.route(features))
+    features = written(names.route_features(parsed, engine.vocabulary(), names.match_filenames(asked, engine.records)))
+    # replayed by words only; what they don't settle is left to the hybrid tier
+    found = retrieval.bm25_and(asked, engine.chunks).select("query_id", F.lit("keyword").alias("tier"), F.lit(True).alias("strong"))
+    label = written(labels(found.unionByName(asked.select("query_id", F.lit("hybrid").alias("tier"), F.lit(True).alias("strong")))))
+    rules = written(names.route(features))
+    return LearnedRouter(features, label, rules).route(features, rules)
 
 
 QUESTIONS = {
