@@ -1,8 +1,9 @@
-"""Near copies at a similarity of 0.8: wide SimHash fingerprints, met through Golay keys of two of five segments."""
+"""Near copies at a similarity of 0.8: an exact join of shingle sets by prefix filtering, each link verified."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -10,211 +11,249 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm import golay
 from heliograph.llm.common import column, materialise, text_bytes
 from heliograph.llm.components import components
-from heliograph.llm.repeats import pack, unpack
 
 WIDTH = 5
-SEGMENTS = 5
-BITS = SEGMENTS * golay.BITS
-#: Two sets of shingles with Jaccard similarity 0.8 differ in 17.4 of 115 bits on average, with a deviation of 3.8.
-MOST = 20
-WAYS = [(i, j) for j in range(SEGMENTS) for i in range(j)]
-NODES = 2048  # fingerprints whose keys are packed at once
-PART_NODES = 4096  # fingerprints for each part of the keys
-_U = np.uint64
-
-
-def fingerprint(text: bytes | None, width: int = WIDTH) -> tuple[int, int]:
-    """115 bits in two numbers: a bit is 1 if it is set in more than half of the XXH3 of the word shingles."""
+#: Documents are linked from a Jaccard similarity of OVER / UNDER.
+OVER, UNDER = 4, 5
+#: Texts that are sampled for the order of shingles, and shingles of which more than one sampled text told the count.
+SAMPLE, COMMON = 2000, 1 << 16
+#: Rounds of stars go on while more pairs than this for each set are left, and while each halves them.
+PAIRS = 64
+#: Counts of a sketch, which rules out most pairs before their sets meet.
+BUCKETS = 256
+LINKS = "a long, b long"
+
+
+def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
+    """The set of word shingles as sorted XXH3; a text of fewer words is one shingle, one without words has none."""
     words = (text or b"").lower().split()
     if not words:
-        return 0, 0
-    shingles = zip(*(words[i:] for i in range(width)), strict=False) if len(words) >= width else [words]
-    digest = xxhash.xxh3_128_digest
-    ones, n = np.zeros(128, np.int64), 0
-    block: list[bytes] = []
-    for s in shingles:
-        block.append(digest(b" ".join(s)))
-        if len(block) == 1 << 15:
-            ones += np.unpackbits(np.frombuffer(b"".join(block), np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            n += len(block)
-            block = []
-    if block:
-        ones += np.unpackbits(np.frombuffer(b"".join(block), np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        n += len(block)
-    bits = 2 * ones > n
-    bits[BITS:] = False
-    return tuple(np.packbits(bits, bitorder="little").view(np.uint64).tolist())
-
-
-def _segments(lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
-    mask = _U((1 << 23) - 1)
-    parts = [lo & mask, lo >> _U(23) & mask, (lo >> _U(46) | hi << _U(18)) & mask, hi >> _U(5) & mask, hi >> _U(28) & mask]
-    return [p.astype(np.int32) for p in parts]
-
-
-def keys(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index, key) of each fingerprint under every two codeword indices near two of its segments."""
-    near = []
-    for part in _segments(lo, hi):
-        found = golay.near(part)
-        order = np.argsort(found < 0, axis=1, kind="stable")[:, :6]  # at most six are different
-        near.append(np.take_along_axis(found, order, axis=1))
-    at, out = [], []
-    for way, (x, y) in enumerate(WAYS):
-        a, b = near[x][:, :, None], near[y][:, None, :]
-        n, i, j = np.nonzero((a >= 0) & (b >= 0))
-        at.append(n)
-        out.append(way << 24 | near[x][n, i].astype(np.int64) << 12 | near[y][n, j])
-    return np.concatenate(at), np.concatenate(out)
-
-
-def _send(parts: int):
+        return np.zeros(0, np.uint64)
+    runs = zip(*(words[i:] for i in range(width)), strict=False) if len(words) >= width else [words]
+    digest = xxhash.xxh3_64_intdigest
+    return np.unique(np.fromiter((digest(b" ".join(s)) for s in runs), np.uint64))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets reach the similarity."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return UNDER * both >= OVER * (len(a) + len(b) - both)
+
+
+def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles by (count in the sample, hash): two similar sets share one of them, whatever the counts are."""
+    most = len(own) + (-OVER * len(own) // UNDER) + 1  # n - ceil(0.8 n) + 1
+    if not len(own) or not len(common):
+        return own[:most] if len(own) else own
+    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+    return own[np.argsort(np.where(common[at] == own, counts[at], 0), kind="stable")[:most]]
+
+
+def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of a bounded sample of distinct texts hold, and how many do."""
+    sample = texts.select("mark", "text").orderBy(F.xxhash64("mark"), "mark").limit(SAMPLE)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in text_bytes(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t, width).view(np.int64))], ["key"])
+
+    held = sample.dropDuplicates(["mark"]).mapInArrow(each, "key long").groupBy("key").count().where("count > 1")
+    rows = held.orderBy(F.desc("count"), "key").limit(COMMON).toArrow()  # bounded
+    keys, counts = rows["key"].to_numpy().view(np.uint64), rows["count"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of one key, from rows in the order of keys; of equal lists that follow one another's keys in a batch one stays."""
+    now, nodes, sizes, seen = None, [], [], set()
+
+    def row() -> Iterator[pa.RecordBatch]:
+        own = np.concatenate(nodes), np.concatenate(sizes)
+        if len(own[0]) > 1:
+            order = np.argsort(own[0])
+            blobs = [c[order].tobytes() for c in own]
+            name = xxhash.xxh3_128_digest(blobs[0])
+            if name not in seen:
+                if len(seen) < 1 << 20:
+                    seen.add(name)
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.binary()), *(pa.array([b], pa.binary()) for b in blobs)], ["name", "nodes", "sizes"])
+
+    for batch in batches:
+        key, node, n = (column(batch, c).to_numpy() for c in ("key", "node", "n"))
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else []
+        for s, e in zip(starts, [*starts[1:], len(key)], strict=True):
+            if key[s] != now and nodes:
+                if sum(map(len, nodes)) > 1:
+                    yield from row()
+                nodes, sizes = [], []
+            now = key[s]
+            nodes.append(node[s:e])
+            sizes.append(n[s:e])
+    if nodes:
+        yield from row()
+
+
+def _fit(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can be similar."""
+    return UNDER * np.minimum(n, m) >= OVER * np.maximum(n, m)
+
+
+def _stars(turn: int):
+    """Pairs of each group's members with one of them, which all groups choose by the same hash."""
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every = [column(batch, c).to_numpy().view(np.uint64) for c in ("lo", "hi")]
-            for start in range(0, len(every[0]), NODES):
-                lo, hi = (e[start : start + NODES] for e in every)
-                at, key = keys(lo, hi)
-                part = (key * 0x9E3779B1 % (1 << 32) * parts) >> 32
-                order = np.lexsort((key, part))
-                cuts = np.flatnonzero(np.diff(part[order])) + 1
-                names, blobs, tables = [], [], []
-                for rows in np.split(order, cuts):
-                    used, own = np.unique(at[rows], return_inverse=True)
-                    names.append(int(part[rows[0]]))
-                    blobs.append(pack((key[rows], 4), (own.astype(np.int64), 2)))
-                    tables.append(pack((lo[used], 8), (hi[used], 7)))
-                for k in range(0, len(names), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array(names[k : k + 64], pa.int32()), pa.array(blobs[k : k + 64], pa.binary()), pa.array(tables[k : k + 64], pa.binary())], ["part", "rows", "prints"])
+            for nodes, sizes, classes in zip(*(column(batch, c) for c in ("nodes", "sizes", "classes")), strict=True):
+                own, n, c = np.frombuffer(nodes.as_py(), np.int64), np.frombuffer(sizes.as_py(), np.int32).astype(np.int64), np.frombuffer(classes.as_py(), np.int64)
+                with np.errstate(over="ignore"):
+                    mixed = own.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * turn)
+                    k = int(np.argmin(mixed ^ mixed >> np.uint64(29 + turn % 8)))
+                good = (c != c[k]) & _fit(n, n[k])
+                yield _pairs(np.full(good.sum(), own[k]), own[good])
 
     return each
 
 
-class _Forest:
-    """Keeps links that join components of what it has seen so far."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def add(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Indices of links that are needed; links within a component are dropped in bulk."""
-        kept, index = [], np.arange(len(left))
-        root = self.root
-        while len(index):
-            while (up := root[root] != root).any():
-                root[up] = root[root[up]]
-            index = index[root[left[index]] != root[right[index]]]
-            for k in index[:2048].tolist():
-                u, v = left[k], right[k]
-                while root[u] != u:
-                    u = root[u]
-                while root[v] != v:
-                    v = root[v]
-                if u != v:
-                    root[max(u, v)] = min(u, v)
-                    kept.append(k)
-        return np.array(kept, np.int64)
-
-
-def _meet(key: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (indices of prints) within MOST bits among rows with equal keys, as many as join the components."""
-    order = np.argsort(key, kind="stable")
-    key, at = key[order], at[order]
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.diff(np.r_[starts, len(key)])
-    starts, sizes = starts[sizes > 1], sizes[sizes > 1]
-    forest = _Forest(len(lo))
-    out = [(np.zeros(0, np.int64),) * 2]
-
-    def take(a: np.ndarray, b: np.ndarray) -> None:
-        good = np.bitwise_count(lo[a] ^ lo[b]).astype(np.int16) + np.bitwise_count(hi[a] ^ hi[b]) <= MOST
-        a, b = a[good], b[good]
-        kept = forest.add(a, b)
-        if len(kept):
-            out.append((a[kept], b[kept]))
-
-    small = sizes <= 512
-    work = sizes[small] ** 2
-    some = np.flatnonzero(small)
-    for runs in np.split(some, np.flatnonzero(np.diff(np.cumsum(work) >> 19)) + 1):
-        n = sizes[runs] ** 2
-        run = np.repeat(np.arange(len(runs)), n)
-        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        i, j = k // sizes[runs][run], k % sizes[runs][run]
-        half = i < j
-        take(at[starts[runs][run] + i][half], at[starts[runs][run] + j][half])
-    for s, n in zip(starts[~small], sizes[~small], strict=True):  # large groups block by block
-        own = at[s : s + n]
-        for i in range(0, n, 512):
-            for j in range(i, n, 512):
-                a, b = own[i : i + 512], own[j : j + 512]
-                if i == j and len(a) == 1:
-                    continue
-                take(np.repeat(a, len(b)), np.tile(b, len(a)))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
-
-
-def _receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    now, held = None, []
-
-    def links() -> Iterator[pa.RecordBatch]:
-        rows = [unpack(r, 4, 2) for r, _ in held]
-        prints = [unpack(p, 8, 7) for _, p in held]
-        shift = np.cumsum([0, *(len(p[0]) for p in prints)])
-        key = np.concatenate([r[0] for r in rows]).astype(np.int64)
-        at = np.concatenate([r[1].astype(np.int64) + s for r, s in zip(rows, shift, strict=False)])
-        lo, hi = (np.concatenate([p[i] for p in prints]) for i in range(2))
-        a, b = _meet(key, at, lo, hi)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (lo[a], hi[a], lo[b], hi[b])], ["alo", "ahi", "blo", "bhi"])
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
 
+def sketch(own: np.ndarray) -> bytes:
+    """How many shingles fall into each of BUCKETS, at most 255."""
+    return np.minimum(np.bincount((own >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
+
+def _open(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of members in different classes that may be similar, for each member.
+
+    Two sets have no more in common than the lesser counts of their sketches add up to; a full count bounds nothing.
+    """
+    for nodes, sizes, classes, marks in zip(*(column(batch, c) for c in ("nodes", "sizes", "classes", "marks")), strict=True):
+        own, n, c = np.frombuffer(nodes.as_py(), np.int64), np.frombuffer(sizes.as_py(), np.int32).astype(np.int64), np.frombuffer(classes.as_py(), np.int64)
+        counts = np.frombuffer(marks.as_py(), np.uint8).reshape(-1, BUCKETS)
+        full = (counts == 255).any(1)
+        for i in range(len(own) - 1):
+            good = i + 1 + np.flatnonzero((c[i + 1 :] != c[i]) & _fit(n[i + 1 :], n[i]))
+            most = np.minimum(counts[good], counts[i]).sum(1, dtype=np.int64)
+            good = good[((UNDER + OVER) * most >= OVER * (n[good] + n[i])) | full[good] | full[i]]
+            if len(good):
+                yield np.full(len(good), own[i]), own[good]
+
+
+def _all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, rows, prints in zip(*(column(batch, c) for c in ("part", "rows", "prints")), strict=True):
-            if part.as_py() != now and held:
-                yield from links()
-                held = []
-            now = part.as_py()
-            held.append((rows.as_py(), prints.as_py()))
-    if held:
-        yield from links()
-
-
-def classes(marks: DataFrame) -> DataFrame:
-    """node and component of all fingerprints (node, lo, hi) that are linked."""
-    nodes = materialise(marks.select("node", "lo", "hi").distinct(), "wide-nodes")
-    parts = min(1 << 16, max(4, -(-nodes.count() // PART_NODES)))
-    # parts are dealt by number, each with about as many keys
-    sent = nodes.repartition(parts, "node").mapInArrow(_send(parts), "part int, rows binary, prints binary")
-    found = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_receive, "alo long, ahi long, blo long, bhi long")
-    return components(found.select(F.xxhash64("alo", "ahi").alias("a"), F.xxhash64("blo", "bhi").alias("b")))
+        for a, b in _open(batch):
+            yield _pairs(a, b)
 
 
-def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The rows of docs without near copies: of each group the row with the smallest doc_id stays.
+def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(a) for a, _ in _open(batch))], pa.int64())], ["n"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        every = zip(*(column(batch, c) for c in ("left", "right")), strict=True)
+        good = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in every]
+        yield pa.RecordBatch.from_arrays([column(batch, c).filter(pa.array(good, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each group's members as blobs again."""
+    for batch in batches:
+        out = []
+        for own in column(batch, "members"):
+            flat = own.values
+            out.append([*(np.asarray(flat.field(c)).tobytes() for c in ("node", "n", "class")), b"".join(flat.field("mark").to_pylist())])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["nodes", "sizes", "classes", "marks"])
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for name, nodes, sizes in zip(*(column(batch, c) for c in ("name", "nodes", "sizes")), strict=True):
+            own = np.frombuffer(nodes.as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(own), pa.binary()), pa.array(own), pa.array(np.frombuffer(sizes.as_py(), np.int32))], ["name", "node", "n"])
 
-    Documents are linked if at most MOST of the 115 bits of their fingerprints differ, which is where a Jaccard
-    similarity of word shingles of 0.8 or more puts them; groups are connected components. Takes doc_id and text; all
-    columns stay. A null doc_id counts as largest, equal doc_ids are ordered by a hash of the text, and of repeated
-    rows one stays. Null and empty texts have fingerprint 0 and are copies of each other. Copies share one
-    fingerprint, so their number doesn't matter. An empty table gives an empty result.
+
+def classes(keys: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """node and component of all sets that are linked.
+
+    keys: key, node, n, a row for each shingle of each set's prefix. texts: node and text, one for each set.
+    Groups are the sets that share a key. Sets are first paired with one of their group, whose links join most of a large
+    group of near copies, and what that leaves in different components is paired in full; no possible link is left out.
     """
+    spark = keys.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    groups = keys.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_groups, "name binary, nodes binary, sizes binary")
+    groups = materialise(groups.dropDuplicates(["name"]), "near-groups")
+    members = groups.mapInArrow(_members, "name binary, node long, n int")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = np.array([fingerprint(t, width) for t in text_bytes(batch)], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "mark"), pa.array(own[:, 0]), pa.array(own[:, 1])], ["doc_id", "mark", "lo", "hi"])
+            own = [shingles(t, width) for t in text_bytes(batch)]
+            yield pa.RecordBatch.from_arrays([column(batch, "node"), *(pa.array(c, pa.binary()) for c in ([s.tobytes() for s in own], [sketch(s) for s in own]))], ["node", "own", "mark"])
+
+    sets = materialise(texts.join(members.select("node").distinct(), "node", "left_semi").mapInArrow(each, "node long, own binary, mark binary"), "near-sets")
+    total = sets.count()
+    blobs = "nodes binary, sizes binary, classes binary, marks binary"
+    now = groups.select("nodes", "sizes", F.col("nodes").alias("classes"))
+    links, last, whole = spark.createDataFrame([], LINKS), None, False
+    for turn in count():
+        pairs = now.mapInArrow(_all if whole else _stars(turn), LINKS).distinct()
+        pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("right")), "b")
+        links = links.union(materialise(pairs.mapInArrow(_verified, LINKS), "near-links"))
+        found = materialise(components(links), "near-classes")
+        if whole:
+            return found
+        # members with the component they have by now; groups within one component are done
+        own = F.coalesce("component", "node").alias("class")
+        held = members.join(sets.select("node", "mark"), "node").join(found, "node", "left").select("name", F.struct("node", "n", own, "mark").alias("m"))
+        held = held.groupBy("name").agg(F.collect_list("m").alias("members")).where(F.size(F.array_distinct(F.transform("members", lambda m: m["class"]))) > 1)
+        now = materialise(held.select("members").mapInArrow(_packed, blobs), "near-open")
+        left = now.mapInArrow(_left, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if not left:
+            return found
+        whole = left <= PAIRS * total or last is not None and 2 * left > last
+        last = left
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of docs without near copies: of each group the row with the smallest doc_id stays.
 
+    Documents are linked if the Jaccard similarity of their sets of word shingles is 0.8 or more; groups are connected
+    components. Takes doc_id and text; all columns stay. A null doc_id counts as largest, equal doc_ids are ordered by
+    a hash of the text, and of repeated rows one stays. Null and empty texts are copies of each other. Equal sets
+    are one node, so the number of copies doesn't matter. An empty table gives an empty result.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("mark", F.xxhash64("text"))
-    marks = materialise(texts.mapInArrow(each, "doc_id long, mark long, lo long, hi long").withColumn("node", F.xxhash64("lo", "hi")), "wide-fingerprints")
+    common, counts = _common(texts, width)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, blobs = [], [], []
+            for t in text_bytes(batch):
+                own = shingles(t, width)
+                nodes.append(xxhash.xxh3_64_intdigest(own.tobytes()))
+                sizes.append(len(own))
+                blobs.append(prefix(own, common, counts).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [column(batch, "doc_id"), column(batch, "mark"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(blobs, pa.list_(pa.int64()))], ["doc_id", "mark", "node", "n", "keys"]
+            )
+
+    marks = materialise(texts.mapInArrow(each, "doc_id long, mark long, node long, n int, keys array<long>"), "near-marks")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("mark"))).alias("first")
-    # a row for each fingerprint first, so that copies are combined before they meet their component
-    heads = marks.groupBy("node").agg(first)
-    heads = materialise(heads, "wide-heads")
-    kept = heads.join(classes(marks), "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
+    # a row for each set first, so that copies are combined before they meet their component
+    heads = materialise(marks.groupBy("node").agg(first, F.min("mark").alias("mark")), "near-heads")
+    chosen = marks.join(heads.select("node", F.col("first.doc_id").alias("_doc"), F.col("first.mark").alias("_mark")), "node")
+    chosen = chosen.where(F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark"))).select("node", "n", F.explode("keys").alias("key")).distinct()
+    one = texts.select("mark", "text").join(heads.select("node", "mark"), "mark").dropDuplicates(["node"]).select("node", "text")
+    kept = heads.join(classes(chosen, one, width), "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
     kept = materialise(kept.select(F.col("first.doc_id").alias("_doc"), F.col("first.mark").alias("_mark")), "wide-kept")
     own = (F.xxhash64(text) == F.col("_mark")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc"))
     out = docs.join(kept, own, "left_semi")

@@ -133,3 +133,40 @@ def test_keep_one_of_odd_rows(spark):
     got = [r.text for r in kept.collect()]
     assert len(got) == len({t or "" for t in texts if t not in ("...   \n\t 12 34",)} | {"..."})
     assert nearcopies.keep_one(docs(spark, [])).count() == 0
+
+
+def test_near_copies_equal_brute_force_around_the_limit(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    sets, data = {}, []
+    for g in range(120):  # pairs planted from 0.7 to 0.9; a changed stretch of c words takes c + 4 shingles
+        n = rng.randint(60, 300)
+        text = [word() for _ in range(n + 4)]
+        aim = rng.choice([0.7, 0.75, 0.78, 0.8, 0.82, 0.85, 0.9])
+        lost = round(n * (1 - aim) / (1 + aim))
+        other = text[: len(text) - lost] + [word() for _ in range(lost)]
+        for k, t in enumerate((text, other)):
+            data.append((2 * g + k, " ".join(t), "en", "s", 1))
+            sets[2 * g + k] = {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    base = [word() for _ in range(204)]
+    for k in range(300):  # a large group of near copies, not all of which are similar to each other
+        t = list(base)
+        for at in rng.sample(range(200), rng.randint(0, 6)):
+            t[at] = word()
+        data.append((1000 + k, " ".join(t), "en", "s", 1))
+        sets[1000 + k] = {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    ids, root = sorted(sets), {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in ids:
+        for j in ids:
+            if i < j:
+                both = len(sets[i] & sets[j])
+                if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both) and top(i) != top(j):
+                    a, b = sorted((top(i), top(j)))
+                    root[b] = a
+    assert sorted(r.doc_id for r in nearcopies.keep_one(docs(spark, data)).collect()) == [i for i in ids if top(i) == i]
