@@ -70,8 +70,8 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVOTS)
 
     1. Every row joins the cell of its nearest pivot. Cells have summaries: rows, radius, and the same for queries.
     2. With pivots p and radii r, the product of a query in cell i with a row in cell j is at least
-       pi.pj - |pi| rj - ui |pj| - ui rj. The cells with the best such bounds that hold k + 1 rows give each query
-       cell a floor for its k-th best score.
+       pi.pj - |pi| rj - ui |pj| - ui rj. The cells with the best such bounds that hold k rows besides the most that
+       share one query's id give each query cell a floor for its k-th best score.
     3. A row x can matter to query cell i only if pi.x + ui |x| reaches that floor; it is sent to the bundles of
        query cells that need it, at most one copy for each bundle of 4,096 queries.
     4. Each bundle's rows are dealt by a hash of their id into blocks that are solved by matrix products; each block
@@ -112,11 +112,13 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVOTS)
     if not count.any():
         return empty
 
+    # rows that a query leaves out as its own: as many as the most frequent query id has
+    own_rows = placed.groupBy("vec_id").count().join(asked.select("vec_id"), "vec_id", "left_semi").agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     least = heads @ heads.T - np.outer(head_norms, radius) - np.outer(reach, head_norms) - np.outer(reach, radius)
     floor = np.full(len(heads), -np.inf)
     for i in np.flatnonzero(count):
         best = np.argsort(-least[i])
-        enough = np.searchsorted(np.cumsum(rows[best]), k + 1)
+        enough = np.searchsorted(np.cumsum(rows[best]), k + own_rows)
         if enough < len(best):
             floor[i] = least[i, best[enough]]
     # bundles of query cells, in the order of their numbers, so that the driver and tasks agree

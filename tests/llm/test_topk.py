@@ -48,3 +48,10 @@ def test_fewer_rows_than_asked_and_none(spark):
 def test_scores_beyond_float_precision(spark):
     rows = [(0, [3e9, 1.0]), (1, [2e3, 1.0]), (2, [2e3, 2.0])]
     assert search(spark, rows) == brute(rows, 5)
+
+
+def test_repeated_query_id_still_gets_its_answers(spark):
+    rng = np.random.default_rng(5)
+    rows = [(50, [9.0, 0.0, 0.0, 0.0])] * 6 + [(50, [9.0, 0.5, 0.0, 0.0])] * 3
+    rows += [(i, [float(np.float32(x)) for x in rng.normal(size=4)]) for i in range(51, 90)]
+    assert search(spark, rows) == brute(rows, 5)
