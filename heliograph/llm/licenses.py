@@ -63,9 +63,10 @@ _SCHEMA = pa.schema([
 
 
 def tokens(line: str) -> list[str]:
-    """The longest beginning of a line that has the shape of an expression."""
+    """The longest beginning of a line that is an expression, in one pass: operands and operators in turn, with every
+    parenthesis closed."""
     out: list[str] = []
-    depth, operand, at = 0, True, 0
+    depth, operand, at, whole = 0, True, 0, 0
     for m in _TOKEN.finditer(line):
         t = m[0]
         if line[at : m.start()].strip(" \t"):
@@ -85,7 +86,9 @@ def tokens(line: str) -> list[str]:
             break
         out.append(t)
         at = m.end()
-    return out
+        if not operand and not depth:
+            whole = len(out)
+    return out[:whole]
 
 
 def postfix(parts: list[str]) -> list[str] | None:
@@ -125,32 +128,31 @@ def evaluate(parts: list[str]) -> tuple[list[str], str] | None:
     order = postfix(parts)
     if not order:
         return None
-    stack: list[tuple[tuple[str, ...], int]] = []
+    stack: list[tuple[set[str], int]] = []
     for t in order:
-        if t not in _BINDS:
-            stack.append(((t.lower(),), obligation(t)))
+        if t.upper() not in _BINDS:
+            stack.append(({t.lower()}, obligation(t)))
             continue
         if len(stack) < 2:
             return None
         (b, y), (a, x) = stack.pop(), stack.pop()
-        if t == "WITH":
+        if t.upper() == "WITH":
             stack.append((a, 2 if x == 3 else x))
-        else:
-            stack.append((a + b, max(x, y) if t == "AND" else min(x, y)))
+            continue
+        few, many = sorted((a, b), key=len)
+        many |= few  # the smaller into the larger, so that long chains cost no more than their length
+        stack.append((many, max(x, y) if t.upper() == "AND" else min(x, y)))
     if len(stack) != 1:
         return None
     names, level = stack[0]
-    return sorted(set(names)), NAMES[level]
+    return sorted(names), NAMES[level]
 
 
 def expression(line: str) -> tuple[str, list[str], str] | None:
     """The longest valid expression at the beginning of a line: text, licences, obligation."""
     parts = tokens(line)
-    while parts:
-        if found := evaluate(parts):
-            return " ".join(parts), *found
-        parts.pop()
-    return None
+    found = evaluate(parts)
+    return (" ".join(parts), *found) if found else None
 
 
 @lru_cache(1)
@@ -167,12 +169,15 @@ def scan(text: bytes | None) -> tuple[int, list[dict], list[dict]]:
     words = (text or b"").translate(_FOLD).split()
     line = f" {b' '.join(words).decode()} "
     hits, tagged = [], False
-    for end, phrase in automaton().iter(line):
+    counted = spaces = 0
+    for end, phrase in automaton().iter(line):  # in the order of ends
+        spaces += line.count(" ", counted, end + 1)
+        counted = end + 1
         if phrase == TAG:
             tagged = True
             continue
         n = phrase.count(" ") + 1
-        word = line.count(" ", 0, end - len(phrase) - 1)
+        word = spaces - n - 1
         for base, names in ((True, BASE), (False, NOTICES)):
             if phrase in names:
                 hits.append({"word": word, "words": n, "label": names[phrase], "base": base})
@@ -196,8 +201,9 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     Takes doc_id and text; other columns are ignored. Words are runs of ASCII letters and digits and of all
     characters beyond ASCII, A-Z lower-cased. Overlapping phrases all count. A null or empty text has no word and
-    no hit. Repeated rows and equal doc_ids each give a row. An expression that can't be parsed is cut at its end
-    until it can; a tag without an expression gives none. No exchange: each text is scanned where it is read.
+    no hit. Repeated rows and equal doc_ids each give a row. Of an expression that can't be parsed the longest beginning
+    that can counts; a tag without an expression gives none. An empty table gives an empty result. A very long text is folded, split
+    and scanned once, in time proportional to its length. No exchange: each text is scanned where it is read.
     """
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_batches, OUT)
 
