@@ -41,21 +41,31 @@ EVENT_WEIGHTS = {"file_opened": 3.0, "recommendation_clicked": 3.0, "file_reveal
 SHOWN_WEIGHT, SHOWN_RESULTS = 0.15, 5
 PERSONAL_MIX = {"frequency": 0.35, "recency": 0.15, "type": 0.15, "topic": 0.2, "time": 0.15}
 TYPE_ALIASES = {"documents": "document", "images": "image", "videos": "video", "emails": "email", "photo": "image", "photos": "image", "picture": "image", "pictures": "image", "spreadsheets": "spreadsheet", "excel": "spreadsheet", "presentations": "presentation", "slides": "presentation", "powerpoint": "presentation", "doc": "word", "music": "audio", "songs": "audio", "movie": "video", "movies": "video"}
+# File formats by extension.
+DOCUMENTS = "pdf docx txt md".split()
+SHEETS = "csv tsv xlsx xlsm".split()
+SLIDES = ["pptx"]
+CODE = "py js ts tsx jsx java c cpp h hpp cs go rs rb php swift kt css json xml yaml yml toml ini cfg sh bat ps1 sql rtf".split()
+WEB = "html htm".split()
+OLD = "odt ods odp epub eml msg doc xls ppt".split()
+AUDIO = "mp3 wav m4a flac ogg aiff aif wma aac opus".split()
+IMAGES = "jpg jpeg png gif bmp webp avif heic heif tif tiff".split()
+VIDEOS = "mp4 mov m4v mkv webm avi 3gp wmv mts m2ts mpg mpeg".split()
+ARCHIVES = "zip 7z rar tar gz bz2 xz iso cab".split()
+SAME_FORMAT = (("jpg", "jpeg"), ("tif", "tiff"), ("heic", "heif"), ("mpg", "mpeg"), ("mts", "m2ts"))
 TYPE_GROUPS = {
-    "document": ("pdf", "docx", "doc", "odt", "rtf", "txt", "md", "epub", "html", "htm"),
-    "word": ("docx", "doc"),
-    "spreadsheet": ("xlsx", "xlsm", "xls", "csv", "tsv", "ods"),
-    "presentation": ("pptx", "ppt", "odp"),
+    "document": tuple(DOCUMENTS + SHEETS + SLIDES + CODE + WEB + OLD),
+    "image": tuple(IMAGES),
+    "audio": tuple(AUDIO),
+    "video": tuple(VIDEOS),
     "email": ("eml", "msg"),
-    "image": ("jpg", "jpeg", "png", "gif", "bmp", "webp", "tif", "tiff", "heic", "heif"),
-    "audio": ("mp3", "wav", "m4a", "flac", "ogg", "opus", "aac", "wma"),
-    "video": ("mp4", "mov", "mkv", "avi", "webm", "m4v", "mpg", "mpeg", "mts", "m2ts"),
-    "code": ("py", "js", "ts", "java", "c", "cpp", "h", "go", "rs", "rb", "sh", "sql"),
-    "archive": ("zip", "7z", "rar", "tar", "gz"),
-    "jpg": ("jpg", "jpeg"), "jpeg": ("jpg", "jpeg"), "tif": ("tif", "tiff"), "tiff": ("tif", "tiff"),
-    "heic": ("heic", "heif"), "heif": ("heic", "heif"), "mpg": ("mpg", "mpeg"), "mpeg": ("mpg", "mpeg"),
-    "mts": ("mts", "m2ts"), "m2ts": ("mts", "m2ts"),
-}
+    "spreadsheet": tuple(SHEETS),
+    "presentation": tuple(SLIDES),
+    "code": tuple(CODE),
+    "word": ("doc", "docx"),
+    "text": ("txt", "md"),
+    **{ext: pair for pair in SAME_FORMAT for ext in pair},
+}
 FILLER = "find search show open get look up me my i the a an of for to in on at about please can you could would want need file files note notes document documents where what which did do does is are was were have has that this those these it with and or thing stuff something wrote write put saved kept from by into our your his her their".split()
 NAME_NOISE = "a an the my me of for to in on and or with about open show find get search look up please".split()
 NAME_GENERIC = "file files document documents note notes folder photo photos picture pictures image images photograph photographs pic pics snap snaps shot shots".split()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,19 +79,33 @@ def canonical_name(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.replace(F.lower(_c(text)), F.lit("\\"), F.lit("/")), r"[\s_\-]+", " "))
 
 
+# Fixed values.
+SOUNDS = (("ph", "f"), ("ck", "k"), ("sh", "x"), ("ch", "j"), ("th", "0"), ("wr", "r"), ("kn", "n"), ("gh", ""))
+VOICED, UNVOICED = "bdgvz", "ptkfs"
+
+
 def phonetic_key(text: Column | str) -> Column:
     """Consonants as they sound: digraphs joined, soft c and g, voiced as unvoiced, vowels dropped but a first one."""
     s = F.regexp_replace(F.lower(_c(text)), "[^a-z0-9]", "")
-    # Fixed values.
-    for sound, sign in (("ph", "f"), ("ck", "k"), ("sh", "x"), ("ch", "j"), ("th", "0"), ("wr", "r"), ("kn", "n"), ("gh", "")):
+    for sound, sign in SOUNDS:
         s = F.replace(s, F.lit(sound), F.lit(sign))
     s = F.regexp_replace(F.regexp_replace(s, "g(?=[eiy])", "j"), "c(?=[eiy])", "s")
     s = F.replace(F.translate(s, "cq", "kk"), F.lit("x"), F.lit("ks"))
-    s = F.translate(s, "bdgvz", "ptkfs")
+    s = F.translate(s, VOICED, UNVOICED)
     lead = F.regexp_extract(s, "^[aeiou]", 0)
     return F.regexp_replace(F.concat(lead, F.regexp_replace(F.substr(s, F.length(lead) + 1), "[aeiouyhw]", "")), r"(.)\1+", "$1")
 
 
+def spoken_key(text: str) -> str:
+    """phonetic_key of a Python string, for code that compares keys in a task."""
+    s = re.sub("[^a-z0-9]", "", text.lower())
+    for sound, sign in SOUNDS:
+        s = s.replace(sound, sign)
+    s = re.sub("c(?=[eiy])", "s", re.sub("g(?=[eiy])", "j", s)).translate(str.maketrans("cq", "kk")).replace("x", "ks")
+    s = s.translate(str.maketrans(VOICED, UNVOICED))
+    return re.sub(r"(.)\1+", r"\1", s[:1] + re.sub("[aeiouyhw]", "", s[1:]) if s[:1] in tuple("aeiou") else re.sub("[aeiouyhw]", "", s))
+
+
 def human_size(n: Column | str) -> Column:
     n = _c(n)
     out = F.concat(n.cast("string"), F.lit(" B"))

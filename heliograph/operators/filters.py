@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.config import TYPE_ALIASES, TYPE_GROUPS
+from heliograph.config import ARCHIVES, AUDIO, CODE, DOCUMENTS, IMAGES, OLD, SHEETS, SLIDES, TYPE_ALIASES, TYPE_GROUPS, VIDEOS, WEB
 
 FILTER = r"(?i)\b(type|ext|after|before|size|in):(\S+)"
 UNITS = {"b": 1, "kb": 1024, "mb": 1024**2, "gb": 1024**3}
@@ -96,15 +96,14 @@ def newest(matches: DataFrame, k: int) -> DataFrame:
 
 
 def kind_of(ext: Column, audio_only: Column) -> Column:
-    """Image before audio; a video without a picture is audio."""
-    groups = {k: TYPE_GROUPS[k] for k in ("image", "audio", "video", "code", "archive")}
-    document = [e for k in ("document", "spreadsheet", "presentation", "email") for e in TYPE_GROUPS[k]]
+    """Image before audio; a video without a picture is audio; of the text formats, code is what is no document."""
+    document = [*DOCUMENTS, *SHEETS, *SLIDES, *WEB, *OLD, "rtf"]
     return (
-        F.when(ext.isin(*groups["image"]), "image")
-        .when(ext.isin(*groups["audio"]) | (ext.isin(*groups["video"]) & F.coalesce(audio_only, F.lit(False))), "audio")
-        .when(ext.isin(*groups["video"]), "video")
+        F.when(ext.isin(*IMAGES), "image")
+        .when(F.coalesce(audio_only, F.lit(False)) | ext.isin(*AUDIO), "audio")
+        .when(ext.isin(*VIDEOS), "video")
         .when(ext.isin(*document), "document")
-        .when(ext.isin(*groups["code"]), "code")
-        .when(ext.isin(*groups["archive"]), "archive")
+        .when(ext.isin(*CODE), "code")
+        .when(ext.isin(*ARCHIVES), "archive")
         .otherwise("other")
     )

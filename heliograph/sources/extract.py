@@ -75,7 +75,8 @@ def html_text(raw: str) -> str:
 
 
 _RTF = re.compile(r"\\u(-?\d+) ?(?:\\'[0-9a-f]{2}|[^\\{}\r\n])?|\\'([0-9a-f]{2})|\\([a-z]+)(-?\d+)? ?|\\(.)|([{}])|([^\\{}]+)", re.I | re.S)
-_RTF_SILENT = frozenset("fonttbl colortbl stylesheet info pict header footer object themedata listtable".split())
+# Fixed values.
+_RTF_SILENT = ("fonttbl", "colortbl", "stylesheet", "info", "pict", "object", "header", "footer", "listtable", "listoverridetable", "generator", "themedata", "colorschememapping", "latentstyles", "datastore", "xmlnstbl")
 
 
 def rtf_text(raw: str) -> str:

@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.config import TYPE_GROUPS
+from heliograph.config import AUDIO, CODE, DOCUMENTS, IMAGES, OLD, SHEETS, SLIDES, VIDEOS, WEB
 from heliograph.functions.text import extension, filename
 
 # Fixed values.
-CODE = "py js ts tsx jsx java c cpp h hpp cs go rs rb php swift kt css json xml yaml yml toml ini cfg sh bat ps1 sql rtf".split()
-SHEETS = "csv tsv xlsx xlsm".split()
-WEB = "html htm".split()
-OLD = "odt ods odp epub eml msg doc xls ppt".split()
-AUDIO = "mp3 wav m4a flac ogg aiff aif wma aac opus".split()
 TEXT_CAP, DOCUMENT_CAP = 5 << 20, 50 << 20
-SUPPORTED = sorted({"txt", "md", "pdf", "docx", "pptx", *CODE, *SHEETS, *WEB, *OLD, *AUDIO})
 LONGEST_PATH = 260
-PRUNED = "node_modules venv env site-packages __pycache__ build dist target vendor".split()
+PRUNED = (
+    "node_modules", "__pycache__", "venv", "env", "site-packages", "dist", "build", "target", "vendor", "models", "_internal",
+    "appdata", "programdata", "program files", "program files (x86)", "windowsapps", "wpsystem", "$recycle.bin", "system volume information",
+    "anaconda3", "miniconda3", "anaconda", "miniconda", "rustup", "conda-meta",
+)
+MARKER_FILES = ("pyvenv.cfg", "unins000.exe", ".cargo-ok", "cargo.toml.orig")
+MARKER_PATHS = ("lib/rustlib", "bin/internal/engine.version", "resources/app/product.json")
+LEFT_OUT_NAMES = (
+    "requirements.txt", "requirements-dev.txt", "requirements-test.txt", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock",
+    "cargo.lock", "pipfile.lock", "composer.lock", "gemfile.lock", "tsconfig.tsbuildinfo", "english_words.txt",
+)
+LEFT_OUT_ENDS = (".min.js", ".min.css", ".map", ".bundle.js", ".chunk.js")
+
+SUPPORTED = sorted({*DOCUMENTS, *SHEETS, *SLIDES, *CODE, *WEB, *OLD, *AUDIO})
 
 
 def size_cap(ext: Column) -> Column:
@@ -37,18 +47,25 @@ def under_pruned(path: Column, root: str) -> Column:
     return F.exists(F.slice(below, 1, F.greatest(F.size(below) - 1, F.lit(0))), lambda p: F.lower(p).isin(*PRUNED) | p.startswith("."))
 
 
-def admitted(listing: DataFrame, root: str, markers: tuple[str, ...] = ("pyvenv.cfg", "unins000.exe")) -> DataFrame:
-    """listing (path, size) with skip, null for files that are indexed, else why not. Folders that hold an install
-    marker are skipped as a whole by an anti-join on the parents of their files."""
-    ext, name = extension("path"), filename("path")
-    installs = listing.where(name.isin(*markers)).select(F.regexp_replace("path", "/[^/]*$", "").alias("parent")).distinct()
+def installs(listing: DataFrame) -> DataFrame:
+    """folder: folders of installed software, by a marker file in them or a marker path below them."""
+    by_file = listing.where(F.lower(filename("path")).isin(*MARKER_FILES)).select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"))
+    below = F.regexp_extract("path", "(?i)^(.*?)/(?:" + "|".join(p.replace(".", r"\.") for p in MARKER_PATHS) + ")(?:/.*)?$", 1)
+    return by_file.union(listing.select(below.alias("folder")).where("folder <> ''")).distinct()
+
+
+def admitted(listing: DataFrame, root: str) -> DataFrame:
+    """listing (path, size) with skip, null for files that are indexed, else why not. Folders of installed software are
+    skipped as a whole by a join with the parents of their files."""
+    ext, name = extension("path"), F.lower(filename("path"))
     parts = F.split("path", "/")
     parents = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    inside = listing.withColumn("parent", F.explode(parents)).join(installs, "parent", "left_semi").select("path").distinct().withColumn("installed", F.lit(True))
+    inside = listing.withColumn("folder", F.explode(parents)).join(installs(listing), "folder", "left_semi").select("path").distinct().withColumn("installed", F.lit(True))
     skip = (
         F.when(F.col("installed"), "installed software")
         .when(under_pruned(F.col("path"), root), "folder")
         .when(name.startswith(".") | name.startswith("~$"), "hidden")
+        .when(name.isin(*LEFT_OUT_NAMES) | reduce(or_, [name.endswith(e) for e in LEFT_OUT_ENDS]), "name")
         .when(~ext.isin(*SUPPORTED), "type")
         .when(F.length("path") >= LONGEST_PATH, "long path")
         .when(F.col("size") > size_cap(ext), "size")
@@ -58,7 +75,7 @@ def admitted(listing: DataFrame, root: str, markers: tuple[str, ...] = ("pyvenv.
 
 def scan_order(ext: Column) -> Column:
     """Documents before code and data, pictures, sound, video."""
-    first = F.when(ext.isin(*TYPE_GROUPS["video"]), 4).when(ext.isin(*AUDIO), 3).when(ext.isin(*TYPE_GROUPS["image"]), 2)
+    first = F.when(ext.isin(*VIDEOS), 4).when(ext.isin(*AUDIO), 3).when(ext.isin(*IMAGES), 2)
     return first.when(ext.isin(*[c for c in CODE if c != "rtf"], "csv", "tsv"), 1).otherwise(0)
 
 

@@ -4,13 +4,16 @@ import io
 import zipfile
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from heliograph.config import DEFAULTS
 from heliograph.fixtures import chunk_words
 from heliograph.functions import text as T
 from heliograph.operators import behaviour, filters, lifecycle, names, ranking
-from heliograph.sources import extract, transcripts
+from heliograph.plans import questions
+from heliograph.sources import extract, scan, transcripts
 from heliograph.streaming.events import apply_file_events
 
 
@@ -129,11 +132,67 @@ def test_extraction(spark):
     assert got["g.txt"][0].text == "ü"
 
 
-def test_transcript_cleaning():
-    assert transcripts.collapse_repeats("no no no") == "no no no"
-    assert transcripts.collapse_repeats("go go go go on") == "go on"
-    assert transcripts.clean_window("[Music] thank you") == ""
-    assert transcripts.clean_window("we go on " * 6) == ""
+def brute_loops(words):
+    """Phrases said again and again, tried at every place from the left; the longest stretch stands."""
+    out, i = [], 0
+    while i < len(words):
+        spans = [(0, 1)]
+        for p in range(8, 0, -1):
+            rounds = 1
+            while words[i + rounds * p : i + rounds * p + p] == words[i : i + p] and len(words[i : i + p]) == p:
+                rounds += 1
+            if rounds >= (4 if p == 1 else 3) and rounds * p >= spans[-1][0]:
+                spans.append((rounds * p, p))
+        span, p = spans[-1]
+        out += words[i : i + p]
+        i += span or 1
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=40))
+def test_loops(words):
+    assert transcripts.without_loops(" ".join(words)).split() == brute_loops(words)
+
+
+def test_transcript_cleaning(spark):
+    assert transcripts.without_loops("no no no") == "no no no"
+    assert transcripts.without_loops("go go go, go on") == "go on"
+    assert transcripts.window_text("[Music] thank you") == ""
+    assert transcripts.window_text("thank you", of_file=False) == "thank you"
+    assert transcripts.window_text("we go on " * 6) == "" and transcripts.window_text(None) == ""
+    windows = spark.createDataFrame([(1, 30.0, "la la la la"), (1, 0.0, "Say it, say it"), (1, 60.0, "(music)"), (2, 0.0, "um"), (1, 90.0, "say it")], "file_id long, start double, text string")
+    assert {r.file_id: r.text for r in transcripts.transcripts(windows).collect()} == {1: "Say it, say it la say it", 2: ""}
+
+
+def test_spoken_names(spark):
+    names = ["Landlord Letter", "gym plan", "expenses", "photo kilo", "quarterly report"]
+    snap = lambda t: transcripts.snapped(t, names)
+    assert snap("learn lord letter") == "Landlord Letter"
+    assert snap("jim plan") == "gym plan"
+    assert snap("open the quarterley report") == "open the quarterly report"
+    assert snap("explain") == "explain"  # shares consonants with expenses only
+    assert snap("video call") == "video call"
+    assert snap("we talked about the jim plan of last week") == "we talked about the jim plan of last week"
+    assert snap("gym plan") == "gym plan"
+    frame = spark.createDataFrame([(1, "jim plan")], "query_id long, query string")
+    assert transcripts.snap(frame, spark.createDataFrame([(n,) for n in names], "name string")).first().snapped == "gym plan"
+    for w in ("Phone", "knight", "a", "", "Xylophone", "ghost", "city", "aardvark"):
+        assert transcripts.spoken_key(w) == one(spark, w, T.phonetic_key)
+
+
+def test_type_groups_keep_all_formats(spark):
+    by = lambda kind: {e for (e,) in spark.createDataFrame([(e,) for e in "pdf pptx xlsx csv py rtf html epub msg jpg avif mp3 aif opus mp4 3gp wmv zip".split()], "e string").where(filters.in_type(F.lit(kind), F.col("e"), F.lit(None).cast("boolean"))).collect()}
+    assert by("document") == set("pdf pptx xlsx csv py rtf html epub msg".split())
+    assert by("image") == {"jpg", "avif"} and by("audio") == {"mp3", "aif", "opus"} and by("video") == {"mp4", "3gp", "wmv"}
+    assert by("spreadsheet") == {"xlsx", "csv"} and by("presentation") == {"pptx"} and by("code") == {"py", "rtf"} and by("email") == {"msg"}
+
+
+def test_admission(spark):
+    paths = ["/r/a.txt", "/r/AppData/b.txt", "/r/tool/unins000.exe", "/r/tool/sub/c.md", "/r/rust/lib/rustlib/x/y.md", "/r/rust/z.md", "/r/package-lock.json", "/r/x.min.js", "/r/.h.txt", "/r/i.jpg"]
+    listing = spark.createDataFrame([(p, 10) for p in paths], "path string, size long")
+    got = {r.path: r.skip for r in scan.admitted(listing, "/r").collect()}
+    assert got == dict(zip(paths, [None, "folder", "installed software", "installed software", "installed software", "installed software", "name", "name", "hidden", "type"], strict=True))
 
 
 def test_token_chunks_always_move_on(spark):
@@ -141,3 +200,35 @@ def test_token_chunks_always_move_on(spark):
     rows = transcripts.token_chunks(docs, len, 20, 8).orderBy("chunk_index").collect()
     starts = [r.start_offset for r in rows]
     assert starts == sorted(set(starts)) and rows[-1].end_offset == 100
+
+
+@pytest.mark.parametrize("question, expected", [
+    ("How many PDFs do I have?", ("count", ["pdf"])),
+    ("hw many vidoes are there", ("count", ["video"])),
+    ("so, can you list the 3 newest e-mails", ("list", ["email"])),
+    ("any voice notes?", ("any", ["audio"])),
+    ("how many word documents", ("count", ["word"])),
+    ("how many photos and movies did I save", ("count", ["image", "video"])),
+    ("how many files are indexed on this computer", ("count", [])),
+    ("what is the total number of files", ("count", [])),
+    ("how many quizzes do i have", ("count", [])),
+    ("how many people came to the party", None),
+    ("what does the report say about rivers", None),
+    ("summarise my notes", None),
+])
+def test_questions(spark, question, expected):
+    got = questions.parse(question)
+    assert (got and (got.mode, got.kinds)) == expected
+
+
+def test_question_times(spark):
+    now = 1706659200.0  # 2024-01-31, a Wednesday
+    window = lambda q: (lambda r: (r.since, r.until))(questions.parse(q, now))
+    assert window("how many files in the last 2 hours") == (now - 7200, None)
+    assert window("how many files in the last hr") == (now - 3600, None)
+    assert window("list files from last week") == (1705881600.0, 1706486400.0)
+    assert window("how many photos last month") == (1701388800.0, 1704067200.0)
+    assert window("which files were added yesterday") == (now - 86400, now)
+    assert window("which files since yesterday") == (now - 86400, None)
+    assert window("show recent files") == (now - 7 * 86400, None)
+    assert questions.parse("how many quizzes do i have").name_word == "quizze"
