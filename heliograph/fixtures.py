@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.config import ACCENTED, DEFAULTS, EXTENSIONS, KINDS, PLAIN
+from heliograph.operators.index import KeywordIndex
+from heliograph.sources.tables import removed, shared_folder
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,6 +111,19 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_words(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+_INDEXES: dict[tuple[str, str], KeywordIndex] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
+    """The index of the sample documents' chunks, built once for a session and a folder, as an engine's collection is."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _INDEXES:
+        folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        _INDEXES[key] = KeywordIndex.create(folder, chunks(spark, sf_dir).select("chunk_id", "doc_id", "chunk_index", "page_number", "content"))
+        atexit.register(removed, spark, folder)
+    return _INDEXES[key]
+
+
 CHUNKS = r"""
 split_words as (select doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') as words from documents),
 chunks as (

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.config import ARCHIVES, AUDIO, CODE, DOCUMENTS, IMAGES, OLD, SHEETS, SLIDES, TYPE_ALIASES, TYPE_GROUPS, VIDEOS, WEB
+from heliograph.functions.text import human_size
 
 FILTER = r"(?i)\b(type|ext|after|before|size|in):(\S+)"
 UNITS = {"b": 1, "kb": 1024, "mb": 1024**2, "gb": 1024**3}
@@ -87,6 +88,31 @@ def matching(records: DataFrame, parsed: DataFrame) -> DataFrame:
     return records.where("not deleted").join(parsed, hold)
 
 
+def contained(records: DataFrame, roots: DataFrame) -> DataFrame:
+    """Records under a watched root, or that are a watched file: an equi-join of a path and its parents with the roots
+    (root). Roots are compared in lower case, without a slash at the end, as folders are the same however written."""
+    parts = F.split(F.lower("path"), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    own = roots.select(F.regexp_replace(F.lower("root"), "/+$", "").alias("_root")).distinct()
+    inside = records.select("doc_id", F.explode(above).alias("_root")).join(own, "_root", "left_semi").select("doc_id").distinct()
+    return records.join(inside, "doc_id", "left_semi")
+
+
+def described(parsed: DataFrame) -> DataFrame:
+    """query_id and told: each filter of a query in words, in a fixed order; an empty list without filters."""
+    day = lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd")
+    bytes_ = lambda c: human_size(F.col(c))
+    parts = F.array(
+        F.concat(F.lit("type "), "file_type"),
+        F.concat(F.lit("after "), day("after")),
+        F.concat(F.lit("before "), day("before")),
+        F.concat(F.lit("larger than "), bytes_("size_min")),
+        F.concat(F.lit("smaller than "), bytes_("size_max")),
+        F.concat(F.lit("in “"), "path_contains", F.lit("”")),
+    )
+    return parsed.select("query_id", F.array_compact(parts).alias("told"))
+
+
 def newest(matches: DataFrame, k: int) -> DataFrame:
     """Filters without words: the newest k files of each query."""
     from pyspark.sql import Window

@@ -1,84 +1,42 @@
-"""Access methods: inverted index with BM25, phrases, snippets, passages and exact nearest neighbours."""
+"""Access methods: BM25 and phrases by the stored index, snippets, passages and exact nearest neighbours."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heliograph.config import DEFAULTS, Settings
+from heliograph.config import DEFAULTS
 from heliograph.functions.text import tokens
+from heliograph.operators.index import KeywordIndex
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """term, chunk_id, doc_id, tf, chunk_len: one row for each term of a chunk, made without an exchange of texts."""
-    words = chunks.select("chunk_id", "doc_id", tokens("content").alias("words")).withColumn("chunk_len", F.size("words"))
-    return words.select("chunk_id", "doc_id", "chunk_len", F.explode("words").alias("term")).groupBy("term", "chunk_id", "doc_id", "chunk_len").agg(F.count("*").alias("tf"))
+def top(hits: DataFrame, k: int, score: str, descending: bool = True) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy(F.desc(score) if descending else F.asc(score), "chunk_id")
+    return hits.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
 
 
 def vocabulary(chunks: DataFrame, least: int = 3) -> DataFrame:
-    """term and its occurrences, for terms of at least three characters."""
+    """term and its occurrences, for terms of at least three characters; of chunks that are in no index."""
     return chunks.select(F.explode(tokens("content")).alias("term")).where(F.length("term") >= least).groupBy("term").agg(F.count("*").alias("occurrences"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    return queries.select("query_id", F.array_distinct(tokens("query")).alias("terms")).where(F.size("terms") > 0).select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-
+def bm25_and(queries: DataFrame, index: KeywordIndex, k: int = DEFAULTS.hits, scope: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, doc_id, score, rank of chunks with every word of the query."""
+    return top(index.search(queries, "all", k, scope), k, "score").drop("places")
 
-def bm25(queries: DataFrame, chunks: DataFrame, require: Column, k: int = DEFAULTS.hits, s: Settings = DEFAULTS) -> DataFrame:
-    """query_id, chunk_id, doc_id, score, rank of the k best chunks that hold at least `require` of a query's n_terms.
 
-    Only postings of queried terms reach the exchange: the query terms are the small side of an equi-join. Scores are
-    rounded to six places, so that equal chunks tie by id.
-    """
-    index = postings(chunks)
-    terms = query_terms(queries)
-    stats = chunks.select(F.size(tokens("content")).alias("n")).agg(F.count("*").alias("n_chunks"), F.avg("n").alias("mean_len"))
-    wanted = index.join(terms.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (s.bm25_k1 + 1) / (F.col("tf") + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * F.col("chunk_len") / F.col("mean_len")))
-    scored = (
-        wanted.join(df, "term")
-        .join(F.broadcast(stats))  # one row
-        .join(terms, "term")
-        .groupBy("query_id", "n_terms", "chunk_id", "doc_id")
-        .agg(F.round(F.sum(weight), 6).alias("score"), F.count("*").alias("found"))
-        .where(F.col("found") >= require)
-    )
-    return top(scored, k, "score").select("query_id", "chunk_id", "doc_id", "score", "rank")
-
-
-def top(hits: DataFrame, k: int, score: str, descending: bool = True) -> DataFrame:
-    best = Window.partitionBy("query_id").orderBy(F.desc(score) if descending else F.asc(score), "chunk_id")
-    return hits.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
-
-
-def bm25_and(queries: DataFrame, chunks: DataFrame, k: int = DEFAULTS.hits) -> DataFrame:
-    """Chunks with every word of the query."""
-    return bm25(queries, chunks, F.col("n_terms"), k)
-
-
-def bm25_relaxed(queries: DataFrame, chunks: DataFrame, k: int = DEFAULTS.hits) -> DataFrame:
+def bm25_relaxed(queries: DataFrame, index: KeywordIndex, k: int = DEFAULTS.hits, scope: DataFrame | None = None) -> DataFrame:
     """Chunks with at least half of the words."""
-    return bm25(queries, chunks, F.greatest(F.lit(1), F.ceil(F.col("n_terms") / 2)), k)
+    return top(index.search(queries, "half", k, scope), k, "score").drop("places")
 
 
-def phrase_match(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """query_id, chunk_id, places of chunks in which the query's words stand one after another.
-
-    Positions of queried terms only are joined; a run is complete when all its terms give the same beginning.
-    """
-    line = queries.select("query_id", tokens("query").alias("t")).where(F.size("t") > 0)
-    terms = line.select("query_id", F.size("t").alias("n"), F.posexplode("t").alias("i", "term"))
-    places = chunks.select("chunk_id", F.posexplode(tokens("content")).alias("pos", "term"))
-    return (
-        places.join(terms, "term")
-        .groupBy("query_id", "n", "chunk_id", (F.col("pos") - F.col("i")).alias("start"))
-        .agg(F.count("*").alias("found"))
-        .where("found = n")
-        .groupBy("query_id", "chunk_id")
-        .agg(F.count("*").alias("places"))
-    )
+def phrase_match(queries: DataFrame, index: KeywordIndex, scope: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, doc_id, score, places of all chunks in which the query's words stand one after another."""
+    return index.search(queries, "phrase", None, scope)
 
 
 def highlight(hits: DataFrame, words: str = "word", content: str = "content") -> DataFrame:
@@ -94,16 +52,49 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int = DEFAULTS.hits, cutoff: float | None = None) -> DataFrame:
-    """query_id, vec_id, distance (squared L2), rank: the stated queries against all vectors, filtered before the rank.
+#: Queries that one pass over the vectors answers; more are answered in several.
+KNN_BLOCK = 4096
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int | None = DEFAULTS.hits, cutoff: float | None = None, key: str = "vec_id") -> DataFrame:
+    """query_id, key, distance (squared L2, six places), rank: the stated queries against all vectors, each batch of
+    vectors by a matrix product with a block of queries. Filters on vectors stand before. A batch sends its k best of
+    each query on (all within the cutoff if k is None, without rank); ties go to the smaller key.
 
-    queries: query_id, query_vec. The queries are the small side: they are broadcast only below Spark's limit.
+    queries: query_id, query_vec; vectors: key and embedding, of one width. A null vector takes no part.
     """
-    hits = vectors.join(queries).withColumn("distance", F.round(squared_distance(F.col("embedding"), F.col("query_vec")), 6))
-    if cutoff is not None:
-        hits = hits.where(F.col("distance") <= cutoff)
-    best = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return hits.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("query_id", "vec_id", "distance", "rank")
+    asked = queries.select("query_id", "query_vec").where("query_vec is not null")
+    blocks = max(1, -(-asked.count() // KNN_BLOCK))
+    of_key = vectors.select(key).schema[0].dataType.simpleString()
+    form, out = f"query_id long, `{key}` {of_key}, distance double", None
+    for b in range(blocks):
+        rows = (asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked).collect()  # a block of the stated queries
+        ids = np.array([r.query_id for r in rows], np.int64)
+        lines = np.array([r.query_vec for r in rows], np.float64)
+
+        def each(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, lines: np.ndarray = lines) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
+                names = batch.column(0)
+                order = np.argsort(names.to_numpy(zero_copy_only=False), kind="stable")
+                own, names = own[order], names.take(pa.array(order))
+                if not len(ids) or not len(own):
+                    continue
+                for at in range(0, len(ids), 256):
+                    some = lines[at : at + 256]
+                    apart = np.maximum((some**2).sum(1)[:, None] + (own**2).sum(1) - 2 * some @ own.T, 0).round(6)
+                    good = np.full(apart.shape, True) if cutoff is None else apart <= cutoff
+                    if k is not None and len(own) > k:
+                        good &= apart <= np.partition(apart, k - 1, axis=1)[:, k - 1 : k]
+                    q, v = np.nonzero(good)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + q]), names.take(pa.array(v)), pa.array(apart[q, v])], ["query_id", key, "distance"])
+
+        hits = vectors.where("embedding is not null").select(key, F.col("embedding").cast("array<double>")).mapInArrow(each, form)
+        out = hits if out is None else out.unionByName(hits)
+    if k is None:
+        return out
+    best = Window.partitionBy("query_id").orderBy("distance", key)
+    return out.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("query_id", key, "distance", "rank")
 
 
 def centroids(vectors: DataFrame, key: str) -> DataFrame:

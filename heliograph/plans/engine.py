@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograph.config import DEFAULTS, Settings
-from heliograph.functions.text import filename, tidy_query
+from heliograph.functions.text import filename, name_tokens, tidy_query
 from heliograph.operators import filters, names, ranking, retrieval
+from heliograph.operators.index import KeywordIndex
 from heliograph.sources.tables import written
 
 MODES = ("auto", "exact", "keyword", "smart")
@@ -19,20 +20,30 @@ MODES = ("auto", "exact", "keyword", "smart")
 
 @dataclass
 class Engine:
-    """records: doc_id, path, ext, size, modified_time, deleted, audio_only. chunks: chunk_id, doc_id, content,
-    page_number. vectors: chunk_id, doc_id, embedding (optional). A caller's query vectors (query_id, query_vec) turn the
-    search by meaning on; logits (query_id, chunk_id, logit) of a re-ranker may be given too."""
+    """records: doc_id, path, ext, size, modified_time, deleted, audio_only. index: the keyword index of their chunks.
+    vectors: chunk_id, doc_id, embedding (optional). A caller's query vectors (query_id, query_vec) turn the search by
+    meaning on; logits (query_id, chunk_id, logit) of a re-ranker may be given too. roots (root) and a listing (path) of
+    what is on disk restrict the collection to files under a watched root that are still there."""
 
     records: DataFrame
-    chunks: DataFrame
+    index: KeywordIndex
     vectors: DataFrame | None = None
     settings: Settings = DEFAULTS
+    roots: DataFrame | None = None
+    listing: DataFrame | None = None
+
+    def live(self) -> DataFrame:
+        """The records that a search may return."""
+        out = self.records.where("not deleted")
+        if self.roots is not None:
+            out = filters.contained(out, self.roots)
+        if self.listing is not None:
+            out = out.join(self.listing.select("path").distinct(), "path", "left_semi")
+        return out
 
     def vocabulary(self) -> DataFrame:
-        from heliograph.functions.text import name_tokens
-
         own = self.records.select(F.explode(name_tokens("path")).alias("term")).where(F.length("term") >= 3).groupBy("term").agg(F.count("*").alias("occurrences"))
-        every = retrieval.vocabulary(self.chunks).unionByName(own).groupBy("term").agg(F.sum("occurrences").alias("occurrences"))
+        every = self.index.vocabulary().unionByName(own).groupBy("term").agg(F.sum("occurrences").alias("occurrences"))
         return written(every)  # used several times by routing and spelling
 
     def suggest(self, queries: DataFrame) -> DataFrame:
@@ -52,40 +63,46 @@ class Engine:
         named = names.match_filenames(parsed.select("query_id", F.col("words").alias("query")), self.records)
         return parsed.join(names.route(names.route_features(parsed, self.vocabulary(), named)), "query_id")
 
-    def _keyword(self, queries: DataFrame) -> DataFrame:
-        """All words; where nothing has them and filler was said, half of the words that carry intent. Phrases as such."""
-        every = retrieval.bm25_and(queries, self.chunks)
-        missed = queries.join(every, "query_id", "left_anti")
-        return every.unionByName(retrieval.bm25_relaxed(missed, self.chunks))
-
-    def _keyword_hits(self, asked: DataFrame) -> DataFrame:
-        """Chunks by words, and for phrases only those that hold the phrase."""
-        words = asked.where("words <> ''").select("query_id", F.col("words").alias("query"))
-        keyword = self._keyword(words)
+    def _by_words(self, asked: DataFrame, scope: DataFrame, k: int | None) -> DataFrame:
+        """All words; where nothing has them, half of them. Phrases as such: chunks that hold the words in order."""
+        words = asked.where("phrase is null and words <> ''").select("query_id", F.col("words").alias("query"))
+        every = written(self.index.search(words, "all", k, scope))
+        missed = words.join(every, "query_id", "left_anti")
         phrase = asked.where("phrase is not null").select("query_id", F.col("phrase").alias("query"))
-        exact = retrieval.phrase_match(phrase, self.chunks).select("query_id", "chunk_id", F.lit(True).alias("exact"))
-        held = keyword.join(phrase.select("query_id", F.lit(True).alias("quoted")), "query_id", "left").join(exact, ["query_id", "chunk_id"], "left")
-        return held.where("quoted is null or exact").drop("quoted", "exact")
-
-    def _content(self, keyword: DataFrame, asked: DataFrame, allowed: DataFrame, query_vecs: DataFrame | None, logits: DataFrame | None) -> DataFrame:
-        """Files by content: tiered and pruned."""
-        semantic = keyword.select("query_id", "chunk_id", "doc_id", F.lit(0.0).alias("distance"), "rank").where("false")
-        if query_vecs is not None and self.vectors is not None:
-            pairs = self.vectors.join(query_vecs.join(asked.where("phrase is null").select("query_id"), "query_id"))
-            near = pairs.withColumn("distance", F.round(retrieval.squared_distance(F.col("embedding"), F.col("query_vec")), 6)).where(F.col("distance") <= self.settings.cutoff)
-            semantic = retrieval.top(near, self.settings.hits, "distance", descending=False).select("query_id", "chunk_id", "doc_id", "distance", "rank")
+        return every.unionByName(self.index.search(missed, "half", k, scope)).unionByName(self.index.search(phrase, "phrase", k, scope))
+
+    def _keyword_hits(self, asked: DataFrame, allowed: DataFrame, scope: DataFrame) -> DataFrame:
+        """The best chunks by words within what each query may return: filters stand before the ranks."""
+        free = self._by_words(asked.where("not has_filters"), scope, self.settings.hits)
+        narrow = self._by_words(asked.where("has_filters"), scope, None).join(allowed.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+        return retrieval.top(free.unionByName(narrow.select(free.columns)), self.settings.hits, "score")
+
+    def _semantic_hits(self, asked: DataFrame, allowed: DataFrame, scope: DataFrame, query_vecs: DataFrame | None) -> DataFrame | None:
+        """The nearest chunks within the cutoff and within what each query may return; not for phrases."""
+        if query_vecs is None or self.vectors is None:
+            return None
+        s, own = self.settings, self.vectors.join(scope, "doc_id", "left_semi")
+        lines = query_vecs.join(asked.where("phrase is null").select("query_id", "has_filters"), "query_id")
+        near = lambda some, k: retrieval.knn(some, own, k, s.cutoff, "chunk_id").select("query_id", "chunk_id", "distance").join(own.select("chunk_id", "doc_id"), "chunk_id")
+        narrow = near(lines.where("has_filters"), None).join(allowed.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+        hits = near(lines.where("not has_filters"), s.hits)
+        return retrieval.top(hits.unionByName(narrow.select(hits.columns)), s.hits, "distance", descending=False)
+
+    def _content(self, keyword: DataFrame, semantic: DataFrame | None, logits: DataFrame | None) -> DataFrame:
+        """Files by content: fused, aggregated and tiered, not pruned yet."""
+        if semantic is None:
+            semantic = keyword.select("query_id", "chunk_id", "doc_id", F.lit(0.0).alias("distance"), "rank").where("false")
         hits = ranking.rrf(keyword, semantic, self.settings)
         if logits is not None:
             hits = ranking.promote(hits, logits, self.settings)
-        files = ranking.to_files(hits.join(allowed, ["query_id", "doc_id"], "left_semi"), self.settings)
-        return ranking.prune(ranking.confidence(files, self.settings), self.settings)
+        return ranking.confidence(ranking.to_files(hits, self.settings), self.settings)
 
     def search(self, queries: DataFrame, mode: str = "auto", k: int = 10, query_vecs: DataFrame | None = None, logits: DataFrame | None = None) -> DataFrame:
         """query_id, doc_id, path, rank, confidence, score, chunk_id, coverage, tier of queries (query_id, query).
 
-        Each query runs in its tier. In auto mode those without a strong result go on once to the next tier, and only
-        these; phrases don't. k is kept between 1 and 100. Routes, name matches and keyword hits (of stated queries, so
-        small beside the collection) are written, as each is used by several tiers.
+        Each query runs in its tier. In auto mode one without a strong result goes on once, to the next tier: from
+        filename to keyword, from keyword to hybrid, from hybrid to hybrid+rerank (which needs logits); phrases don't. k is kept between 1 and
+        100. What several tiers use (of stated queries, so small beside the collection) is written.
         """
         if mode not in MODES:
             raise ValueError(f"mode must be one of {', '.join(MODES)}")
@@ -95,25 +112,39 @@ class Engine:
             queries = queries.withColumn("query", quoted)
         none = lambda kind: F.lit(None).cast(kind)
         routed = written(self.routes(queries, mode))
-        allowed = written(filters.matching(self.records, routed).select("query_id", "doc_id", "path", "modified_time"))
+        live = written(self.live())
+        scope = live.select("doc_id")
+        narrowed = routed.where("has_filters")
+        allowed = written(filters.matching(live, narrowed).select("query_id", "doc_id", "path", "modified_time"))
+        inside = lambda hits: hits.join(narrowed.select("query_id"), "query_id", "left_anti").unionByName(hits.join(allowed.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi").select(hits.columns))
         plain = routed.where("phrase is null and tier <> 'metadata'").select("query_id", F.col("words").alias("query"))
-        named = written(names.match_filenames(plain, self.records).join(allowed.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi"))
+        named = written(inside(names.match_filenames(plain, live)))
 
         # filename -> keyword: queries whose names match nothing after all
         met = named.select("query_id").distinct().withColumn("named", F.lit(True))
         steps = routed.join(met, "query_id", "left").withColumn("tier", F.when((F.col("tier") == "filename") & F.col("named").isNull(), "keyword*").otherwise(F.col("tier"))).drop("named")
-        asked = steps.where(F.col("tier").isin("keyword", "keyword*", "hybrid"))
-        hits = written(self._keyword_hits(asked))
-        by_words = written(self._content(hits, asked, allowed, None, None))
-        # keyword -> hybrid: nothing strong by words or names, and not from another step already
-        strong = by_words.where("confidence = 'strong'").select("query_id").union(named.select("query_id")).distinct().withColumn("strong", F.lit(True))
-        step = F.when((F.col("tier") == "keyword") & F.col("strong").isNull() & F.col("phrase").isNull() & F.lit(mode == "auto"), "hybrid").otherwise(F.regexp_replace("tier", r"\*", ""))
-        final = asked.join(strong, "query_id", "left").withColumn("tier", step).select("query_id", "phrase", "tier")
-        final = written(final)
-        content = by_words.join(final.where("tier = 'keyword'").select("query_id", "tier"), "query_id")
-        deep = final.where("tier = 'hybrid'")
-        full = self._content(hits.join(deep.select("query_id"), "query_id", "left_semi"), deep, allowed, query_vecs, logits).join(deep.select("query_id", "tier"), "query_id")
-        content = content.unionByName(full).join(named.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+        asked = written(steps.where(F.col("tier").isin("keyword", "keyword*", "hybrid")))
+        hits = written(self._keyword_hits(asked, allowed, scope))
+        by_words = written(self._content(hits, None, None))
+        strong_by = lambda files: files.where("confidence = 'strong'").select("query_id").union(named.select("query_id")).distinct().withColumn("strong", F.lit(True))
+        onward = F.col("strong").isNull() & F.col("phrase").isNull() & F.lit(mode == "auto")
+        # keyword -> hybrid
+        step = F.when((F.col("tier") == "keyword") & onward, "hybrid*").otherwise(F.col("tier"))
+        second = written(asked.join(strong_by(by_words), "query_id", "left").withColumn("tier", step).drop("strong"))
+        deep = second.where(F.col("tier").isin("hybrid", "hybrid*"))
+        near = self._semantic_hits(deep, allowed, scope, query_vecs)
+        near = None if near is None else written(near)
+        of = lambda rows, some: rows.join(some.select("query_id"), "query_id", "left_semi")
+        full = written(self._content(of(hits, deep), near, None))
+        # hybrid -> hybrid+rerank, if a re-ranker has spoken
+        final = second.join(strong_by(full), "query_id", "left").withColumn("tier", F.when((F.col("tier") == "hybrid") & onward & F.lit(logits is not None), "hybrid+rerank").otherwise(F.regexp_replace("tier", r"\*", "")))
+        final = written(final.select("query_id", "tier"))
+        again = final.where("tier = 'hybrid+rerank'")
+        parts = [of(by_words, final.where("tier = 'keyword'")), of(full, final.where("tier = 'hybrid'"))]
+        if logits is not None:
+            parts.append(self._content(of(hits, again), None if near is None else of(near, again), logits))
+        every = reduce(DataFrame.unionByName, parts)
+        content = ranking.prune(every, self.settings).join(final, "query_id").join(named.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
 
         tiers = steps.where("tier in ('filename')").select("query_id", "tier").unionByName(final.select("query_id", "tier"))
         first = named.join(tiers, "query_id").select("query_id", "doc_id", "tier", none("double").alias("score"), none("string").alias("chunk_id"), F.lit("strong").alias("confidence"), "coverage", "matched", F.lower(filename("path")).alias("name"))
@@ -126,7 +157,7 @@ class Engine:
         return ranked.unionByName(listed).join(self.records.select("doc_id", "path"), "doc_id")
 
     def passages(self) -> DataFrame:
-        return retrieval.passage_neighbours(self.chunks)
+        return retrieval.passage_neighbours(self.index.chunks())
 
     def file_text(self) -> DataFrame:
-        return retrieval.file_text(self.chunks)
+        return retrieval.file_text(self.index.chunks())

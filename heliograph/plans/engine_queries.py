@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heliograph.config import NOW
-from heliograph.fixtures import RECORDS, chunks, file_records, read, text_queries
+from heliograph.fixtures import RECORDS, file_records, index, read, text_queries
 from heliograph.operators import collection, media, names, retrieval
 from heliograph.operators.learning import LearnedRouter, labels
 from heliograph.plans.behaviour_queries import MEDIA, _scores
@@ -31,7 +31,7 @@ ASKED = "(1L, 'type:pdf'), (2L, 'doc 17'), (3L, 'the of and'), (4L, 'zzqx qqzz')
 
 
 def _engine(spark, sf) -> Engine:
-    return Engine(file_records(spark, sf), chunks(spark, sf))
+    return Engine(file_records(spark, sf), index(spark, sf))
 
 
 @_register("search_auto")
@@ -53,7 +53,7 @@ def learned_router(spark, sf):
     parsed = asked.select("query_id", F.col("query").alias("words"), F.lit(None).cast("string").alias("phrase"), F.lit(False).alias("has_filters"))
     features = written(names.route_features(parsed, engine.vocabulary(), names.match_filenames(asked, engine.records)))
     # replayed by words only; what they don't settle is left to the hybrid tier
-    found = retrieval.bm25_and(asked, engine.chunks).select("query_id", F.lit("keyword").alias("tier"), F.lit(True).alias("strong"))
+    found = retrieval.bm25_and(asked, engine.index).select("query_id", F.lit("keyword").alias("tier"), F.lit(True).alias("strong"))
     label = written(labels(found.unionByName(asked.select("query_id", F.lit("hybrid").alias("tier"), F.lit(True).alias("strong")))))
     rules = written(names.route(features))
     return LearnedRouter(features, label, rules).route(features, rules)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from heliograph.config import FILLER
-from heliograph.fixtures import CHUNKS, QUERIES, RECORDS, chunks, file_records, read, text_queries, tokens_sql
+from heliograph.fixtures import CHUNKS, QUERIES, RECORDS, chunks, file_records, index, read, text_queries, tokens_sql
 from heliograph.functions import text as T
 from heliograph.operators import retrieval as R
 
@@ -15,8 +15,8 @@ SQL: dict[str, str] = {}
 
 DOCS = "documents"
 # A text that needs each rule, from columns that both engines see alike.
-MESSY = r"concat('  ', source, chr(13), chr(10), chr(10), chr(10), chr(10), lang, '   ', lang, chr(9), substr(text, 1, 200), '  ')"
-SLOPPY = "concat(lang, ' ', lang, ' ,', source, ';x  find 3.5 ', source, '  type:pdf')"
+MESSY = r"concat('  ', source, chr(13), chr(10), chr(10), chr(10), chr(10), lang, '   ', lang, chr(9), coalesce(text, ''), '  ')"
+SLOPPY = "concat(lang, ' ', lang, ' ,', source, ';x  find 3.5 ', source, '  type:pdf ', regexp_replace(coalesce(text, ''), '[^a-z]+', ' '))"
 
 
 def _register(name, sql=None):
@@ -35,7 +35,9 @@ def normalize_text(spark, sf):
     return read(spark, sf, DOCS).select("doc_id", F.expr(MESSY).alias("t")).select("doc_id", T.normalize_text("t").alias("text"))
 
 
-@_register("tidy_query", f"select doc_id, lang || ', ' || source || '; x find 3.5 ' || source || ' type:pdf' as text from documents")
+@_register("tidy_query", r"""
+with w as (select doc_id, lang, source, list_filter(string_split(regexp_replace(coalesce(text, ''), '[^a-z]+', ' ', 'g'), ' '), lambda x: x <> '') as w from documents)
+select doc_id, trim(lang || ', ' || source || '; x find 3.5 ' || source || ' type:pdf ' || array_to_string(list_filter(w, lambda x, i: i = 1 or x <> w[i - 1]), ' ')) as text from w""")
 def tidy_query(spark, sf):
     return read(spark, sf, DOCS).select("doc_id", F.expr(SLOPPY).alias("t")).select("doc_id", T.tidy_query("t").alias("text"))
 
@@ -106,7 +108,7 @@ def block_offsets(spark, sf):
 
 @_register("vocabulary", f"with {CHUNKS} select term, count(*)::bigint as occurrences from (select unnest({tokens_sql('content')}) as term from chunks) where length(term) >= 3 group by term")
 def vocabulary(spark, sf):
-    return R.vocabulary(chunks(spark, sf))
+    return index(spark, sf).vocabulary()
 
 
 @_register("vocabulary_with_names", f"""with {CHUNKS}, {RECORDS}, both_ as (
@@ -115,7 +117,7 @@ def vocabulary(spark, sf):
 select term, count(*)::bigint as occurrences from both_ where length(term) >= 3 group by term""")
 def vocabulary_with_names(spark, sf):
     names = file_records(spark, sf).select(F.explode(T.name_tokens("path")).alias("term")).where(F.length("term") >= 3).groupBy("term").agg(F.count("*").alias("occurrences"))
-    return R.vocabulary(chunks(spark, sf)).unionByName(names).groupBy("term").agg(F.sum("occurrences").alias("occurrences"))
+    return index(spark, sf).vocabulary().unionByName(names).groupBy("term").agg(F.sum("occurrences").alias("occurrences"))
 
 
 BM25 = rf"""
@@ -135,12 +137,12 @@ RANKED = "select query_id, chunk_id, doc_id, score, rank::bigint as rank from (s
 
 @_register("bm25_and", f"with {BM25} " + RANKED.format("n_terms"))
 def bm25_and(spark, sf):
-    return R.bm25_and(text_queries(spark, sf), chunks(spark, sf))
+    return R.bm25_and(text_queries(spark, sf), index(spark, sf))
 
 
 @_register("bm25_min_should_match", f"with {BM25} " + RANKED.format("greatest(1, ceil(n_terms / 2.0))"))
 def bm25_min_should_match(spark, sf):
-    return R.bm25_relaxed(text_queries(spark, sf), chunks(spark, sf))
+    return R.bm25_relaxed(text_queries(spark, sf), index(spark, sf))
 
 
 @_register("phrase_match", rf"""with {CHUNKS}, {QUERIES},
@@ -149,7 +151,7 @@ places as (select chunk_id, unnest(w) as term, generate_subscripts(w, 1) as pos
 runs as (select query_id, n, chunk_id, pos - i as start, count(*) as found from places join terms using (term) group by all)
 select query_id, chunk_id, count(*)::bigint as places from runs where found = n group by all""")
 def phrase_match(spark, sf):
-    return R.phrase_match(text_queries(spark, sf), chunks(spark, sf))
+    return R.phrase_match(text_queries(spark, sf), index(spark, sf)).select("query_id", "chunk_id", "places")
 
 
 @_register("snippet_highlight", rf"""with {CHUNKS},
@@ -163,13 +165,13 @@ def snippet_highlight(spark, sf):
 
 def _vectors(spark, sf):
     v = read(spark, sf, "embeddings")
-    return v.select("vec_id", "embedding", "label"), v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return v.select("vec_id", "embedding", "label"), v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
 
 
 KNN = """
 pairs as (
   select q.vec_id as query_id, v.vec_id, v.label, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))), 6) as distance
-  from embeddings v, (select * from embeddings where vec_id < 20) q)"""
+  from embeddings v, (select * from embeddings where vec_id % 50 = 0) q)"""
 
 
 @_register("knn_l2", f"with {KNN} select query_id, vec_id, distance, rank::bigint as rank from (select *, row_number() over (partition by query_id order by distance, vec_id) as rank from pairs) where rank <= 20")
