@@ -1,5 +1,6 @@
 """Constants of the engine; each operator takes them as defaults."""
 
+import unicodedata
 from dataclasses import dataclass
 
 
@@ -71,8 +72,18 @@ NAME_NOISE = "a an the my me of for to in on and or with about open show find ge
 NAME_GENERIC = "file files document documents note notes folder photo photos picture pictures image images photograph photographs pic pics snap snaps shot shots".split()
 QUESTION_WORDS = "how what when where why which who whom whose did does do is are was were can could should would will explain find show tell".split()
 STOP_WORDS = "the a an and or but of in on at to for with about from by as into my me i we our you your it its this that these those there here is are was were be been have has had not no so than then up out".split()
-#: Accented Latin letters and what they fold to.
-ACCENTED, PLAIN = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _plain(letter: str) -> str:
+    """The letter of a Latin one with accents; nothing for any other character."""
+    base = unicodedata.normalize("NFD", letter)
+    return base[0] if len(base) > 1 and base[0].isascii() and all(unicodedata.combining(c) for c in base[1:]) else ""
+
+
+_LATIN = [c for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))) if _plain(c) and c == c.lower()]
+#: Lower-case Latin letters with accents and what they fold to; combining marks stand at the end and fold to nothing.
+ACCENTED = "".join(_LATIN) + "".join(map(chr, range(0x300, 0x370)))
+PLAIN = "".join(map(_plain, _LATIN))
 KINDS = {"view": "result_clicked", "click": "file_opened", "purchase": "recommendation_clicked", "error": "file_revealed", "signup": "query"}
 EXTENSIONS = ("md", "txt", "pdf", "docx", "csv", "py", "jpg", "mp3", "mp4", "html")
 NOW = 1706659200.0

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.config import ACCENTED, DEFAULTS, EXTENSIONS, KINDS, PLAIN
+from heliograph.config import DEFAULTS, EXTENSIONS, KINDS
 from heliograph.operators.index import KeywordIndex
 from heliograph.sources.tables import removed, shared_folder
 
@@ -132,7 +132,7 @@ chunks as (
   from (select doc_id, words, unnest(range(0, greatest(1, (len(words) + 79) // 80))) as i from split_words where len(words) > 0)
   where i = 0 or i * 80 + 20 < len(words))"""
 
-FOLD = f"translate(lower({{}}), '{ACCENTED}', '{PLAIN}')"
+FOLD = "strip_accents(lower({}))"
 
 
 def tokens_sql(text: str) -> str:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,18 +19,37 @@ def _c(x: Column | str) -> Column:
 
 
 def fold(text: Column | str) -> Column:
-    """Lower case without accents (Latin letters)."""
+    """Lower case without accents: accented Latin letters become plain ones, combining marks go."""
     return F.translate(F.lower(_c(text)), ACCENTED, PLAIN)
 
 
+def _normal_form(text: Column, form: str) -> Column:
+    """Spark has no function for it, so an Arrow batch of texts at a time."""
+
+    def each(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize(form, t))
+
+    return F.pandas_udf(each, "string")(text)
+
+
+def nfc(text: Column | str) -> Column:
+    """Composed characters."""
+    return _normal_form(_c(text), "NFC")
+
+
+def nfd(text: Column | str) -> Column:
+    """Decomposed characters."""
+    return _normal_form(_c(text), "NFD")
+
+
 def tokens(text: Column | str) -> Column:
     """Folded words: runs of letters and digits."""
     return F.regexp_extract_all(fold(text), F.lit(WORD), F.lit(0))
 
 
 def normalize_text(text: Column | str) -> Column:
-    """One kind of line end, single spaces, at most one empty line, no white space at the ends."""
-    lines = F.regexp_replace(_c(text), r"\r\n?", "\n")
+    """Composed characters, one kind of line end, single spaces, at most one empty line, no white space at the ends."""
+    lines = F.regexp_replace(nfc(text), r"\r\n?", "\n")
     squeezed = F.regexp_replace(F.regexp_replace(lines, r"[ \t]+", " "), r"\n{3,}", "\n\n")
     return F.regexp_replace(squeezed, r"^\s+|\s+$", "")
 

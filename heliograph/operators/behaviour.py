@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,10 +77,18 @@ def usual_slot(events: DataFrame) -> DataFrame:
     return by.groupBy("user_id", "doc_id").agg(best).select("user_id", "doc_id", "b.weekday", "b.slot", "b.n")
 
 
+#: Different files of a session from which it isn't a person's.
+SESSION_FILES = 1000
+
+
 def cooccurrence(events: DataFrame, active: DataFrame, gap: float = DEFAULTS.session_gap_s) -> DataFrame:
-    """user_id, a, b, sessions: active files that were used in one session, in how many. Sessions are small, so the
-    self-join on them stays near the number of events."""
+    """user_id, a, b, sessions: active files that were used in one session, in how many.
+
+    The result of a session is all pairs of its files. A person's session holds some dozens; one with more than
+    SESSION_FILES different files is a script's, says nothing about what goes with what, and is left out, so that no
+    session's square exceeds that bound."""
     used = sessions(events.where("kind <> 'query'"), gap).select("user_id", "session", "doc_id").distinct().join(active.select("doc_id"), "doc_id", "left_semi")
+    used = used.join(used.groupBy("user_id", "session").count().where(F.col("count") <= SESSION_FILES).select("user_id", "session"), ["user_id", "session"])
     left, right = used.withColumnRenamed("doc_id", "a"), used.withColumnRenamed("doc_id", "b")
     return left.join(right, ["user_id", "session"]).where("a <> b").groupBy("user_id", "a", "b").agg(F.count("*").alias("sessions"))
 
@@ -134,9 +146,29 @@ def time_affinity(events: DataFrame, weekday: int, slot: int) -> DataFrame:
     return used.groupBy("user_id", "doc_id").agg(F.round(F.least(F.lit(1.0), 0.6 * same + 0.4 * 7 * both), 6).alias("affinity"))
 
 
+#: Components of centroids that are sent to all tasks; more are joined component by component.
+SENT = 1 << 20
+
+
 def topic_affinity(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """vec_id, topic, affinity: the largest cosine with a centroid (topic, i, x), at least 0. Both are flat tables joined
-    on the dimension, so no vector meets another as a whole."""
+    """vec_id, topic, affinity: the largest cosine with a centroid (topic, i, x), at least 0. Centroids are few and go to
+    the vectors, which then need no exchange; too many are joined with them on the dimension."""
+    if centroids.count() <= SENT:
+        rows = centroids.groupBy("topic").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("x")).orderBy("topic").collect()
+        if not rows:
+            return vectors.select("vec_id", F.lit(None).cast("long").alias("topic"), F.lit(0.0).alias("affinity")).where("false")
+        names, centres = [r.topic for r in rows], np.array([[x or 0.0 for x in r.x] for r in rows])
+        kind = centroids.schema["topic"].dataType.simpleString()
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+                length = np.sqrt((own**2).sum(1))
+                cosine = (own @ centres.T / np.where(length > 0, length, 1)[:, None]).round(6)
+                best = cosine.argmax(1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([names[i] for i in best]).cast(pa.int64() if kind in ("bigint", "int") else pa.string()), pa.array(np.maximum(cosine[np.arange(len(best)), best], 0.0))], ["vec_id", "topic", "affinity"])
+
+        return vectors.where("embedding is not null").select("vec_id", F.col("embedding").cast("array<double>")).mapInArrow(each, f"vec_id long, topic {'long' if kind in ('bigint', 'int') else 'string'}, affinity double")
     flat = vectors.select("vec_id", F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
     dots = flat.join(centroids, "i").groupBy("vec_id", "topic").agg(F.round(F.sum(F.col("v") * F.col("x")) / F.sqrt(F.sum(F.col("v") * F.col("v"))), 6).alias("cosine"))
     best = F.max_by(F.struct("topic", "cosine"), F.struct("cosine", -F.col("topic"))).alias("b")
@@ -146,8 +178,9 @@ def topic_affinity(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
 def topic_labels(tokens: DataFrame, k: int = 3) -> DataFrame:
     """topic, term, rank from (topic, term, score): occurrences weighted by 0.25 + score, rare terms first."""
     by = tokens.groupBy("topic", "term").agg(F.sum(0.25 + F.col("score")).alias("w"))
-    df = tokens.select("topic", "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
-    scored = by.join(df, "term").withColumn("value", F.round(F.col("w") * F.log(1 + F.max("df").over(Window.partitionBy()) / F.col("df")), 6))
+    df = by.groupBy("term").agg(F.count("*").alias("df"))
+    most = df.agg(F.max("df").alias("most"))
+    scored = by.join(df, "term").join(F.broadcast(most)).withColumn("value", F.round(F.col("w") * F.log(1 + F.col("most") / F.col("df")), 6))  # one row
     line = Window.partitionBy("topic").orderBy(F.desc("value"), "term")
     return scored.withColumn("rank", F.row_number().over(line).cast("long")).where(F.col("rank") <= k).select("topic", "term", "value", "rank")
 

@@ -15,10 +15,13 @@ def summary(records: DataFrame, k: int = 4) -> DataFrame:
 
 
 def by_kind(records: DataFrame, examples: int = 3) -> DataFrame:
-    """ext, n and the first names of live, indexed files; only the examples are gathered."""
+    """ext, n and the first names of live, indexed files. Counts are combined before the exchange, and of the examples
+    each task sends only its first ones."""
+    live = records.where("not deleted and indexed")
     line = Window.partitionBy("ext").orderBy("doc_id")
-    live = records.where("not deleted and indexed").withColumn("n", F.row_number().over(line)).withColumn("total", F.count("*").over(Window.partitionBy("ext")))
-    return live.where(F.col("n") <= examples).groupBy("ext", F.col("total").alias("n")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", filename("path").alias("name")))), lambda s: s["name"]), ", ").alias("examples"))
+    first = live.select("ext", "doc_id", filename("path").alias("name"), F.row_number().over(line).alias("place")).where(F.col("place") <= examples)
+    names = first.groupBy("ext").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "name"))), lambda s: s["name"]), ", ").alias("examples"))
+    return live.groupBy("ext").agg(F.count("*").alias("n")).join(names, "ext")
 
 
 def newest(records: DataFrame, k: int = 10, since: float | None = None) -> DataFrame:

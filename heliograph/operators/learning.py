@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 TIERS = {"filename": 0, "keyword": 1, "hybrid": 2, "hybrid+rerank": 3, "none": 9}
 CONFIDENCE, LEAST = 0.6, 40
+#: Nine features; the tenth, a constant, is the regression's intercept, which isn't penalised.
 FEATURES = ("words", "content_words", "unknown_words", "question", "stopword_ratio", "clauses", "filename_coverage", "has_filters", "long")
 
 

@@ -104,6 +104,18 @@ def centroids(vectors: DataFrame, key: str) -> DataFrame:
     return means.withColumn("norm", F.sqrt(F.sum(F.col("x") * F.col("x")).over(norm))).select(key, F.col("i").cast("long").alias("i"), F.when(F.col("norm") > 0, F.round(F.col("x") / F.col("norm"), 6)).alias("x"))
 
 
+def filled(hits: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """hits with what they lack (page, heading, section) taken from their chunks."""
+    own = [c for c in chunks.columns if c != key]
+    held = hits.join(chunks.select(key, *(F.col(c).alias(f"_{c}") for c in own)), key, "left")
+    return held.select(*(F.coalesce(c, f"_{c}").alias(c) if c in own else F.col(c) for c in hits.columns), *(F.col(f"_{c}").alias(c) for c in own if c not in hits.columns))
+
+
+def first_of(preferred: DataFrame, other: DataFrame) -> DataFrame:
+    """Matches of the corrected words, and those of the words as typed that they haven't found."""
+    return preferred.unionByName(other.join(preferred.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").select(preferred.columns))
+
+
 def passage_neighbours(chunks: DataFrame) -> DataFrame:
     """Each passage with the one before, the one after and their number in the file."""
     line = Window.partitionBy("doc_id").orderBy("chunk_index")

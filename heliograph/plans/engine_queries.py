@@ -52,9 +52,11 @@ def learned_router(spark, sf):
     engine, asked = _engine(spark, sf), text_queries(spark, sf)
     parsed = asked.select("query_id", F.col("query").alias("words"), F.lit(None).cast("string").alias("phrase"), F.lit(False).alias("has_filters"))
     features = written(names.route_features(parsed, engine.vocabulary(), names.match_filenames(asked, engine.records)))
-    # replayed by words only; what they don't settle is left to the hybrid tier
-    found = retrieval.bm25_and(asked, engine.index).select("query_id", F.lit("keyword").alias("tier"), F.lit(True).alias("strong"))
-    label = written(labels(found.unionByName(asked.select("query_id", F.lit("hybrid").alias("tier"), F.lit(True).alias("strong")))))
+    # each tier is replayed: names, all words, half of the words; the cheapest with a strong result counts, or none
+    tried = lambda hits, tier: hits.select("query_id", F.lit(tier).alias("tier"), F.lit(True).alias("strong"))
+    found = tried(names.match_filenames(asked, engine.records), "filename").unionByName(tried(retrieval.bm25_and(asked, engine.index), "keyword")).unionByName(tried(retrieval.bm25_relaxed(asked, engine.index), "hybrid"))
+    missed = asked.select("query_id", F.lit("none").alias("tier"), F.lit(False).alias("strong"))
+    label = written(labels(found.unionByName(missed)))
     rules = written(names.route(features))
     return LearnedRouter(features, label, rules).route(features, rules)
 

@@ -15,7 +15,7 @@ SQL: dict[str, str] = {}
 
 DOCS = "documents"
 # A text that needs each rule, from columns that both engines see alike.
-MESSY = r"concat('  ', source, chr(13), chr(10), chr(10), chr(10), chr(10), lang, '   ', lang, chr(9), coalesce(text, ''), '  ')"
+MESSY = r"concat('  ', source, chr(13), chr(10), chr(10), chr(10), chr(10), lang, '   ', lang, chr(9), 'é', coalesce(text, ''), '  ')"
 SLOPPY = "concat(lang, ' ', lang, ' ,', source, ';x  find 3.5 ', source, '  type:pdf ', regexp_replace(coalesce(text, ''), '[^a-z]+', ' '))"
 
 
@@ -30,7 +30,7 @@ def _register(name, sql=None):
 
 
 @_register("normalize_text", rf"""
-select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace({MESSY}, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') as text from documents""")
+select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize({MESSY}), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') as text from documents""")
 def normalize_text(spark, sf):
     return read(spark, sf, DOCS).select("doc_id", F.expr(MESSY).alias("t")).select("doc_id", T.normalize_text("t").alias("text"))
 

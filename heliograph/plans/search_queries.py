@@ -163,10 +163,12 @@ def _typos(spark, sf) -> DataFrame:
     return w.select(typo.alias("word")).distinct()
 
 
-CLOSEST = """
+# edit distances of the oracle count bytes: accented letters of the asked words become single signs that no term has
+BYTEWISE = "translate(word, 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿœæß', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456')"
+CLOSEST = f"""
 near as (
-  select word, term, occurrences, levenshtein(word, term) as distance, not (starts_with(term, word) or starts_with(word, term)) as apart
-  from asked, vocab where abs(length(term) - length(word)) <= 2 and levenshtein(word, term) <= case when starts_with(term, word) or starts_with(word, term) or length(word) >= 7 then 2 else 1 end),
+  select word, term, occurrences, levenshtein({BYTEWISE}, term) as distance, not (starts_with(term, word) or starts_with(word, term)) as apart
+  from asked, vocab where abs(length(term) - length(word)) <= 2 and levenshtein({BYTEWISE}, term) <= case when starts_with(term, word) or starts_with(word, term) or length(word) >= 7 then 2 else 1 end),
 closest as (select word, term as correction, distance from (select *, row_number() over (partition by word order by apart, distance, occurrences desc, term) as n from near) where n = 1)"""
 SWAPS = """
 swaps as (select word, i, substr(word, 1, i - 1) || substr(word, i + 1, 1) || substr(word, i, 1) || substr(word, i + 2) as term
@@ -200,12 +202,11 @@ typos as (select distinct lower(part) as word from parts where regexp_full_match
 plurals_of as (select word from typos), {PLURALS}, asked as (select word from typos where length(word) >= 6 and word not in (select word from plurals)), {CLOSEST},
 {SWAPS},
 fixed as (select word, correction from closest union all select word, correction from swapped where word not in (select word from plurals))
-select query_id, string_agg(coalesce(correction, part), '' order by i) as corrected from parts left join fixed on word = lower(part)
-where query_id in (select query_id from wq where not regexp_matches(query, '[^ -~\\n]')) group by query_id""")
+select query_id, string_agg(coalesce(correction, part), '' order by i) as corrected from parts left join fixed on word = lower(part) group by query_id""")
 def correct_queries(spark, sf):
-    """Queries with a letter doubled; only ASCII ones, as the oracle's edit distance counts bytes."""
+    """Queries with a letter doubled."""
     queries = text_queries(spark, sf).select("query_id", F.replace("query", F.lit("e"), F.lit("ee")).alias("query"))
-    return N.correct_queries(queries.where(~F.col("query").rlike(r"[^ -~\n]")), _vocab(spark, sf))
+    return N.correct_queries(queries, _vocab(spark, sf))
 
 
 @_register("unrecognised")
@@ -329,11 +330,11 @@ def near_tie_rerank(spark, sf):
     return K.near_ties(full)
 
 
-@_register("match_explanation", f"""with {PRUNED} select p.query_id, p.doc_id, list_aggregate(list_filter([case when keyword_score is not null then 'Contains: ' || doc_id else 'Meaning matches' end, 'Page ' || (doc_id % 5 + 1)], lambda x: x is not null), 'string_agg', ' | ') as why
+@_register("match_explanation", f"""with {PRUNED} select p.query_id, p.doc_id, list_aggregate(list_filter([case when keyword_score is not null then 'Contains: ' || (doc_id % 13) || ', ' || query_id else 'Meaning matches' end, 'Page ' || (doc_id % 5 + 1)], lambda x: x is not null), 'string_agg', ' | ') as why
 from (select pr.query_id, pr.doc_id, f.keyword_score from pruned pr join files f using (query_id, doc_id)) p""")
 def match_explanation(spark, sf):
     files = K.prune(K.confidence(K.to_files(_fused(spark, sf))))
-    told = files.withColumns({"path": F.lit("x.txt"), "matched": F.array(F.col("doc_id").cast("string")), "page_number": (F.col("doc_id") % 5 + 1)})
+    told = files.withColumns({"path": F.lit("x.txt"), "matched": F.array((F.col("doc_id") % 13).cast("string"), F.col("query_id").cast("string")), "page_number": (F.col("doc_id") % 5 + 1)})
     return K.explain(told).select("query_id", "doc_id", F.array_join("why", " | ").alias("why"))
 
 
@@ -356,17 +357,17 @@ def eval_metrics(spark, sf):
     return K.retrieval_metrics(ranked.withColumn("n_relevant", F.sum(F.when(F.col("relevant"), 1).otherwise(0)).over(Window.partitionBy("query_id"))))
 
 
-@_register("jaccard_near_dupes", f"""with {CHUNKS}, sets as (select chunk_id, list_distinct(list_filter({tokens_sql('content')}, lambda w: length(w) >= 3)) as s from chunks where chunk_index = 0),
-flat as (select chunk_id, len(s) as n, unnest(s) as term from sets), rare as (select term from flat group by term having count(*) between 2 and 50),
-cand as (select distinct a.chunk_id as a, b.chunk_id as b from flat a join flat b using (term) where a.chunk_id < b.chunk_id and term in (select term from rare))
-select a, b, round(len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s)))::double, 6) as jaccard from cand join sets x on x.chunk_id = a join sets y on y.chunk_id = b where len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s)))::double >= 0.5""")
+@_register("jaccard_near_dupes", f"""with {BM25}, hits as ({RANKED.format("greatest(1, ceil(n_terms / 2.0))")}),
+sets as (select chunk_id, list_distinct(list_filter({tokens_sql('content')}, lambda w: length(w) >= 3)) as s from chunks where chunk_id in (select chunk_id from hits))
+select x.query_id, x.chunk_id as a, y.chunk_id as b, round(len(list_intersect(p.s, q.s)) / len(list_distinct(list_concat(p.s, q.s)))::double, 6) as jaccard
+from hits x join hits y on x.query_id = y.query_id and x.chunk_id < y.chunk_id join sets p on p.chunk_id = x.chunk_id join sets q on q.chunk_id = y.chunk_id
+where len(list_intersect(p.s, q.s)) / len(list_distinct(list_concat(p.s, q.s)))::double >= 0.5""")
 def jaccard_near_dupes(spark, sf):
-    """First passages that share a rare word (2 to 50 passages have it) and half of their words."""
-    sets = chunks(spark, sf).where("chunk_index = 0").select("chunk_id", F.array_distinct(F.filter(T.tokens("content"), lambda w: F.length(w) >= 3)).alias("s"))
-    flat = sets.select("chunk_id", F.explode("s").alias("term"))
-    rare = flat.groupBy("term").count().where("count between 2 and 50").select("term")
-    held = flat.join(rare, "term")
-    pairs = held.select("term", F.col("chunk_id").alias("a")).join(held.select("term", F.col("chunk_id").alias("b")), "term").where("a < b").select("a", "b").distinct()
-    both = pairs.join(sets.select(F.col("chunk_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("chunk_id").alias("b"), F.col("s").alias("sb")), "b")
+    """Pairs among each query's twenty best passages that share half of their words: what near-duplicate results are
+    told by. Lists are bounded, so their pairs are."""
+    hits = R.bm25_relaxed(text_queries(spark, sf), index(spark, sf)).select("query_id", "chunk_id")
+    words = F.array_distinct(F.filter(T.tokens("content"), lambda w: F.length(w) >= 3)).alias("s")
+    sets = hits.join(index(spark, sf).chunks().select("chunk_id", words), "chunk_id")
+    both = sets.selectExpr("query_id", "chunk_id as a", "s as sa").join(sets.selectExpr("query_id", "chunk_id as b", "s as sb"), "query_id").where("a < b")
     value = F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))
-    return both.withColumn("jaccard", F.round(value, 6)).where(value >= 0.5).select("a", "b", "jaccard")
+    return both.withColumn("jaccard", F.round(value, 6)).where(value >= 0.5).select("query_id", "a", "b", "jaccard")
