@@ -204,6 +204,10 @@ class KeywordIndex:
     def _commit(self, dropped: DataFrame | None, added: DataFrame, model: str) -> KeywordIndex:
         """Writes added chunks as a batch, then the manifest without the dropped shards and with the new ones."""
         batch, version = uuid.uuid4().hex, self.version + 1
+        fs, _ = self._fs(self.spark, self.folder)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        if fs.exists(path(f"{self.folder}/manifest-{version}")):
+            raise RuntimeError(f"version {version} has been written already: open the newest one and try again")
         target = lambda name: f"{self.folder}/{name}/batch={batch}"
         number = F.monotonically_increasing_id()
         if not self.version:
@@ -222,9 +226,7 @@ class KeywordIndex:
         live = fresh if dropped is None else self._manifest().join(dropped, ["batch", "shard"], "left_anti").unionByName(fresh)
         next_ = KeywordIndex(self.spark, self.folder, version)
         live.write.mode("overwrite").parquet(f"{self.folder}/next-{version}")
-        fs, _ = self._fs(self.spark, self.folder)
         # terms and totals belong to the version, so they are written before it counts
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
         staged = _Staged(self.spark, self.folder, version)
         by_term = staged.postings().where("term <> ''").groupBy("term").agg(F.sum(F.size("place")).alias("df"), F.sum(F.aggregate("tf", F.lit(0).cast("long"), lambda s, x: s + x)).alias("occurrences"))
         by_term.write.mode("overwrite").parquet(f"{self.folder}/terms-{version}")

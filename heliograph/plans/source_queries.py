@@ -11,7 +11,7 @@ from heliograph.sources.extract import extract
 from heliograph.sources.tables import shared_folder
 from heliograph.sources.scan import admitted, chunk_cap, scan_order, size_cap
 from heliograph.sources.transcripts import token_chunks
-from heliograph.streaming.events import session_stream
+from heliograph.streaming.events import apply_file_events, changed_files, debounce_stream, session_stream
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -67,3 +67,47 @@ def sessions_by_stream(spark, sf):
     query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{folder}/out").groupBy("user_id", "events").agg(F.count("*").alias("sessions"))
+
+
+def _streamed(spark, rows, transform):
+    """Rows of a stream that reads a table once and ends."""
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    rows.write.parquet(f"{folder}/in")
+    stream = transform(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+    stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+@_register("debounced_events", f"""with {USAGE}, n as (select user_id, moment, ts, sum(fresh) over (partition by user_id order by ts, event_id) as s from (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) <= 600 then 0 else 1 end as fresh from usage)),
+s as (select user_id, s, max(ts) as last, count(*) as events from n group by all)
+select user_id, events::bigint as events, count(*)::bigint as waits from s where last + 600 <= (select max(ts) from usage) - 60 group by user_id, events""")
+def debounced_events(spark, sf):
+    """What a stream tells once a key has been quiet for ten minutes."""
+    events = usage_events(spark, sf).select(F.col("user_id").alias("path"), "kind", F.col("at").alias("ts"))
+    done = _streamed(spark, events, lambda stream: debounce_stream(stream, "10 minutes"))
+    return done.groupBy(F.col("path").alias("user_id"), "events").agg(F.count("*").alias("waits"))
+
+
+@_register("changed_files", f"with {RECORDS} select path from records where doc_id % 4 in (0, 1) and (deleted or doc_id % 4 = 0)")
+def changed_files_query(spark, sf):
+    r = file_records(spark, sf, hashed=True)
+    kind = F.when(F.col("doc_id") % 4 == 2, "deleted").when(F.col("doc_id") % 2 == 0, "modified").otherwise("created")
+    events = r.where("doc_id % 4 <> 3").select("path", kind.alias("kind"), F.when(F.col("doc_id") % 4 == 0, F.lit("changed")).otherwise(F.col("hash")).alias("hash"))
+    return changed_files(events, r.select("path", "hash", "deleted")).select("path")
+
+
+@_register("file_events", f"""with {RECORDS}, scoped as (select * from records where doc_id % 10 <> 9)
+select path, hash, deleted from (
+  select case when path like '/src1/en/%' and not deleted then replace(path, '/src1/en/', '/src1/moved/') when path like '/src2/%' and not deleted then path else path end as path,
+    case when doc_id % 10 = 4 then 'changed' else hash end as hash,
+    case when doc_id % 10 = 4 then false when path like '/src2/%' or path like '/src3/de/%' then true else deleted end as deleted from scoped where not (path like '/src1/en/%' and doc_id % 10 = 4)
+  union all select replace(path, '/src1/en/', '/src1/moved/'), hash, deleted from scoped where path like '/src1/en/%' and doc_id % 10 = 4 and not deleted
+  union all select path, hash, deleted from scoped where path like '/src1/en/%' and doc_id % 10 = 4 and deleted and false
+  union all select path, 'changed', false from scoped where path like '/src1/en/%' and doc_id % 10 = 4)""")
+def file_events(spark, sf):
+    """A folder moves within its root, another out of all roots, a third is deleted, and files change."""
+    r = file_records(spark, sf, hashed=True).where("doc_id % 10 <> 9")
+    folders = spark.createDataFrame([("/src1/en", "moved", None, "/src1/moved", 5), ("/src2", "moved", None, "/elsewhere", 6), ("/src3/de", "deleted", None, None, 7)], "path string, kind string, hash string, target string, version long")
+    files = r.where("doc_id % 10 = 4").select("path", F.lit("modified").alias("kind"), F.lit("changed").alias("hash"), F.lit(None).cast("string").alias("target"), F.lit(8).cast("long").alias("version"))
+    roots = spark.createDataFrame([(f"/src{i}",) for i in range(100)], "root string")
+    return apply_file_events(r.select("file_id", "path", "hash", "deleted"), folders.unionByName(files), roots).select("path", "hash", "deleted")

@@ -35,23 +35,34 @@ def changed_files(events: DataFrame, records: DataFrame) -> DataFrame:
     return events.where(F.col("kind").isin("created", "modified")).join(known, "path", "left").where("known_hash is null or known_hash <> hash").drop("known_hash")
 
 
-def apply_file_events(records: DataFrame, events: DataFrame) -> DataFrame:
-    """Records after a micro-batch of events (path, kind, hash, target, version): the latest event of a path counts.
+def apply_file_events(records: DataFrame, events: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """Records after a micro-batch of events (path, kind, hash, target, version): the latest event of a path counts, so
+    a deletion that a later event overtook is ignored, and so is an earlier change of a file that is gone.
 
     Deletes tombstone a file or all under a folder, moves rewrite paths of a file or folder, created and modified
-    files are upserted.
+    files are upserted. With roots (root), a file that moves out of all of them is deleted, and one that moves in from
+    elsewhere is new.
     """
     latest = events.groupBy("path").agg(F.max_by(F.struct("kind", "hash", "target", "version"), "version").alias("e")).select("path", "e.*")
-    moves = latest.where("kind = 'moved'").select(F.col("path").alias("old"), "target")
+    moves = latest.where("kind = 'moved'").select(F.col("path").alias("old"), "target", "hash")
     gone = latest.where("kind = 'deleted'").select(F.col("path").alias("old"))
-    parts = F.split("path", "/")
+    above = lambda path: F.transform(F.sequence(F.lit(1), F.size(F.split(path, "/"))), lambda n: F.array_join(F.slice(F.split(path, "/"), 1, n), "/"))
     # a file's own path and its folders, so that folder events are equi-joins
-    heads = records.select("file_id", "path", F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("old"))
+    heads = records.where("not deleted").select("file_id", "path", F.explode(above("path")).alias("old"))
     dead = heads.join(gone, "old", "left_semi").select("file_id").distinct().withColumn("dead", F.lit(True))
-    moved = heads.join(moves, "old").groupBy("file_id").agg(F.max_by(F.concat("target", F.substr("path", F.length("old") + 1)), F.length("old")).alias("to"))
+    moved = heads.join(moves.select("old", "target"), "old").groupBy("file_id").agg(F.max_by(F.concat("target", F.substr("path", F.length("old") + 1)), F.length("old")).alias("to"))
     out = records.join(dead, "file_id", "left").join(moved, "file_id", "left")
+    arrived = latest.where("kind in ('created', 'modified')").select("path", "hash")
+    if roots is not None:
+        own = roots.select(F.regexp_replace("root", "/+$", "").alias("head")).distinct()
+        inside = lambda df, path: df.join(df.select(path, F.explode(above(path)).alias("head")).join(own, "head", "left_semi").select(path).distinct().withColumn("inside", F.lit(True)), path, "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+        left = inside(out.where("to is not null").select("to").distinct(), "to").where("not inside").select("to", F.lit(True).alias("left"))
+        out = out.join(left, "to", "left").withColumns({"dead": F.coalesce("dead", "left"), "to": F.when(F.col("left").isNull(), F.col("to"))})
+        known = heads.select("old").distinct()
+        entered = inside(moves.join(known, "old", "left_anti").select(F.col("target").alias("path"), "hash"), "path").where("inside and hash is not null")
+        arrived = arrived.unionByName(entered.select("path", "hash"))
     out = out.withColumns({"deleted": F.col("deleted") | F.coalesce("dead", F.lit(False)), "path": F.coalesce("to", "path")}).select(*records.columns)
-    new = latest.where(F.col("kind").isin("created", "modified")).join(out.select("path", "file_id"), "path", "left")
+    new = arrived.join(out.select("path", "file_id"), "path", "left")
     fresh = new.select(F.coalesce("file_id", F.sha2("path", 256)).alias("file_id"), "path", "hash", F.lit(False).alias("deleted"))
     return upsert(out.select("file_id", "path", "hash", "deleted"), fresh)
 
