@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from heliograph.llm import golay
 from heliograph.llm.common import column, materialise, table, text_bytes
 from heliograph.llm.components import components
+from heliograph.llm.forest import Forest
 
 SHINGLE, SEED, MOST = 3, 42, 3
 #: Lowest bit and width of the segments; the last is filled up with zeros.
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: Of three segments with three errors at most, two have one error at most: every pair of segments is a way to meet.
 WAYS = ((0, 1), (0, 2), (1, 2))
-#: Rows of a key from which its probes are dealt to several tasks.
+#: Rows of a key from which it is dealt into blocks, and rows or probes of a block.
 HOT = 4096
 
 
@@ -79,13 +80,7 @@ def _forest(data: np.ndarray, probes: np.ndarray) -> Iterator[tuple[np.ndarray,
     that already belongs to a component with a row of the block isn't linked to it again.
     """
     nodes = np.unique(np.concatenate([data, probes]))
-    root = np.arange(len(nodes))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+    forest = Forest(len(nodes))
 
     def by_ones(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ones = np.bitwise_count(x)
@@ -101,21 +96,9 @@ def _forest(data: np.ndarray, probes: np.ndarray) -> Iterator[tuple[np.ndarray,
             other = b[j : min(j + 1024, high)]
             x, y = np.nonzero(np.bitwise_count(block[:, None] ^ other) <= MOST)
             left, right = np.searchsorted(nodes, block[x]), np.searchsorted(nodes, other[y])
-            kept = []
-            while True:  # links within a component are dropped in bulk, the others joined one by one
-                while (up := root[root] != root).any():
-                    root[up] = root[root[up]]
-                open_ = np.flatnonzero(root[left] != root[right])
-                if not len(open_):
-                    break
-                left, right = left[open_], right[open_]
-                for u, v in zip(left[:2048], right[:2048], strict=True):
-                    if (p := top(u)) != (q := top(v)):
-                        root[max(p, q)] = min(p, q)
-                        kept.append((u, v))
-            if kept:
-                pairs = np.array(kept)
-                yield nodes[pairs[:, 0]], nodes[pairs[:, 1]]
+            kept = forest.add(left, right)
+            if len(kept):
+                yield nodes[left[kept]], nodes[right[kept]]
 
 
 def _matches(key: np.ndarray, fp: np.ndarray, probe: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -174,24 +157,31 @@ def links(nodes: DataFrame) -> DataFrame:
 
     Every fingerprint is data under the codeword indices of two of its segments, and a probe under all pairs of
     indices near them. Two fingerprints within three bits have two segments with one error at most each; there
-    the probe holds the other's own index, so they meet, and their distance is checked. A key with more than HOT
-    rows of data has its probes dealt to several tasks. A task emits every link of small keys, but for large keys
+    the probe holds the other's own index, so they meet, and their distance is checked. Of a key with more than HOT
+    rows of data, rows and probes are dealt into blocks of about HOT; every two blocks meet in a task of their own, so no
+    task holds more than two blocks of a key. A task emits every link of small keys, but for large keys
     only as many as hold their components together: a large group of near copies doesn't become all its pairs.
     """
     data, probes = _keyed(nodes, False), _keyed(nodes, True)
     hot = materialise(data.groupBy("key").count().where(F.col("count") > HOT), "hot-keys")
     n = hot.count()
-    salt = F.lit(0)
     if n:
         side = F.broadcast(hot) if n <= 100_000 else hot  # 16 bytes each
-        deal = F.coalesce(F.ceil(F.col("count") / HOT), F.lit(1)).cast("int")
-        data = data.join(side, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), deal - 1))).drop("count")
-        probes = probes.join(side, "key", "left").withColumn("salt", F.pmod(F.xxhash64("fp"), deal).cast("int")).drop("count")
-        salt = F.col("salt")
+        asked = probes.join(side.select("key"), "key").groupBy("key").agg(F.count("*").alias("probes"))
+        hot = materialise(hot.join(asked, "key", "left").select("key", *(F.greatest(F.ceil(F.coalesce(c, F.lit(0)) / HOT), F.lit(1)).cast("int").alias(b) for c, b in ((F.col("count"), "rows"), (F.col("probes"), "columns")))), "hot-blocks")
+        side = F.broadcast(hot) if n <= 100_000 else hot
+        # a grid for each hot key: a row meets every block of probes, a probe every block of rows
+        one = lambda c: F.coalesce(F.col(c), F.lit(1))
+        block = lambda c: F.pmod(F.xxhash64("fp"), one(c))
+        every = lambda c: F.explode(F.sequence(F.lit(0), one(c) - 1))
+        cell = F.pmod(F.col("i") * 1021 + F.col("j"), F.lit(1 << 20)).alias("salt")
+        data = data.join(side, "key", "left").withColumn("i", block("rows")).withColumn("j", every("columns")).select("key", "fp", "probe", cell)
+        probes = probes.join(side, "key", "left").withColumn("j", block("columns")).withColumn("i", every("rows")).select("key", "fp", "probe", cell)
     else:
-        data, probes = data.withColumn("salt", salt), probes.withColumn("salt", salt)
+        data, probes = data.withColumn("salt", F.lit(0)), probes.withColumn("salt", F.lit(0))
+    salt = F.col("salt")
     # 48 salted bits in one number keep the sorted rows short
-    rows = data.union(probes).select((F.col("key") * (1 << 20) + F.col("salt")).alias("key"), "fp", "probe")
+    rows = data.union(probes).select((F.col("key") * (1 << 20) + salt).alias("key"), "fp", "probe")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_verify, "a long, b long")
 
 
