@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heliograph.config import DEFAULTS, EVENT_WEIGHTS, NOW, SHOWN_RESULTS, SHOWN_WEIGHT, Settings
+from heliograph.config import DEFAULTS, EVENT_WEIGHTS, NOW, SHOWN_RESULTS, SHOWN_WEIGHT, Settings, STOP_WORDS
 
 
 def sessions(events: DataFrame, gap: float = DEFAULTS.session_gap_s) -> DataFrame:
@@ -175,9 +175,17 @@ def topic_affinity(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     return dots.groupBy("vec_id").agg(best).select("vec_id", "b.topic", F.greatest(F.col("b.cosine"), F.lit(0.0)).alias("affinity"))
 
 
+#: What an occurrence in a file's name weighs beside one in its text.
+NAME_WEIGHT = 3
+
+
 def topic_labels(tokens: DataFrame, k: int = 3) -> DataFrame:
-    """topic, term, rank from (topic, term, score): occurrences weighted by 0.25 + score, rare terms first."""
-    by = tokens.groupBy("topic", "term").agg(F.sum(0.25 + F.col("score")).alias("w"))
+    """topic, term, rank from (topic, term, score): occurrences weighted by 0.25 + score, rare terms first. With a column
+    in_name those of names weigh three times as much, and stop words count in names only."""
+    if "in_name" in tokens.columns:
+        tokens = tokens.where(F.col("in_name") | ~F.col("term").isin(*STOP_WORDS))
+    times = F.when(F.col("in_name"), NAME_WEIGHT).otherwise(1) if "in_name" in tokens.columns else F.lit(1)
+    by = tokens.withColumn("score", times * (0.25 + F.col("score")) - 0.25).groupBy("topic", "term").agg(F.sum(0.25 + F.col("score")).alias("w"))
     df = by.groupBy("term").agg(F.count("*").alias("df"))
     most = df.agg(F.max("df").alias("most"))
     scored = by.join(df, "term").join(F.broadcast(most)).withColumn("value", F.round(F.col("w") * F.log(1 + F.col("most") / F.col("df")), 6))  # one row
@@ -186,13 +194,15 @@ def topic_labels(tokens: DataFrame, k: int = 3) -> DataFrame:
 
 
 def topics(vectors: DataFrame, seed: int = 7) -> DataFrame:
-    """vec_id and topic by k-means on cosine distance; k is half the number of files, between 1 and 5."""
+    """vec_id and topic by k-means on cosine distance; k is half the number of files, between 1 and 5. A column score
+    weighs the files."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     n = vectors.count()
-    ready = vectors.select("vec_id", array_to_vector("embedding").alias("features"))
+    weight = F.col("score").cast("double") if "score" in vectors.columns else F.lit(1.0)
+    ready = vectors.select("vec_id", array_to_vector("embedding").alias("features"), weight.alias("weight"))
     if n < 2:
         return vectors.select("vec_id", F.lit(0).alias("topic"))
-    model = KMeans(k=max(2, min(5, n // 2)), seed=seed, maxIter=25, distanceMeasure="cosine").fit(ready)
+    model = KMeans(k=max(2, min(5, n // 2)), seed=seed, maxIter=25, distanceMeasure="cosine", weightCol="weight").fit(ready)
     return model.transform(ready).select("vec_id", F.col("prediction").alias("topic"))

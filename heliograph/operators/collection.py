@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heliograph.config import DEFAULTS, NOW, STOP_WORDS
+from heliograph.config import DEFAULTS, NOW, QUESTION_WORDS, STOP_WORDS, TYPE_GROUPS
 from heliograph.functions.text import filename, tokens
+from heliograph.operators.answers import MONTHS, WEEKDAYS
 
 
 def summary(records: DataFrame, k: int = 4) -> DataFrame:
@@ -38,16 +39,27 @@ def deleted_recently(log: DataFrame, now: float = NOW, window: float = DEFAULTS.
     return inside.orderBy(F.desc("deleted_at"), "doc_id").limit(k).join(F.broadcast(total))  # one row
 
 
-def why_missing(asked: DataFrame, states: DataFrame) -> DataFrame:
+#: Characters of the longest file name.
+LONGEST_NAME = 260
+
+
+def why_missing(asked: DataFrame, states: DataFrame, indexing: bool = False) -> DataFrame:
     """asked (name) and the state of the file: the first that fits of indexed, failed, skipped, deleted, waiting; else
-    similar, if a name is one edit away; else unknown. states: name, tier, state."""
+    invalid, if it is no name; else unsupported, if its extension is of no format that is read; else similar, if one name
+    is one edit away; else unknown, or indexing while a scan runs, as what is waiting also is. states: name, tier, state."""
+    typed = F.trim("name", F.lit("\"' "))
+    invalid = (typed == "") | ~typed.rlike(r"[\p{L}\p{N}]") | typed.rlike(r"[*?\x00]") | (F.length(typed) > LONGEST_NAME)
+    ext = F.lower(F.regexp_extract(typed, r"\.([A-Za-z0-9]{1,5})$", 1))
+    unread = (ext != "") & ~ext.isin(*{e for group in TYPE_GROUPS.values() for e in group})
     exact = asked.join(states, "name").groupBy("name").agg(F.min_by("state", F.struct("tier", "state")).alias("state"))
     rest = asked.join(exact, "name", "left_anti")
     drops = lambda c: F.array_distinct(F.concat(F.array(F.col(c)), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substr(F.col(c), F.lit(1), i - 1), F.substr(F.col(c), i + 1)))))
     known = states.select(F.col("name").alias("other")).distinct().withColumn("key", F.explode(drops("other")))
     near = rest.withColumn("key", F.explode(drops("name"))).join(known, "key").where(F.levenshtein("name", "other", 1) >= 0).select("name", "other").distinct()
     single = near.groupBy("name").agg(F.count("*").alias("n")).where("n = 1").select("name", F.lit("similar").alias("state"))
-    return exact.union(rest.join(single, "name", "left").select("name", F.coalesce("state", F.lit("unknown")).alias("state")))
+    other = F.when(invalid, "invalid").when(unread, "unsupported").otherwise(F.coalesce("state", F.lit("indexing" if indexing else "unknown")))
+    out = exact.union(rest.join(single, "name", "left").select("name", other.alias("state")))
+    return out.withColumn("state", F.when(F.col("state") == "waiting", "indexing" if indexing else "failed").otherwise(F.col("state")))
 
 
 def grounding(pairs: DataFrame) -> DataFrame:
@@ -67,15 +79,40 @@ def figures_missing(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("missing", F.array_join(F.array_sort(F.array_except(numbers("answer"), numbers("source"))), ","))
 
 
+#: Strong sources that offer a sentence, words of a sentence, and question words that it and its file's name must have.
+QUICK_SOURCES, QUICK_WORDS, QUICK_OVERLAP = 3, (3, 60), 2
+
+
 def quick_answer(questions: DataFrame, passages: DataFrame) -> DataFrame:
-    """question_id, sentence, score: the sentence that shares most words with the question, half a point more with a
-    figure; ties by passage and place. passages: question_id, chunk_id, content."""
-    sentence = passages.select("question_id", "chunk_id", F.posexplode(F.split("content", r"(?<=[.!?])\s+")).alias("i", "sentence"))
-    both = sentence.join(questions, "question_id")
-    shared = F.size(F.array_intersect(F.array_distinct(F.filter(tokens("question"), lambda w: ~w.isin(*STOP_WORDS))), tokens("sentence")))
-    scored = both.withColumn("score", shared + F.when(F.col("sentence").rlike(r"\d"), 0.5).otherwise(0.0)).where(shared > 0)
-    line = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id", "i")
-    return scored.withColumn("n", F.row_number().over(line)).where("n = 1").select("question_id", "chunk_id", "sentence", "score")
+    """question_id, chunk_id, sentence, score: the sentence of the best three sources that says most of what is asked.
+
+    questions: question_id, question; passages: question_id, chunk_id, content, and if known filename and rank. Question
+    words of three letters or more count, also by the beginning of a word: one for each in the sentence, half if the
+    file's name has it already or if the sentence only names a file with it, half for each that the name has, half for
+    a figure. Months and weekdays that are asked for must be there. Ties go to the better source, then to the earlier
+    sentence; nothing is told if no sentence says something that is asked.
+    """
+    rank = F.col("rank") if "rank" in passages.columns else F.lit(0)
+    name = F.lower(F.regexp_replace("filename", r"\.[^.]*$", "")) if "filename" in passages.columns else F.lit("")
+    words = lambda text: F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
+    q = F.filter(words(F.col("question")), lambda w: (F.length(w) >= 3) & ~w.isin(*STOP_WORDS, *QUESTION_WORDS))
+    q = F.array_union(q, F.transform(F.filter(q, lambda w: w.endswith("s") & (F.length(w) > 4)), lambda w: F.substr(w, F.lit(1), F.length(w) - 1)))
+    line = Window.partitionBy("question_id").orderBy("rank", "chunk_id")
+    near = passages.select("question_id", "chunk_id", "content", rank.alias("rank"), name.alias("name")).withColumn("place", F.row_number().over(line)).where(F.col("place") <= QUICK_SOURCES)
+    both = near.join(questions.select("question_id", q.alias("q")).where(F.size("q") > 0), "question_id")
+    sentence = both.select("*", F.posexplode(F.split("content", r"(?<=[.!?])\s+|\n+")).alias("i", "raw")).withColumn("sentence", F.trim(F.col("raw"), F.lit(" -•\t")))
+    begins = lambda held: lambda w: F.exists(held, lambda t: t.startswith(w))
+    in_name = words(F.col("name"))
+    by_name = F.filter("q", lambda w: F.exists(in_name, lambda n: (F.length(n) >= 3) & (n.startswith(w) | w.startswith(n))))
+    own = sentence.withColumns({"said": words(F.col("sentence")), "by_name": by_name, "files": words(F.array_join(F.regexp_extract_all(F.lower("sentence"), F.lit(r"[\w.-]+\.[a-z0-9]{2,5}\b"), F.lit(0)), " "))})
+    own = own.withColumn("hits", F.filter("q", begins(F.col("said")))).withColumn("half", F.filter("hits", lambda w: F.array_contains("by_name", w) | F.array_contains("files", w)))
+    n = F.size(F.split("sentence", r"\s+"))
+    dated = F.filter("q", lambda w: w.isin(*MONTHS, *WEEKDAYS))
+    fits = n.between(*QUICK_WORDS) & (F.size("hits") > 0) & (F.size(F.array_union("hits", "by_name")) >= F.least(F.lit(QUICK_OVERLAP), F.size("q")))
+    fits &= F.forall(dated, lambda w: F.array_contains("hits", w) | F.array_contains("by_name", w))
+    score = F.size("hits") - 0.5 * F.size("half") + 0.5 * F.size("by_name") + F.when(F.col("sentence").rlike(r"\d"), 0.5).otherwise(0.0)
+    best = Window.partitionBy("question_id").orderBy(F.desc("score"), "place", "i")
+    return own.where(fits).withColumn("score", score).withColumn("n", F.row_number().over(best)).where("n = 1").select("question_id", "chunk_id", "sentence", "score")
 
 
 def media_limits(scores: DataFrame) -> DataFrame:

@@ -60,12 +60,11 @@ def ranked_names(matches: DataFrame) -> DataFrame:
     return matches.withColumn("rank", F.row_number().over(line).cast("long"))
 
 
-def closest_word(words: DataFrame, vocab: DataFrame) -> DataFrame:
-    """word and correction: the best vocabulary word (term, occurrences) within one edit, or two from seven letters on;
-    words that extend each other may be two apart. Extensions first, then distance, frequency, and the word.
+def within_edits(words: DataFrame, vocab: DataFrame) -> DataFrame:
+    """word, term, occurrences, allowed: pairs among which are all that are one edit apart, two from seven letters on.
 
     With at most n edits one of n + 1 pieces of the word is still there, so candidates are met by pieces: every
-    vocabulary word is joined on its substrings of a piece's length, then its distance is measured.
+    vocabulary word is joined on its substrings of a piece's length.
     """
     allowed = F.when(F.length("word") >= 7, 2).otherwise(1)
     cut = lambda i: F.bround(F.lit(i) * F.length("word") / (F.col("allowed") + 1)).cast("int")
@@ -75,7 +74,14 @@ def closest_word(words: DataFrame, vocab: DataFrame) -> DataFrame:
     lengths = asked.select(F.length("piece").alias("n")).distinct()
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("len") - F.col("n") + 1), lambda i: F.substr(F.col("term"), i, F.col("n"))))
     held = vocab.withColumn("len", F.length("term")).join(F.broadcast(lengths), F.col("len") >= F.col("n")).withColumn("piece", F.explode(grams))  # a row for each piece length
-    pairs = held.join(asked, "piece").select("word", "term", "occurrences", "allowed").distinct()
+    return held.join(asked, "piece").select("word", "term", "occurrences", "allowed").distinct()
+
+
+def closest_word(words: DataFrame, vocab: DataFrame) -> DataFrame:
+    """word and correction: the best vocabulary word (term, occurrences) within one edit, or two from seven letters on;
+    words that extend each other may be two apart. Extensions first, then distance, frequency, and the word.
+    """
+    pairs = within_edits(words, vocab)
     extends = F.col("term").startswith(F.col("word")) | F.col("word").startswith(F.col("term"))
     near = pairs.withColumn("extends", extends).withColumn("distance", F.levenshtein("word", "term", 2)).where((F.col("distance") >= 0) & (F.col("distance") <= F.when(F.col("extends"), 2).otherwise(F.col("allowed"))))
     best = F.min(F.struct(~F.col("extends"), F.col("distance"), -F.col("occurrences"), F.col("term"))).alias("best")
@@ -90,6 +96,37 @@ def swapped_word(words: DataFrame, vocab: DataFrame) -> DataFrame:
     return made.join(vocab, "term").groupBy("word").agg(F.max_by("term", F.struct(F.col("occurrences"), -F.col("i"))).alias("correction"))
 
 
+# Fixed values.
+COMMON, FAR_COMMONER = 500, 200
+
+
+def checked_words(words: DataFrame, dictionary: DataFrame, vocab: DataFrame) -> DataFrame:
+    """word, correction and unknown of the words of a query for pictures, against a dictionary (term, occurrences) and a
+    user's own words (term).
+
+    A letter, a number, a word of the user's and a common word stay. The nearest word of the dictionary is a common one
+    with two neighbours swapped (three letters or more), else one within an edit, two from seven letters on, with the
+    same first or last letter: fewest edits, then the commonest; words of four and five letters only if they aren't
+    listed at all. A listed but rare word is replaced if that one is two hundred times as common, an unlisted one in any
+    case; without any it is unknown.
+    """
+    asked = words.select(F.lower("word").alias("word")).distinct()
+    own = dictionary.select(F.col("term").alias("word"), F.col("occurrences").alias("listed"))
+    open_ = asked.where((F.length("word") > 1) & ~F.col("word").rlike(r"^\d+$")).join(vocab.select(F.col("term").alias("word")), "word", "left_anti").join(own, "word", "left").where(F.col("listed").isNull() | (F.col("listed") < COMMON))
+    swap = lambda i: F.concat(F.substr(F.col("word"), F.lit(1), i - 1), F.substr(F.col("word"), i + 1, F.lit(1)), F.substr(F.col("word"), i, F.lit(1)), F.substr(F.col("word"), i + 2))
+    made = open_.where(F.length("word") >= 3).select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), swap)).alias("term")).where("term <> word")
+    swapped = made.join(dictionary.where(F.col("occurrences") >= COMMON), "term").select("word", "term", "occurrences", F.lit(0).alias("order"))
+    long = open_.where((F.length("word") >= 6) | ((F.length("word") >= 4) & F.col("listed").isNull()))
+    same_end = (F.substr("term", F.lit(1), F.lit(1)) == F.substr("word", F.lit(1), F.lit(1))) | (F.substr("term", F.lit(-1)) == F.substr("word", F.lit(-1)))
+    met = within_edits(long, dictionary).where(same_end & (F.col("term") != F.col("word")) & (F.levenshtein("word", "term", 2).between(0, F.when(F.length("word") >= 7, 2).otherwise(1))))
+    edited = met.select("word", "term", "occurrences", F.levenshtein("word", "term").alias("order"))
+    best = F.min_by(F.struct("term", "occurrences"), F.struct("order", -F.col("occurrences"), F.col("term"))).alias("best")
+    found = open_.join(swapped.unionByName(edited).groupBy("word").agg(best), "word", "left")
+    good = F.col("best").isNotNull() & (F.col("listed").isNull() | (F.col("best.occurrences") >= FAR_COMMONER * F.col("listed")))
+    told = found.select("word", F.when(good, F.col("best.term")).alias("correction"), (F.col("listed").isNull() & F.col("best").isNull()).alias("unknown"))
+    return asked.join(told, "word", "left").select("word", "correction", F.coalesce("unknown", F.lit(False)).alias("unknown"))
+
+
 def singulars(word: Column) -> Column:
     """What a plural may be the plural of."""
     cut = lambda n: F.substr(word, F.lit(1), F.length(word) - n)
@@ -101,27 +138,31 @@ def plural_of_known(words: DataFrame, vocab: DataFrame) -> DataFrame:
     return made.join(vocab.select("term"), "term").select("word").distinct()
 
 
-def correct_queries(queries: DataFrame, vocab: DataFrame) -> DataFrame:
+def correct_queries(queries: DataFrame, vocab: DataFrame, english: DataFrame | None = None) -> DataFrame:
     """query_id and corrected: each unknown word replaced by its correction, separators kept.
 
-    Known words, words with a digit and plurals of known words stay; words under six letters are only corrected by a
-    swap (four letters or more).
+    Known words, words with a digit and plurals of known words stay, and so do common words of a list (english: term,
+    occurrences) if there is one; words under six letters are only corrected by a swap (four letters or more).
     """
     parts = queries.select("query_id", F.posexplode(F.regexp_extract_all("query", F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), F.lit(0))).alias("i", "part")).withColumn("word", F.lower("part"))
     is_word = F.col("part").rlike(r"^\p{L}+$")
     known = vocab.select(F.col("term").alias("word"))
     open_ = parts.where(is_word).select("word").distinct().join(known, "word", "left_anti")
     open_ = open_.join(plural_of_known(open_, vocab), "word", "left_anti")
+    if english is not None:
+        open_ = open_.join(english.where(F.col("occurrences") >= COMMON).select(F.col("term").alias("word")), "word", "left_anti")
     fixed = closest_word(open_.where(F.length("word") >= 6), vocab).select("word", "correction").unionByName(swapped_word(open_, vocab))
     joined = parts.join(fixed, "word", "left").withColumn("out", F.coalesce("correction", "part"))
     return joined.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "out"))), lambda s: s["out"]), "").alias("corrected"))
 
 
-def unrecognised(queries: DataFrame, vocab: DataFrame) -> DataFrame:
+def unrecognised(queries: DataFrame, vocab: DataFrame, english: DataFrame | None = None) -> DataFrame:
     """query_id and whether none of the words means anything: not known, no plural of a known word, not correctable,
     no beginning (four letters or more) of a known one. A digit anywhere, or no word, recognises the query."""
     words = queries.select("query_id", F.col("query").rlike(r"\p{N}").alias("digit"), F.explode_outer(F.filter(F.regexp_extract_all(fold("query"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.length(w) >= 2)).alias("word"))
     every = words.select("word").where("word is not null").distinct()
+    if english is not None:  # words of a list mean something, too
+        vocab = vocab.select("term", "occurrences").unionByName(english.select("term", "occurrences")).groupBy("term").agg(F.sum("occurrences").alias("occurrences"))
     heads = vocab.where(F.length("term") > 4).select(F.explode(F.transform(F.sequence(F.lit(4), F.length("term") - 1), lambda n: F.substr(F.col("term"), F.lit(1), n))).alias("word")).distinct()
     fine = (
         every.join(vocab.select(F.col("term").alias("word")), "word", "left_semi")

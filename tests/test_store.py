@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heliograph.functions import text as T
-from heliograph.operators import answers, behaviour, browsing, embedding, evaluation, filters, store
+from heliograph.operators import answers, behaviour, browsing, collection, embedding, evaluation, filters, names, store
 from heliograph.operators.index import KeywordIndex
 from heliograph.plans.engine import Engine
 
@@ -156,3 +156,48 @@ def test_engine_scope_and_escalation(spark, tmp_path):
 def test_described_filters(spark):
     parsed = filters.parse_queries(spark.createDataFrame([(1, "type:pdf size:>=2mb in:work"), (2, "words")], "query_id long, query string"))
     assert {r.query_id: r.told for r in filters.described(parsed).collect()} == {1: ["type pdf", "larger than 2 MB", "in “work”"], 2: []}
+
+
+def test_quick_answers(spark):
+    asked = spark.createDataFrame([(1, "when is the march invoice due"), (2, "deposit"), (3, "meeting in september"), (4, "unknown words")], "question_id long, question string")
+    passages = [
+        (1, "a", "march invoice.txt", 1, "Thanks a lot. The amount is due on day 14. Goodbye to you all."),
+        (1, "b", "april invoice.txt", 2, "The invoice is due on the 30th of April."),
+        (2, "c", "lease.txt", 1, "The deposit is large. The deposit is 900 euros."),
+        (3, "d", "notes.txt", 1, "The meeting is in October."),
+        (4, "e", "x.txt", 1, "Nothing of the kind here."),
+    ]
+    frame = spark.createDataFrame(passages, "question_id long, chunk_id string, filename string, rank int, content string")
+    got = {r.question_id: (r.chunk_id, r.sentence, r.score) for r in collection.quick_answer(asked, frame).collect()}
+    assert got == {1: ("a", "The amount is due on day 14.", 2.5), 2: ("c", "The deposit is 900 euros.", 1.5)}
+
+
+def test_why_missing_tells_what_is_no_file(spark):
+    asked = spark.createDataFrame([("apple.txt",), ("*.txt",), ("...",), ("x.exe",), ("w.md",), ("b.txt",), ("zzz.txt",)], "name string")
+    states = spark.createDataFrame([("apple.txt", 1, "indexed"), ("w.md", 5, "waiting"), ("bb.txt", 1, "indexed")], "name string, tier int, state string")
+    got = {r.name: r.state for r in collection.why_missing(asked, states).collect()}
+    assert got == {"apple.txt": "indexed", "*.txt": "invalid", "...": "invalid", "x.exe": "unsupported", "w.md": "failed", "b.txt": "similar", "zzz.txt": "unknown"}
+    assert {r.name: r.state for r in collection.why_missing(asked, states, True).collect()}["w.md"] == "indexing"
+
+
+def test_words_of_picture_queries(spark):
+    dictionary = spark.createDataFrame([("pizza", 9000), ("cat", 50_000), ("act", 60_000), ("mountain", 8000), ("recieve", 125), ("receive", 90_000), ("ack", 379), ("house", 7000)], "term string, occurrences long")
+    vocab = spark.createDataFrame([("lisboa",)], "term string")
+    asked = spark.createDataFrame([(w,) for w in ("pizaa", "cat", "montain", "recieve", "cak", "lisboa", "x", "2024", "qqqqq", "ohuse")], "word string")
+    got = {r.word: (r.correction, r.unknown) for r in names.checked_words(asked, dictionary, vocab).collect()}
+    keep = (None, False)
+    assert got == {"pizaa": ("pizza", False), "cat": keep, "montain": ("mountain", False), "recieve": ("receive", False), "cak": (None, True), "lisboa": keep, "x": keep, "2024": keep, "qqqqq": (None, True), "ohuse": ("house", False)}
+
+
+def test_common_words_stay(spark):
+    queries = spark.createDataFrame([(1, "servers qqzz")], "query_id long, query string")
+    vocab = spark.createDataFrame([("serves", 5)], "term string, occurrences long")
+    english = spark.createDataFrame([("servers", 900)], "term string, occurrences long")
+    assert names.correct_queries(queries, vocab).first().corrected == "serves qqzz"
+    assert names.correct_queries(queries, vocab, english).first().corrected == "servers qqzz"
+
+
+def test_topic_labels_of_names(spark):
+    rows = [(1, "the", 0.5, False), (1, "the", 0.5, False), (1, "trip", 0.5, True), (1, "rome", 0.5, False), (2, "rome", 0.5, False)]
+    frame = spark.createDataFrame(rows, "topic long, term string, score double, in_name boolean")
+    assert [r.term for r in behaviour.topic_labels(frame).where("topic = 1").orderBy("rank").collect()] == ["trip", "rome"]
