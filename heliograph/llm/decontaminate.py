@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from heliograph.llm.common import column, materialise, table, text_bytes
 from heliograph.llm.repeats import Hashes
 
-#: Words of the shortest tile, and share of an item's words that tiles must cover.
+#: Words of the shortest tile, and share of an item's words that tiles must cover. An item of fewer words has to stand
+#: as a whole.
 TILE, COVERAGE = 5, 0.6
+#: Documents that hold a seed from which it is dealt to several tasks, of about as many documents each.
+HOT = 1 << 16
 #: Size of the filter of item seeds, in bits: 8 MB, whatever the size of the benchmark.
 FILTER_BITS = 26
 CHUNK = 1 << 20
@@ -117,13 +120,19 @@ def tiles(item: list, doc: list, least: int = TILE) -> list[tuple[int, int, int]
 
 
 def _item_seeds(items: DataFrame) -> DataFrame:
+    """item, width and seed: runs of TILE words, or of all words if an item has fewer."""
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = column(batch, "item")
-            for at, own in seeds(list(text_bytes(batch))):
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(own.view(np.int64))], ["item", "seed"])
+            texts = list(text_bytes(batch))
+            n = np.minimum([len(words(t)) for t in texts], TILE)
+            for width in np.unique(n[n > 0]).tolist():
+                some = np.flatnonzero(n == width)
+                ids = column(batch, "item").take(pa.array(some))
+                for at, own in seeds([texts[i] for i in some], width):
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(np.full(len(at), width, np.int32)), pa.array(own.view(np.int64))], ["item", "width", "seed"])
 
-    return items.mapInArrow(each, "item long, seed long")
+    return items.mapInArrow(each, "item long, width int, seed long")
 
 
 def _seed_filter(seeds_: DataFrame) -> np.ndarray:
@@ -147,38 +156,51 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     and benchmark item whose tiles cover at least that share of the item's words, in whatever order they stand.
 
     docs: doc_id and text; benchmark: item_id and text; other columns are ignored. Words are runs of ASCII letters
-    and digits and characters beyond ASCII, A-Z lower-cased. Items of fewer than TILE words, null or empty texts take
-    no part. Repeated rows of docs give one result. A null doc_id is carried as null; a null item_id too. Empty tables
-    give an empty result.
-
-    Seeds are runs of TILE words. A filter of fixed size (8 MB) lets through document seeds that an item may have;
-    these are joined with the items' seeds, and only pairs whose seeds could reach the coverage are tiled. A filter
-    too small for a huge benchmark only lets more seeds into the join.
+    and digits and characters beyond ASCII, A-Z lower-cased. An item of fewer than TILE words is found where all its
+    words stand one after another. Items and documents without a word have nothing in common with anything. Repeated
+    rows of docs give one result. A null doc_id is carried as null; a null item_id too. Empty tables give an empty
+    result. A very long text is hashed in pieces and tiled as a whole, once for each item that it may hold.
+
+    Seeds are runs of TILE words (of all words of a shorter item). A filter of fixed size (8 MB) lets through document
+    seeds that an item may have; these are joined with the items' seeds, and only pairs whose seeds could reach the
+    coverage are tiled. A filter too small for a huge benchmark only lets more seeds into the join. A seed that more than
+    HOT documents hold is dealt to several tasks.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string")).distinct().withColumn("item", F.xxhash64("item_id", "text"))
-    item_seeds = materialise(_item_seeds(items.select("item", "text")).groupBy("seed", "item").count(), "item-seeds")
+    item_seeds = materialise(_item_seeds(items.select("item", "text")).groupBy("seed", "width", "item").count(), "item-seeds")
+    widths = sorted(r.width for r in item_seeds.select("width").distinct().collect())  # at most TILE
     bits = docs.sparkSession.sparkContext.broadcast(_seed_filter(item_seeds))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bits.value
         for batch in batches:
-            for at, own in seeds(list(text_bytes(batch))):
-                low = (own & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-                hit = known[low >> 3] >> (low & 7).astype(np.uint8) & 1 > 0
-                pair = np.unique(np.stack([at[hit], own[hit].view(np.int64)]), axis=1)
-                some = batch.take(pa.array(pair[0]))
-                yield pa.RecordBatch.from_arrays([column(some, "doc_id"), column(some, "mark"), pa.array(pair[1])], ["doc_id", "mark", "seed"])
+            held = list(text_bytes(batch))
+            for width in widths:
+                for at, own in seeds(held, width):
+                    low = (own & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+                    hit = known[low >> 3] >> (low & 7).astype(np.uint8) & 1 > 0
+                    pair = np.unique(np.stack([at[hit], own[hit].view(np.int64)]), axis=1)
+                    some = batch.take(pa.array(pair[0]))
+                    yield pa.RecordBatch.from_arrays([column(some, "doc_id"), column(some, "mark"), pa.array(np.full(len(pair[1]), width, np.int32)), pa.array(pair[1])], ["doc_id", "mark", "width", "seed"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").withColumn("mark", F.xxhash64("text"))
-    met = texts.mapInArrow(hits, "doc_id long, mark long, seed long").distinct().join(item_seeds, "seed")
+    held = materialise(texts.mapInArrow(hits, "doc_id long, mark long, width int, seed long").distinct(), "document-seeds")
+    hot = materialise(held.groupBy("width", "seed").count().where(F.col("count") > HOT).select("width", "seed", F.ceil(F.col("count") / HOT).cast("int").alias("deal")), "hot-seeds")
+    if hot.limit(1).count():  # few: each stands for many documents
+        deal = F.coalesce("deal", F.lit(1))
+        held = held.join(hot, ["width", "seed"], "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "mark"), deal).cast("int"))
+        dealt = item_seeds.join(hot, ["width", "seed"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), deal - 1)))
+        met = held.drop("deal").join(dealt.drop("deal"), ["width", "seed", "salt"])
+    else:
+        met = held.join(item_seeds, ["width", "seed"])
     sized = items.withColumn("n_words", F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))).select("item", "item_id", F.col("text").alias("item_text"), "n_words")
-    # a seed covers TILE words at most
-    pairs = met.groupBy("doc_id", "mark", "item").agg(F.sum("count").alias("seeds")).join(sized.select("item", "n_words"), "item")
-    pairs = materialise(pairs.where(F.col("seeds") * TILE >= F.col("n_words") * coverage).select("doc_id", "mark", "item"), "tiling-pairs")
+    # a seed covers its width at most
+    pairs = met.groupBy("doc_id", "mark", "item").agg(F.sum(F.col("count") * F.col("width")).alias("covers")).join(sized.select("item", "n_words"), "item")
+    pairs = materialise(pairs.where(F.col("covers") >= F.col("n_words") * coverage).select("doc_id", "mark", "item"), "tiling-pairs")
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [tiles(words(i), words(t)) for i, t in zip(text_bytes(batch, "item_text"), text_bytes(batch), strict=True)]
+            found = [tiles(own := words(i), words(t), min(TILE, len(own))) for i, t in zip(text_bytes(batch, "item_text"), text_bytes(batch), strict=True)]
             covered = np.array([sum(n for _, _, n in f) for f in found], np.int64)
             names = ("doc_id", "mark", "item_id", "n_words")
             yield pa.RecordBatch.from_arrays([*(column(batch, n) for n in names), pa.array(covered), pa.array([len(f) for f in found], pa.int64())], [*names, "covered", "tiles"])
@@ -192,7 +214,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of docs that hold no benchmark item, with their columns."""
+    """The rows of docs that hold no benchmark item, with their columns, whatever their names. Null and empty texts hold
+    none and stay; rows with equal doc_id and text share their fate; a very long text is tested as a whole; empty tables
+    take nothing away."""
     found = materialise(contamination(docs, benchmark, coverage).select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).distinct(), "contaminated")
     own = (F.xxhash64(F.col("text").cast("string")) == F.col("_mark")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc"))
     return docs.join(found, own, "left_anti")

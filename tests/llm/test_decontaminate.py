@@ -55,13 +55,15 @@ def test_reordered_passages_are_found(spark):
         (4, f"{fill(40)} {' '.join(items[4][1].split()[:12])} {fill(40)}"),  # two fifths of an item
         (5, fill(3000)),
         (6, "too short"),
+        (7, f'{fill(9)} Too, SHORT {fill(9)}'),
+        (8, 'too very short'),
     ] + [(100 + i, f"{items[7][1]} {fill(3)}") for i in range(40)]
     frame = docs(spark, [(d, t, "en", "s", 1) for d, t in data] + rows())
     bench = spark.createDataFrame(items + [items[0]], "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.coverage, r.tiles) for r in D.contamination(clashing(frame), bench.selectExpr("*", "1 as item", "2 as seed")).collect()}
-    assert got == {(1, 0): (1.0, 1), (2, 1): (1.0, 1), (3, 3): (1.0, 2)} | {(100 + i, 7): (1.0, 1) for i in range(40)}
+    assert got == {(1, 0): (1.0, 1), (2, 1): (1.0, 1), (3, 3): (1.0, 2), (6, 20): (1.0, 1), (7, 20): (1.0, 1)} | {(100 + i, 7): (1.0, 1) for i in range(40)}
     kept = D.clean(frame, bench)
-    assert kept.columns == frame.columns and kept.count() == len(data) + len(rows()) - 43
+    assert kept.columns == frame.columns and kept.count() == len(data) + len(rows()) - 45
 
 
 def test_empty_tables(spark):
@@ -79,6 +81,33 @@ def test_long_texts_in_pieces(monkeypatch):
     assert len(whole) == 5000 - D.TILE + 1
 
 
-def test_item_with_too_few_words_never_matches():
+def test_equals_brute_force_over_all_pairs(spark, monkeypatch):
+    """Every document is tiled with every item; seeds, filter, hot seeds and pruning lose nothing and add nothing."""
+    monkeypatch.setattr(D, "HOT", 7)
+    rng = random.Random(8)
+    word = lambda: rng.choice("ash beech cedar date elm fir gum hazel ivy".split())
+    line = lambda n: [word() for _ in range(n)]
+    items = [(i, " ".join(line(rng.choice([1, 2, 3, 4, 5, 6, 9, 14, 20])))) for i in range(40)]
+    data = []
+    for d in range(120):
+        own = line(rng.randint(0, 30))
+        for _ in range(rng.randint(0, 3)):
+            w = rng.choice(items)[1].split()
+            cut = rng.randint(0, len(w))
+            own += rng.choice([w, w[cut:] + w[:cut], w[:cut], w[cut:] + line(2) + w[:cut]]) + line(rng.randint(0, 5))
+        data.append((d, " ".join(own), "en", "s", 1))
+    got = {(r.doc_id, r.item_id): r.covered for r in D.contamination(docs(spark, data), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    expected = {}
+    for d, text, *_ in data:
+        for i, item in items:
+            own = D.words(item.encode())
+            covered = sum(n for *_, n in D.tiles(own, D.words(text.encode()), min(D.TILE, len(own))))
+            if covered >= D.COVERAGE * len(own):
+                expected[d, i] = covered
+    assert got == expected and len(expected) > 100
+
+
+def test_short_items_stand_as_a_whole():
     assert D.tiles(D.words(b"a b"), D.words(b"a b a b"), 5) == []
+    assert D.tiles(D.words(b"a b"), D.words(b"x a b"), 2) == [(0, 1, 2)]
     assert pytest.approx(D.COVERAGE) == 0.6
