@@ -56,6 +56,9 @@ def contiguous_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     another law). A row goes to the shard in which its first byte falls, so a shard is off its target by less
     than the two rows at its ends.
 
+    The law is ``bytes``, which is about sizes alone: a group of equal texts may be larger than a shard, so it may lie
+    in several, as its rows' doc_ids do.
+
     A null text has size 1 and CRC-32 0, like an empty one. A null doc_id comes first. Equal doc_ids are
     ordered by CRC-32, then size; repeated rows are interchangeable. An empty table gives an empty result.
     Very long texts cost no memory, as only their sizes travel.
