@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from heliograph.llm.common import column, materialise, table
 
-#: Pivots are the distinct vectors among at most four times as many rows, taken by a hash of the id.
-PIVOTS = 64
-#: Queries that are solved together, and rows of data that one task holds at once.
+#: Pivots are the distinct vectors among at most four times as many rows, taken by a hash of the id: as many as the
+#: square root of the rows, within these bounds.
+LEAST_PIVOTS, MOST_PIVOTS = 64, 2048
+#: Queries that are solved together, and bytes of vectors that one task holds at once.
 BUNDLE_QUERIES = 4096
-BLOCK_ROWS = 65536
+BLOCK_BYTES = 64 << 20
 #: Products and sums of integers below this are exact in float64.
 EXACT = float(1 << 53)
 
@@ -61,12 +62,14 @@ def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(whole(a) @ whole(b).T, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
-def top_k(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVOTS) -> DataFrame:
+def top_k(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest inner products among all rows of data but its own.
 
     data and queries: vec_id and vec as quantise() makes them. Ties go to the smaller vec_id; a query with fewer
     than k other rows gets them all. Rows with the query's id are its own; of query rows with equal ids one
     counts, the smallest as packed bytes; repeated rows of data each take part. Empty input gives an empty result.
+    Vectors of unequal length meet on the components that both have: what one lacks counts as zero. Scores beyond the
+    range of long are cut to its ends, and then tie.
 
     1. Every row joins the cell of its nearest pivot. Cells have summaries: rows, radius, and the same for queries.
     2. With pivots p and radii r, the product of a query in cell i with a row in cell j is at least
@@ -78,11 +81,12 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVOTS)
        gives at most k rows for each query, and these are ranked. A vector that fills a third of all rows is spread
        over all blocks like any other.
 
-    The driver holds pivots and summaries only (at most PIVOTS rows).
+    The driver holds pivots and summaries only: at most MOST_PIVOTS rows.
     """
     data = materialise(data, "knn-data")
     n, width = data.agg(F.count("*"), F.coalesce(F.max(F.octet_length("vec")), F.lit(0))).first()
     width //= 8
+    pivots = pivots or int(min(max(n**0.5, LEAST_PIVOTS), MOST_PIVOTS))
     sample = data.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(4 * pivots).select("vec").collect()  # bounded
     heads = _matrix([bytes(v) for v in dict.fromkeys(bytes(r.vec) for r in sample)][:pivots], width)
     empty = data.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -124,7 +128,7 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVOTS)
     # bundles of query cells, in the order of their numbers, so that the driver and tasks agree
     bundle = ((np.cumsum(count) - count) // BUNDLE_QUERIES).astype(np.int32)
     asking = np.flatnonzero(count)
-    blocks = max(-(-n // BLOCK_ROWS), min(32, -(-n // 256)))
+    blocks = max(-(-n * max(width, 1) * 8 // BLOCK_BYTES), min(32, -(-n // 256)))
 
     def needed(own: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """Whether each row may be among the best of each query cell; the margin is beyond all rounding."""
