@@ -1,4 +1,9 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+Each stage takes documents with any further columns, whatever their names, and returns the same columns (the last one a
+shard besides). Nulls may stand in any column; texts may be empty or very long; doc_ids may be tied, rows repeated and
+the table empty, which gives an empty table. What each stage does with these is said below.
+"""
 
 from __future__ import annotations
 
@@ -14,28 +19,34 @@ from heliograph.llm.sharding import with_shards
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the models know; lang becomes the predicted one."""
+    """Documents in a language that the models know; lang becomes the predicted one. A text that is null, empty or
+    without a letter has no language and goes; so does every document if none has a label to learn from. Equal rows
+    share their fate. Very long texts are scored as a whole."""
     found = identify(docs, fit(docs), carry=tuple(docs.columns)).where("accepted")
     return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies."""
+    """One document of each group of copies and near copies (five-word shingles, Jaccard similarity of 0.8 or more): the
+    smallest doc_id, a null one last; of repeated rows one. Null and empty texts are copies of each other."""
     return keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. A null or empty text holds none and stays; repeated rows share their
+    fate; null and empty items are in no document."""
     return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, up to three times. Null sources are one source; a source without
+    words, so one of null and empty texts, gives none. Repeated rows and equal doc_ids count as documents of their own."""
     return mixed(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with the number of their shard."""
+    """All rows, with the number of their shard. A null text counts one byte, a null doc_id comes first; rows with equal
+    doc_id and text are in one shard."""
     return with_shards(docs)
 
 
