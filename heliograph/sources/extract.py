@@ -20,6 +20,9 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from heliograph.sources import ole
+from heliograph.sources.pdf import pdf
+
 # Fixed values.
 SKIPPED_TAGS = frozenset("script style noscript template svg head".split())
 BLOCK_TAGS = frozenset("p div br li ul ol h1 h2 h3 h4 h5 h6 tr td th table section article header footer blockquote pre hr title".split())
@@ -282,12 +285,17 @@ FORMATS: dict[str, Callable[[bytes], Iterator[Block] | list[Block]]] = {
     "odp": lambda d: odf(d, "odp"),
     "epub": epub,
     "eml": eml,
+    "msg": lambda d: ole.msg(d, html_text),
+    "pdf": pdf,
+    "doc": ole.doc,
+    "ppt": ole.ppt,
+    "xls": ole.xls,
 }
 
 
 def extract(files: DataFrame, more: dict[str, Callable[[bytes], Iterator[Block]]] | None = None) -> DataFrame:
     """Blocks of files (path, content). Suffixes without a reader of their own are plain text; `more` adds readers
-    (PDF, legacy office, OCR, speech) or replaces them. Errors are told in their column."""
+    (OCR, speech) or replaces them. Errors are told in their column."""
     readers = FORMATS | (more or {})
 
     def each(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
