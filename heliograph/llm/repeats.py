@@ -17,7 +17,9 @@ document; rows travel packed in blocks of arrays.
 
 from __future__ import annotations
 
+import atexit
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import column, materialise, release, table
+from heliograph.llm.common import column, materialise, release, remove, shared_dir, table
 
 WINDOW, DIGIT = 50, 32
 SLIDE = WINDOW - DIGIT  # an anchor is this far from its window's start at most
@@ -36,6 +38,9 @@ FLUSH = 1 << 18  # suffixes that are combined at once
 BUCKET_BYTES, PART_BYTES = 4 << 20, 6 << 20
 AT = (1 << 40) - 1  # the low bits of a position; above them what tells apart texts with one doc_id
 LAST = (1 << 63) - 1  # stands for a null doc_id
+STEP = 7919  # from one mark to the next bucket
+#: Bytes of texts for each file of the bucketed table, and its files at most.
+FILE_BYTES, FILES = 16 << 20, 1 << 14
 #: Bytes that travel of both digits' hashes, doc and position. The part holds further bits of the first; two first
 #: digits that are taken for one only cost work, as the second tells them apart.
 WIDTHS = (5, 6, 8, 8)
@@ -193,8 +198,13 @@ def _by_key(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield keys[rows[0]], rows
 
 
+def _bucket(doc: np.ndarray, mark: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a text: by doc_id, and by what tells apart texts with one doc_id or none."""
+    return (doc % buckets + mark * STEP % buckets) % buckets
+
+
 def _to_docs(kind: str, doc: np.ndarray, pos: np.ndarray, buckets: int) -> Iterator[tuple[str, int, bytes]]:
-    for key, rows in _by_key(doc % buckets):
+    for key, rows in _by_key(_bucket(doc, pos >> 40, buckets)):
         rows = rows[np.lexsort((pos[rows], doc[rows]))]
         yield _row(kind, key, pack((doc[rows], 8), (pos[rows], 8)))
 
@@ -478,6 +488,23 @@ def _prime(n: int) -> int:
     return n
 
 
+def _bucketed(texts: DataFrame, files: int) -> DataFrame:
+    """texts as a table whose files are by bucket, in the shared folder: they are dealt out once, and each pass that
+    brings texts and what is known of them together only deals out the latter."""
+    spark = texts.sparkSession
+    name = f"repeats_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    texts.repartition(files, "bucket").write.bucketBy(files, "bucket").option("compression", "zstd").option("path", path).saveAsTable(name)
+    atexit.register(_forget, spark, name, path)
+    return spark.table(name)
+
+
+def _forget(spark: SparkSession, name: str, path: str) -> None:
+    if spark.sparkContext._jsc is not None:  # else the session has ended, and the table with it
+        spark.sql(f"drop table if exists {name}")
+        remove(spark, path)
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (starts and ends of what goes, in bytes) of every
     document: what goes is each byte in a 50-byte string that also starts in a document with a smaller doc_id.
@@ -503,7 +530,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     own = whole.select("doc_id", mark.alias("mark"), F.col("text").cast("binary").alias("text"))
 
     row = "kind string, key int, blob binary"
-    by_bucket = own.withColumn("bucket", F.pmod("doc_id", F.lit(buckets)).cast("int")).groupBy("bucket")
+    place = F.pmod(F.pmod("doc_id", F.lit(buckets)) + F.pmod(F.col("mark") * STEP, F.lit(buckets)), F.lit(buckets)).cast("int")
+    by_bucket = _bucketed(own.withColumn("bucket", place), min(FILES, max(8, -(-size // FILE_BYTES)))).groupBy("bucket")
 
     def passed(rows: DataFrame, one_pass) -> DataFrame:
         """Rows through the tasks of their parts; what is left for the texts is little, and is written, so that the
