@@ -10,11 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import column, table, text_bytes
+from heliograph.llm.common import column, materialise, table, text_bytes
 
 ORDER = 4
-#: Models are fitted on at most so many whole documents of each language, the first by a hash of doc_id.
-SAMPLE_DOCS = 300
+#: Models are fitted on at most so many whole documents of each language, the first by a hash of doc_id, and on no more
+#: of these than reach this many bytes; the one that reaches them counts.
+SAMPLE_DOCS, SAMPLE_BYTES = 300, 4 << 20
+#: Languages whose models are looked up side by side: what all models take grows with their number, not its square.
+SIDE_BY_SIDE = 16
+#: Languages up to which their counts and the names of all sampled documents are sent to every task.
+SENT_LANGUAGES = 1000
+#: Symbols of the pieces on which a language with few held-back texts is calibrated.
+PIECE = 200
 #: One in so many of these is held back to calibrate the rejection.
 CALIBRATE = 5
 #: Standard deviations above the calibrated cross-entropy from which a text is rejected. The spread between texts
@@ -121,12 +128,11 @@ class Hashed:
         return out
 
 
-class Models:
-    """Models of all languages side by side: one lookup serves them all."""
+class Group:
+    """Models of some languages side by side: one lookup serves them all."""
 
-    def __init__(self, own: dict[str, dict[str, np.ndarray]], limits: dict[str, tuple[float, float, float]] | None = None):
+    def __init__(self, own: dict[str, dict[str, np.ndarray]]):
         self.names = sorted(own)
-        self.limits = limits or {}
         self.levels: list[tuple[Hashed, Hashed]] = []
         below_keys, below = np.zeros(1, np.uint64), np.full((1, len(self.names)), UNIFORM)
         for order in range(1, ORDER + 1):
@@ -164,6 +170,19 @@ class Models:
         out[open_] = weight + np.float32(np.log(UNIFORM))
         return out
 
+
+class Models:
+    """Models of all languages, SIDE_BY_SIDE in a group."""
+
+    def __init__(self, own: dict[str, dict[str, np.ndarray]], limits: dict[str, tuple[float, float, float]] | None = None):
+        self.names = sorted(own)
+        self.limits = limits or {}
+        self.groups = [Group({n: own[n] for n in self.names[at : at + SIDE_BY_SIDE]}) for at in range(0, len(self.names), SIDE_BY_SIDE)]
+
+    def logs(self, keys: np.ndarray) -> np.ndarray:
+        """Log probability of each n-gram's last symbol under every language."""
+        return self.groups[0].logs(keys) if len(self.groups) == 1 else np.concatenate([g.logs(keys) for g in self.groups], axis=1)
+
     def entropies(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Mean negative log probability of each text's symbols under every language, their number, letters' number."""
         total = np.zeros((len(texts), len(self.names)))
@@ -210,12 +229,23 @@ class Models:
         return names, np.where(none, 0.0, score), np.where(none, np.nan, least), accepted & ~none
 
 
-def calibrate(models: Models, name: str, texts: list[bytes | None]) -> tuple[float, float, float]:
-    """Mean cross-entropy of a language's own held-back texts, its spread between texts, and within them."""
+def calibrate(models: Models, name: str, texts: list[bytes | None], others: list[bytes | None] = ()) -> tuple[float, float, float]:
+    """Mean cross-entropy of a language's own held-back texts, its spread between texts, and within them.
+
+    With fewer than five such texts, pieces of them count, and with fewer than five pieces those of the other texts, too;
+    the spread between texts then is at least SPREAD like that of any language. A language without a letter rejects
+    all, as nothing is ever nearest to it."""
     entropy, size, letters = models.entropies(texts)
+    if (letters > 0).sum() < 5:
+        cut = lambda some: [p for t in some for line in [(t or b"").decode()] for p in (line[i : i + PIECE].encode() for i in range(0, len(line), PIECE))]
+        pieces = cut(texts)
+        if sum(bool((symbols(p) != _SPACE).any()) for p in pieces) < 5:
+            pieces += cut(others)
+        texts = pieces
+        entropy, size, letters = models.entropies(texts)
     own = entropy[letters > 0, models.names.index(name)]
-    if len(own) < 5:
-        return np.inf, 0.0, 0.0
+    if not len(own):
+        return 0.0, 0.0, 0.0
     some = texts[: min(len(texts), 50)]
     logs = models.logs(np.concatenate([grams(symbols(t)) for t in some]))[:, models.names.index(name)]
     weight = size[letters > 0]
@@ -232,14 +262,23 @@ def held_out(doc_id: str = "doc_id"):
 def fit(docs: DataFrame) -> Models | None:
     """Models of all languages that documents outside the held-out fifth are labelled with; None without any.
 
-    At most SAMPLE_DOCS whole texts of each language are used, chosen by a hash of doc_id on a table without texts;
-    each language is counted in one task, and the driver only gets the arrays.
+    At most SAMPLE_DOCS whole texts of each language, of SAMPLE_BYTES in all, are used, chosen by a hash of doc_id on a
+    table without texts. Languages are counted first, and only documents whose hash is in the lowest part that holds some
+    four times SAMPLE_DOCS are ranked, so that a language with most of the rows isn't ranked in one task; repeated rows
+    share a hash and so a place. Each language is counted in one task, and the driver only gets the arrays.
     """
     labelled = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id")), "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_DOCS)
-    # SAMPLE_DOCS rows for each language
-    sample = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
+    slim = labelled.select("doc_id", "lang", F.octet_length("text").alias("n_bytes"), F.xxhash64(F.col("doc_id")).alias("place"))
+    counted = materialise(slim.groupBy("lang").agg(F.count("*").alias("n_docs")), "languages")
+    few = counted.count() <= SENT_LANGUAGES  # else all is joined
+    sent = F.broadcast if few else lambda df: df
+    low = (F.shiftrightunsigned("place", 11) / float(1 << 53)) * F.col("n_docs") < 4 * SAMPLE_DOCS
+    first = Window.partitionBy("lang").orderBy("place", "doc_id", "n_bytes")
+    before = F.coalesce(F.sum("n_bytes").over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = slim.join(sent(counted), "lang").where(low).withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_DOCS).withColumn("before", before).where(F.col("before") < SAMPLE_BYTES)
+    chosen = chosen.select("doc_id", "lang", "n").dropDuplicates(["doc_id", "lang"])
+    # SAMPLE_DOCS rows for each language at most
+    sample = labelled.select("doc_id", "lang", "text").join(sent(chosen), ["doc_id", "lang"])
 
     def own(rows: pa.Table) -> pa.Table:
         order = np.argsort(rows["n"].to_numpy())
@@ -250,7 +289,7 @@ def fit(docs: DataFrame) -> Models | None:
             used = [b" "]  # nothing to learn, yet a label
         name = rows["lang"][0].as_py()
         model = train(used)
-        limits = calibrate(Models({name: model}), name, back)
+        limits = calibrate(Models({name: model}), name, back, used)
         np.savez(out := io.BytesIO(), limits=np.array(limits), **model)
         return pa.table({"lang": [name], "model": pa.array([out.getvalue()], pa.binary())})
 
@@ -266,7 +305,8 @@ def identify(docs: DataFrame, models: Models | None, carry: tuple[str, ...] = ("
     """carry columns, lang_pred, score, cross_entropy and accepted of every whole text.
 
     Looks only at text. A null text or one without a letter is ``und``, with score 0, no cross-entropy and not
-    accepted; so is everything if there is no model. Other texts get the language with the lowest cross-entropy for
+    accepted; so is everything, with `und`, if there is no model, as then there is no learned value to tell. A very long text
+    is scored in pieces and as a whole. An empty table gives an empty result. Other texts get the language with the lowest cross-entropy for
     each symbol; they are accepted unless it is far above what that language's held-back texts had. Repeated rows
     each give a row; extra columns stay if carried. No exchange.
     """

@@ -92,3 +92,21 @@ def test_nothing_to_learn(spark):
     frame = docs(spark, [(1, "abc", None, "a", 1), (2, None, "en", "a", 1)])
     assert [r.lang_pred for r in L.identify(frame, L.fit(frame)).collect()] == ["und", "und"]
     assert L.identify(docs(spark, []), None).count() == 0
+
+
+def test_small_languages_reject_too(spark):
+    """With two texts to learn from, what is nothing like them is still rejected."""
+    few = [(i, "the quick brown fox jumps over the lazy dog and runs away from here " * 6, "en", "s", 1) for i in range(3)]
+    few += [(10 + i, "der schnelle braune fuchs springt über den faulen hund und läuft weg " * 6, "de", "s", 1) for i in range(3)]
+    frame = docs(spark, few + [(100, "Ωμέγα ψυχή λόγος " * 30, None, "s", 1), (101, "the lazy dog runs over the quick fox", None, "s", 1)])
+    got = {r.doc_id: r for r in L.identify(frame, L.fit(frame)).collect()}
+    assert not got[100].accepted and got[101].accepted and got[101].lang_pred == "en"
+    assert all(got[d].accepted for d, *_ in few)
+
+
+def test_groups_of_languages_agree(spark, monkeypatch):
+    texts = {f"l{k}": [f"{chr(97 + k)}{chr(98 + k)} word{chr(99 + k)} " * 9] for k in range(7)}
+    own = {n: L.train([t.encode() for t in ts]) for n, ts in texts.items()}
+    whole = L.Models(own).entropies([t.encode() for ts in texts.values() for t in ts])[0]
+    monkeypatch.setattr(L, "SIDE_BY_SIDE", 2)
+    assert np.allclose(L.Models(own).entropies([t.encode() for ts in texts.values() for t in ts])[0], whole)
