@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import atexit
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from heliograph.sources.tables import removed as remove
+from heliograph.sources.tables import shared_folder as shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,31 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Where it is unset, a local session (one process) gets a temporary folder; a cluster is refused,
-    as its machines share no temporary folder.
-    """
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local[") and context.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-    folder = tempfile.mkdtemp(prefix="heliograph-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    context.setCheckpointDir(folder)
-    return folder
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # the session may have ended; the folder is scratch space
-        pass
-
-
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back.
 

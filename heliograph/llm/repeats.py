@@ -502,7 +502,7 @@ def _bucketed(texts: DataFrame, files: int) -> DataFrame:
 def _forget(spark: SparkSession, name: str, path: str) -> None:
     if spark.sparkContext._jsc is not None:  # else the session has ended, and the table with it
         spark.sql(f"drop table if exists {name}")
-        remove(spark, path)
+    remove(spark, path)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
