@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,8 +76,13 @@ def in_type(file_type: Column, ext: Column, audio_only: Column) -> Column:
     return F.when(F.coalesce(audio_only, F.lit(False)) & file_type.isin("audio", "video"), file_type == "audio").otherwise(by_ext)
 
 
+#: Queries that one pass over the records answers; more are answered in several.
+BLOCK = 10_000
+
+
 def matching(records: DataFrame, parsed: DataFrame) -> DataFrame:
-    """query_id and the records that its filters let through. parsed is a stated, small query set."""
+    """query_id and the records that its filters let through. The stated queries go to the records block by block, as
+    ranges and substrings have no key to join on."""
     p, yes = F.col, F.lit(True)
     hold = (
         F.coalesce(in_type(p("file_type"), p("ext"), p("audio_only")), yes)
@@ -85,7 +92,10 @@ def matching(records: DataFrame, parsed: DataFrame) -> DataFrame:
         & F.coalesce(p("size") < p("size_max"), yes)
         & F.coalesce(F.contains(F.lower(p("path")), p("path_contains")), yes)
     )
-    return records.where("not deleted").join(parsed, hold)
+    live = records.where("not deleted")
+    blocks = max(1, -(-parsed.count() // BLOCK))
+    own = [parsed.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else parsed for b in range(blocks)]
+    return reduce(DataFrame.unionByName, [live.join(F.broadcast(some), hold) for some in own])
 
 
 def contained(records: DataFrame, roots: DataFrame) -> DataFrame:

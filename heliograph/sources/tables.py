@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -13,7 +14,8 @@ def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a local session without it gets a temporary folder, a cluster is refused."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     folder = tempfile.mkdtemp(prefix="heliograph-")
     spark.conf.set("spark.checkpoint.dir", folder)
@@ -31,6 +33,10 @@ def written(df: DataFrame) -> DataFrame:
 
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a folder of intermediate data; nothing happens if the session has ended."""
-    if spark.sparkContext._jsc is not None:
+    if spark.sparkContext._jsc is None:
+        return
+    try:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except (Py4JError, OSError):  # the JVM is gone; this is scratch space
+        return
