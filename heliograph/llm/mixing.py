@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import table
+from heliograph.llm.common import materialise, table
 
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
@@ -99,7 +99,8 @@ def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, m
         .withColumn("class", F.call_function("shiftleft", F.call_function("shiftright", F.col("size"), tail), tail))
         .withColumn("block", F.col("place") % blocks)
     )
-    counts = keyed.groupBy("source", "class", "block").agg(F.count("*").alias("rows"), F.sum("size").alias("words"), F.first("name").alias("name"))
+    # texts are counted twice only: for this table, and where the copies are told
+    counts = materialise(keyed.groupBy("source", "class", "block").agg(F.count("*").alias("rows"), F.sum("size").alias("words"), F.first("name").alias("name")), "mix-counts")
     earlier = Window.partitionBy("source", "class").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("source", "class", "block", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
     classes = counts.groupBy("source", "class").agg(F.sum("rows").alias("rows"), F.sum("words").alias("words"), F.first("name").alias("name"))
