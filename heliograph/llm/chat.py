@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from heliograph.llm.common import table
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: Parts of a conversation whose places are summed up together.
+BLOCK = 256
 #: Kinds of events. A start, edit or regenerate sets a message's text anew; a delta adds to it; a delete drops it.
 KINDS = ("start", "edit", "regenerate", "delta", "delete")
 
@@ -88,26 +90,22 @@ def render(conversations: DataFrame) -> DataFrame:
         ),
     )
     tail = len(END) + 1
-    # a running sum over the parts gives each body's place
-    spans = F.aggregate(
-        "parts",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p["head"]) + F.length(p["body"]) + tail).alias("at"),
-            F.when(
-                p["loss"],
-                F.array_append(
-                    a["spans"],
-                    F.struct(
-                        (a["at"] + F.length(p["head"])).alias("start"),
-                        (a["at"] + F.length(p["head"]) + F.length(p["body"])).alias("end"),
-                    ),
-                ),
-            )
-            .otherwise(a["spans"])
-            .alias("spans"),
-        ),
-    )["spans"]
+    # running sums over blocks of parts, and over the blocks, give each body's place: arrays grow within a block only
+    nothing = F.array().cast("array<struct<start:int,end:int>>")
+
+    def step(a: Column, p: Column) -> Column:
+        begin = a["at"] + F.length(p["head"])
+        end = begin + F.length(p["body"])
+        own = F.struct(begin.alias("start"), end.alias("end"))
+        return F.struct((end + tail).alias("at"), F.when(p["loss"], F.array_append(a["spans"], own)).otherwise(a["spans"]).alias("spans"))
+
+    def shifted(a: Column, b: Column) -> Column:
+        moved = F.transform(b["spans"], lambda s: F.struct((s["start"] + a["at"]).alias("start"), (s["end"] + a["at"]).alias("end")))
+        return F.struct((a["at"] + b["at"]).alias("at"), F.array_append(a["all"], moved).alias("all"))
+
+    numbers = F.sequence(F.lit(0), F.greatest(F.ceil(F.size("parts") / BLOCK).cast("int") - 1, F.lit(0)))
+    blocks = F.transform(numbers, lambda i: F.aggregate(F.slice("parts", i * BLOCK + 1, BLOCK), F.struct(F.lit(0).alias("at"), nothing.alias("spans")), step))
+    spans = F.flatten(F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int>>>").alias("all")), shifted)["all"])
     return conversations.select("conv_id", parts.alias("parts")).select(
         "conv_id",
         F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END + "\n"))), "").alias("formatted"),
@@ -128,8 +126,12 @@ def read_back(formatted: Column) -> Column:
 
 
 def masked(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, each span unescaped by itself."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, s["start"] + 1, s["end"] - s["start"]))), "")
+    """All text under the loss mask, each span unescaped by itself. Spans are cut from a form with four bytes for each code
+    point, made once, so that a span late in a long string costs no more than an early one."""
+    mark = F.lit(bytearray(b"\0\0\xfe\xff"))  # what decoding takes as the order of bytes; a text may begin with such a sign
+    cut = lambda wide, s: F.decode(F.concat(mark, F.substr(wide, s["start"] * 4 + 1, (s["end"] - s["start"]) * 4)), "UTF-32")
+    one = F.transform(F.array(F.encode(formatted, "UTF-32")), lambda wide: F.array_join(F.transform(spans, lambda s: unescape(cut(wide, s))), ""))
+    return F.element_at(one, 1)
 
 
 def as_log(conversations: DataFrame) -> DataFrame:

@@ -62,3 +62,15 @@ def test_native(spark):
     frame = chat.render(chat.fold(spark.createDataFrame([(1, 1, "m", "start", "user", "x")], LOG)))
     plan = frame._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow")) or pytest.fail(plan)
+
+
+def test_long_conversations(spark):
+    """Many turns, with texts that begin with byte order marks or lie beyond the basic plane."""
+    n = 3000
+    texts = ["﻿x" if i % 7 == 3 else "𝄞" * (i % 5) if i % 3 else f"{chat.END} turn {i}" for i in range(n)]
+    turns = spark.createDataFrame([(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(texts)] + [(2, 0, "user", "q")], "conv_id long, turn long, role string, text string")
+    done = chat.render(chat.fold(chat.as_log(turns))).select("conv_id", chat.masked(F.col("formatted"), F.col("loss_spans")).alias("loss"), chat.read_back(F.col("formatted")).alias("turns"), F.size("loss_spans").alias("n"))
+    got = {r.conv_id: r for r in done.collect()}
+    assert got[1].loss == "".join(t for i, t in enumerate(texts) if i % 2) and got[1].n == n // 2
+    assert [t.text for t in got[1].turns] == texts
+    assert got[2].loss == "" and got[2].n == 0
