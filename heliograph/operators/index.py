@@ -25,13 +25,18 @@ from pyspark.sql.types import StructType
 
 from heliograph.config import DEFAULTS, Settings
 from heliograph.functions.text import tokens
+from heliograph.sources.tables import written
 
 SHARD = 8192
 #: Queries that one pass over the shards answers; more are answered in several.
 BLOCK = 20_000
 _FAR = 1 << 32
 
-POSTINGS = "shard long, term string, place array<int>, tf array<int>, pos array<int>, ids array<string>, docs array<long>"
+#: Hits up to which they are sent to the shards' names; more are joined with them.
+SENT = 1_000_000
+
+POSTINGS = "shard long, term string, place array<int>, tf array<int>, len array<int>, pos array<int>, ids array<string>, docs array<long>"
+FOUND = "query_id long, batch string, shard long, place int, score double, places long"
 HITS = "query_id long, chunk_id string, doc_id long, score double, places long"
 
 
@@ -41,7 +46,7 @@ def _lists(values: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.Arra
 
 def invert(shard: np.ndarray, place: np.ndarray, words: pa.ListArray, ids: pa.Array, docs: pa.Array) -> Iterator[pa.RecordBatch]:
     """Postings of some chunks: a row for each term of each shard, and one without a term for the shard's chunks."""
-    schema = pa.schema([("shard", pa.int64()), ("term", pa.string()), *((n, pa.list_(pa.int32())) for n in ("place", "tf", "pos")), ("ids", pa.list_(pa.string())), ("docs", pa.list_(pa.int64()))])
+    schema = pa.schema([("shard", pa.int64()), ("term", pa.string()), *((n, pa.list_(pa.int32())) for n in ("place", "tf", "len", "pos")), ("ids", pa.list_(pa.string())), ("docs", pa.list_(pa.int64()))])
     lengths = np.diff(words.offsets.to_numpy()).astype(np.int64)
     coded = words.flatten().dictionary_encode()
     term = coded.indices.to_numpy().astype(np.int64)
@@ -57,7 +62,7 @@ def invert(shard: np.ndarray, place: np.ndarray, words: pa.ListArray, ids: pa.Ar
         by_row = np.searchsorted(at, lists)
         none = pa.nulls(len(lists))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(shard[row[lists]]), coded.dictionary.take(pa.array(term[lists])).cast(pa.string()), _lists(place[row[at]], by_row, pa.int32()), _lists(counts, by_row, pa.int32()), _lists(position, lists, pa.int32()), none.cast(schema.field("ids").type), none.cast(schema.field("docs").type)],
+            [pa.array(shard[row[lists]]), coded.dictionary.take(pa.array(term[lists])).cast(pa.string()), _lists(place[row[at]], by_row, pa.int32()), _lists(counts, by_row, pa.int32()), _lists(lengths[row[at]], by_row, pa.int32()), _lists(position, lists, pa.int32()), none.cast(schema.field("ids").type), none.cast(schema.field("docs").type)],
             schema=schema,
         )
     if len(shard):
@@ -65,39 +70,38 @@ def invert(shard: np.ndarray, place: np.ndarray, words: pa.ListArray, ids: pa.Ar
         starts = np.flatnonzero(np.r_[True, shard[order][1:] != shard[order][:-1]])
         held = lambda values, kind: pa.ListArray.from_arrays(pa.array(np.r_[starts, len(order)], pa.int32()), values.take(pa.array(order)).cast(kind))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(shard[order][starts]), pa.array([""] * len(starts)), _lists(place[order], starts, pa.int32()), _lists(lengths[order], starts, pa.int32()), pa.nulls(len(starts)).cast(schema.field("pos").type), held(ids, pa.string()), held(docs, pa.int64())],
+            [pa.array(shard[order][starts]), pa.array([""] * len(starts)), _lists(place[order], starts, pa.int32()), _lists(lengths[order], starts, pa.int32()), *[pa.nulls(len(starts)).cast(schema.field("pos").type)] * 2, held(ids, pa.string()), held(docs, pa.int64())],
             schema=schema,
         )
 
 
 @dataclass
 class Shard:
-    """Postings of the queried terms in one shard, as arrays."""
+    """Postings of the queried terms in one shard, as arrays: places, counts, and places with positions."""
 
-    ids: np.ndarray
-    docs: np.ndarray
     length: np.ndarray
     terms: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, rows: pa.Table) -> Shard:
+    def of(cls, rows: pa.Table, scoped: bool) -> Shard:
         size = 1 + (pc.max(rows["place"].combine_chunks().flatten()).as_py() or 0)
-        out = cls(np.full(size, "", object), np.zeros(size, np.int64), np.full(size, -1, np.int64))
-        for term, place, tf, pos, ids, docs in zip(*(rows[c] for c in ("term", "place", "tf", "pos", "ids", "docs")), strict=True):
-            place, tf = (x.values.to_numpy().astype(np.int64) for x in (place, tf))
+        out, live = cls(np.zeros(size, np.int64)), np.full(size, not scoped)
+        for term, place, tf, length, pos in zip(*(rows[c] for c in ("term", "place", "tf", "len", "pos")), strict=True):
+            place = place.values.to_numpy().astype(np.int64)
             if term.as_py() == "":  # only these chunks are in scope
-                out.ids[place], out.docs[place], out.length[place] = ids.as_py(), docs.values.to_numpy(), tf
+                live[place] = True
                 continue
+            tf = tf.values.to_numpy().astype(np.int64)
+            out.length[place] = length.values.to_numpy()
             key = np.repeat(place, tf) * _FAR + pos.values.to_numpy()
             if term.as_py() in out.terms:  # a shard that several tasks have read
                 a, b, c = out.terms[term.as_py()]
                 order = np.argsort(np.r_[a, place])
                 place, tf, key = np.r_[a, place][order], np.r_[b, tf][order], np.sort(np.r_[c, key])
             out.terms[term.as_py()] = place, tf, key
-        for term, (place, tf, key) in out.terms.items():
-            keep = out.length[place] >= 0
-            if not keep.all():
-                out.terms[term] = place[keep], tf[keep], key[out.length[key // _FAR] >= 0]
+        for term, (place, tf, key) in out.terms.items() if scoped else ():
+            keep = live[place]
+            out.terms[term] = place[keep], tf[keep], key[live[key // _FAR]]
         return out
 
     def holding(self, terms: list[str], least: int) -> np.ndarray:
@@ -310,17 +314,21 @@ class KeywordIndex:
             least = len(terms) if mode != "half" else max(1, -(-len(terms) // 2))
             if sum(t in known for t in terms) >= least:
                 plan.append((q, line, terms, least))
-        rows = self.postings().where("term <> ''").join(F.broadcast(wanted), "term")
-        every = self.postings().where("term = ''")
+        columns = ["batch", "shard", "term", "place", "tf", "len", "pos"]
+        rows = self.postings().where("term <> ''").join(F.broadcast(wanted), "term").select(columns)
+        every = self.postings().where("term = ''").select("batch", "shard", "place", "ids", "docs")
         if scope is not None:
-            line = every.select("batch", "shard", F.explode(F.arrays_zip("place", "tf", "ids", "docs")).alias("c")).select("batch", "shard", "c.*").join(scope.select(F.col("doc_id").alias("docs")).distinct(), "docs", "left_semi")
-            every = line.groupBy("batch", "shard").agg(F.collect_list(F.struct("place", "tf", "ids", "docs")).alias("c"))
-            every = every.select("batch", "shard", F.lit("").alias("term"), "c.place", "c.tf", F.lit(None).cast("array<int>").alias("pos"), "c.ids", "c.docs")
-        columns = ["batch", "shard", "term", "place", "tf", "pos", "ids", "docs"]
-        found = rows.select(columns).unionByName(every.select(columns)).groupBy("batch", "shard").applyInArrow(_solver(plan, mode, k, idf, mean, s), HITS)
-        if k is None:
-            return found
-        return ranked(found, k).drop("rank")
+            line = every.select("batch", "shard", F.explode(F.arrays_zip("place", "docs")).alias("c")).join(scope.select(F.col("doc_id").alias("_doc")).distinct(), F.col("c.docs") == F.col("_doc"), "left_semi")
+            none = F.lit(None).cast("array<int>")
+            rows = rows.unionByName(line.groupBy("batch", "shard").agg(F.collect_list("c.place").alias("place")).select("batch", "shard", F.lit("").alias("term"), "place", none.alias("tf"), none.alias("len"), none.alias("pos")))
+        found = rows.groupBy("batch", "shard").applyInArrow(_solver(plan, mode, k, idf, mean, s, scope is not None), FOUND)
+        if k is not None:  # each task's best and what ties with them, then all tasks'; only these are looked up
+            best = F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+            found = written(found.withColumn("_r", best).where(F.col("_r") <= k).drop("_r"))
+            found = F.broadcast(found) if found.count() <= SENT else found
+        named = every.withColumnRenamed("place", "own").join(found, ["batch", "shard"]).withColumn("at", F.array_position("own", F.col("place")).cast("int")).where("at > 0")
+        hits = named.select("query_id", F.element_at("ids", F.col("at")).alias("chunk_id"), F.element_at("docs", F.col("at")).alias("doc_id"), "score", "places")
+        return hits if k is None else ranked(hits, k).drop("rank")
 
 
 def ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -328,11 +336,12 @@ def ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
 
 
-def _solver(plan: list, mode: str, k: int | None, idf: dict[str, float], mean: float, s: Settings) -> Callable[[pa.Table], pa.Table]:
-    schema = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.string()), ("doc_id", pa.int64()), ("score", pa.float64()), ("places", pa.int64())])
+def _solver(plan: list, mode: str, k: int | None, idf: dict[str, float], mean: float, s: Settings, scoped: bool) -> Callable[[pa.Table], pa.Table]:
+    schema = pa.schema([("query_id", pa.int64()), ("batch", pa.string()), ("shard", pa.int64()), ("place", pa.int32()), ("score", pa.float64()), ("places", pa.int64())])
 
     def solve(rows: pa.Table) -> pa.Table:
-        shard = Shard.of(rows.combine_chunks())
+        batch, number = rows["batch"][0].as_py(), rows["shard"][0].as_py()
+        shard = Shard.of(rows.combine_chunks(), scoped)
         out = []
         for q, line, terms, least in plan:
             if mode == "phrase":
@@ -343,14 +352,14 @@ def _solver(plan: list, mode: str, k: int | None, idf: dict[str, float], mean: f
             if not len(places):
                 continue
             score = shard.scores(places, terms, idf, mean, s)
-            if k is not None and len(places) > k:  # all that reach the k-th score, then by id
-                keep = np.flatnonzero(score >= np.partition(score, -k)[-k])
-                keep = keep[np.lexsort((shard.ids[places[keep]].astype(str), -score[keep]))][:k]
+            if k is not None and len(places) > k:  # all that reach the k-th score
+                keep = score >= np.partition(score, -k)[-k]
                 places, counts, score = places[keep], counts[keep], score[keep]
-            out.append((np.full(len(places), q), shard.ids[places], shard.docs[places], score, counts))
+            out.append((np.full(len(places), q), places, score, counts))
         if not out:
             return schema.empty_table()
-        return pa.table([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        query, place, score, counts = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table([pa.array(query), pa.array([batch] * len(query)), pa.array(np.full(len(query), number)), pa.array(place, pa.int32()), pa.array(score), pa.array(counts)], schema=schema)
 
     return solve
 
