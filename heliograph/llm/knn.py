@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from heliograph.llm.common import column, materialise, table
 
-#: Pivots are the distinct vectors among at most four times as many rows, taken by a hash of the id: as many as the
+#: Pivots are the distinct vectors among at most four times as many rows, taken by a hash of the id: half as many as the
 #: square root of the rows, within these bounds.
 LEAST_PIVOTS, MOST_PIVOTS = 64, 2048
 #: Queries that are solved together, and bytes of vectors that one task holds at once.
@@ -86,7 +86,7 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int | None =
     data = materialise(data, "knn-data")
     n, width = data.agg(F.count("*"), F.coalesce(F.max(F.octet_length("vec")), F.lit(0))).first()
     width //= 8
-    pivots = pivots or int(min(max(n**0.5, LEAST_PIVOTS), MOST_PIVOTS))
+    pivots = pivots or int(min(max(n**0.5 / 2, LEAST_PIVOTS), MOST_PIVOTS))
     sample = data.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(4 * pivots).select("vec").collect()  # bounded
     heads = _matrix([bytes(v) for v in dict.fromkeys(bytes(r.vec) for r in sample)][:pivots], width)
     empty = data.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
