@@ -52,9 +52,9 @@ _MARKS = (b"passw", b"passphrase", b"secret", b"token", b"credential", b"key", b
 #: Characters of the shortest candidate.
 SHORTEST = 12
 _CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{12,}")
-#: Letters of one case alone are words more often than not: too few of them measure too coarsely to tell.
+#: Strings without a digit are words and names more often than not: too few letters measure too coarsely to tell.
 WORDLIKE = 16
-_WORD = re.compile(rb"[a-z]+|[A-Z]+")
+_WORD = re.compile(rb"[^0-9]+")
 
 OUT = "doc_id long, spans array<struct<start:long,kind:int,end:long,novelty:double>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("novelty", pa.float64())]))
