@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from heliograph.llm import chat, decontaminate, knn, language, licenses, mixing, pieces, repeats, secrets, sharding, simhash
+from heliograph.llm import chat, decontaminate, knn, language, licenses, mixing, pieces, repeats, runs, secrets, sharding, simhash
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_repeats": repeats.op10_repeats,
     "op12_pieces": pieces.op12_pieces,
+    "op13_runs": runs.op13_runs,
 }
 
 ORACLE_SQL = {
