@@ -32,8 +32,10 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Words and pairs of pieces that a worker remembers; which ones it does only changes how fast it is.
 WORDS, WORD_CHARS, PAIRS = 1 << 19, 64, 1 << 19
-_BREAKS = "\\t\\n"
-_CUT = re.compile(f"{SPACE}*[^{SPACE}{_BREAKS}]+|{SPACE}+|[{_BREAKS}]+")
+#: A text is cut into runs of letters, runs of other characters with any spaces before them, digits, tabs and line
+#: breaks; a model of which any piece holds parts of two is refused.
+_LETTER, _DIGIT, _BREAK = "A-Za-z\u00c0-\u024f", "0-9", "\\t\\n"
+_CUT = re.compile(f" *(?:[{_LETTER}]+|[^ {_LETTER}{_DIGIT}{_BREAK}]+|[{_DIGIT}])?|[{_BREAK}]+")
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)  # the format's types of pieces
 
@@ -88,8 +90,8 @@ class Pieces:
         bytes_ = {int(text[3:5], 16): k for k, (text, _, kind) in enumerate(pieces) if kind == BYTE}
         if len(bytes_) < 256 or {c for text in self.score for c in text} - self.score.keys():
             raise ValueError("only models with all bytes, and all characters of their pieces as pieces")
-        if any(SPACE in text.lstrip(SPACE) or re.search(f"[{_BREAKS}]", text) for text in self.score):
-            raise ValueError("only models whose pieces end before a space and have no tabs or line breaks")
+        if any(_CUT.fullmatch(text.replace(SPACE, " ")) is None for text in self.score):
+            raise ValueError("only models whose pieces keep to spaces before letters only, or other signs only")
         self.bytes = [bytes_[b] for b in range(256)]
         self.byte = {k: b for b, k in bytes_.items()}
         #: What each id says, a byte as itself.
@@ -194,13 +196,12 @@ class Pieces:
         return out
 
     def encode(self, text: str) -> bytes:
-        """The ids as 32-bit integers. No piece goes on from another character to a space, and none has a tab or
-        line break, so the text is cut there."""
+        """The ids as 32-bit integers. Pieces keep within what the pattern cuts, so each is encoded by itself."""
         if not text:
             return b""
         if len(self.words) > WORDS:
             self.words.clear()
-        return b"".join(map(self.words.__getitem__, _CUT.findall(SPACE + text.replace(" ", SPACE))))
+        return b"".join(map(self.words.__getitem__, _CUT.findall(" " + text.replace(SPACE, " "))))
 
     def decode(self, ids: list[int]) -> str:
         """What the ids say; the space before the text is taken away. Bytes that are no character become U+FFFD each."""
@@ -240,13 +241,13 @@ class Pieces:
 
 
 class _Words(dict):
-    """Ids of words as bytes, made when they are first asked for."""
+    """Ids of words, with the spaces before them, as bytes; made when they are first asked for."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
 
     def __missing__(self, word: str) -> bytes:
-        ids = array("i", self.pieces.stretch(word)).tobytes()
+        ids = array("i", self.pieces.stretch(word.replace(" ", SPACE))).tobytes()
         if len(word) <= WORD_CHARS:
             self[word] = ids
         return ids
@@ -275,7 +276,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path)
         for batch in rows:
-            found = [pieces.encode(text or "") for text in column(batch, "text").to_pylist()]
+            found = [pieces.encode(text.as_py() or "") for text in column(batch, "text")]
             ends = np.cumsum([0, *(len(f) // 4 for f in found)], dtype=np.int64)
             for k in _under(ends, 1 << 26):
                 values = pa.Array.from_buffers(pa.int32(), int(ends[k.stop] - ends[k.start]), [None, pa.py_buffer(b"".join(found[k]))])
@@ -305,7 +306,9 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path)
         for batch in rows:
-            said = [pieces.decode(ids or []) for ids in column(batch, "ids").to_pylist()]
+            ids = column(batch, "ids")
+            values, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+            said = [pieces.decode(values[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "ids"), pa.array(said, pa.string())], ["doc_id", "ids", "decoded"])
 
     return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(batches, "doc_id long, ids array<int>, decoded string")
