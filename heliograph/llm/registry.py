@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from heliograph.llm import chat, decontaminate, knn, language, licenses, mixing, pieces, repeats, runs, secrets, sharding, simhash
+from heliograph.llm import chat, decontaminate, erasure, knn, language, licenses, mixing, pieces, repeats, runs, secrets, sharding, simhash
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_topk": knn.op8_topk,
     "op9_mixing": mixing.op9_mixing,
     "op10_repeats": repeats.op10_repeats,
+    "op11_erasure": erasure.op11_erasure,
     "op12_pieces": pieces.op12_pieces,
     "op13_runs": runs.op13_runs,
 }
