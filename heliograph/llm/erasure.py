@@ -155,13 +155,17 @@ class Written:
         """Partitions for exchanges of links."""
         return max(self.links.context.defaultParallelism, self.rows // LINK_ROWS)
 
+    def writers(self, files: int) -> int:
+        """Tasks that write files; each file number belongs to one of them, which writes its files one after another."""
+        return min(files, max(self.links.context.defaultParallelism, self.rows // SORTED_ROWS))
 
-def _saved(rdd: RDD, spark: SparkSession) -> RDD:
+
+def _saved(rdd: RDD, spark: SparkSession, parts: int) -> RDD:
     """What tasks that write files tell, in the shared folder, so that reading it doesn't write the files again."""
     path = f"{shared_dir(spark)}/links-{uuid.uuid4().hex}"
     rdd.saveAsPickleFile(path, 1000)
     atexit.register(remove, spark, path)
-    return spark.sparkContext.pickleFile(path)
+    return spark.sparkContext.pickleFile(path).coalesce(parts)
 
 
 def _told(rdd: RDD, kind: int) -> RDD:
@@ -197,22 +201,21 @@ def _write(rows: DataFrame, name: str, folder: str, link: str, value: str | None
     ordered = packed.select("rows").rdd.flatMap(lambda r: pickle.loads(r[0])).sortBy(lambda row: row, numPartitions=parts)
     ordered.persist(StorageLevel.DISK_ONLY)  # for the count that ranking needs; what is lost is sorted again
     blocks = ordered.zipWithIndex().mapPartitions(lambda own: _blocks(own, schema, size))
-    dealt = blocks.repartitionAndSortWithinPartitions(files, lambda rank: rank // size)
-
-    def write(file_no: int, own: Iterator[tuple[int, bytes]]) -> Iterator[tuple]:
-        first = next(own, None)
-        if first is None:
-            return
-        file = _File(at, f"file-{file_no:05d}.parquet", schema, summed)
-        for _, block in itertools.chain([first], own):
-            batch = pa.ipc.open_stream(block).read_next_batch()
-            file.add(batch)
-            for count in pc.value_counts(batch.column(place).drop_null()).to_pylist():
-                yield 0, (count["values"], file_no, count["counts"])
-        file.close()
-        yield 1, file.info(file_no, 0, False)
-
-    told = _saved(dealt.mapPartitionsWithIndex(write), spark)
+    writers = done.writers(files)
+    dealt = blocks.repartitionAndSortWithinPartitions(writers, lambda rank: rank // size * writers // files)
+
+    def write(own: Iterator[tuple[int, bytes]]) -> Iterator[tuple]:
+        for file_no, blocks in itertools.groupby(own, key=lambda block: block[0] // size):
+            file = _File(at, f"file-{file_no:05d}.parquet", schema, summed)
+            for _, block in blocks:
+                batch = pa.ipc.open_stream(block).read_next_batch()
+                file.add(batch)
+                for count in pc.value_counts(batch.column(place).drop_null()).to_pylist():
+                    yield 0, (count["values"], file_no, count["counts"])
+            file.close()
+            yield 1, file.info(file_no, 0, False)
+
+    told = _saved(dealt.mapPartitions(write), spark, done.parts)
     ordered.unpersist()
     discard(packed)
     release(spark)
@@ -252,25 +255,26 @@ def rewrite(written: Written, victims: RDD, key: str | None = None) -> tuple[lis
     held = folded(written).cogroup(victims.map(lambda v: (v, None)).reduceByKey(lambda a, _: a, written.parts), written.parts)
     marked = held.flatMap(lambda x: [(f, x[0]) for links in x[1][0] for f in links] if x[1][1] else [])
 
-    def again(file_no: int, own: Iterator[tuple[int, object]]) -> Iterator[tuple]:
-        values = {v for _, v in own}
-        if not values:
-            return
-        wanted = pa.array(list(values), schema.field(place).type)
-        system, path = pyarrow.fs.FileSystem.from_uri(paths[file_no])
-        file, erased = _File(at, f"file-{file_no:05d}-rewritten.parquet", schema, summed), 0
-        with system.open_input_file(path) as source:
-            for batch in pq.ParquetFile(source).iter_batches(1 << 16):
-                gone = pc.fill_null(pc.is_in(batch.column(place), value_set=wanted), False)
-                file.add(batch.filter(pc.invert(gone)))
-                erased += pc.sum(gone).as_py()
-                if taken is not None:
-                    for value in pc.unique(batch.column(taken).filter(gone).drop_null()).to_pylist():
-                        yield 0, value
-        file.close()
-        yield 1, file.info(file_no, erased, True)
-
-    told = _saved(marked.partitionBy(len(written.files), lambda file_no: file_no).mapPartitionsWithIndex(again), spark)
+    def again(own: Iterator[tuple[int, object]]) -> Iterator[tuple]:
+        for file_no, pairs in itertools.groupby(own, key=lambda pair: pair[0]):
+            wanted = pa.array([v for _, v in pairs], schema.field(place).type)
+            system, path = pyarrow.fs.FileSystem.from_uri(paths[file_no])
+            file, erased = _File(at, f"file-{file_no:05d}-rewritten.parquet", schema, summed), 0
+            with system.open_input_file(path) as source:
+                for batch in pq.ParquetFile(source).iter_batches(1 << 16):
+                    gone = pc.fill_null(pc.is_in(batch.column(place), value_set=wanted), False)
+                    file.add(batch.filter(pc.invert(gone)))
+                    erased += pc.sum(gone).as_py()
+                    if taken is not None:
+                        for value in pc.unique(batch.column(taken).filter(gone).drop_null()).to_pylist():
+                            yield 0, value
+            file.close()
+            yield 1, file.info(file_no, erased, True)
+
+    files = len(paths)
+    writers = written.writers(files)
+    dealt = marked.repartitionAndSortWithinPartitions(writers, lambda file_no: file_no * writers // files)
+    told = _saved(dealt.mapPartitions(again), spark, written.parts)
     fresh = {f[0]: f for f in _told(told, 1).collect()}  # FILES at most
     return [fresh.get(f[0], f) for f in written.files], _told(told, 0).map(lambda v: (v, None)).reduceByKey(lambda a, _: a, written.parts).keys()
 
