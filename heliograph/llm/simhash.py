@@ -191,15 +191,15 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     Takes doc_id and text; other columns are ignored. A-Z are lower-cased; words are what ASCII white space
     separates; fewer words than a shingle are one shingle; a null or empty text has fingerprint 0 and is linked
     like any other. Equal fingerprints are one node, whatever their number, so a group of copies is never paired.
-    Rows with a null doc_id get a fingerprint but link nothing else and are their own component (null) unless
-    other rows share it. Repeated rows each give a row. An empty table gives an empty result.
+    Rows with a null doc_id link like any other; a component of such rows only has a null one. Rows that share a doc_id
+    each belong to the component of their own text. Repeated rows each give a row. An empty table gives an empty result.
     """
     marks = materialise(fingerprints(docs, width), "fingerprints")
-    nodes = materialise(marks.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    found = links(nodes)
-    ends = found.join(nodes.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b")
-    class_of = components(ends.select(F.col("na").alias("a"), F.col("nb").alias("b")))
-    by_fp = nodes.join(class_of, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    nodes = materialise(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    class_of = components(links(nodes)).withColumnRenamed("node", "fp")
+    named = nodes.join(class_of, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "least")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_fp = named.join(least, "component").select("fp", "component_id")
     return marks.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 

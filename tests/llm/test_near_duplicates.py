@@ -170,3 +170,22 @@ def test_near_copies_equal_brute_force_around_the_limit(spark):
                     a, b = sorted((top(i), top(j)))
                     root[b] = a
     assert sorted(r.doc_id for r in nearcopies.keep_one(docs(spark, data)).collect()) == [i for i in ids if top(i) == i]
+
+
+def linked(spark, monkeypatch, ids, prints):
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: spark.createDataFrame(list(zip(ids, signed, strict=True)), "doc_id long, fp long"))
+    return sorted(((r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(None).collect()), key=str)
+
+
+def test_null_and_tied_ids_link_by_their_texts(spark, monkeypatch):
+    rng = random.Random(12)
+    x, y = rng.getrandbits(64), rng.getrandbits(64)
+    assert linked(spark, monkeypatch, [1, 2, None], [x, x ^ 0b111000, x ^ 0b111]) == sorted([(1, x, 1), (2, x ^ 0b111000, 1), (None, x ^ 0b111, 1)], key=str)
+    assert linked(spark, monkeypatch, [5, 5, 3, 8], [x, y, x ^ 1, y ^ 1]) == sorted([(5, x, 3), (5, y, 5), (3, x ^ 1, 3), (8, y ^ 1, 5)], key=str)
+    prints = []
+    for _ in range(80):
+        base = rng.getrandbits(64)
+        prints += [base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for _ in range(rng.randint(1, 6))]
+    ids = [rng.choice([None, rng.randrange(60)]) for _ in prints]
+    assert linked(spark, monkeypatch, ids, prints) == sorted(zip(ids, prints, classes(ids, prints, 3), strict=True), key=str)
