@@ -36,11 +36,15 @@ HALF = SLIDE // 2
 CHUNK = 1 << 18  # bytes that are hashed at once
 FLUSH = 1 << 18  # suffixes that are combined at once
 BUCKET_BYTES, PART_BYTES = 4 << 20, 6 << 20
-AT = (1 << 40) - 1  # the low bits of a position; above them what tells apart texts with one doc_id
+PLACE = 31  # low bits of a position, as no text is longer; above them the number of the text among those with its doc_id
+AT = (1 << PLACE) - 1
 LAST = (1 << 63) - 1  # stands for a null doc_id
 STEP = 7919  # from one mark to the next bucket
-#: Bytes of texts for each file of the bucketed table, and its files at most.
-FILE_BYTES, FILES = 16 << 20, 1 << 14
+#: Bytes of texts for each file of the bucketed table, and its files at most, as Spark has it. A file holds many buckets,
+#: which are read one by one, so larger files don't need more memory.
+FILE_BYTES, FILES = 16 << 20, 100_000
+#: Tasks of an exchange of suffixes at most. Parts, which are held one at a time, grow in number with the input.
+TASKS = 100_000
 #: Bytes that travel of both digits' hashes, doc and position. The part holds further bits of the first; two first
 #: digits that are taken for one only cost work, as the second tells them apart.
 WIDTHS = (5, 6, 8, 8)
@@ -145,7 +149,7 @@ def anchors(chunk: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     left, right = np.minimum(SLIDE, place), np.minimum(SLIDE, length - place - DIGIT)
     second = _mixed(own.of(at - left, at + DIGIT + right) + (left * 64 + right + 1).astype(np.uint64))
     docs, marks = (np.array([p[i] for p in chunk], np.int64)[piece] for i in (0, 1))
-    return first[at], second, docs, marks << 40 | place
+    return first[at], second, docs, marks << PLACE | place
 
 
 def sort_digits(first: np.ndarray, second: np.ndarray, doc: np.ndarray, pos: np.ndarray, inner: bool):
@@ -204,13 +208,13 @@ def _bucket(doc: np.ndarray, mark: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _to_docs(kind: str, doc: np.ndarray, pos: np.ndarray, buckets: int) -> Iterator[tuple[str, int, bytes]]:
-    for key, rows in _by_key(_bucket(doc, pos >> 40, buckets)):
+    for key, rows in _by_key(_bucket(doc, pos >> PLACE, buckets)):
         rows = rows[np.lexsort((pos[rows], doc[rows]))]
         yield _row(kind, key, pack((doc[rows], 8), (pos[rows], 8)))
 
 
 def _parts(first: np.ndarray, parts: int) -> np.ndarray:
-    return ((first >> _U(48)) * _U(parts) >> _U(16)).astype(np.int64)
+    return ((first >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
 
 
 def _texts(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, int, bytes]]:
@@ -315,18 +319,18 @@ def union(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[new, 0], np.r_[ends[new[1:] - 1], ends[-1]]], axis=1)
 
 
-def _result(doc: int, text: bytes, spans: np.ndarray) -> dict:
+def _result(doc: int, mark: int, text: bytes, spans: np.ndarray) -> dict:
     kept, at = hashlib.sha256(), 0
     view = memoryview(text)
     for start, end in spans.tolist():
         kept.update(view[at:start])
         at = end
     kept.update(view[at:])
-    return {"doc_id": None if doc == LAST else doc, "n_bytes": len(text), "n_removed": int((spans[:, 1] - spans[:, 0]).sum()), "n_spans": len(spans), "kept_sha256": kept.hexdigest(), "spans": spans.reshape(-1).tolist()}
+    return {"doc_id": doc, "mark": mark, "n_bytes": len(text), "n_removed": int((spans[:, 1] - spans[:, 0]).sum()), "n_spans": len(spans), "kept_sha256": kept.hexdigest(), "spans": spans.reshape(-1).tolist()}
 
 
-_RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64()))])
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"
+_RESULT = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64()))])
+RESULT = "doc_id long, mark long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"
 
 
 def _said(table_: pa.Table, kind: str) -> dict[tuple[int, int], np.ndarray]:
@@ -343,9 +347,9 @@ def _said(table_: pa.Table, kind: str) -> dict[tuple[int, int], np.ndarray]:
 def _by_text(doc: np.ndarray, pos: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
     order = np.lexsort((pos, doc))
     doc, pos = doc[order], pos[order]
-    cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (pos[1:] >> 40 != pos[:-1] >> 40)]) if len(doc) else np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (pos[1:] >> PLACE != pos[:-1] >> PLACE)]) if len(doc) else np.zeros(0, np.int64)
     ends = np.r_[cuts[1:], len(doc)]
-    return {(int(doc[a]), int(pos[a] >> 40)): pos[a:b] & AT for a, b in zip(cuts, ends, strict=False)}
+    return {(int(doc[a]), int(pos[a] >> PLACE)): pos[a:b] & AT for a, b in zip(cuts, ends, strict=False)}
 
 
 def _unknown(starts: np.ndarray, covered: np.ndarray) -> np.ndarray:
@@ -376,7 +380,7 @@ def _halves(parts: int, buckets: int):
             for side, start, end in ((0, places - HALF, places + DIGIT), (1, places, places + DIGIT + HALF)):
                 good = (start >= 0) & (end <= len(text))
                 (own,) = _hashed(text, start[good], end[good], (3 + side,))
-                held.append((own & ~_U(1) | _U(side), np.full(len(own), doc), mark << 40 | places[good]))
+                held.append((own & ~_U(1) | _U(side), np.full(len(own), doc), mark << PLACE | places[good]))
         half, doc, pos = (np.concatenate(c) for c in zip(*held, strict=True))
         met, told = _met(half, doc)
         out = [*_sides(half[met], doc[met], pos[met], buckets)]
@@ -433,7 +437,7 @@ def _window_rows(parts: int, buckets: int):
             after = right.get((doc, mark), _NONE)[:, None] - np.arange(SLIDE - HALF + 1)
             starts = np.unique(np.r_[before.reshape(-1), after.reshape(-1)])
             starts = _unknown(starts[(starts >= 0) & (starts <= len(text) - WINDOW)], cover.get((doc, mark), _NONE))
-            held.append((*_hashed(text, starts, starts + WINDOW, (1, 2)), np.full(len(starts), doc), mark << 40 | starts))
+            held.append((*_hashed(text, starts, starts + WINDOW, (1, 2)), np.full(len(starts), doc), mark << PLACE | starts))
         one, two, doc, pos = (np.concatenate(c) for c in zip(*held, strict=True))
         one &= _U((1 << 56) - 1)
         two &= _U((1 << 40) - 1)
@@ -478,7 +482,7 @@ def _settle(texts: pa.Table, said: pa.Table) -> pa.Table:
     for doc, mark, text in _texts(texts):
         own = gone.get((doc, mark), _NONE)
         spans = np.concatenate([_reach(cover.get((doc, mark), _NONE), len(text)), np.stack([own, own + WINDOW], axis=1)])
-        out.append(_result(doc, text, union(spans)))
+        out.append(_result(doc, mark, text, union(spans)))
     return pa.Table.from_pylist(out, schema=_RESULT)
 
 
@@ -510,24 +514,25 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     document: what goes is each byte in a 50-byte string that also starts in a document with a smaller doc_id.
 
     Takes doc_id and text; other columns are ignored. A null text is empty; texts shorter than a window stay.
-    Strings are judged on the input. Rows with equal doc_id never cost each other anything; each gives a row. A null
-    doc_id counts as larger than all others. An empty table gives an empty result. Very long texts are hashed in
+    Strings are judged on the input. Rows with equal doc_id never cost each other anything; each gives a row, and equal
+    rows are treated as one till the end. A null doc_id counts as larger than all others. Texts that share a doc_id or
+    have none are numbered (by their hashes of 128 bits), 2^32 of them at most. An empty table gives an empty result. Very long texts are hashed in
     chunks. Equality is by hashes of 88 bits or more of the strings.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), text.alias("text"))
-    seen = F.xxhash64("text")
-    # bytes in all, and whether any doc_id has several texts
-    size, mixed = (
-        whole.groupBy("doc_id")
-        .agg(F.sum(F.octet_length("text")).alias("n"), (F.min(seen) != F.max(seen)).alias("mixed"))
-        .agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("mixed"), F.lit(False)))
-        .first()
-    )
-    parts = min(1 << 16, max(4, -(-size // PART_BYTES)))
+    size, shared = whole.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("n"), (F.count("*") > 1).alias("shared")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("shared"), F.lit(False))).first()
+    numbers = None
+    if shared:
+        whole = whole.withColumns({"one": F.xxhash64("text"), "two": F.xxhash64("text", F.lit(1))})
+        numbers = materialise(_numbered(whole), "numbers")
+        whole = whole.dropDuplicates(["doc_id", "one", "two"]).join(numbers.select("doc_id", "one", "two", "mark"), ["doc_id", "one", "two"], "left")
+    parts = max(4, -(-size // PART_BYTES))
     buckets = _prime(max(5, -(-size // BUCKET_BYTES)))
-    mark = F.pmod(F.xxhash64("text"), F.lit(1 << 22)) if mixed else F.lit(0).cast("long")
-    own = whole.select("doc_id", mark.alias("mark"), F.col("text").cast("binary").alias("text"))
+    mark = F.coalesce("mark", F.lit(0)) if shared else F.lit(0)
+    own = whole.select("doc_id", mark.cast("long").alias("mark"), F.col("text").cast("binary").alias("text"))
+    if shared:
+        own = materialise(own, "numbered")
 
     row = "kind string, key int, blob binary"
     place = F.pmod(F.pmod("doc_id", F.lit(buckets)) + F.pmod(F.col("mark") * STEP, F.lit(buckets)), F.lit(buckets)).cast("int")
@@ -536,7 +541,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def passed(rows: DataFrame, one_pass) -> DataFrame:
         """Rows through the tasks of their parts; what is left for the texts is little, and is written, so that the
         exchanged rows can go."""
-        out = materialise(rows.repartition(parts, "kind", "key").sortWithinPartitions("kind", "key").mapInArrow(one_pass, row), "repeats")
+        out = materialise(rows.repartition(min(parts, TASKS), "kind", "key").sortWithinPartitions("kind", "key").mapInArrow(one_pass, row), "repeats")
         release(docs.sparkSession)
         return out
 
@@ -544,7 +549,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     halves = passed(by_bucket.cogroup(said.where("kind = 'expand'").groupBy("key")).applyInArrow(_halves(parts, buckets), row), _half_pass(buckets))
     cover = said.where("kind = 'cover'")
     gone = passed(by_bucket.cogroup(cover.union(halves).groupBy("key")).applyInArrow(_window_rows(parts, buckets), row), _last_pass(buckets))
-    return by_bucket.cogroup(cover.union(gone).groupBy("key")).applyInArrow(_settle, RESULT)
+    out = by_bucket.cogroup(cover.union(gone).groupBy("key")).applyInArrow(_settle, RESULT)
+    if shared:  # a row for each of those that are equal
+        times = numbers.where("n > 1").select("doc_id", "mark", "n")
+        out = out.join(times, ["doc_id", "mark"], "left").withColumn("n", F.explode(F.sequence(F.lit(1), F.coalesce("n", F.lit(1)))))
+    return out.select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), *(f for f in _RESULT.names if f not in ("doc_id", "mark")))
+
+
+def _numbered(whole: DataFrame) -> DataFrame:
+    """doc_id, one, two (hashes of the text), mark and n of the texts that share their doc_id with other rows: each text's own number,
+    so that texts with one doc_id, or with none, are told apart exactly, and its rows."""
+    texts = whole.groupBy("doc_id", "one", "two").agg(F.count("*").alias("n"))
+    several = texts.groupBy("doc_id").agg(F.sum("n").alias("rows")).where("rows > 1").select("doc_id")
+    ranked = materialise(texts.join(several, "doc_id"), "texts").rdd.zipWithIndex()
+    return whole.sparkSession.createDataFrame(ranked.map(lambda x: (*x[0], x[1])), "doc_id long, one long, two long, n long, mark long")
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

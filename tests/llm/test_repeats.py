@@ -84,3 +84,22 @@ def test_long_text_in_pieces(spark, monkeypatch):
             assert near
             windows.setdefault((text or "").encode()[start : start + 50], set()).add(tuple(p - start for p in near))
     assert all(set.intersection(*map(set, offsets)) for offsets in windows.values())
+
+
+def test_many_texts_without_an_id(spark):
+    """Thousands of texts with one doc_id or none, some of which repeat a passage of document 1 and of each other."""
+    rng = np.random.default_rng(8)
+    prose = lambda: "".join(chr(97 + k) for k in rng.integers(0, 26, int(rng.integers(60, 220))))
+    passage = prose() + prose()
+    docs = [(1, passage[:91])] + [((None, 7)[k % 5 == 0], prose() + (passage[: 80 + k % 60] if k % 9 == 0 else "")) for k in range(6000)]
+    docs += [(9, passage), (None, docs[77][1]), (5, docs[78][1])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = [tuple(r)[:5] for r in repeats.remove_repeats(frame).collect()]
+    assert sorted(got, key=str) == sorted(brute(docs), key=str)
+
+
+def test_one_row_many_times(spark):
+    docs = [(3, "the same row again and again, " * 5)] * 10_000 + [(None, "no id " * 20)] * 500 + [(4, "x" * 60 + "the same row again and again, " * 3)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = [tuple(r)[:5] for r in repeats.remove_repeats(frame).collect()]
+    assert sorted(got, key=str) == sorted(brute(docs), key=str)
