@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from heliograph.sources.tables import removed as remove
 from heliograph.sources.tables import shared_folder as shared_dir
@@ -46,6 +47,19 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def private(docs: DataFrame, *kept: str) -> DataFrame:
+    """docs with its columns named by their places, but for those that an operator works on, so that no other can clash
+    with a name that it uses within; restored() gives the names back."""
+    return docs.toDF(*(name if name in kept else f"_{k}" for k, name in enumerate(docs.columns)))
+
+
+def restored(rows: DataFrame, docs: DataFrame, *kept: str, **more: str) -> DataFrame:
+    """The columns of docs from rows of private(docs); more: other columns of rows that replace or follow these, by their new names."""
+    own = [(name if name in kept else f"_{k}", name) for k, name in enumerate(docs.columns)]
+    out = [F.col(more.get(name, held)).alias(name) for held, name in own]
+    return rows.select(*out, *(F.col(held).alias(name) for name, held in more.items() if name not in docs.columns))
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import column, materialise, table, text_bytes
+from heliograph.llm.common import column, materialise, private, restored, table, text_bytes
 from heliograph.llm.repeats import Hashes
 
 #: Words of the shortest tile, and share of an item's words that tiles must cover. An item of fewer words has to stand
@@ -217,9 +217,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     """The rows of docs that hold no benchmark item, with their columns, whatever their names. Null and empty texts hold
     none and stay; rows with equal doc_id and text share their fate; a very long text is tested as a whole; empty tables
     take nothing away."""
-    found = materialise(contamination(docs, benchmark, coverage).select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).distinct(), "contaminated")
+    rows = private(docs, "doc_id", "text")
+    found = materialise(contamination(rows, benchmark, coverage).select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).distinct(), "contaminated")
     own = (F.xxhash64(F.col("text").cast("string")) == F.col("_mark")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc"))
-    return docs.join(found, own, "left_anti")
+    return restored(rows.join(found, own, "left_anti"), docs, "doc_id", "text")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -264,21 +264,24 @@ def fit(docs: DataFrame) -> Models | None:
 
     At most SAMPLE_DOCS whole texts of each language, of SAMPLE_BYTES in all, are used, chosen by a hash of doc_id on a
     table without texts. Languages are counted first, and only documents whose hash is in the lowest part that holds some
-    four times SAMPLE_DOCS are ranked, so that a language with most of the rows isn't ranked in one task; repeated rows
-    share a hash and so a place. Each language is counted in one task, and the driver only gets the arrays.
+    four times SAMPLE_DOCS are ranked, so that a language with most of the rows isn't ranked in one task; equal rows count
+    once, and texts that share a doc_id are told apart by their hash, so that the bound holds for them, too. A null doc_id
+    is held out, as an empty string is. Each language is counted in one task, and the driver only gets the arrays.
     """
     labelled = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    slim = labelled.select("doc_id", "lang", F.octet_length("text").alias("n_bytes"), F.xxhash64(F.col("doc_id")).alias("place"))
+    slim = labelled.select("doc_id", "lang", F.octet_length("text").alias("n_bytes"), F.xxhash64(F.col("doc_id")).alias("place"), F.xxhash64("text").alias("tie"))
     counted = materialise(slim.groupBy("lang").agg(F.count("*").alias("n_docs")), "languages")
     few = counted.count() <= SENT_LANGUAGES  # else all is joined
     sent = F.broadcast if few else lambda df: df
     low = (F.shiftrightunsigned("place", 11) / float(1 << 53)) * F.col("n_docs") < 4 * SAMPLE_DOCS
-    first = Window.partitionBy("lang").orderBy("place", "doc_id", "n_bytes")
+    first = Window.partitionBy("lang").orderBy("place", "doc_id", "tie")
     before = F.coalesce(F.sum("n_bytes").over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    chosen = slim.join(sent(counted), "lang").where(low).withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_DOCS).withColumn("before", before).where(F.col("before") < SAMPLE_BYTES)
-    chosen = chosen.select("doc_id", "lang", "n").dropDuplicates(["doc_id", "lang"])
+    # equal rows are one
+    chosen = slim.join(sent(counted), "lang").where(low).dropDuplicates(["lang", "doc_id", "tie"]).withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_DOCS).withColumn("before", before).where(F.col("before") < SAMPLE_BYTES)
+    keys = ["doc_id", "lang", "tie"]
+    texts = labelled.select("doc_id", "lang", "text", F.xxhash64("text").alias("tie"))
     # SAMPLE_DOCS rows for each language at most
-    sample = labelled.select("doc_id", "lang", "text").join(sent(chosen), ["doc_id", "lang"])
+    sample = texts.join(sent(chosen.select(*keys, "n")), keys).dropDuplicates(keys)
 
     def own(rows: pa.Table) -> pa.Table:
         order = np.argsort(rows["n"].to_numpy())
@@ -323,7 +326,7 @@ def identify(docs: DataFrame, models: Models | None, carry: tuple[str, ...] = ("
             entropy = pa.array(entropy, mask=np.isnan(entropy))
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in carry), pa.array(names), pa.array(score), entropy, pa.array(accepted)], [*carry, "lang_pred", "score", "cross_entropy", "accepted"])
 
-    kept = docs.select(*carry, F.col("text").cast("string").alias("_text"))
+    kept = docs.select(*(f"`{c}`" for c in carry), F.col("text").cast("string").alias("_text"))
     form = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text")
     return kept.mapInArrow(each, f"{form}, lang_pred string, score double, cross_entropy double, accepted boolean")
 

@@ -88,7 +88,7 @@ def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, m
     tail = F.greatest(F.length(F.bin("size")) - LEADING, F.lit(0)).cast("int")  # all but the leading bits
     keyed = (
         docs.select(
-            F.struct(*docs.columns).alias("row"),
+            F.struct("*").alias("row"),
             F.col("doc_id").alias("id"),
             F.xxhash64("text").alias("tie"),
             words(F.col("text")).alias("size"),

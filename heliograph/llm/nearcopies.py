@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.llm import golay
-from heliograph.llm.common import column, discard, materialise, text_bytes
+from heliograph.llm.common import column, discard, materialise, private, restored, text_bytes
 from heliograph.llm.components import components
 from heliograph.llm.forest import Forest
-from heliograph.llm.repeats import pack, unpack
+from heliograph.llm.repeats import TASKS, pack, unpack
 
 WIDTH = 5
 #: Documents are linked from a Jaccard similarity of OVER / UNDER.
@@ -39,7 +40,9 @@ PART_NODES = 4096  # sets for each part of the Golay keys
 PART_KEYS = 1 << 21  # prefix keys for each part
 #: Members of a prefix key from which it is dealt into blocks of half as many.
 HOT = 4096
-#: Sets whose texts are found by sending their names to all tasks; more are joined.
+#: The table in which keys are counted before those of full cells are counted exactly, and the slices it travels in.
+CELL_BITS, SLICES = 20, 16
+#: Sets whose texts are found by sending their names to all tasks, and hot keys that are sent at a time; more sets are joined.
 SENT = 500_000
 #: Members of a key from which they are first paired with one of them.
 STAR = 8
@@ -260,37 +263,72 @@ def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 def golay_links(nodes: DataFrame, n: int) -> DataFrame:
     """Candidate links (a, b) of n sets (node, lo, hi) by the Golay keys of their fingerprints."""
-    parts = min(1 << 16, max(4, -(-n // PART_NODES)))
+    parts = max(4, -(-n // PART_NODES))
     sent = nodes.select("node", "lo", "hi").mapInArrow(_send_golay(parts), PACKED)
-    return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_receive_golay, LINKS).distinct()
+    return _dealt(sent, parts).mapInArrow(_receive_golay, LINKS).distinct()
+
+
+def _dealt(sent: DataFrame, parts: int) -> DataFrame:
+    """Rows by part. Parts grow in number with the input; a task has several, one after another."""
+    return sent.repartition(min(parts, TASKS), "part").sortWithinPartitions("part")
 
 
 # -- prefixes --------------------------------------------------------------------------------------------------------
 
 
-def _hot_keys(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys with more than HOT members, and in how many blocks they are dealt.
+def _cells(keys: np.ndarray) -> np.ndarray:
+    return (_spread(keys.view(np.uint64)) >> _U(64 - CELL_BITS)).astype(np.int64)
+
+
+def _hot_keys(nodes: DataFrame) -> DataFrame:
+    """key and n of the keys with more than HOT members.
 
-    A task tells the keys that it has often enough for some task to have to; what no task has twice stays whole.
+    Keys are first counted in a table of fixed size; those in a cell with more than HOT members are then counted exactly,
+    combined before the exchange. How rows are dealt to partitions makes no difference.
     """
-    least = max(2, HOT // max(1, nodes.rdd.getNumPartitions()))
+    width = (1 << CELL_BITS) // SLICES
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [np.zeros(0, np.int64)], 0
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << CELL_BITS, np.int64)
+        for batch in batches:
+            counts += np.bincount(_cells(column(batch, "keys").flatten().to_numpy()), minlength=len(counts))
+        if counts.any():
+            blobs = [pack((counts[k * width : (k + 1) * width], 8)) for k in range(SLICES)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array(blobs, pa.binary())], ["slice", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            held.append(column(batch, "keys").flatten().to_numpy())
-            size += len(held[-1])
-        keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[counts >= least]), pa.array(counts[counts >= least])], ["key", "n"])
+            for k, blob in zip(column(batch, "slice").to_pylist(), column(batch, "counts"), strict=True):
+                sums[k] = sums.get(k, 0) + unpack(blob.as_py(), 8)[0].view(np.int64)
+        full = [np.packbits(n > HOT, bitorder="little").tobytes() for n in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(full, pa.binary())], ["slice", "bits"])
 
-    hot = nodes.select("keys").mapInArrow(each, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > HOT).toArrow()
-    keys, n = hot["key"].to_numpy(), hot["n"].to_numpy()  # a key has thousands of members
+    keys = nodes.select("keys")
+    rows = keys.mapInArrow(count, "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(add, "slice int, bits binary").collect()  # 128 KB
+    full = {r["slice"]: np.frombuffer(r["bits"], np.uint8) for r in rows}
+    bits = np.concatenate([full.get(k, np.zeros(width // 8, np.uint8)) for k in range(SLICES)])
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = column(batch, "keys").flatten().to_numpy()
+            cell = _cells(own)
+            own, n = np.unique(own[bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1 > 0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], ["key", "n"])
+
+    return keys.mapInArrow(told, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > HOT)
+
+
+def _some_hot(hot: DataFrame, turn: int, turns: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hot keys of a turn, sorted, and in how many blocks they are dealt."""
+    some = hot.where(F.pmod(F.col("key").bitwiseAND(0xFFFF), F.lit(turns)) == turn).toArrow()
+    keys, n = some["key"].to_numpy(), some["n"].to_numpy()
     order = np.argsort(keys)
     return keys[order], -(-2 * n[order] // HOT)
 
 
-def _send_prefixes(parts: int, hot: np.ndarray, blocks: np.ndarray):
-    """Prefix keys with the place of each in its set's order. The members of a hot key are dealt into blocks, and every
+def _send_prefixes(parts: int, hot: np.ndarray, blocks: np.ndarray, turn: int, turns: int):
+    """Prefix keys of a turn with the place of each in its set's order. The members of a hot key are dealt into blocks, and every
     two blocks meet in a cell, which is a key of its own."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,6 +342,9 @@ def _send_prefixes(parts: int, hot: np.ndarray, blocks: np.ndarray):
                 at = np.repeat(np.arange(len(node)), lengths)
                 place = np.arange(len(key)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                 place = place * 1200 // n[at]  # the prefix ends at a fifth: one byte
+                if turns > 1:
+                    own = (key & 0xFFFF) % turns == turn
+                    key, at, place = key[own], at[own], place[own]
                 if len(hot):
                     where = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
                     dealt = np.flatnonzero(hot[where] == key)
@@ -318,7 +359,7 @@ def _send_prefixes(parts: int, hot: np.ndarray, blocks: np.ndarray):
                     rest[dealt] = False
                     key, at, place = np.r_[key[rest], cell], np.r_[at[rest], at[dealt][copy]], np.r_[place[rest], place[dealt][copy]]
                 mixed = _spread(key.view(np.uint64))
-                to = ((mixed >> _U(48)) * _U(parts) >> _U(16)).astype(np.int64)
+                to = ((mixed >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
                 low = (mixed & _U((1 << 40) - 1)).view(np.int64)
                 yield from _packed(to, [(low, 5), (place, 1)], at, [(node, 8), (class_, 8), (n, 4), (lo, 8), (hi, 7)], low)
 
@@ -416,13 +457,14 @@ def _receive_prefixes(pairs):
     return each
 
 
-def prefix_links(nodes: DataFrame, total: int, pairs) -> DataFrame:
+def prefix_links(nodes: DataFrame, hot: DataFrame, total: int, pairs) -> DataFrame:
     """Candidate links (a, b) between sets (node, class, n, lo, hi, keys) of different classes that share a prefix key: stars,
-    or all candidates."""
-    hot, blocks = _hot_keys(nodes)
-    parts = min(1 << 16, max(4, -(-total // PART_KEYS)))
-    sent = nodes.mapInArrow(_send_prefixes(parts, hot, blocks), PACKED)
-    return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_receive_prefixes(pairs), LINKS).distinct()
+    or all candidates. hot: key and n of the keys with more than HOT members; SENT of them are sent to all tasks at a time, and
+    if there are more, the keys are gone through in several turns."""
+    turns = max(1, -(-hot.count() // SENT))
+    parts = max(4, -(-total // PART_KEYS))
+    sent = reduce(DataFrame.union, (nodes.mapInArrow(_send_prefixes(parts, *_some_hot(hot, k, turns), k, turns), PACKED) for k in range(turns)))
+    return _dealt(sent, parts).mapInArrow(_receive_prefixes(pairs), LINKS).distinct()
 
 
 # -- verification ----------------------------------------------------------------------------------------------------
@@ -510,26 +552,29 @@ def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     marks = materialise(texts.mapInArrow(each, "doc_id long, mark long, name binary, n int, lo long, hi long, sketch binary, keys array<long>"), "near-marks")
     # a row for each set: copies are combined by a minimum of slim rows, and only the first one's columns are fetched
     first = marks.groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), "mark")).alias("first"))
-    first = first.select("first", "first.doc", "first.mark", F.xxhash64("name", "first.doc", "first.mark").alias("id"))
-    heads = first.join(marks.select(F.xxhash64("name", "doc_id", "mark").alias("id"), "n", "lo", "hi", "sketch", "keys"), "id").dropDuplicates(["id"])
+    first = first.select("first", "first.doc", "first.mark", "name", F.xxhash64("name", "first.doc", "first.mark").alias("id"))
+    own = marks.select(F.xxhash64("name", "doc_id", "mark").alias("id"), "name", "n", "lo", "hi", "sketch", "keys")
+    heads = first.join(own, ["id", "name"]).dropDuplicates(["id", "name"]).drop("name")
     heads = materialise(heads.withColumn("id", F.monotonically_increasing_id()).withColumnRenamed("id", "node"), "near-heads")
     repeated = marks.groupBy("doc_id", "mark").count().where("count > 1").limit(1).count() > 0
     discard(marks)
     total, keys = heads.agg(F.count("*"), F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()
     links = verified(golay_links(heads, total), heads, texts, width, "golay")
     # families are joined by stars before the rest is paired, so that a large one isn't turned into its pairs
+    hot = materialise(_hot_keys(heads), "near-hot")
     for pairs in (stars, candidates):
         class_of = materialise(components(links), "near-classes")
         apart = heads.select("node", "n", "lo", "hi", "keys").join(class_of, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "n", "lo", "hi", "keys")
         apart = materialise(apart, "near-apart")
-        links = links.union(verified(prefix_links(apart, keys, pairs), heads, texts, width, "prefix"))
+        links = links.union(verified(prefix_links(apart, hot, keys, pairs), heads, texts, width, "prefix"))
         discard(apart, class_of)
     found = materialise(components(links), "near-classes")
     kept = heads.select("node", "first").join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
     kept = materialise(kept.select(F.col("first.doc").alias("_doc"), F.col("first.mark").alias("_mark")), "near-kept")
-    discard(heads, found)
+    discard(heads, found, hot)
+    rows = private(docs, "doc_id", "text")
     own = (F.xxhash64(text) == F.col("_mark")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc"))
-    out = docs.join(kept, own, "left_semi")
+    out = rows.join(kept, own, "left_semi")
     if repeated:  # one of repeated rows stays
-        out = out.withColumn("_mark", F.xxhash64(text)).dropDuplicates(["doc_id", "_mark"]).drop("_mark")
-    return out
+        out = out.withColumn("_mark", F.xxhash64(text)).dropDuplicates(["doc_id", "_mark"])
+    return restored(out, docs, "doc_id", "text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import materialise, table
+from heliograph.llm.common import materialise, private, restored, table
 
 SHARDS = 8
 
@@ -24,26 +24,30 @@ def _prefixed(slim: DataFrame) -> DataFrame:
     """Adds ``before`` (bytes of all earlier rows) and ``place`` (number of earlier rows) in the order of
     doc_id, CRC-32 and size.
 
+    Equal rows of an input partition travel as one with their number, so that a row repeated very often is dealt out, too.
     The rows are dealt by range and written with the number of their partition. Only that number's totals (a
     row for each partition) meet in one task; the sums within partitions run in parallel.
     """
-    order = ["doc_id", "text_crc32", "size"]
+    order = ["doc_id", "text_crc32", "size", "origin"]
+    slim = slim.withColumn("origin", F.spark_partition_id()).groupBy(*order).agg(F.count("*").alias("times"))
     dealt = materialise(slim.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "shard-ranges")
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = dealt.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    totals = dealt.groupBy("part").agg(F.sum(F.col("size") * F.col("times")).alias("bytes"), F.sum("times").alias("rows"))
     offsets = totals.select(
         "part",
         F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("bytes_before"),
         F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("rows_before"),
         F.sum("bytes").over(Window.partitionBy()).alias("total"),
     )
-    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
     return (
-        dealt.withColumns({"upto": F.sum("size").over(inside), "n": F.row_number().over(inside)})
+        dealt.withColumns({"bytes": upto(F.col("size") * F.col("times")), "rows": upto(F.col("times"))})
         .join(F.broadcast(offsets), "part")  # a row for each partition of the shuffle
+        .withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
         .withColumns({
-            "before": F.col("bytes_before") + F.col("upto") - F.col("size"),
-            "place": F.col("rows_before") + F.col("n") - 1,
+            "before": F.col("bytes_before") + F.col("bytes") + F.col("k") * F.col("size"),
+            "place": F.col("rows_before") + F.col("rows") + F.col("k"),
         })
     )
 
@@ -95,13 +99,14 @@ def with_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
     )
     # shards with no row of their own (very few, very long texts) have no cut, so the numbers are dense here
-    return (
-        docs.drop("shard")
+    docs = docs.drop("shard")
+    rows = (
+        private(docs, "doc_id", "text")
         .withColumn("_key", own)
         .join(F.broadcast(cuts))  # one row of at most `shards` keys
-        .withColumn("shard", F.size(F.filter("_cuts", lambda c: c <= F.col("_key"))) - F.lit(1))
-        .drop("_key", "_cuts")
+        .withColumn("_shard", F.size(F.filter("_cuts", lambda c: c <= F.col("_key"))) - F.lit(1))
     )
+    return restored(rows, docs, "doc_id", "text", shard="_shard")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

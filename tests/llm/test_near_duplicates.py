@@ -189,3 +189,36 @@ def test_null_and_tied_ids_link_by_their_texts(spark, monkeypatch):
         prints += [base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for _ in range(rng.randint(1, 6))]
     ids = [rng.choice([None, rng.randrange(60)]) for _ in prints]
     assert linked(spark, monkeypatch, ids, prints) == sorted(zip(ids, prints, classes(ids, prints, 3), strict=True), key=str)
+
+
+def test_hot_prefix_keys_are_counted_however_rows_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "HOT", 20)
+    rng = random.Random(6)
+    lists = [[rng.choice([7, -7, rng.getrandbits(62), rng.randrange(30)]) for _ in range(rng.randint(0, 5))] for _ in range(400)]
+    want = {}
+    for keys in lists:
+        for k in keys:
+            want[k] = want.get(k, 0) + 1
+    want = {k: n for k, n in want.items() if n > 20}
+    frame = spark.createDataFrame([(keys,) for keys in lists], "keys array<long>")
+    for parts in (1, 300):
+        hot = nearcopies._hot_keys(frame.repartition(parts))
+        assert dict(map(tuple, hot.collect())) == want
+        turns = [nearcopies._some_hot(hot, k, 3)[0].tolist() for k in range(3)]
+        assert sorted(sum(turns, [])) == sorted(want)
+
+
+def test_keys_in_turns_find_the_same(spark, monkeypatch):
+    rng = random.Random(13)
+    word = lambda: rng.choice("abcdefghijklmnop") * 3
+    base = [word() for _ in range(120)]
+    data = []
+    for k in range(250):
+        own = list(base)
+        for at in rng.sample(range(110), rng.randint(0, 5)):
+            own[at] = f"{word()}{k % 7}"
+        data.append((k, " ".join(own), "en", "s", 1))
+    want = sorted(r.doc_id for r in nearcopies.keep_one(docs(spark, data)).collect())
+    monkeypatch.setattr(nearcopies, "HOT", 16)
+    monkeypatch.setattr(nearcopies, "SENT", 3)
+    assert sorted(r.doc_id for r in nearcopies.keep_one(docs(spark, data)).collect()) == want

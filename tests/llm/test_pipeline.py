@@ -17,13 +17,28 @@ def test_stages(spark):
             assert n <= 3 * given.count()
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ["score", "accepted", "lang_pred", "cross_entropy", "_text", "_mark", "_doc", "_key", "_cuts", "_shard", "_0", "_7", "a.b", "c`d", "row", "key", "shard", "size", "n", "mark", "node", "first", "copies"]
+    more = docs.select("*", *(F.concat(F.lit(f"{name} "), F.col("doc_id")).alias(name) for name in names))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, more, SF)
+        assert sorted(out.columns) == sorted(more.columns), name
+        kept = sorted(tuple(r[c] for c in docs.columns) for r in out.collect())
+        assert kept and kept == sorted(tuple(r[c] for c in docs.columns) for r in stage(spark, docs, SF).collect()), name
+        for r in out.collect():
+            assert all(r[c] == f"{c} {r.doc_id}" for c in names if (name, c) != ("sharding", "shard")), name
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert set(r.shard for r in out.select("shard").distinct().collect()) == set(range(8))
 
 
 def test_every_operator_has_its_query():
-    assert {int(n[2:].split("_")[0]) for n in registry.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in registry.QUERIES} == set(range(1, 14))
 
 
 def brute_run(docs, bench, models):

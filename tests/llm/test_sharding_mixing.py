@@ -27,6 +27,15 @@ def test_shards_of_odd_rows(spark):
     assert sharding.contiguous_shards(empty).count() == 0 and sharding.with_shards(empty).count() == 0
 
 
+def test_one_row_many_times_is_cut(spark):
+    data = [(5, "the same", "en", "a", 1)] * 10_000 + [(k, "x" * k, "en", "a", 1) for k in range(100)]
+    got = sharding.contiguous_shards(docs(spark, data).repartition(5)).collect()
+    sizes = [9] * 10_000 + [k + 1 for k in range(100)]
+    by = {s: [r for r in got if r.shard == s] for s in range(8)}
+    assert sorted(r["size"] for r in got) == sorted(sizes)
+    assert all(abs(sum(r["size"] for r in own) - sum(sizes) / 8) <= 110 and sorted(r.slot for r in own) == list(range(len(own))) for own in by.values())
+
+
 def brute_targets(sizes, weights=(1, 2, 3), most=3):
     """Reshares what is above the limits until nothing is."""
     names = sorted((n for n in sizes if n is not None), key=lambda n: n.encode()) + [None] * (None in sizes)
