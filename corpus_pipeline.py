@@ -8,9 +8,8 @@ the table empty, which gives an empty table. What each stage does with these is
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from heliograph.llm.common import materialise, table
+from heliograph.llm.common import materialise, private, restored, table
 from heliograph.llm.decontaminate import clean
 from heliograph.llm.language import fit, identify
 from heliograph.llm.mixing import mixed
@@ -22,8 +21,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the models know; lang becomes the predicted one. A text that is null, empty or
     without a letter has no language and goes; so does every document if none has a label to learn from. Equal rows
     share their fate. Very long texts are scored as a whole."""
-    found = identify(docs, fit(docs), carry=tuple(docs.columns)).where("accepted")
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    rows = private(docs, "text")
+    found = identify(rows, fit(docs), carry=tuple(rows.columns)).where("accepted")
+    return restored(found, docs, "text", lang="lang_pred")
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
