@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heliograph.operators.store import newest
+
 # Fixed values.
 COMPONENT_WEIGHTS = {"accuracy": 0.35, "reliability": 0.25, "response_time": 0.15, "grounding": 0.15, "resource": 0.10}
 SMALL_SAMPLE = 20
@@ -76,13 +78,14 @@ def thresholds(distances: DataFrame) -> DataFrame:
 
 
 def training_queries(events: DataFrame, most: int = 2000) -> DataFrame:
-    """query and ts of the different text queries among a user's newest (kind, query, source, mode, ts, event_id): case
-    and spaces at the ends don't tell queries apart, the newest stands. Imported, visual, asked and exact ones don't
-    count."""
-    own = events.where("kind = 'query'").orderBy(F.desc("ts"), F.desc("event_id")).limit(most).withColumn("query", F.trim("query"))
+    """query and ts (and user_id, if there is one) of the different text queries among each user's newest (kind, query,
+    source, mode, ts, event_id): case and spaces at the ends don't tell queries apart, the newest stands. Imported, visual,
+    asked and exact ones don't count."""
+    own = newest(events.where("kind = 'query'"), most).withColumn("query", F.trim("query"))
     own = own.where((F.col("query") != "") & F.col("source").isNull() & ~F.coalesce(F.col("mode").isin(*NOT_TEXT), F.lit(False)))
-    newest = F.struct("ts", "event_id")
-    return own.groupBy(F.lower("query").alias("_q")).agg(F.max_by("query", newest).alias("query"), F.max("ts").alias("ts")).drop("_q")
+    users = [c for c in ("user_id",) if c in events.columns]
+    last = F.struct("ts", "event_id")
+    return own.groupBy(*users, F.lower("query").alias("_q")).agg(F.max_by("query", last).alias("query"), F.max("ts").alias("ts")).drop("_q")
 
 
 def component_score(n: Column, **signals: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from heliograph.config import DEFAULTS, NOW
 from heliograph.operators.lifecycle import retention, tombstone, upsert
+from heliograph.sources.tables import written
 
 EVENTS = "event_id long, ts double, kind string, file_id string, path string, query string, source string, session long"
 
@@ -69,33 +70,61 @@ def library_size(vectors: DataFrame) -> DataFrame:
 # -- usage events ----------------------------------------------------------------------------------------------------
 
 
-def with_sessions(events: DataFrame, gap: float = DEFAULTS.session_gap_s, last: tuple[float, int] | None = None) -> DataFrame:
-    """events of one user or device in the order of arrival (event_id), with session: a new one begins when ts is more
-    than the gap after the latest ts so far. `last` is where an earlier table ended (latest ts, session). One user's log
-    is a sequence; many users are partitioned by user_id if there is one."""
-    own = [c for c in ("user_id",) if c in events.columns]
-    line = Window.partitionBy(*own).orderBy("event_id")
-    before = F.max("ts").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    start, number = last or (None, 0)
-    latest = F.coalesce(F.greatest(before, F.lit(start).cast("double")), F.lit(start).cast("double"))
+def session_ends(events: DataFrame) -> DataFrame:
+    """Where each user's live events (without a source) end: the latest ts and the last session."""
+    return events.where("source is null").groupBy(*_users(events)).agg(F.max("ts").alias("ts"), F.max("session").alias("session"))
+
+
+def _users(events: DataFrame, *more: str) -> list[str]:
+    return [c for c in ("user_id", *more) if c in events.columns]
+
+
+def _who(events: DataFrame, *more: str) -> Column:
+    """What has sessions of its own, nulls too, as one value: a user; without a user_id all is one user's."""
+    return F.to_json(F.struct(F.lit(1).alias("log"), *_users(events, *more)))
+
+
+def with_sessions(events: DataFrame, gap: float = DEFAULTS.session_gap_s, ends: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """events in the order of arrival (event_id), with session, numbered by user_id (and the columns `by`): a new one begins
+    when ts is more than the gap after the user's latest ts so far. Without a user_id all events are one user's. ends: where an earlier table
+    ended by user (user_id, ts, session).
+
+    The log is dealt into blocks by user and event_id, so that a user with most of the events has many. What a block has to
+    know of the user's earlier ones is their latest ts, and then how many sessions they began: a row for each block and user. So no
+    task holds more than a block, and none waits for another.
+    """
+    rows = events.select(_who(events, *by).alias("who"), "event_id", "ts", F.struct("*").alias("row"))
+    placed = written(rows.repartitionByRange("who", "event_id").withColumn("block", F.spark_partition_id()))
+    key = ["who", "block"]
+    earlier = Window.partitionBy("who").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    known = placed.groupBy(*key).agg(F.max("ts").alias("top")).withColumn("before", F.max("top").over(earlier))
+    if ends is None:
+        known = known.withColumn("number", F.lit(0).cast("long"))
+    else:
+        old = ends.select(_who(ends, *by).alias("who"), F.col("ts").alias("end"), F.col("session").alias("number"))
+        known = known.join(old, "who", "left").withColumns({"before": F.greatest("before", "end"), "number": F.coalesce("number", F.lit(0))})
+    line = Window.partitionBy(*key).orderBy("event_id", "ts")
+    latest = F.greatest(F.max("ts").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.col("before"))
     fresh = (latest.isNull() | (F.col("ts") - latest > gap)).cast("long")
-    return events.withColumn("_fresh", fresh).withColumn("session", (F.sum("_fresh").over(line) + number).cast("long")).drop("_fresh")
+    marked = written(placed.join(known.select(*key, "before", "number"), key).withColumn("fresh", fresh).withColumn("upto", F.sum("fresh").over(line)))
+    begun = marked.groupBy(*key).agg(F.sum("fresh").alias("n")).select(*key, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("so_far"))
+    return marked.join(begun, key).select("row.*", (F.col("number") + F.col("so_far") + F.col("upto")).cast("long").alias("session"))
 
 
-def append_events(events: DataFrame, new: DataFrame, gap: float = DEFAULTS.session_gap_s) -> DataFrame:
-    """The log with new events, which go on with its last session if they come soon enough. Only the log's last row of
-    live events (without a source) is read."""
-    end = events.where("source is null").agg(F.max("ts").alias("ts"), F.max("session").alias("session"), F.max("event_id").alias("id")).first()
-    last = None if end.ts is None else (end.ts, end.session or 0)
-    return events.unionByName(with_sessions(new.drop("session"), gap, last).select(*events.columns))
+def append_events(events: DataFrame, new: DataFrame, gap: float = DEFAULTS.session_gap_s, ends: DataFrame | None = None) -> DataFrame:
+    """The log with new events, which go on with their user's last session if they come soon enough. ends: session_ends of
+    the log, if they are kept beside it; else they are read from it."""
+    numbered = with_sessions(new.drop("session"), gap, session_ends(events) if ends is None else ends)
+    return events.unionByName(numbered.select(*events.columns))
 
 
 def replace_source(events: DataFrame, source: str, new: DataFrame, gap: float = DEFAULTS.session_gap_s) -> DataFrame:
     """Imported events of a source swapped for new ones, in one table: readers see the old or the new whole. Imports
-    have sessions of their own, numbered after all others."""
+    have sessions of their own, numbered after all others of their user."""
     kept = clear_source(events, source)
-    top = events.agg(F.coalesce(F.max("session"), F.lit(0))).first()[0]
-    own = with_sessions(new.drop("session").withColumn("source", F.lit(source)), gap).withColumn("session", F.col("session") + top)
+    top = events.groupBy(_who(events).alias("_who")).agg(F.max("session").alias("_top"))
+    own = with_sessions(new.drop("session").withColumn("source", F.lit(source)), gap)
+    own = own.withColumn("_who", _who(own)).join(top, "_who", "left").withColumn("session", F.col("session") + F.coalesce("_top", F.lit(0)))
     return kept.unionByName(own.select(*events.columns))
 
 
@@ -104,11 +133,19 @@ def clear_source(events: DataFrame, source: str | None = None) -> DataFrame:
     return events.where("false") if source is None else events.where(~F.col("source").eqNullSafe(F.lit(source)))
 
 
+def newest(events: DataFrame, limit: int) -> DataFrame:
+    """Each user's newest events, those with the largest id first where times are equal."""
+    order = F.desc("ts"), F.desc("event_id")
+    if not (users := _users(events)):
+        return events.orderBy(*order).limit(limit)
+    line = Window.partitionBy(*users).orderBy(*order)
+    return events.withColumn("_n", F.row_number().over(line)).where(F.col("_n") <= limit).drop("_n")
+
+
 def recent(events: DataFrame, limit: int, kinds: tuple[str, ...] | None = None, since: float | None = None) -> DataFrame:
-    """The newest events, those with the largest id first where times are equal."""
+    """Each user's newest events of some kinds."""
     out = events if kinds is None else events.where(F.col("kind").isin(*kinds))
-    out = out if since is None else out.where(F.col("ts") >= since)
-    return out.orderBy(F.desc("ts"), F.desc("event_id")).limit(limit)
+    return newest(out if since is None else out.where(F.col("ts") >= since), limit)
 
 
 def all_events(events: DataFrame) -> DataFrame:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.fixtures import RECORDS, USAGE, file_records, read, usage_events
@@ -12,6 +15,7 @@ from heliograph.sources.tables import shared_folder
 from heliograph.sources.scan import admitted, chunk_cap, scan_order, size_cap
 from heliograph.sources.transcripts import token_chunks
 from heliograph.streaming.events import apply_file_events, changed_files, debounce_stream, session_stream
+from heliograph.streaming.stateful import FileEventSink, debounced, live_sessions, state_store
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -69,13 +73,35 @@ def sessions_by_stream(spark, sf):
     return spark.read.parquet(f"{folder}/out").groupBy("user_id", "events").agg(F.count("*").alias("sessions"))
 
 
-def _streamed(spark, rows, transform):
-    """Rows of a stream that reads a table once and ends."""
+def _streamed(spark, rows, transform, by=None, times=1, sink=None, tries=1):
+    """Rows of a stream that reads a table and ends. With `by` the table arrives in so many slices of equal ranges of that
+    column; the stream is started for each and goes on from its checkpoint. sink: for foreachBatch, in place of files; a
+    start that fails is tried again."""
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    rows.write.parquet(f"{folder}/in")
-    stream = transform(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
-    stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    low, high = rows.agg(F.min(by), F.max(by)).first() if by else (0, 0)
+    slice_ = F.least(F.floor((F.col(by) - low) * times / max(high - low, 1)), F.lit(times - 1)) if by else F.lit(0)
+    for k in range(times):
+        rows.where(slice_ == k).write.mode("append").parquet(f"{folder}/in")
+        stream = transform(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+        out = stream.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+        out = out.format("parquet").option("path", f"{folder}/out") if sink is None else out.foreachBatch(sink)
+        for left in reversed(range(tries)):
+            try:
+                with state_store(spark):
+                    out.start().awaitTermination()
+                break
+            except StreamingQueryException:
+                if not left:
+                    raise
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out") if sink is None else None
+
+
+@_register("event_stream", f"""with {USAGE}, b as (select user_id, event_id, ts, max(ts) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as before from usage)
+select user_id, event_id, (sum(case when before is null or ts - before > 1800 then 1 else 0 end) over (partition by user_id order by event_id))::bigint as session from b""")
+def event_stream(spark, sf):
+    """All users' events in the order of arrival, by a stream that is stopped and started again."""
+    events = usage_events(spark, sf).select("user_id", "event_id", "ts")
+    return _streamed(spark, events, live_sessions, "event_id", 3).select("user_id", "event_id", "session")
 
 
 @_register("debounced_events", f"""with {USAGE}, n as (select user_id, moment, ts, sum(fresh) over (partition by user_id order by ts, event_id) as s from (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) <= 600 then 0 else 1 end as fresh from usage)),
@@ -88,6 +114,51 @@ def debounced_events(spark, sf):
     return done.groupBy(F.col("path").alias("user_id"), "events").agg(F.count("*").alias("waits"))
 
 
+@_register("debounce_cancel", f"""with {USAGE}, f as (select *, kind in ('file_revealed', 'recommendation_clicked') as cancels, lag(kind in ('file_revealed', 'recommendation_clicked')) over w as after_cancel, ts - lag(ts) over w as gap from usage window w as (partition by user_id order by ts, event_id)),
+n as (select *, sum(case when gap is null or gap > 1800 or after_cancel then 1 else 0 end) over (partition by user_id order by ts, event_id) as wait from f),
+w as (select user_id, wait, max(ts) as last, arg_max(kind, (ts, event_id)) as kind, count(*) as events, bool_or(cancels) as cancelled from n group by user_id, wait)
+select user_id, kind, events::bigint as events, count(*)::bigint as waits from w where not cancelled and last + 1800 <= (select max(ts) from usage) - 60 group by all""")
+def debounce_cancel(spark, sf):
+    """Users who were quiet for half an hour, but for waits that one of two kinds took away."""
+    events = usage_events(spark, sf).select(F.col("user_id").alias("path"), "event_id", "kind", F.col("at").alias("ts"), F.unix_seconds("at").alias("second"))
+    done = _streamed(spark, events, lambda stream: debounced(stream, 1800, ("file_revealed", "recommendation_clicked")), "second", 3)
+    return done.groupBy(F.col("path").alias("user_id"), "kind", "events").agg(F.count("*").alias("waits"))
+
+
+@_register("file_event_stream", f"""with {RECORDS}, a as (select doc_id, path, case when doc_id % 5 = 0 then 'first-' || doc_id else hash end as hash, deleted and doc_id % 5 <> 0 as deleted from records),
+b as (select doc_id, path, hash, deleted or doc_id % 3 = 0 as deleted from a),
+c as (select doc_id, path, case when doc_id % 6 = 0 and doc_id % 12 <> 0 then 'third-' || doc_id else hash end as hash, deleted and not (doc_id % 6 = 0 and doc_id % 12 <> 0) as deleted from b)
+select case when doc_id % 7 = 1 and not deleted then path || '.moved' else path end as path, hash, deleted, 0::bigint as dead from c
+union all select path, 'bad-' || doc_id as hash, null as deleted, 1 as dead from records where doc_id % 12 = 0""")
+def file_event_stream(spark, sf):
+    """Four batches of file events (changes, deletions, changes of which some are poisoned, moves). The third is lost
+    once after it has been applied, and runs again; a batch with the second's number is sent once more at the end."""
+    r = file_records(spark, sf, hashed=True)
+    d, none = F.col("doc_id"), F.lit(None).cast("string")
+    said = lambda word: F.concat(F.lit(word), d.cast("string"))
+    events = [
+        r.where(d % 5 == 0).select("path", F.lit("modified").alias("kind"), said("first-").alias("hash"), none.alias("target"), F.lit(0).cast("long").alias("version")),
+        r.where(d % 3 == 0).select("path", F.lit("deleted"), none, none, F.lit(1).cast("long")),
+        r.where(d % 6 == 0).select("path", F.lit("created"), F.when(d % 12 == 0, said("bad-")).otherwise(said("third-")), none, F.lit(2).cast("long")),
+        r.where(d % 7 == 1).select("path", F.lit("moved"), "hash", F.concat("path", F.lit(".moved")), F.lit(3).cast("long")),
+    ]
+    poisoned = r.where(d % 12 == 0).select(said("bad-").alias("hash"))
+    sink = FileEventSink(f"{shared_folder(spark)}/{uuid.uuid4().hex}", r, poisoned=poisoned)
+    every = reduce(DataFrame.union, events)
+    failed = []
+
+    def once(batch, number):
+        sink(batch, number)
+        if number == 2 and not failed:
+            failed.append(number)
+            raise RuntimeError("lost before the stream knew that the batch was done")
+
+    _streamed(spark, every, lambda stream: stream, "version", 4, once, tries=2)
+    sink(events[0], 1)  # a number that is done
+    live = sink.records().select("path", "hash", "deleted", F.lit(0).cast("long").alias("dead"))
+    return live.unionByName(sink.dead_letters().select("path", "hash", F.lit(None).cast("boolean").alias("deleted"), F.lit(1).cast("long").alias("dead")))
+
+
 @_register("changed_files", f"with {RECORDS} select path from records where doc_id % 4 in (0, 1) and (deleted or doc_id % 4 = 0)")
 def changed_files_query(spark, sf):
     r = file_records(spark, sf, hashed=True)

@@ -119,56 +119,56 @@ def payload_fill(spark, sf):
 
 
 def _log(spark, sf):
-    """One user's log with a third of it imported."""
-    e = usage_events(spark, sf).where("user_id % 10 = 3").select("event_id", "ts", "kind", F.col("doc_id").cast("string").alias("file_id"), F.lit(None).cast("string").alias("path"), F.when(F.col("kind") == "query", F.concat(F.lit("Find "), F.col("doc_id").cast("string"))).alias("query"), F.when(F.col("event_id") % 3 == 0, "old").alias("source"))
-    own, other = e.where("source is null"), e.where("source is not null")
-    return S.with_sessions(own).unionByName(S.with_sessions(other).withColumn("session", F.col("session") + 1_000_000))
+    """All users' logs with a third of each imported."""
+    e = usage_events(spark, sf).select("event_id", "user_id", "ts", "kind", F.col("doc_id").cast("string").alias("file_id"), F.lit(None).cast("string").alias("path"), F.when(F.col("kind") == "query", F.concat(F.lit("Find "), F.col("doc_id").cast("string"))).alias("query"), F.when(F.col("event_id") % 3 == 0, "old").alias("source"))
+    numbered = S.with_sessions(e, by=("source",))
+    return numbered.withColumn("session", F.col("session") + F.when(F.col("source").isNull(), 0).otherwise(1_000_000))
 
 
-LOG = f"""{USAGE}, raw as (select event_id, ts, kind, doc_id::varchar as file_id, case when kind = 'query' then 'Find ' || doc_id end as query, case when event_id % 3 = 0 then 'old' end as source from usage where user_id % 10 = 3),
-seen as (select *, max(ts) over (partition by source order by event_id rows between unbounded preceding and 1 preceding) as before from raw),
-log as (select * exclude (before), (sum(case when before is null or ts - before > 1800 then 1 else 0 end) over (partition by source order by event_id) + case when source is null then 0 else 1000000 end)::bigint as session from seen)"""
+LOG = f"""{USAGE}, raw as (select event_id, user_id, ts, kind, doc_id::varchar as file_id, case when kind = 'query' then 'Find ' || doc_id end as query, case when event_id % 3 = 0 then 'old' end as source from usage),
+seen as (select *, max(ts) over (partition by user_id, source order by event_id rows between unbounded preceding and 1 preceding) as before from raw),
+log as (select * exclude (before), (sum(case when before is null or ts - before > 1800 then 1 else 0 end) over (partition by user_id, source order by event_id) + case when source is null then 0 else 1000000 end)::bigint as session from seen)"""
 
 
-@_register("event_append", f"""with {LOG}, own as (select * from log where source is null), cut as (select event_id, ts, kind, source from own where event_id % 2 = 0),
-old_ as (select event_id, ts, max(ts) over (order by event_id rows between unbounded preceding and 1 preceding) as before from cut),
-old_s as (select event_id, ts, (sum(case when before is null or ts - before > 1800 then 1 else 0 end) over (order by event_id))::bigint as session from old_),
-top as (select max(ts) as ts, max(session) as session from old_s),
-new_ as (select event_id + 10000000 as event_id, ts + 40 * 86400 as ts from own where event_id % 2 = 1),
-new_b as (select n.*, greatest(max(n.ts) over (order by event_id rows between unbounded preceding and 1 preceding), t.ts) as before, t.session as base, t.ts as top_ts from new_ n, top t),
-new_s as (select event_id, ts, (sum(case when ts - coalesce(before, top_ts) > 1800 then 1 else 0 end) over (order by event_id) + base)::bigint as session from new_b)
-select event_id, session from old_s union all select event_id, session from new_s""")
+@_register("event_append", f"""with {LOG}, own as (select * from log where source is null), cut as (select event_id, user_id, ts, kind, source from own where event_id % 2 = 0),
+old_ as (select event_id, user_id, ts, max(ts) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as before from cut),
+old_s as (select event_id, user_id, ts, (sum(case when before is null or ts - before > 1800 then 1 else 0 end) over (partition by user_id order by event_id))::bigint as session from old_),
+top as (select user_id, max(ts) as ts, max(session) as session from old_s group by user_id),
+new_ as (select event_id + 10000000 as event_id, user_id, ts + 40 * 86400 as ts from own where event_id % 2 = 1),
+new_b as (select n.*, greatest(max(n.ts) over (partition by n.user_id order by event_id rows between unbounded preceding and 1 preceding), t.ts) as before, coalesce(t.session, 0) as base from new_ n left join top t using (user_id)),
+new_s as (select event_id, user_id, ts, (sum(case when before is null or ts - before > 1800 then 1 else 0 end) over (partition by user_id order by event_id) + base)::bigint as session from new_b)
+select event_id, user_id, session from old_s union all select event_id, user_id, session from new_s""")
 def event_append(spark, sf):
     own = _log(spark, sf).where("source is null")
     old = S.with_sessions(own.where("event_id % 2 = 0").drop("session"))
     new = own.where("event_id % 2 = 1").withColumn("event_id", F.col("event_id") + 10_000_000).withColumn("ts", F.col("ts") + 40 * 86400)
-    return S.append_events(old.select(*own.columns), new).select("event_id", "session")
+    return S.append_events(old.select(*own.columns), new).select("event_id", "user_id", "session")
 
 
-@_register("event_replace_source", f"""with {LOG}, top as (select max(session) as top from log), new_ as (select event_id + 5 as event_id, ts from log where source = 'old' and event_id % 2 = 0),
-b as (select *, max(ts) over (order by event_id rows between unbounded preceding and 1 preceding) as before from new_)
-select event_id, session, source from log where source is null
-union all select event_id, (sum(case when before is null or ts - before > 1800 then 1 else 0 end) over (order by event_id) + top)::bigint as session, 'old' as source from b, top""")
+@_register("event_replace_source", f"""with {LOG}, top as (select user_id, max(session) as top from log group by user_id), new_ as (select event_id + 5 as event_id, user_id, ts from log where source = 'old' and event_id % 2 = 0),
+b as (select *, max(ts) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as before from new_)
+select event_id, user_id, session, source from log where source is null
+union all select event_id, user_id, (sum(case when before is null or ts - before > 1800 then 1 else 0 end) over (partition by user_id order by event_id) + top)::bigint as session, 'old' as source from b join top using (user_id)""")
 def event_replace_source(spark, sf):
     log = _log(spark, sf)
     new = log.where("source = 'old' and event_id % 2 = 0").withColumn("event_id", F.col("event_id") + 5)
-    return S.replace_source(log, "old", new).select("event_id", "session", "source")
+    return S.replace_source(log, "old", new).select("event_id", "user_id", "session", "source")
 
 
-@_register("event_clear_source", f"with {LOG} select event_id from log where source is distinct from 'old'")
+@_register("event_clear_source", f"with {LOG} select event_id, session from log where source is distinct from 'old'")
 def event_clear_source(spark, sf):
-    return S.clear_source(_log(spark, sf), "old").select("event_id")
+    return S.clear_source(_log(spark, sf), "old").select("event_id", "session")
 
 
-@_register("event_recent", f"with {LOG} select event_id, ts from log where kind in ('file_opened', 'query') and ts >= {NOW} - 25 * 86400 order by ts desc, event_id desc limit 40")
+@_register("event_recent", f"with {LOG} select user_id, event_id, ts from log where kind in ('file_opened', 'query') and ts >= {NOW} - 25 * 86400 qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 40")
 def event_recent(spark, sf):
-    return S.recent(_log(spark, sf), 40, ("file_opened", "query"), NOW - 25 * 86400).select("event_id", "ts")
+    return S.recent(_log(spark, sf), 40, ("file_opened", "query"), NOW - 25 * 86400).select("user_id", "event_id", "ts")
 
 
-@_register("training_queries", f"""with {LOG}, newest as (select * from log where kind = 'query' order by ts desc, event_id desc limit 2000)
-select query, ts from newest where source is null and event_id % 4 <> 0 qualify row_number() over (partition by lower(query) order by ts desc, event_id desc) = 1""")
+@_register("training_queries", f"""with {LOG}, newest as (select * from log where kind = 'query' qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 20)
+select user_id, query, ts from newest where source is null and event_id % 4 <> 0 qualify row_number() over (partition by user_id, lower(query) order by ts desc, event_id desc) = 1""")
 def training_queries(spark, sf):
-    return E.training_queries(_log(spark, sf).withColumn("mode", F.when(F.col("event_id") % 4 == 0, "visual")))
+    return E.training_queries(_log(spark, sf).withColumn("mode", F.when(F.col("event_id") % 4 == 0, "visual")), 20)
 
 
 OPENS = f"{USAGE}, {RECORDS}, opens as (select path, ts from usage join records using (doc_id) where kind = 'file_opened')"
@@ -294,12 +294,11 @@ def tier_sort(spark, sf):
     return W.sorted_in_tier(r.withColumn("name", T.filename("path")), "size", True).select("query_id", "doc_id", "place")
 
 
-@_register("time_ago", f"""with {RECORDS}, a as (select doc_id, {NOW} - modified_time as s, modified_time from records where modified_time <= {NOW} and doc_id % 24 <> 13)
-select doc_id, case when s < 60 then 'just now' when s < 3600 then floor(s / 60)::bigint || ' minutes ago' when s < 86400 then floor(s / 3600)::bigint || case when floor(s / 3600) = 1 then ' hour ago' else ' hours ago' end
+@_register("time_ago", f"""with {RECORDS}, a as (select doc_id, {NOW} - modified_time as s, modified_time from records)
+select doc_id, case when s < 60 then 'just now' when s < 3600 then floor(s / 60)::bigint || case when floor(s / 60) = 1 then ' minute ago' else ' minutes ago' end when s < 86400 then floor(s / 3600)::bigint || case when floor(s / 3600) = 1 then ' hour ago' else ' hours ago' end
   when s < 60 * 86400 then floor(s / 86400)::bigint || case when floor(s / 86400) = 1 then ' day ago' else ' days ago' end else 'on ' || strftime(to_timestamp(modified_time) at time zone 'UTC', '%-d %B %Y') end as told from a""")
 def time_ago(spark, sf):
-    r = _records(spark, sf).where((F.col("modified_time") <= NOW) & (F.col("doc_id") % 24 != 13))
-    return r.select("doc_id", W.ago(F.lit(NOW) - F.col("modified_time"), F.col("modified_time")).alias("told"))
+    return _records(spark, sf).select("doc_id", W.ago(F.lit(NOW) - F.col("modified_time"), F.col("modified_time")).alias("told"))
 
 
 @_register("keyframes", """with f as (select label as file_id, vec_id, row_number() over (partition by label order by vec_id) - 1 as i, count(*) over (partition by label) as n from embeddings),

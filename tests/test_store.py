@@ -17,7 +17,26 @@ def value(spark, column):
 def test_sessions_follow_arrival(spark):
     frame = spark.createDataFrame([(1, 100.0), (2, 2000.0), (3, 50.0), (4, 3801.0), (5, 5601.0)], "event_id long, ts double")
     assert [r.session for r in store.with_sessions(frame).orderBy("event_id").collect()] == [1, 2, 2, 3, 3]
-    assert [r.session for r in store.with_sessions(frame, last=(90.0, 7)).orderBy("event_id").collect()] == [7, 8, 8, 9, 9]
+    ends = spark.createDataFrame([(90.0, 7)], "ts double, session long")
+    assert [r.session for r in store.with_sessions(frame, ends=ends).orderBy("event_id").collect()] == [7, 8, 8, 9, 9]
+
+
+def test_sessions_of_users_go_on_over_blocks(spark):
+    """One user has most of the events, some have none before; nulls are a user, too."""
+    rng = np.random.default_rng(3)
+    events = [(k, [1, 1, 1, 2, None, 5][int(rng.integers(6))], float(k * 700 + rng.integers(-3000, 3000))) for k in range(600)]
+    ends = {1: (-5000.0, 4), 2: (3000.0, 2), 9: (1.0, 1)}
+    want, known = {}, dict(ends)
+    for k, user, ts in events:
+        latest, number = known.get(user, (None, 0))
+        number += latest is None or ts - latest > 1800
+        known[user] = (ts if latest is None else max(ts, latest), number)
+        want[k] = number
+    frame = spark.createDataFrame(events, "event_id long, user_id long, ts double").withColumns({"who": F.lit("clash"), "block": F.lit(3)})
+    before = spark.createDataFrame([(u, *e) for u, e in ends.items()], "user_id long, ts double, session long")
+    got = store.with_sessions(frame, ends=before)
+    assert got.columns == [*frame.columns, "session"]
+    assert {r.event_id: r.session for r in got.collect()} == want
 
 
 def test_sources_are_replaced_and_cleared(spark):
