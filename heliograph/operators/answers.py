@@ -13,13 +13,15 @@ MONTHS = "january february march april may june july august september october no
 WEEKDAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
 COMMON = "the this that with from your have will were been there their which about into also than then when what where they them files file found could couldn sources source".split()
 
+# Fixed value: words that need another one after them.
+_DANGLING = r"(?i)\b(?:is|was|are|were|the|a|an|of|on|at|in|to|for|by|from)[\s.!?]*$"
+
 _MARKED = r"[a-z0-9][a-z0-9,.-]*[a-z0-9]|[a-z0-9]"
 _NOTHING = (
     r"(?i)\b(?:no|not any|none of the)\b[^.!?]{0,60}\b(?:mention|information|answer|source|file|document|record|detail)s?\b"
     r"|\b(?:do|does|did|is|are|was|were|can|could)(?: not|n['’]t)\b[^.!?]{0,40}\b(?:mention|contain|say|state|specif|provide|include|determin|answer|found|find|know)\w*"
     r"|\bcan ?not be (?:determined|answered|found)\b|\bunable to (?:find|answer|determine)\b"
 )
-_DANGLING = r"(?i)\b(?:is|was|are|were|the|a|an|of|on|at|in|to|for|by|from)[\s.!?]*$"
 _REFERS = r"(?i)\b(?:it|its|that|this|those|these|they|them|their|he|she|his|her|him|there|then|same|other|another|one|ones|former|latter|above|previous|instead|again|else|too|also)\b|^(?:and|but|or|so|what about|how about)\b"
 
 

@@ -115,11 +115,10 @@ def quick_answer(questions: DataFrame, passages: DataFrame) -> DataFrame:
     return own.where(fits).withColumn("score", score).withColumn("n", F.row_number().over(best)).where("n = 1").select("question_id", "chunk_id", "sentence", "score")
 
 
-def media_limits(scores: DataFrame) -> DataFrame:
-    """query_id, strong, possible: limits for photo distances (squared L2) from a query's own list. With 100 photos or
-    more they follow the best, the 100th, and the size of the library; small libraries have fixed ones."""
-    line = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    by = scores.withColumn("n", F.row_number().over(line)).groupBy("query_id").agg(F.count("*").alias("size"), F.min("distance").alias("best"), F.max(F.when(F.col("n") == 100, F.col("distance"))).alias("reference"))
+def media_limits(hits: DataFrame, size: int) -> DataFrame:
+    """query_id, strong, possible: limits for photo distances (squared L2) from a query's 100 nearest (query_id, distance, rank) and the
+    size of the library. With 100 photos or more they follow the best, the 100th and the size; small libraries have fixed ones."""
+    by = hits.groupBy("query_id").agg(F.min("distance").alias("best"), F.max(F.when(F.col("rank") == 100, F.col("distance"))).alias("reference")).withColumn("size", F.lit(size))
     root = lambda n: F.sqrt(2 * F.log(n))
     bound = F.when(F.col("size") > 130, F.greatest(F.lit(1.40), 1.51 - 0.05 * (root(F.col("size")) - root(F.lit(130.0))))).otherwise(1.51)
     by = by.withColumn("bound", bound)

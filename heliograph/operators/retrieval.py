@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from heliograph.config import DEFAULTS
 from heliograph.functions.text import tokens
 from heliograph.operators.index import KeywordIndex
+from heliograph.sources.tables import written
 
 
 def top(hits: DataFrame, k: int, score: str, descending: bool = True) -> DataFrame:
@@ -56,6 +57,42 @@ def squared_distance(a: Column, b: Column) -> Column:
 KNN_BLOCK = 4096
 
 
+def _compared(queries: DataFrame, vectors: DataFrame, pick, form: str) -> DataFrame:
+    """Stated queries (query_id, query_vec and what else belongs to them) against all vectors (a key, embedding and what
+    else belongs to them): pick(asked, rows, apart) makes a batch of results from columns of some queries, columns of a batch of
+    vectors in the order of their keys, and the squared distances between them. A block of queries is sent to all tasks."""
+    asked = queries.where("query_vec is not null")
+    blocks = max(1, -(-asked.count() // KNN_BLOCK))
+    names, out = vectors.columns, None
+    for b in range(blocks):
+        block = (asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked).toArrow()  # of the stated queries
+        lines = np.array(block["query_vec"].to_pylist(), np.float64)
+        own = {c: block[c].to_numpy() for c in block.column_names if c != "query_vec"}
+
+        def each(batches: Iterator[pa.RecordBatch], lines: np.ndarray = lines, own: dict[str, np.ndarray] = own) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not len(lines) or not batch.num_rows:
+                    continue
+                vecs = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
+                order = np.argsort(batch.column(0).to_numpy(zero_copy_only=False), kind="stable")
+                rows = {c: batch.column(k).to_numpy(zero_copy_only=False)[order] for k, c in enumerate(names) if k != 1}
+                vecs = vecs[order]
+                for at in range(0, len(lines), 256):
+                    some = lines[at : at + 256]
+                    apart = np.maximum((some**2).sum(1)[:, None] + (vecs**2).sum(1) - 2 * some @ vecs.T, 0).round(6)
+                    yield pick({c: v[at : at + 256] for c, v in own.items()}, rows, apart)
+
+        key, vec, *more = names
+        hits = vectors.where(F.col(vec).isNotNull()).select(key, F.col(vec).cast("array<double>"), *more).mapInArrow(each, form)
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+def _nearest(apart: np.ndarray, k: int) -> np.ndarray:
+    """Whether each distance is among the k smallest of its row, or equal to the last of these."""
+    return apart <= np.partition(apart, k - 1, axis=1)[:, k - 1 : k] if apart.shape[1] > k else np.full(apart.shape, True)
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int | None = DEFAULTS.hits, cutoff: float | None = None, key: str = "vec_id") -> DataFrame:
     """query_id, key, distance (squared L2, six places), rank: the stated queries against all vectors, each batch of
     vectors by a matrix product with a block of queries. Filters on vectors stand before. A batch sends its k best of
@@ -63,40 +100,66 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int | None = DEFAULTS.hits, c
 
     queries: query_id, query_vec; vectors: key and embedding, of one width. A null vector takes no part.
     """
-    asked = queries.select("query_id", "query_vec").where("query_vec is not null")
-    blocks = max(1, -(-asked.count() // KNN_BLOCK))
+    if k is None and cutoff is None:
+        raise ValueError("all pairs aren't told: give a number or a cutoff")
     of_key = vectors.select(key).schema[0].dataType.simpleString()
-    form, out = f"query_id long, `{key}` {of_key}, distance double", None
-    for b in range(blocks):
-        rows = (asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked).collect()  # a block of the stated queries
-        ids = np.array([r.query_id for r in rows], np.int64)
-        lines = np.array([r.query_vec for r in rows], np.float64)
 
-        def each(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, lines: np.ndarray = lines) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                own = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
-                names = batch.column(0)
-                order = np.argsort(names.to_numpy(zero_copy_only=False), kind="stable")
-                own, names = own[order], names.take(pa.array(order))
-                if not len(ids) or not len(own):
-                    continue
-                for at in range(0, len(ids), 256):
-                    some = lines[at : at + 256]
-                    apart = np.maximum((some**2).sum(1)[:, None] + (own**2).sum(1) - 2 * some @ own.T, 0).round(6)
-                    good = np.full(apart.shape, True) if cutoff is None else apart <= cutoff
-                    if k is not None and len(own) > k:
-                        good &= apart <= np.partition(apart, k - 1, axis=1)[:, k - 1 : k]
-                    q, v = np.nonzero(good)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + q]), names.take(pa.array(v)), pa.array(apart[q, v])], ["query_id", key, "distance"])
-
-        hits = vectors.where("embedding is not null").select(key, F.col("embedding").cast("array<double>")).mapInArrow(each, form)
-        out = hits if out is None else out.unionByName(hits)
+    def pick(asked: dict, rows: dict, apart: np.ndarray) -> pa.RecordBatch:
+        good = np.full(apart.shape, True) if cutoff is None else apart <= cutoff
+        q, v = np.nonzero(good if k is None else good & _nearest(apart, k))
+        return pa.RecordBatch.from_arrays([pa.array(asked["query_id"][q]), pa.array(rows[key][v]), pa.array(apart[q, v])], ["query_id", key, "distance"])
+
+    out = _compared(queries.select("query_id", "query_vec"), vectors.select(key, "embedding"), pick, f"query_id long, `{key}` {of_key}, distance double")
     if k is None:
         return out
     best = Window.partitionBy("query_id").orderBy("distance", key)
     return out.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("query_id", key, "distance", "rank")
 
 
+def judged(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, vec_id, distance, rank, relevant and n_relevant of each query's k nearest vectors, of the nearest relevant and of the
+    nearest other one, whatever their ranks: what metrics and thresholds need, without a row for each pair.
+
+    queries: query_id, query_vec, own; vectors: vec_id, embedding, label, may. Relevant is a vector that may be and whose label
+    is the query's own; the vector with the query's id isn't compared. A batch of vectors sends k rows of each query on, the nearest of either
+    kind and a count. Ranks beyond k come from a second pass that only counts what is nearer.
+    """
+    form = "query_id long, vec_id long, distance double, relevant boolean, n long"
+
+    def pick(asked: dict, rows: dict, apart: np.ndarray) -> pa.RecordBatch:
+        other = asked["query_id"][:, None] != rows["vec_id"]
+        apart = np.where(other, apart, np.inf)
+        relevant = (asked["own"][:, None] == rows["label"]) & rows["may"].astype(bool) & other
+        good = _nearest(apart, k)
+        for kind in (relevant, ~relevant):
+            of_kind = np.where(kind, apart, np.inf)
+            good[np.arange(len(apart)), of_kind.argmin(1)] = True
+        q, v = np.nonzero(good & other)
+        n = len(apart)
+        columns = [np.r_[asked["query_id"][q], asked["query_id"]], np.r_[rows["vec_id"][v], np.zeros(n, np.int64)], np.r_[apart[q, v], np.zeros(n)], np.r_[relevant[q, v], np.zeros(n, bool)], np.r_[np.zeros(len(q), np.int64), relevant.sum(1)]]
+        none, count = np.r_[np.zeros(len(q), bool), np.ones(n, bool)], np.r_[np.ones(len(q), bool), np.zeros(n, bool)]
+        masks = [None, none, none, none, count]
+        return pa.RecordBatch.from_arrays([pa.array(c, mask=m) for c, m in zip(columns, masks, strict=True)], ["query_id", "vec_id", "distance", "relevant", "n"])
+
+    raw = written(_compared(queries.select("query_id", "query_vec", "own"), vectors.select("vec_id", "embedding", "label", F.coalesce("may", F.lit(False)).alias("may")), pick, form))
+    counts = raw.where("vec_id is null").groupBy("query_id").agg(F.sum("n").alias("n_relevant"))
+    line = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    hits = raw.where("vec_id is not null").drop("n").withColumn("rank", F.row_number().over(line).cast("long"))
+    kind = Window.partitionBy("query_id", "relevant").orderBy("distance", "vec_id")
+    hits = written(hits.withColumn("of_kind", F.row_number().over(kind)).where((F.col("rank") <= k) | (F.col("of_kind") == 1)).drop("of_kind"))
+
+    def nearer(asked: dict, rows: dict, apart: np.ndarray) -> pa.RecordBatch:
+        line, name = asked["distance"][:, None], asked["vec_id"][:, None]
+        before = ((apart < line) | (apart == line) & (rows["vec_id"] < name)) & (asked["query_id"][:, None] != rows["vec_id"])
+        return pa.RecordBatch.from_arrays([pa.array(asked["query_id"]), pa.array(asked["vec_id"]), pa.array(before.sum(1))], ["query_id", "vec_id", "n"])
+
+    far = hits.where(F.col("rank") > k)
+    places = _compared(far.join(queries.select("query_id", "query_vec"), "query_id"), vectors.select("vec_id", "embedding"), nearer, "query_id long, vec_id long, n long")
+    places = places.groupBy("query_id", "vec_id").agg((F.sum("n") + 1).alias("place"))
+    ranked = hits.join(places, ["query_id", "vec_id"], "left").withColumn("rank", F.coalesce("place", "rank")).drop("place")
+    return ranked.join(counts, "query_id")
+
+
 def centroids(vectors: DataFrame, key: str) -> DataFrame:
     """Mean vector of each key, scaled to length one; null if it is zero."""
     means = vectors.select(key, F.posexplode("embedding").alias("i", "x")).groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))

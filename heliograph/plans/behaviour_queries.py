@@ -376,13 +376,15 @@ def quick_answer(spark, sf):
     return C.quick_answer(asked.select(F.col("query_id").alias("question_id"), F.col("query").alias("question")), hits.select(F.col("query_id").alias("question_id"), "chunk_id", "content"))
 
 
-MEDIA = """scores as (select q.vec_id as query_id, v.vec_id, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))), 6) as distance from embeddings v, (select * from embeddings where vec_id % 50 = 0) q)"""
+MEDIA = """scores as (select q.vec_id as query_id, v.vec_id, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))), 6) as distance from embeddings v, (select * from embeddings where vec_id % 50 = 0) q),
+near as (select * from scores qualify row_number() over (partition by query_id order by distance, vec_id) <= 100)"""
 
 
 def _scores(spark, sf):
+    """Each query's 100 nearest."""
     v = read(spark, sf, "embeddings").select("vec_id", "embedding")
     asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    return R.knn(asked, v, k=None)
+    return R.knn(asked, v, 100)
 
 
 @_register("visual_tiers", f"""with {MEDIA}, ranked as (select *, row_number() over (partition by query_id order by distance, vec_id) as n from scores),
@@ -391,9 +393,9 @@ bound as (select *, case when size > 130 then greatest(1.40::double, 1.51::doubl
 lim as (select *, least(bound, best + 0.04::double, ref - 0.07::double) as strong, least(1.55::double, bound + 0.03::double, best + 0.08::double, ref - 0.04::double) as possible from bound)
 select query_id, round(strong, 6) as strong, round(greatest(strong, possible), 6) as possible from lim""")
 def visual_tiers(spark, sf):
-    return C.media_limits(_scores(spark, sf))
+    return C.media_limits(_scores(spark, sf), read(spark, sf, "embeddings").where("embedding is not null").count())
 
 
-@_register("visual_best_per_file", f"with {MEDIA} select query_id, (vec_id // 4)::bigint as file_id, vec_id, distance from scores qualify row_number() over (partition by query_id, vec_id // 4 order by distance, vec_id) = 1")
+@_register("visual_best_per_file", f"with {MEDIA} select query_id, (vec_id // 4)::bigint as file_id, vec_id, distance from near qualify row_number() over (partition by query_id, vec_id // 4 order by distance, vec_id) = 1")
 def visual_best_per_file(spark, sf):
     return C.best_per_file(_scores(spark, sf).withColumn("file_id", F.floor(F.col("vec_id") / 4)))

@@ -94,7 +94,7 @@ def visual_moments(spark, sf):
     return media.moments(frames)
 
 
-@_register("visual_shown", f"""with {MEDIA}, b as (select query_id, (vec_id // 4)::bigint as file_id, min(distance) as distance from scores group by all),
+@_register("visual_shown", f"""with {MEDIA}, b as (select query_id, (vec_id // 4)::bigint as file_id, min(distance) as distance from near group by all),
 t as (select *, case when file_id % 5 = 0 then 'video' else 'photo' end as kind, case when distance <= 1.7 then 0 when distance <= 1.9 then 1 end as t0 from b),
 a as (select *, row_number() over (partition by query_id, t0 order by distance, file_id) as n from t where t0 is not null),
 s as (select *, case when t0 = 0 and n > 10 then 1 else t0 end as tier from a),

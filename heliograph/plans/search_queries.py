@@ -346,15 +346,9 @@ by_q as (select query_id, n_relevant, sum(case when relevant and rank <= 5 then
 select count(*)::bigint as queries, round(avg(in_5 / least(n_relevant, 5)::double), 6) as recall_5, round(avg(coalesce(1.0::double / first, 0)), 6) as mrr,
   round(avg(dcg / list_sum(list_transform(range(1, least(n_relevant, 5)::bigint + 1), lambda i: 1 / log2(i + 1)))), 6) as ndcg_5 from by_q""")
 def eval_metrics(spark, sf):
-    from pyspark.sql import Window
-
     v = read(spark, sf, "embeddings")
     asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("label").alias("own"))
-    own = v.select("vec_id", "label")
-    hits = R.knn(asked.drop("own"), v.select("vec_id", "embedding"), k=None).where("vec_id <> query_id").join(own, "vec_id").join(asked.select("query_id", "own"), "query_id")
-    line = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    ranked = hits.select("query_id", (F.col("own") == F.col("label")).alias("relevant"), F.row_number().over(line).alias("rank"))
-    return K.retrieval_metrics(ranked.withColumn("n_relevant", F.sum(F.when(F.col("relevant"), 1).otherwise(0)).over(Window.partitionBy("query_id"))))
+    return K.retrieval_metrics(R.judged(asked, v.select("vec_id", "embedding", "label", F.lit(True).alias("may"))))
 
 
 @_register("jaccard_near_dupes", f"""with {BM25}, hits as ({RANKED.format("greatest(1, ceil(n_terms / 2.0))")}),

@@ -326,10 +326,7 @@ judged as (select *, sum(relevant::int) over (partition by query_id) as n_releva
 def _judged(spark, sf):
     v = read(spark, sf, "embeddings")
     asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("label").alias("own"))
-    hits = R.knn(asked.drop("own"), v.select("vec_id", "embedding"), None).where("vec_id <> query_id").join(v.select("vec_id", "label"), "vec_id").join(asked.select("query_id", "own"), "query_id")
-    line = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    ranked = hits.select("query_id", ((F.col("own") == F.col("label")) & (F.col("vec_id") % 3 == 0)).alias("relevant"), F.row_number().over(line).alias("rank"), "distance")
-    return ranked.withColumn("n_relevant", F.sum(F.col("relevant").cast("int")).over(Window.partitionBy("query_id")))
+    return R.judged(asked, v.select("vec_id", "embedding", "label", (F.col("vec_id") % 3 == 0).alias("may")))
 
 
 @_register("retrieval_quality", f"""with {JUDGED}, by_q as (select query_id, n_relevant, sum((relevant and rank <= 5)::int) as in_5, sum((relevant and rank <= 10)::int) as in_10, min(case when relevant then rank end) as first, sum(case when relevant and rank <= 5 then 1 / log2(rank + 1) else 0 end) as dcg from judged group by all)
@@ -360,9 +357,9 @@ select round(greatest(quantile_cont(rel, 0.98), quantile_cont(none, 0.6)), 3) as
   round(least(greatest(quantile_cont(irr - rel, 0.5) * 0.25, 0.02::double), 0.2::double), 3) as gap from b""")
 def threshold_derivation(spark, sf):
     v = read(spark, sf, "embeddings")
-    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    hits = R.knn(asked, v.select("vec_id", "embedding"), None).where("vec_id <> query_id").join(v.select("vec_id", "label"), "vec_id").join(v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
-    kind = F.when(F.col("query_id") % 100 == 0, "no_answer").when(F.col("own") == F.col("label"), "relevant").otherwise("irrelevant")
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("label").alias("own"))
+    hits = R.judged(asked, v.select("vec_id", "embedding", "label", F.lit(True).alias("may")), 1)
+    kind = F.when(F.col("query_id") % 100 == 0, "no_answer").when(F.col("relevant"), "relevant").otherwise("irrelevant")
     return E.thresholds(hits.select(kind.alias("kind"), "query_id", "distance"))
 
 

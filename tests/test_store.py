@@ -220,3 +220,23 @@ def test_topic_labels_of_names(spark):
     rows = [(1, "the", 0.5, False), (1, "the", 0.5, False), (1, "trip", 0.5, True), (1, "rome", 0.5, False), (2, "rome", 0.5, False)]
     frame = spark.createDataFrame(rows, "topic long, term string, score double, in_name boolean")
     assert [r.term for r in behaviour.topic_labels(frame).where("topic = 1").orderBy("rank").collect()] == ["trip", "rome"]
+
+
+def test_judged_equals_all_pairs(spark):
+    from heliograph.operators import retrieval
+
+    rng = np.random.default_rng(5)
+    vecs = rng.integers(-3, 4, (300, 6)).astype(float)
+    rows = [(k, vecs[k].tolist() if k % 41 else None, int(rng.integers(40)), bool(k % 3)) for k in range(300)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, may boolean").repartition(7)
+    asked = frame.where("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding as query_vec", "label as own")
+    want = set()
+    for q, x, own, _ in rows[::20]:
+        if x is None:
+            continue
+        near = sorted((round(sum((a - b) ** 2 for a, b in zip(x, y, strict=True)), 6), v, label == own and may) for v, y, label, may in rows if v != q and y is not None)
+        n = sum(r for *_, r in near)
+        firsts = {next((k for k, (*_, r) in enumerate(near) if r == kind), None) for kind in (True, False)}
+        want |= {(q, v, d, k + 1, r, n) for k, (d, v, r) in enumerate(near) if k < 4 or k in firsts}
+    got = [(r.query_id, r.vec_id, r.distance, r["rank"], r.relevant, r.n_relevant) for r in retrieval.judged(asked, frame, 4).collect()]
+    assert len(got) == len(want) and set(got) == want
