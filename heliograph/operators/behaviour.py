@@ -31,8 +31,9 @@ def current_session(events: DataFrame, now: float = NOW, gap: float = DEFAULTS.s
     return session_summary(events, gap).withColumn("n", F.row_number().over(latest)).where((F.col("n") == 1) & (F.lit(now) - F.col("last") <= gap)).drop("n")
 
 
-def _weights() -> Column:
-    return F.create_map(*[F.lit(x) for p in EVENT_WEIGHTS.items() for x in p])
+def kind_weight() -> Column:
+    """The weight of an event by its kind."""
+    return F.create_map(*[F.lit(x) for p in EVENT_WEIGHTS.items() for x in p])[F.col("kind")]
 
 
 def decay(ts: Column, now: float, s: Settings = DEFAULTS) -> Column:
@@ -42,7 +43,7 @@ def decay(ts: Column, now: float, s: Settings = DEFAULTS) -> Column:
 
 def weighted(events: DataFrame, now: float = NOW) -> DataFrame:
     """user_id, doc_id, w: an event's weight after decay; each of a query's first five results counts a little."""
-    used = events.where("kind <> 'query'").select("user_id", "doc_id", (_weights()[F.col("kind")] * decay(F.col("ts"), now)).alias("w"))
+    used = events.where("kind <> 'query'").select("user_id", "doc_id", (kind_weight() * decay(F.col("ts"), now)).alias("w"))
     shown = events.where("kind = 'query'").select("user_id", F.explode(F.slice("results", 1, SHOWN_RESULTS)).alias("doc_id"), (F.lit(SHOWN_WEIGHT) * decay(F.col("ts"), now)).alias("w"))
     return used.unionByName(shown)
 
@@ -56,7 +57,7 @@ def activity(events: DataFrame, active: DataFrame, now: float = NOW) -> DataFram
 
 def type_shares(events: DataFrame, records: DataFrame, now: float = NOW) -> DataFrame:
     """user_id, ext, share of decayed weight; inactive files count, queries don't."""
-    used = events.where("kind <> 'query'").select("user_id", "doc_id", (_weights()[F.col("kind")] * decay(F.col("ts"), now)).alias("w"))
+    used = events.where("kind <> 'query'").select("user_id", "doc_id", (kind_weight() * decay(F.col("ts"), now)).alias("w"))
     by = used.join(records.select("doc_id", "ext"), "doc_id").groupBy("user_id", "ext").agg(F.sum("w").alias("w"))
     return by.select("user_id", "ext", F.round(F.col("w") / F.sum("w").over(Window.partitionBy("user_id")), 6).alias("share"))
 

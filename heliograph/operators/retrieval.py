@@ -49,6 +49,34 @@ def highlight(hits: DataFrame, words: str = "word", content: str = "content") ->
     return hits.withColumn("snippet", F.when(first > 0, F.concat(F.when(start > 1, "...").otherwise(""), F.array_join(marked, " "), F.when(F.size(every) > start + 19, "...").otherwise(""))))
 
 
+def best_window(every: Column, words: Column) -> Column:
+    """first and last piece (from 1) of the shortest stretch of a split text that holds as many different words as the text
+    does, the earliest of such; null without any. One pass over the places of all words, which keeps the latest of each."""
+    met = F.transform(every, lambda piece, i: F.transform(F.array_intersect(tokens(piece), words), lambda w: F.struct((i + 1).alias("i"), w.alias("word"))))
+    place = "struct<i:int,word:string>"
+    start = F.struct(F.array().cast(f"array<{place}>").alias("latest"), F.lit(None).cast("struct<few:int,width:int,first:int>").alias("best"))
+
+    def step(state: Column, p: Column) -> Column:
+        latest = F.concat(F.filter(state["latest"], lambda x: x["word"] != p["word"]), F.array(p))
+        first = F.array_min(F.transform(latest, lambda x: x["i"]))
+        own = F.struct((-F.size(latest)).alias("few"), (p["i"] - first).alias("width"), first.alias("first"))
+        return F.struct(latest.alias("latest"), F.when(state["best"].isNull() | (own < state["best"]), own).otherwise(state["best"]).alias("best"))
+
+    best = F.aggregate(F.flatten(met), start, step)["best"]
+    return F.when(best.isNotNull(), F.struct(best["first"].alias("first"), (best["first"] + best["width"]).alias("last")))
+
+
+def snippets(hits: DataFrame, words: str = "words", content: str = "content") -> DataFrame:
+    """Adds snippet: twenty words from just before the shortest stretch with most of the words asked for (an array of folded
+    ones), these in asterisks, dots where text is cut; null if none is there."""
+    every = F.split(content, " ")
+    found = hits.withColumn("_window", best_window(every, F.col(words)))
+    start = F.greatest(F.col("_window.first") - 5, F.lit(1))
+    marked = F.transform(F.slice(every, start, 20), lambda w: F.when(F.arrays_overlap(tokens(w), F.col(words)), F.concat(F.lit("**"), w, F.lit("**"))).otherwise(w))
+    snippet = F.concat(F.when(start > 1, "...").otherwise(""), F.array_join(marked, " "), F.when(F.size(every) > start + 19, "...").otherwise(""))
+    return found.withColumn("snippet", F.when(F.col("_window").isNotNull(), snippet)).drop("_window")
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from heliograph.operators import behaviour as B
 from heliograph.operators import collection as C
 from heliograph.operators import lifecycle as Y
 from heliograph.operators import retrieval as R
+from heliograph.operators.profile import Profile
+from heliograph.sources.tables import shared_folder
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -187,18 +191,53 @@ def topic_labels(spark, sf):
     return B.topic_labels(toks)
 
 
-@_register("personal_boost", f"""with {ACTIVITY}, {SLOTS}, ta as (select user_id, doc_id, round(least(1.0::double, 0.6::double * avg((slot = 3)::int) + 0.4::double * 7 * avg((slot = 3 and weekday = 2)::int)), 6) as t, max(ts) as ts from slotted group by all)
-select user_id, doc_id, round(0.35::double * normalised + 0.15::double * coalesce(case when ts is not null then round({DECAY}, 6) end, 0) + 0.15::double * coalesce(t, 0), 8) as boost from act left join ta using (user_id, doc_id)""")
+@_register("personal_boost", f"""with {ACTIVITY}, {SLOTS}, {CENTRES}, ta as (select user_id, doc_id, round(least(1.0::double, 0.6::double * avg((slot = 3)::int) + 0.4::double * 7 * avg((slot = 3 and weekday = 2)::int)), 6) as t, max(ts) as ts from slotted group by all),
+used as (select user_id, ext, sum({WEIGHT} * {DECAY}) as w from usage join records using (doc_id) where kind <> 'query' group by all),
+shares as (select user_id, ext, round(w / sum(w) over (partition by user_id), 6) as share from used),
+dots as (select vec_id, topic, round(sum(f.x * c.x) / sqrt(sum(f.x * f.x)), 6) as cosine from flat f join centres c using (i) group by all),
+topics as (select vec_id as doc_id, greatest(max(cosine), 0) as affinity from dots group by vec_id)
+select user_id, doc_id, round(0.35::double * normalised + 0.15::double * coalesce(case when ts is not null then round({DECAY}, 6) end, 0) + 0.15::double * coalesce(share, 0) + 0.2::double * coalesce(affinity, 0) + 0.15::double * coalesce(t, 0), 8) as boost
+from act left join ta using (user_id, doc_id) left join records using (doc_id) left join shares using (user_id, ext) left join topics using (doc_id)""")
 def personal_boost(spark, sf):
     from heliograph.operators.ranking import personal_boost as boost
 
-    events = usage_events(spark, sf)
+    events, records, v = usage_events(spark, sf), file_records(spark, sf), read(spark, sf, "embeddings")
     last = events.where("kind <> 'query'").groupBy("user_id", "doc_id").agg(F.max("ts").alias("ts"))
-    signals = B.activity(events, _active(spark, sf)).withColumnRenamed("normalised", "frequency").join(B.time_affinity(events, 2, 3).withColumnRenamed("affinity", "time"), ["user_id", "doc_id"], "left").join(last, ["user_id", "doc_id"], "left")
-    ready = signals.select("user_id", "doc_id", "frequency", F.round(B.decay(F.col("ts"), NOW), 6).alias("recency"), F.lit(0.0).alias("type"), F.lit(0.0).alias("topic"), "time")
+    both = ["user_id", "doc_id"]
+    signals = B.activity(events, _active(spark, sf)).withColumnRenamed("normalised", "frequency").join(B.time_affinity(events, 2, 3).withColumnRenamed("affinity", "time"), both, "left").join(last, both, "left")
+    types = B.type_shares(events, records).withColumnRenamed("share", "type")
+    topics = B.topic_affinity(v, R.centroids(v, "label").withColumnRenamed("label", "topic")).select(F.col("vec_id").alias("doc_id"), F.col("affinity").alias("topic"))
+    signals = signals.join(records.select("doc_id", "ext"), "doc_id", "left").join(types, ["user_id", "ext"], "left").join(topics, "doc_id", "left")
+    ready = signals.select("user_id", "doc_id", "frequency", F.round(B.decay(F.col("ts"), NOW), 6).alias("recency"), "type", "topic", "time")
     return boost(ready).select("user_id", "doc_id", "boost")
 
 
+def _profile(spark, sf):
+    """All users' profiles after three refreshes, each with the events since the one before."""
+    events, day = usage_events(spark, sf), 86400
+    profile = Profile(spark, f"{shared_folder(spark)}/profile-{uuid.uuid4().hex}")
+    cuts = [NOW - 20 * day, NOW - 5 * day]
+    for low, high, now in ((None, cuts[0], cuts[0]), (cuts[0], cuts[1], cuts[1]), (cuts[1], None, NOW)):
+        since = events if low is None else events.where(F.col("ts") > low)
+        profile.refresh(since if high is None else since.where(F.col("ts") <= high), now)
+    return profile
+
+
+@_register("profile_refresh", f"with {ACTIVITY} select user_id, doc_id, score, normalised from act")
+def profile_refresh(spark, sf):
+    return _profile(spark, sf).activity(_active(spark, sf))
+
+
+@_register("profile_types", SQL["type_shares"])
+def profile_types(spark, sf):
+    return _profile(spark, sf).type_shares(file_records(spark, sf))
+
+
+@_register("profile_slots", SQL["slot_histogram"])
+def profile_slots(spark, sf):
+    return _profile(spark, sf).slot_histogram()
+
+
 @_register("tumbling_slots", f"with {USAGE} select time_bucket(interval 4 hours, moment, timestamp '2024-01-01 00:00:00') as slot_start, kind, count(*)::bigint as n from usage group by all")
 def tumbling_slots(spark, sf):
     w = F.window(F.col("ts").cast("timestamp"), "4 hours")

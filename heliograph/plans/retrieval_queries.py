@@ -154,6 +154,22 @@ def phrase_match(spark, sf):
     return R.phrase_match(text_queries(spark, sf), index(spark, sf)).select("query_id", "chunk_id", "places")
 
 
+@_register("snippet_windows", rf"""with {BM25}, hits as ({RANKED.format("greatest(1, ceil(n_terms / 2.0))")}),
+asked as (select query_id, list_distinct({tokens_sql('query')}) as q from queries),
+held as (select query_id, chunk_id, q, regexp_split_to_array(content, ' ') as w from hits join asked using (query_id) join chunks using (chunk_id)),
+pos as (select query_id, chunk_id, i, unnest(list_filter(q, lambda x: list_contains({tokens_sql('w[i]')}, x))) as word from (select *, unnest(range(1, len(w) + 1)) as i from held)),
+latest as (select a.query_id, a.chunk_id, a.i as stop, b.word, max(b.i) as i from (select distinct query_id, chunk_id, i from pos) a join pos b on a.query_id = b.query_id and a.chunk_id = b.chunk_id and b.i <= a.i group by all),
+ends as (select query_id, chunk_id, stop, min(i) as first, count(*) as n from latest group by all),
+best as (select query_id, chunk_id, arg_min(first, (-n, stop - first, first)) as first from ends group by all),
+cut as (select query_id, chunk_id, q, w, first, greatest(first - 5, 1) as start from held left join best using (query_id, chunk_id))
+select query_id, chunk_id, case when first > 0 then (case when start > 1 then '...' else '' end) || array_to_string(list_transform(w[start : start + 19], lambda x: case when len(list_intersect({tokens_sql('x')}, q)) > 0 then '**' || x || '**' else x end), ' ') || (case when len(w) > start + 19 then '...' else '' end) end as snippet from cut""")
+def snippet_windows(spark, sf):
+    """Snippets of all queries' best passages, around the place where most of the words stand together."""
+    asked = text_queries(spark, sf).select("query_id", F.array_distinct(T.tokens("query")).alias("words"))
+    hits = R.bm25_relaxed(text_queries(spark, sf), index(spark, sf)).select("query_id", "chunk_id").join(asked, "query_id")
+    return R.snippets(hits.join(index(spark, sf).chunks().select("chunk_id", "content"), "chunk_id")).select("query_id", "chunk_id", "snippet")
+
+
 @_register("snippet_highlight", rf"""with {CHUNKS},
 parts as (select chunk_id, regexp_split_to_array(content, ' ') as w from chunks),
 found as (select chunk_id, w, list_position(list_transform(w, lambda x: list_contains({tokens_sql('x')}, 'the')), true) as first from parts),

@@ -330,11 +330,14 @@ def near_tie_rerank(spark, sf):
     return K.near_ties(full)
 
 
-@_register("match_explanation", f"""with {PRUNED} select p.query_id, p.doc_id, list_aggregate(list_filter([case when keyword_score is not null then 'Contains: ' || (doc_id % 13) || ', ' || query_id else 'Meaning matches' end, 'Page ' || (doc_id % 5 + 1)], lambda x: x is not null), 'string_agg', ' | ') as why
-from (select pr.query_id, pr.doc_id, f.keyword_score from pruned pr join files f using (query_id, doc_id)) p""")
+@_register("match_explanation", f"""with {PRUNED}, asked as (select query_id, list_sort(list_distinct({tokens_sql('query')})) as q from queries)
+select p.query_id, p.doc_id, list_aggregate(list_filter([case when f.keyword_score is not null then 'Contains: ' || array_to_string(list_filter(q, lambda w: list_contains({tokens_sql('content')}, w)), ', ') else 'Meaning matches' end, 'Page ' || page_number], lambda x: x is not null), 'string_agg', ' | ') as why
+from pruned p join files f using (query_id, doc_id) join asked a on a.query_id = p.query_id left join chunks c on c.chunk_id = p.chunk_id""")
 def match_explanation(spark, sf):
     files = K.prune(K.confidence(K.to_files(_fused(spark, sf))))
-    told = files.withColumns({"path": F.lit("x.txt"), "matched": F.array((F.col("doc_id") % 13).cast("string"), F.col("query_id").cast("string")), "page_number": (F.col("doc_id") % 5 + 1)})
+    asked = text_queries(spark, sf).select("query_id", F.array_sort(F.array_distinct(T.tokens("query"))).alias("q"))
+    held = files.join(asked, "query_id").join(index(spark, sf).chunks().select("chunk_id", "page_number", T.tokens("content").alias("own")), "chunk_id", "left")
+    told = held.withColumns({"path": F.lit("x.txt"), "matched": F.array_intersect("q", "own")})
     return K.explain(told).select("query_id", "doc_id", F.array_join("why", " | ").alias("why"))
 
 

@@ -240,3 +240,48 @@ def test_judged_equals_all_pairs(spark):
         want |= {(q, v, d, k + 1, r, n) for k, (d, v, r) in enumerate(near) if k < 4 or k in firsts}
     got = [(r.query_id, r.vec_id, r.distance, r["rank"], r.relevant, r.n_relevant) for r in retrieval.judged(asked, frame, 4).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_snippets_hold_most_of_the_words_in_the_shortest_stretch(spark):
+    import random
+
+    from heliograph.operators import retrieval
+
+    rng = random.Random(2)
+    rows = [(" ".join(rng.choice(["a", "B.", "c-d", "e", "x", "y", "zé", ""]) for _ in range(rng.randrange(40))), [rng.choice("abcdex") for _ in range(rng.randrange(4))] + ["ze"]) for _ in range(300)]
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k long, content string, words array<string>")
+    got = {r.k: r for r in frame.select("k", retrieval.best_window(F.split("content", " "), F.col("words")).alias("w"), F.col("content")).collect()}
+    fold = lambda p: {t for t in p.lower().replace("é", "e").replace(".", " ").replace("-", " ").split()}
+    for k, (content, words) in enumerate(rows):
+        pieces = [fold(p) & set(words) for p in content.split(" ")]
+        most = len(set().union(*pieces))
+        spans = [(j - i, i + 1, j + 1) for i in range(len(pieces)) for j in range(i, len(pieces)) if len(set().union(*pieces[i : j + 1])) == most]
+        want = min(spans)[1:] if most else None
+        assert (got[k].w and tuple(got[k].w)) == want, (content, words)
+    told = retrieval.snippets(spark.createDataFrame([("one two three four five six Seven eight nine seven ten", ["seven", "ten"]), ("no", ["x"])], "content string, words array<string>"))
+    assert [r.snippet for r in told.collect()] == ["...five six **Seven** eight nine **seven** **ten**", None]
+
+
+def test_profiles_go_on_from_their_last_version(spark, tmp_path):
+    from heliograph.operators.profile import Profile
+
+    form = "user_id long, ts double, at timestamp, kind string, doc_id long, results array<long>"
+    day, base = 86400.0, 1_700_000_000.0
+    from datetime import datetime, timezone
+
+    events = [(u, base + k * day / 3, datetime.fromtimestamp(base + k * day / 3, timezone.utc), ("file_opened", "query", "result_clicked")[k % 3], None if k % 3 == 1 else k % 4, [1, 2, 9] if k % 3 == 1 else None) for k in range(60) for u in (1, 2)]
+    frame = lambda rows: spark.createDataFrame(rows, form)
+    active, end = spark.createDataFrame([(k,) for k in range(4)], "doc_id long"), base + 30 * day
+    step, whole = Profile(spark, str(tmp_path / "a")), Profile(spark, str(tmp_path / "b"))
+    assert step.activity(active).count() == 0 and step.versions() == []
+    late = events[10:12]  # arrive with a later refresh than their time says
+    for low, high, now in ((0, 50, base + 10 * day), (50, 120, end)):
+        step.refresh(frame([e for e in events[low:high] if e not in late] + (late if low else [])), now)
+    step.refresh(frame([]), end)
+    whole.refresh(frame(events), end)
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    assert rows(step.activity(active)) == rows(whole.activity(active)) and step.activity(active).count() > 4
+    assert rows(step.slot_histogram()) == rows(whole.slot_histogram())
+    assert [v for v, _ in step.versions()] == [1, 2, 3]
+    with pytest.raises(ValueError):
+        step.refresh(frame([]), base)
