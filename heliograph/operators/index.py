@@ -8,6 +8,10 @@ only these are ranked against each other.
 
 Writes are copies: a replaced file's shards are written anew without it, and a manifest, written last, says which shards
 of which batches are current. Readers of an older manifest are not disturbed.
+
+The vocabulary is kept as runs of term counts. A write adds one run, with what it adds and, negative, what the shards that
+it drops had; of four runs of like size one is made. So a write reads its own postings and those of the shards it drops, and what is
+summed up when a term is asked for are a few runs for each size.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ SHARD = 8192
 #: Queries that one pass over the shards answers; more are answered in several.
 BLOCK = 20_000
 _FAR = 1 << 32
+#: So many runs of term counts whose sizes are within that factor of each other are merged.
+TIER = 4
 
 #: Hits up to which they are sent to the shards' names; more are joined with them.
 SENT = 1_000_000
@@ -152,7 +158,7 @@ class KeywordIndex:
     def create(cls, folder: str, chunks: DataFrame, model: str = "") -> KeywordIndex:
         """chunks: chunk_id, doc_id, content; further columns are kept with them."""
         own = cls(chunks.sparkSession, folder, 0)
-        return own._commit(None, chunks, model)
+        return own._commit(None, chunks, model, True)
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str, model: str | None = None) -> KeywordIndex:
@@ -175,15 +181,15 @@ class KeywordIndex:
     def model(self) -> str:
         return self.spark.read.parquet(f"{self.folder}/model-{self.version}").first().model
 
-    def _read(self, name: str) -> DataFrame:
-        """Rows of the current shards, with their batch."""
-        live = self._manifest()
+    def _read(self, name: str, shards: DataFrame | None = None) -> DataFrame:
+        """Rows of the current shards (or of some shards), with their batch."""
+        live = self._manifest() if shards is None else shards
         batches = [r.batch for r in live.select("batch").distinct().collect()]  # a row for each write since the last clean()
         schema = self._schema(name).add("batch", "string")
         if not batches:
             return self.spark.createDataFrame([], schema)
         every = self.spark.read.option("basePath", f"{self.folder}/{name}").schema(schema).parquet(*(f"{self.folder}/{name}/batch={b}" for b in batches))
-        return every if self.version == 1 else every.join(live, ["batch", "shard"], "left_semi")
+        return every if self.version == 1 and shards is None else every.join(live, ["batch", "shard"], "left_semi")
 
     def _schema(self, name: str):
         if name == "postings":
@@ -198,15 +204,42 @@ class KeywordIndex:
         """Posting rows of the current shards; a shard's number counts within its batch."""
         return self._read("postings")
 
-    def terms(self) -> DataFrame:
-        """term, df (chunks) and occurrences of every term."""
-        return self.spark.read.parquet(f"{self.folder}/terms-{self.version}")
+    def terms(self, wanted: DataFrame | None = None) -> DataFrame:
+        """term, df (chunks) and occurrences of every term, or of the wanted ones (term)."""
+        every = self._term_runs([r.run for r in self._runs()])
+        every = every if wanted is None else every.join(F.broadcast(wanted), "term", "left_semi")  # words of a block of queries
+        return _summed(every).where("df > 0")
+
+    def _runs(self) -> list:
+        """Names and sizes of the version's runs: a few for each size."""
+        return self.spark.read.parquet(f"{self.folder}/runs-{self.version}").collect()
+
+    def _term_runs(self, names: list[str]) -> DataFrame:
+        return self.spark.read.schema("term string, df long, occurrences long").parquet(*(f"{self.folder}/terms/{n}" for n in names))
+
+    def _write_run(self, rows: DataFrame) -> tuple[str, int]:
+        name = uuid.uuid4().hex
+        rows.write.parquet(f"{self.folder}/terms/{name}")
+        return name, self._term_runs([name]).count()
+
+    def _merged(self, runs: list[tuple[str, int]]) -> list[tuple[str, int]]:
+        """Runs of which fewer than TIER are of like size."""
+        while True:
+            tiers: dict[int, list[tuple[str, int]]] = {}
+            for run in runs:
+                tiers.setdefault((max(run[1], 1).bit_length() - 1) // (TIER.bit_length() - 1), []).append(run)
+            full = next((own for own in tiers.values() if len(own) >= TIER), None)
+            if full is None:
+                return runs
+            made = self._write_run(_summed(self._term_runs([n for n, _ in full])).where("df <> 0"))
+            runs = [run for run in runs if run not in full] + [made]
 
     def vocabulary(self, least: int = 3) -> DataFrame:
         return self.terms().where(F.length("term") >= least).select("term", "occurrences")
 
-    def _commit(self, dropped: DataFrame | None, added: DataFrame, model: str) -> KeywordIndex:
-        """Writes added chunks as a batch, then the manifest without the dropped shards and with the new ones."""
+    def _commit(self, dropped: DataFrame | None, added: DataFrame, model: str, whole: bool = False) -> KeywordIndex:
+        """Writes added chunks as a batch, then the manifest without the dropped shards and with the new ones. whole: the
+        batch is all that there is."""
         batch, version = uuid.uuid4().hex, self.version + 1
         fs, _ = self._fs(self.spark, self.folder)
         path = self.spark._jvm.org.apache.hadoop.fs.Path
@@ -227,28 +260,36 @@ class KeywordIndex:
         own = stored.select("shard", "place", tokens("content").alias("words"), "chunk_id", F.col("doc_id").cast("long")).mapInArrow(each, POSTINGS)
         own.repartitionByRange("term", "shard").sortWithinPartitions("term", "shard").write.parquet(target("postings"))
         fresh = stored.select(F.lit(batch).alias("batch"), "shard").distinct()
-        live = fresh if dropped is None else self._manifest().join(dropped, ["batch", "shard"], "left_anti").unionByName(fresh)
+        kept = None if whole else self._manifest() if dropped is None else self._manifest().join(dropped, ["batch", "shard"], "left_anti")
+        live = fresh if kept is None else kept.unionByName(fresh)
         next_ = KeywordIndex(self.spark, self.folder, version)
         live.write.mode("overwrite").parquet(f"{self.folder}/next-{version}")
         # terms and totals belong to the version, so they are written before it counts
-        staged = _Staged(self.spark, self.folder, version)
-        by_term = staged.postings().where("term <> ''").groupBy("term").agg(F.sum(F.size("place")).alias("df"), F.sum(F.aggregate("tf", F.lit(0).cast("long"), lambda s, x: s + x)).alias("occurrences"))
-        by_term.write.mode("overwrite").parquet(f"{self.folder}/terms-{version}")
-        totals = staged.postings().where("term = ''").agg(F.coalesce(F.sum(F.size("place")), F.lit(0)).alias("n_chunks"), F.coalesce(F.sum(F.aggregate("tf", F.lit(0).cast("long"), lambda s, x: s + x)), F.lit(0)).alias("n_words"))
-        totals.withColumn("model", F.lit(model)).write.mode("overwrite").parquet(f"{self.folder}/model-{version}")
+        more = self.spark.read.schema(self._schema("postings")).parquet(target("postings"))
+        less = None if whole or dropped is None else self._read("postings", dropped)
+        delta = _counted(more, 1) if less is None else _counted(more, 1).unionByName(_counted(less, -1))
+        runs = [] if whole else [(r.run, r.n) for r in self._runs()]
+        runs = self._merged([*runs, self._write_run(_summed(delta).where("df <> 0 or occurrences <> 0"))])
+        self.spark.createDataFrame(runs, "run string, n long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/runs-{version}")
+        n_chunks, n_words = (0, 0) if whole else self.spark.read.parquet(f"{self.folder}/model-{self.version}").select("n_chunks", "n_words").first()
+        for rows, sign in ((more, 1), (less, -1)):
+            if rows is not None:
+                own = rows.where("term = ''").agg(F.coalesce(F.sum(F.size("place")), F.lit(0)), F.coalesce(F.sum(_total("tf")), F.lit(0))).first()
+                n_chunks, n_words = n_chunks + sign * own[0], n_words + sign * own[1]
+        self.spark.createDataFrame([(n_chunks, n_words, model)], "n_chunks long, n_words long, model string").write.mode("overwrite").parquet(f"{self.folder}/model-{version}")
         fs.rename(path(f"{self.folder}/next-{version}"), path(f"{self.folder}/manifest-{version}"))
         return next_
 
     def append(self, chunks: DataFrame) -> KeywordIndex:
         """Adds chunks of new files."""
-        return self._commit(self._manifest().where("false"), chunks, self.model())
+        return self._commit(None, chunks, self.model())
 
     def replace(self, files: DataFrame, chunks: DataFrame) -> KeywordIndex:
         """Files (doc_id) with their new chunks; a file without any is deleted. Only shards that hold one of the files
         are written again; until the new manifest stands readers see the old chunks."""
         held = self._read("chunks").join(files.select("doc_id").distinct(), "doc_id", "left_semi").select("batch", "shard").distinct()
         kept = self._read("chunks").join(held, ["batch", "shard"], "left_semi").join(files.select("doc_id").distinct(), "doc_id", "left_anti").drop("batch")
-        return self._commit(held, kept.drop("shard", "place").unionByName(chunks), self.model())
+        return self._commit(written(held), kept.drop("shard", "place").unionByName(chunks), self.model())
 
     def delete(self, files: DataFrame) -> KeywordIndex:
         return self.replace(files, self.chunks().where("false"))
@@ -259,11 +300,11 @@ class KeywordIndex:
 
     def compact(self) -> KeywordIndex:
         """All current chunks in one batch of full shards."""
-        return self._commit(self._manifest(), self.chunks(), self.model())
+        return self._commit(None, self.chunks(), self.model(), True)
 
     def reset(self, model: str) -> KeywordIndex:
         """An empty version for another model."""
-        return self._commit(self._manifest(), self.chunks().where("false"), model)
+        return self._commit(None, self.chunks().where("false"), model, True)
 
     def clean(self) -> None:
         """Deletes batches and versions that the newest version doesn't use."""
@@ -276,7 +317,11 @@ class KeywordIndex:
                     fs.delete(status.getPath(), True)
         for status in fs.listStatus(root):
             kind, _, version = status.getPath().getName().partition("-")
-            if kind in ("manifest", "terms", "model", "next") and int(version) < self.version:
+            if kind in ("manifest", "runs", "model", "next") and version and int(version) < self.version:
+                fs.delete(status.getPath(), True)
+        current = {r.run for r in self._runs()}
+        for status in fs.listStatus(path(f"{self.folder}/terms")):
+            if status.getPath().getName() not in current:
                 fs.delete(status.getPath(), True)
 
     # -- searching ---------------------------------------------------------------------------------------------------
@@ -303,7 +348,7 @@ class KeywordIndex:
         if not lines:
             return self.spark.createDataFrame([], HITS)
         wanted = self.spark.createDataFrame([(t,) for t in sorted({t for line in lines.values() for t in line})], "term string")
-        known = {r.term: r.df for r in self.terms().join(F.broadcast(wanted), "term").select("term", "df").collect()}
+        known = {r.term: r.df for r in self.terms(wanted).select("term", "df").collect()}
         totals = self.spark.read.parquet(f"{self.folder}/model-{self.version}").first()
         mean = totals.n_words / totals.n_chunks if totals.n_chunks else 1.0
         idf = {t: float(np.log(1 + (totals.n_chunks - df + 0.5) / (df + 0.5))) for t, df in known.items()}
@@ -326,7 +371,10 @@ class KeywordIndex:
             best = F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
             found = written(found.withColumn("_r", best).where(F.col("_r") <= k).drop("_r"))
             found = F.broadcast(found) if found.count() <= SENT else found
-        named = every.withColumnRenamed("place", "own").join(found, ["batch", "shard"]).withColumn("at", F.array_position("own", F.col("place")).cast("int")).where("at > 0")
+        # a shard's places follow each other, so one is found by its distance from the first; a shard that several tasks have read has several rows
+        guess = F.col("place") - F.element_at("own", 1)
+        at = F.when((guess >= 0) & (F.get("own", guess) == F.col("place")), guess + 1).otherwise(F.array_position("own", F.col("place")).cast("int"))
+        named = every.withColumnRenamed("place", "own").join(found, ["batch", "shard"]).withColumn("at", at).where("at > 0")
         hits = named.select("query_id", F.element_at("ids", F.col("at")).alias("chunk_id"), F.element_at("docs", F.col("at")).alias("doc_id"), "score", "places")
         return hits if k is None else ranked(hits, k).drop("rank")
 
@@ -364,8 +412,15 @@ def _solver(plan: list, mode: str, k: int | None, idf: dict[str, float], mean: f
     return solve
 
 
-class _Staged(KeywordIndex):
-    """A version whose manifest isn't in place yet."""
+def _total(counts: str):
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
 
-    def _manifest(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/next-{self.version}")
+
+def _counted(postings: DataFrame, sign: int) -> DataFrame:
+    """term, df and occurrences of some shards' postings, negative for those that go."""
+    by = postings.where("term <> ''").groupBy("term").agg(F.sum(F.size("place")).alias("df"), F.sum(_total("tf")).alias("occurrences"))
+    return by.select("term", *((F.col(c) * sign).cast("long").alias(c) for c in ("df", "occurrences")))
+
+
+def _summed(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("term").agg(F.sum("df").alias("df"), F.sum("occurrences").alias("occurrences"))

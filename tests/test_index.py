@@ -114,3 +114,48 @@ def test_writes(spark, tmp_path):
     holds(empty, [])
     assert empty.model() == "m2"
     holds(empty.append(frame(spark, data)), data)
+
+
+def test_a_write_reads_no_other_postings(spark, tmp_path, monkeypatch):
+    """Appending reads its own batch's postings, replacing those of the shards that it drops; the vocabulary stays that of
+    the chunks, through merges of runs, and so do totals."""
+    rng = random.Random(4)
+    data = {d: [(f"{d}#0", d, " ".join(rng.choices(WORDS, k=rng.randint(0, 9))))] for d in range(30)}
+    index = KeywordIndex.create(str(tmp_path), frame(spark, sum(data.values(), [])))
+    asked, read = [], KeywordIndex._read
+
+    def watched(self, name, shards=None):
+        asked.append((name, None if shards is None else shards.count()))
+        return read(self, name, shards)
+
+    def check():
+        texts = [c[2].split() for own in data.values() for c in own]
+        want = {w: (sum(w in t for t in texts), sum(t.count(w) for t in texts)) for w in WORDS}
+        assert {r.term: (r.df, r.occurrences) for r in index.terms().collect()} == {w: n for w, n in want.items() if n[0]}
+        assert {r.term: r.df for r in index.terms(spark.createDataFrame([("ash",), ("zebra",)], "term string")).collect()} == {"ash": want["ash"][0]}
+        totals = spark.read.parquet(f"{index.folder}/model-{index.version}").first()
+        assert (totals.n_chunks, totals.n_words) == (len(texts), sum(map(len, texts)))
+
+    monkeypatch.setattr(KeywordIndex, "_read", watched)
+    for d in range(30, 36):
+        data[d] = [(f"{d}#0", d, "ash " * d)]
+        index = index.append(frame(spark, data[d]))
+    assert not [a for a in asked if a[0] == "postings"]
+    check()
+    assert len(index._runs()) < 6
+    data[3], data[31] = [("3#0", 3, "jute new")], []
+    new = frame(spark, data[3])
+    asked.clear()
+    index = index.replace(spark.createDataFrame([(3,), (31,)], "doc_id long"), new)
+    assert [a for a in asked if a[0] == "postings"] == [("postings", 2)]
+    data[3] = [("3#0", 3, "jute")]
+    WORDS.append("new")
+    try:
+        data[3] = [("3#0", 3, "jute new")]
+        check()
+        index = index.compact()
+        index.clean()
+        check()
+    finally:
+        WORDS.remove("new")
+    assert len(index._runs()) == 1
