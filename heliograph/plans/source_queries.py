@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from heliograph.fixtures import RECORDS, USAGE, file_records, read, usage_events
 from heliograph.sources.extract import extract
+from heliograph.sources.links import contained
 from heliograph.sources.tables import shared_folder
 from heliograph.sources.scan import admitted, chunk_cap, scan_order, size_cap
 from heliograph.sources.transcripts import token_chunks
@@ -46,6 +47,22 @@ def admission(spark, sf):
     return admitted(r.select(path.alias("path"), size.alias("size")), "/").select("path", "skip")
 
 
+@_register("link_containment", f"""with recursive {RECORDS}, made as (select '/links/l' || doc_id as path, case when doc_id % 70 = 0 then '/links/l' || doc_id || '/again' when doc_id % 30 = 0 then '/links/l' || (doc_id + 10) when doc_id % 40 = 0 then '/links/l' || (doc_id - 40) || '/deep' else regexp_replace(path, '/[^/]*$', '') end as target from records where doc_id % 10 = 0),
+asked as (select '/links/l' || (doc_id - doc_id % 10) || '/doc_' || doc_id as path from records union all select path from records where doc_id % 5 = 1),
+walk as (select path, path as real, 0 as n from asked
+  union all select w.path, s.real, n + 1 from walk w, lateral (select m.target || substr(w.real, length(m.path) + 1) as real from made m where w.real = m.path or starts_with(w.real, m.path || '/') order by length(m.path) limit 1) s where n <= 8),
+last as (select path, arg_max(real, n) as real, max(n) as n from walk group by path)
+select path, case when n <= 8 then real end as real, coalesce(n <= 8 and (starts_with(real, '/src1/') or starts_with(real, '/src3/')), false) as inside from last""")
+def link_containment(spark, sf):
+    """Links into folders of the collection, chains of them and some that go in circles."""
+    r, d = file_records(spark, sf), F.col("doc_id")
+    at = lambda n: F.concat(F.lit("/links/l"), n.cast("string"))
+    target = F.when(d % 70 == 0, F.concat(at(d), F.lit("/again"))).when(d % 30 == 0, at(d + 10)).when(d % 40 == 0, F.concat(at(d - 40), F.lit("/deep"))).otherwise(F.regexp_replace("path", "/[^/]*$", ""))
+    links = r.where(d % 10 == 0).select(at(d).alias("path"), target.alias("target"))
+    asked = r.select(F.concat(at(d - d % 10), F.lit("/doc_"), d.cast("string")).alias("path")).union(r.where(d % 5 == 1).select("path"))
+    return contained(asked, spark.createDataFrame([("/src1",), ("/src3/",)], "root string"), links, 8)
+
+
 @_register("caps_and_order", f"""with {RECORDS} select doc_id, case when ext in ('md', 'txt', 'csv', 'py', 'html') then 5242880 when ext in ('pdf', 'docx') then 52428800 end::bigint as size_cap,
   case when ext in ('py', 'csv') then 8 when ext in ('txt', 'md', 'html') then 40 when ext = 'mp3' then null else 150 end::bigint as chunk_cap, case when ext = 'mp4' then 4 when ext = 'mp3' then 3 when ext = 'jpg' then 2 when ext in ('py', 'csv') then 1 else 0 end::bigint as scan_order from records""")
 def caps_and_order(spark, sf):
