@@ -78,27 +78,38 @@ def usual_slot(events: DataFrame) -> DataFrame:
     return by.groupBy("user_id", "doc_id").agg(best).select("user_id", "doc_id", "b.weekday", "b.slot", "b.n")
 
 
-#: Different files of a session from which it isn't a person's.
-SESSION_FILES = 1000
+#: Files of a session that meet in one group; of a larger session every two blocks meet in a group of their own.
+SESSION_BLOCK = 512
 
 
-def cooccurrence(events: DataFrame, active: DataFrame, gap: float = DEFAULTS.session_gap_s) -> DataFrame:
+def _together(events: DataFrame, active: DataFrame, gap: float) -> DataFrame:
+    """user_id, session and doc_id: the different active files of each session."""
+    return sessions(events.where("kind <> 'query'"), gap).select("user_id", "session", "doc_id").distinct().join(active.select("doc_id"), "doc_id", "left_semi")
+
+
+def cooccurrence(events: DataFrame, active: DataFrame, gap: float = DEFAULTS.session_gap_s, most: int | None = None) -> DataFrame:
     """user_id, a, b, sessions: active files that were used in one session, in how many.
 
-    The result of a session is all pairs of its files. A person's session holds some dozens; one with more than
-    SESSION_FILES different files is a script's, says nothing about what goes with what, and is left out, so that no
-    session's square exceeds that bound."""
-    used = sessions(events.where("kind <> 'query'"), gap).select("user_id", "session", "doc_id").distinct().join(active.select("doc_id"), "doc_id", "left_semi")
-    used = used.join(used.groupBy("user_id", "session").count().where(F.col("count") <= SESSION_FILES).select("user_id", "session"), ["user_id", "session"])
-    left, right = used.withColumnRenamed("doc_id", "a"), used.withColumnRenamed("doc_id", "b")
-    return left.join(right, ["user_id", "session"]).where("a <> b").groupBy("user_id", "a", "b").agg(F.count("*").alias("sessions"))
+    The result of a session is all pairs of its files. Files of a session of more than SESSION_BLOCK are dealt into blocks, every two of which
+    meet by themselves. With `most`, sessions of more files than that, which no person has, are left out."""
+    used, key = _together(events, active, gap), ["user_id", "session"]
+    size = used.groupBy(*key).count()
+    size = (size if most is None else size.where(F.col("count") <= most)).select(*key, F.ceil(F.col("count") / SESSION_BLOCK).cast("int").alias("blocks"))
+    dealt = used.join(size, key).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = dealt.select(*key, F.col("doc_id").alias("a"), F.col("own").alias("i"), every.alias("j"))
+    right = dealt.select(*key, F.col("doc_id").alias("b"), F.col("own").alias("j"), every.alias("i"))
+    return left.join(right, [*key, "i", "j"]).where("a <> b").groupBy("user_id", "a", "b").agg(F.count("*").alias("sessions"))
 
 
 def likely_next(events: DataFrame, active: DataFrame, gap: float = DEFAULTS.session_gap_s, k: int = DEFAULTS.list_size, now: float = NOW) -> DataFrame:
-    """user_id, doc_id, votes, rank: files that went along with those of the last session, which are left out."""
+    """user_id, doc_id, votes, rank: files that went along with those of the last session, which are left out. A session
+    votes for each of its files, as often as it has files of the last one; so no pairs are made."""
     numbered = sessions(events.where("kind <> 'query'"), gap)
     last = numbered.join(numbered.groupBy("user_id").agg(F.max("session").alias("session")), ["user_id", "session"]).select("user_id", F.col("doc_id").alias("a")).distinct()
-    votes = cooccurrence(events, active, gap).join(last, ["user_id", "a"]).groupBy("user_id", F.col("b").alias("doc_id")).agg(F.sum("sessions").alias("votes"))
+    used = _together(events, active, gap)
+    weights = used.join(last.withColumnRenamed("a", "doc_id"), ["user_id", "doc_id"]).groupBy("user_id", "session").agg(F.count("*").alias("n"))
+    votes = used.join(weights, ["user_id", "session"]).groupBy("user_id", "doc_id").agg(F.sum("n").alias("votes"))
     votes = votes.join(last.withColumnRenamed("a", "doc_id"), ["user_id", "doc_id"], "left_anti").join(activity(events, active, now).select("user_id", "doc_id", "normalised"), ["user_id", "doc_id"], "left")
     line = Window.partitionBy("user_id").orderBy(F.desc("votes"), F.desc_nulls_last("normalised"), F.desc("doc_id"))
     return votes.withColumn("rank", F.row_number().over(line).cast("long")).where(F.col("rank") <= k).select("user_id", "doc_id", "votes", "rank")

@@ -232,3 +232,13 @@ def test_question_times(spark):
     assert window("which files since yesterday") == (now - 86400, None)
     assert window("show recent files") == (now - 7 * 86400, None)
     assert questions.parse("how many quizzes do i have").name_word == "quizze"
+
+
+def test_large_sessions_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(behaviour, "SESSION_BLOCK", 7)
+    events = [(k, u, float(k), "file_opened", (k * 7 + u) % n) for u, n in ((1, 40), (2, 3)) for k in range(60)]
+    frame = spark.createDataFrame(events, "event_id long, user_id long, ts double, kind string, doc_id long")
+    active = spark.range(38).withColumnRenamed("id", "doc_id")
+    want = {(u, a, b, 1) for u, n in ((1, 38), (2, 3)) for a in range(n) for b in range(n) if a != b}
+    assert set(map(tuple, behaviour.cooccurrence(frame, active).collect())) == want
+    assert set(map(tuple, behaviour.cooccurrence(frame, active, most=20).collect())) == {w for w in want if w[0] == 2}
