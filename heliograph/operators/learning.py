@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heliograph.sources.tables import written
+
 TIERS = {"filename": 0, "keyword": 1, "hybrid": 2, "hybrid+rerank": 3, "none": 9}
 CONFIDENCE, LEAST = 0.6, 40
 #: Nine features; the tenth, a constant, is the regression's intercept, which isn't penalised.
@@ -37,31 +38,82 @@ def labels(strong: DataFrame) -> DataFrame:
     return strong.groupBy("query_id").agg(F.coalesce(best["tier"], F.lit("none")).alias("label"))
 
 
+FOLDS = 5
+WEIGHTS = "version long, tier string, feature string, weight double"
+SCORES = "version long, fold int, queries long, learned double, rules double"
+
+
+def train(features: DataFrame, label: DataFrame, version: int = 1) -> DataFrame:
+    """Weights (version, tier, feature, weight) of two logistic regressions on all rows: whether names suffice, and whether
+    names or all words do. The feature "" is the intercept; a label that all rows share is an intercept alone."""
+    rank = F.create_map(*[F.lit(x) for p in TIERS.items() for x in p])
+    data = VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(scaled(features)).join(label, "query_id").withColumn("r", rank[F.col("label")])
+    rows = []
+    for tier in ("filename", "keyword"):
+        of = data.select("vector", (F.col("r") <= TIERS[tier]).cast("double").alias("label"))
+        fitted = LogisticRegression(featuresCol="vector", regParam=0.05, maxIter=200, standardization=False).fit(of)
+        rows += [(version, tier, name, float(w)) for name, w in zip(FEATURES, fitted.coefficients, strict=True)]
+        rows.append((version, tier, "", max(-50.0, min(50.0, float(fitted.intercept)))))
+    return data.sparkSession.createDataFrame(rows, WEIGHTS)
+
+
+def routed(features: DataFrame, rules: DataFrame, weights: DataFrame) -> DataFrame:
+    """query_id, tier and ruled (what the rules say) by stored weights, as a column expression."""
+    rows = weights.collect()  # two models of ten weights
+    chance = {}
+    for tier in ("filename", "keyword"):
+        own = {r.feature: r.weight for r in rows if r.tier == tier}
+        chance[tier] = 1 / (1 + F.exp(-sum((F.col(name) * own[name] for name in FEATURES), F.lit(own[""]))))
+    tier = F.when(chance["filename"] >= CONFIDENCE, "filename").when(chance["keyword"] >= CONFIDENCE, "keyword").otherwise("hybrid")
+    both = scaled(features).select("query_id", tier.alias("tier")).join(rules.select("query_id", F.col("tier").alias("ruled")), "query_id")
+    return both.withColumn("tier", F.when(F.col("ruled") == "metadata", "metadata").otherwise(F.col("tier")))
+
+
 class LearnedRouter:
-    """Two logistic regressions; takes over only if it beats the rules on a held-out fifth of at least forty queries."""
-
-    def __init__(self, features: DataFrame, label: DataFrame, rules: DataFrame):
-        self.assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-        rank = F.create_map(*[F.lit(x) for p in TIERS.items() for x in p])
-        data = self.assembler.transform(scaled(features)).join(label, "query_id").withColumn("r", rank[F.col("label")])
-        data = data.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(5))).persist()  # a row for each query
-        fit = lambda rows, tier: LogisticRegression(regParam=0.05, maxIter=200, standardization=False).fit(rows.withColumn("label", (F.col("r") <= TIERS[tier]).cast("double")))
-        self.models = {t: fit(data.where("part <> 0"), t) for t in ("filename", "keyword")}
-        judged = self._decide(data.where("part = 0").select("query_id", "features", "label").withColumnRenamed("label", "truth"), rules)
-        count, own, ruled = judged.agg(F.count("*"), F.avg((F.col("tier") == F.col("truth")).cast("double")), F.avg((F.col("ruled") == F.col("truth")).cast("double"))).first()
-        self.accuracy = {"queries": count, "learned": own, "rules": ruled}
-        self.active = data.count() >= LEAST and (own or 0) > (ruled or 0)
-
-    def _decide(self, rows: DataFrame, rules: DataFrame) -> DataFrame:
-        for tier, model in self.models.items():
-            scored = model.setProbabilityCol("p").setPredictionCol("pred").setRawPredictionCol("raw").transform(rows.drop("label"))
-            rows = scored.withColumn(f"p_{tier}", vector_to_array("p")[1]).drop("p", "pred", "raw")
-        both = rows.join(rules.select("query_id", F.col("tier").alias("ruled")), "query_id")
-        tier = F.when(F.col("p_filename") >= CONFIDENCE, "filename").when(F.col("p_keyword") >= CONFIDENCE, "keyword").otherwise("hybrid")
-        return both.withColumn("tier", F.when(F.col("ruled") == "metadata", "metadata").otherwise(tier))
+    """Stored weights, and what five folds said of them; takes over only if it was right more often than the rules on the
+    folds it hadn't seen, over at least forty queries."""
+
+    def __init__(self, weights: DataFrame, scores: DataFrame):
+        self.weights, self.scores = weights, scores
+        queries, own, ruled = scores.agg(F.sum("queries"), F.sum(F.col("queries") * F.col("learned")), F.sum(F.col("queries") * F.col("rules"))).first()
+        self.accuracy = {"queries": queries or 0, "learned": own and own / queries, "rules": ruled and ruled / queries}
+        self.active = (queries or 0) >= LEAST and own > ruled
+
+    @classmethod
+    def fit(cls, features: DataFrame, label: DataFrame, rules: DataFrame, version: int = 1) -> LearnedRouter:
+        """features and rules by query_id, label by query_id; queries without a label aren't learned from. Folds are by a
+        hash of query_id, so a query's fold never changes; a fold without queries, or whose rest has none, isn't scored."""
+        spark = features.sparkSession
+        data = written(features.join(label, "query_id").withColumn("_fold", F.pmod(F.xxhash64("query_id"), F.lit(FOLDS)).cast("int")))
+        counts = {r["_fold"]: r["count"] for r in data.groupBy("_fold").count().collect()}
+        scores = []
+        for fold, n in sorted(counts.items()):
+            if n == sum(counts.values()):
+                continue
+            rest, held = data.where(F.col("_fold") != fold), data.where(F.col("_fold") == fold)
+            said = routed(held.drop("label", "_fold"), rules, train(rest.drop("label", "_fold"), rest.select("query_id", "label"))).join(held.select("query_id", "label"), "query_id")
+            right = lambda c: F.avg((F.col(c) == F.col("label")).cast("double"))
+            queries, own, ruled = said.agg(F.count("*"), right("tier"), right("ruled")).first()
+            if queries:
+                scores.append((version, fold, queries, own, ruled))
+        weights = train(data.drop("label", "_fold"), data.select("query_id", "label"), version) if counts else spark.createDataFrame([], WEIGHTS)
+        return cls(weights, spark.createDataFrame(scores, SCORES))
+
+    def save(self, folder: str) -> None:
+        """Scores first, weights last: a version is there once its weights are."""
+        version = self.weights.first().version
+        self.scores.write.mode("overwrite").parquet(f"{folder}/scores/version={version}")
+        self.weights.write.mode("overwrite").parquet(f"{folder}/weights/version={version}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> LearnedRouter:
+        """The newest version in the folder."""
+        bare = lambda form: form.split(", ", 1)[1] + ", version long"
+        weights = spark.read.schema(bare(WEIGHTS)).parquet(f"{folder}/weights")
+        newest = weights.agg(F.max("version")).first()[0]
+        scores = spark.read.schema(bare(SCORES)).parquet(f"{folder}/scores")
+        return cls(weights.where(F.col("version") == newest), scores.where(F.col("version") == newest))
 
     def route(self, features: DataFrame, rules: DataFrame) -> DataFrame:
         """query_id and tier: the learned one if it is active, else the rules'."""
-        if not self.active:
-            return rules.select("query_id", "tier")
-        return self._decide(self.assembler.transform(scaled(features)).select("query_id", "features"), rules).select("query_id", "tier")
+        return routed(features, rules, self.weights).select("query_id", "tier") if self.active else rules.select("query_id", "tier")

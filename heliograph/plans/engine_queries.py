@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from heliograph.config import NOW
@@ -11,7 +13,7 @@ from heliograph.operators.learning import LearnedRouter, labels
 from heliograph.plans.behaviour_queries import MEDIA, _scores
 from heliograph.plans.engine import Engine
 from heliograph.plans.questions import answer, parse
-from heliograph.sources.tables import written
+from heliograph.sources.tables import shared_folder, written
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -58,7 +60,9 @@ def learned_router(spark, sf):
     missed = asked.select("query_id", F.lit("none").alias("tier"), F.lit(False).alias("strong"))
     label = written(labels(found.unionByName(missed)))
     rules = written(names.route(features))
-    return LearnedRouter(features, label, rules).route(features, rules)
+    folder = f"{shared_folder(spark)}/router-{uuid.uuid4().hex}"
+    LearnedRouter.fit(features, label, rules).save(folder)
+    return LearnedRouter.load(spark, folder).route(features, rules)
 
 
 QUESTIONS = {

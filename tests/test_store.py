@@ -285,3 +285,26 @@ def test_profiles_go_on_from_their_last_version(spark, tmp_path):
     assert [v for v, _ in step.versions()] == [1, 2, 3]
     with pytest.raises(ValueError):
         step.refresh(frame([]), base)
+
+
+def test_a_stored_router_routes_as_it_was_fitted(spark, tmp_path):
+    from heliograph.operators import learning
+
+    rng = np.random.default_rng(1)
+    rows, truth, rules = [], [], []
+    for k in range(150):
+        words = int(rng.integers(1, 14))
+        rows.append((k, words, words, int(rng.integers(0, 2)), bool(k % 2), 0.2, 1, 1.0 if words < 4 else 0.0, False))
+        truth.append((k, "filename" if words < 4 else "keyword" if words < 8 else "hybrid"))
+        rules.append((k, "metadata" if k % 50 == 0 else "keyword"))
+    features = spark.createDataFrame(rows, "query_id long, words int, content_words int, unknown_words int, question boolean, stopword_ratio double, clauses int, filename_coverage double, has_filters boolean")
+    label, ruled = spark.createDataFrame(truth, "query_id long, label string"), spark.createDataFrame(rules, "query_id long, tier string")
+    fitted = learning.LearnedRouter.fit(features, label, ruled, 3)
+    assert fitted.active and fitted.accuracy["queries"] == 150 and fitted.accuracy["learned"] > 0.7 > fitted.accuracy["rules"]
+    assert sorted(r.fold for r in fitted.scores.collect()) == list(range(5))
+    fitted.save(str(tmp_path))
+    stored = learning.LearnedRouter.load(spark, str(tmp_path))
+    rows = lambda router: sorted(map(tuple, router.route(features, ruled).collect()))
+    assert rows(stored) == rows(fitted) and {t for k, t in rows(stored) if k % 50 == 0} == {"metadata"}
+    few = learning.LearnedRouter.fit(features.limit(20), label, ruled)
+    assert not few.active and rows(few) == sorted(rules_ for rules_ in map(tuple, ruled.collect()))
