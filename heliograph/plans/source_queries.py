@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from heliograph.fixtures import RECORDS, USAGE, file_records, read, usage_events
 from heliograph.sources.extract import extract
 from heliograph.sources.links import contained
+from heliograph.sources.sound import sound_windows
 from heliograph.sources.tables import shared_folder
 from heliograph.sources.scan import admitted, chunk_cap, scan_order, size_cap
 from heliograph.sources.transcripts import token_chunks
@@ -63,6 +64,19 @@ def link_containment(spark, sf):
     return contained(asked, spark.createDataFrame([("/src1",), ("/src3/",)], "root string"), links, 8)
 
 
+@_register("sound_windows", """with recursive made as (select label, vec_id, case when (vec_id // 8) % 3 = 0 then list_transform(embedding, lambda x: 0.0::double) else embedding end as v from embeddings where embedding is not null),
+numbered as (select label, x, row_number() over (partition by label order by vec_id, j) - 1 as i from (select label, vec_id, unnest(v)::double as x, generate_subscripts(v, 1) as j from made)),
+e as (select label, i, x * x as e, x * x + lead(x * x) over (partition by label order by i) as two, count(*) over (partition by label) as n from numbered),
+walk as (select label, 0::bigint as start, max(n) as n, case when max(n) > 600 then arg_min(i + 1, (two, i)) filter (where i between 540 and 598) else max(n) end as stop, 1 as k from e group by label
+  union all select w.label, w.stop, w.n, case when w.stop + 600 < w.n then f.middle else w.n end, w.k + 1 from walk w, lateral (select arg_min(e.i + 1, (e.two, e.i)) as middle from e where e.label = w.label and e.i between w.stop + 540 and w.stop + 598) f where w.stop < w.n)
+select w.label as sound_id, w.k::bigint as window, w.start, w.stop as "end", round(sqrt(sum(e.e) / (w.stop - w.start)), 6) as rms from walk w join e on e.label = w.label and e.i >= w.start and e.i < w.stop group by w.label, w.k, w.start, w.stop having sqrt(sum(e.e) / (w.stop - w.start)) >= 1e-4""")
+def sound_windows_query(spark, sf):
+    """Vectors of a label one after another as a sound of twenty samples a second, a third of it silent."""
+    v = read(spark, sf, "embeddings").where("embedding is not null")
+    quiet = F.when(F.floor(F.col("vec_id") / 8) % 3 == 0, F.transform("embedding", lambda x: F.lit(0.0))).otherwise(F.transform("embedding", lambda x: x.cast("double")))
+    return sound_windows(v.select(F.col("label").alias("sound_id"), F.col("vec_id").alias("block"), quiet.alias("samples")), 20).withColumn("rms", F.round("rms", 6))
+
+
 @_register("caps_and_order", f"""with {RECORDS} select doc_id, case when ext in ('md', 'txt', 'csv', 'py', 'html') then 5242880 when ext in ('pdf', 'docx') then 52428800 end::bigint as size_cap,
   case when ext in ('py', 'csv') then 8 when ext in ('txt', 'md', 'html') then 40 when ext = 'mp3' then null else 150 end::bigint as chunk_cap, case when ext = 'mp4' then 4 when ext = 'mp3' then 3 when ext = 'jpg' then 2 when ext in ('py', 'csv') then 1 else 0 end::bigint as scan_order from records""")
 def caps_and_order(spark, sf):
