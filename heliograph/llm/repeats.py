@@ -500,6 +500,7 @@ def _bucketed(texts: DataFrame, files: int) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}"
     texts.repartition(files, "bucket").write.bucketBy(files, "bucket").option("compression", "zstd").option("path", path).saveAsTable(name)
     atexit.register(_forget, spark, name, path)
+    release(spark)
     return spark.table(name)
 
 
