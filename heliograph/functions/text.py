@@ -127,6 +127,12 @@ def spoken_key(text: str) -> str:
     return re.sub(r"(.)\1+", r"\1", s[:1] + re.sub("[aeiouyhw]", "", s[1:]) if s[:1] in tuple("aeiou") else re.sub("[aeiouyhw]", "", s))
 
 
+def jaccard(a: Column | str, b: Column | str) -> Column:
+    """Share of two sets' elements that both have; NaN, which is larger than any number, if neither has one."""
+    every = F.size(F.array_union(_c(a), _c(b)))
+    return F.when(every > 0, F.size(F.array_intersect(_c(a), _c(b))) / every).otherwise(F.lit(float("nan")))
+
+
 def human_size(n: Column | str) -> Column:
     n = _c(n)
     out = F.concat(n.cast("string"), F.lit(" B"))

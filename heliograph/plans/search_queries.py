@@ -366,5 +366,4 @@ def jaccard_near_dupes(spark, sf):
     words = F.array_distinct(F.filter(T.tokens("content"), lambda w: F.length(w) >= 3)).alias("s")
     sets = hits.join(index(spark, sf).chunks().select("chunk_id", words), "chunk_id")
     both = sets.selectExpr("query_id", "chunk_id as a", "s as sa").join(sets.selectExpr("query_id", "chunk_id as b", "s as sb"), "query_id").where("a < b")
-    value = F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))
-    return both.withColumn("jaccard", F.round(value, 6)).where(value >= 0.5).select("query_id", "a", "b", "jaccard")
+    return both.withColumn("value", T.jaccard("sa", "sb")).where("value >= 0.5").select("query_id", "a", "b", F.round("value", 6).alias("jaccard"))
