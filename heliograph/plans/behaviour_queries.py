@@ -435,6 +435,8 @@ def visual_tiers(spark, sf):
     return C.media_limits(_scores(spark, sf), read(spark, sf, "embeddings").where("embedding is not null").count())
 
 
-@_register("visual_best_per_file", f"with {MEDIA} select query_id, (vec_id // 4)::bigint as file_id, vec_id, distance from near qualify row_number() over (partition by query_id, vec_id // 4 order by distance, vec_id) = 1")
+@_register("visual_best_per_file", f"with {MEDIA} select query_id, (vec_id // 4)::bigint as file_id, vec_id, distance from scores qualify row_number() over (partition by query_id, vec_id // 4 order by distance, vec_id) = 1")
 def visual_best_per_file(spark, sf):
-    return C.best_per_file(_scores(spark, sf).withColumn("file_id", F.floor(F.col("vec_id") / 4)))
+    """Every file by its frame that is nearest to the query."""
+    v = read(spark, sf, "embeddings").select("vec_id", "embedding", F.floor(F.col("vec_id") / 4).alias("file_id"))
+    return R.nearest_of_groups(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")), v, "file_id")

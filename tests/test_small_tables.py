@@ -41,3 +41,13 @@ def test_passages_of_short_words_only(spark, same):
     """Neither of two such passages has a word to compare."""
     rows = same("jaccard_near_dupes", documents=documents(spark, "ab cd ef", "cd ab", "ab cd longer words", "ab cd longer words here"), benchmark=benchmark(spark, "ab cd ef gh ij"))
     assert "nan" in str(rows)
+
+
+def vectors(spark, n, width=2):
+    rows = [(i, [float(i * (k + 1) % 7) / 7 for k in range(width)], i % 3) for i in range(n)]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+
+
+def test_every_file_by_its_best_frame(spark, same):
+    """Also those without a frame among the hundred nearest; the frames of a file tie."""
+    assert len(same("visual_best_per_file", embeddings=vectors(spark, 202))) == 5 * 51
