@@ -114,10 +114,11 @@ def near_ties(results: DataFrame, window: float = DEFAULTS.tie_window, jaccard:
 
 
 def explain(files: DataFrame) -> DataFrame:
-    """Adds why: which words, or that the meaning fits; and where (section, heading, page or slide)."""
+    """Adds why: which words, or that the meaning fits; and where (section, heading, page or slide). A file with a literal match
+    whose best passage is known by its meaning only (matched is null) is told as one without words."""
     literal = F.col("keyword_score").isNotNull()
     place = F.when(F.col("path").endswith(".pptx"), F.concat(F.lit("Slide "), F.col("page_number"))).otherwise(F.concat(F.lit("Page "), F.col("page_number")))
-    said = F.array(F.when(literal, F.concat(F.lit("Contains: "), F.array_join("matched", ", "))).otherwise(F.lit("Meaning matches")), F.when(F.col("page_number").isNotNull(), place))
+    said = F.array(F.when(literal, F.concat(F.lit("Contains: "), F.coalesce(F.array_join("matched", ", "), F.lit("")))).otherwise(F.lit("Meaning matches")), F.when(F.col("page_number").isNotNull(), place))
     return files.withColumn("why", F.array_compact(said))
 
 

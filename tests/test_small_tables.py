@@ -51,3 +51,10 @@ def vectors(spark, n, width=2):
 def test_every_file_by_its_best_frame(spark, same):
     """Also those without a frame among the hundred nearest; the frames of a file tie."""
     assert len(same("visual_best_per_file", embeddings=vectors(spark, 202))) == 5 * 51
+
+
+def test_words_of_a_file_whose_best_passage_has_no_text(spark, same):
+    """The first file is known by its words, and by a vector of a passage that isn't there, which is nearest."""
+    v = spark.createDataFrame([(i, [0.0 if i in (2, 3) else 2.0 + i], 0) for i in range(12)], "vec_id long, embedding array<float>, label int")
+    rows = same("match_explanation", documents=documents(spark, "alpha beta", "alpha beta gamma", "gamma"), benchmark=benchmark(spark, "alpha beta gamma delta epsilon"), embeddings=v)
+    assert any("Contains: " in row for row in rows)
