@@ -1,10 +1,10 @@
 """A stored keyword index: postings by shards of chunks, replaced file by file, read as a snapshot.
 
 Chunks are dealt into shards of SHARD places. A posting row holds one term of one shard (places, counts, positions), so
-no row grows with the collection, and a term that stands everywhere is spread over all shards. Rows are written in the
-order of terms and shards, so that a query's terms are found by the footers' statistics. A search sends the postings of
-the queried terms, and nothing else, to a task for each shard, which intersects arrays, scores and keeps its best;
-only these are ranked against each other.
+no row grows with the collection, and a term that stands everywhere is spread over all shards. The task that reads a shard's
+chunks writes its rows, in the order of terms, so that nothing is exchanged or sorted as a whole. A search sends the postings of
+the queried terms (positions only for phrases) and the chunks' names to a task for each shard, which intersects arrays, scores
+and keeps its best; only these are ranked against each other.
 
 Writes are copies: a replaced file's shards are written anew without it, and a manifest, written last, says which shards
 of which batches are current. Readers of an older manifest are not disturbed.
@@ -31,18 +31,14 @@ from heliograph.config import DEFAULTS, Settings
 from heliograph.functions.text import tokens
 from heliograph.sources.tables import written
 
-SHARD = 8192
+SHARD = 8192  # at most 32,768, as places are kept in two bytes
 #: Queries that one pass over the shards answers; more are answered in several.
 BLOCK = 20_000
 _FAR = 1 << 32
 #: So many runs of term counts whose sizes are within that factor of each other are merged.
 TIER = 4
 
-#: Hits up to which they are sent to the shards' names; more are joined with them.
-SENT = 1_000_000
-
-POSTINGS = "shard long, term string, place array<int>, tf array<int>, len array<int>, pos array<int>, ids array<string>, docs array<long>"
-FOUND = "query_id long, batch string, shard long, place int, score double, places long"
+POSTINGS = "shard long, term string, place array<short>, tf array<int>, pos array<int>, ids array<string>, docs array<long>, chunks long, words long"
 HITS = "query_id long, chunk_id string, doc_id long, score double, places long"
 
 
@@ -51,78 +47,116 @@ def _lists(values: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.Arra
 
 
 def invert(shard: np.ndarray, place: np.ndarray, words: pa.ListArray, ids: pa.Array, docs: pa.Array) -> Iterator[pa.RecordBatch]:
-    """Postings of some chunks: a row for each term of each shard, and one without a term for the shard's chunks."""
-    schema = pa.schema([("shard", pa.int64()), ("term", pa.string()), *((n, pa.list_(pa.int32())) for n in ("place", "tf", "len", "pos")), ("ids", pa.list_(pa.string())), ("docs", pa.list_(pa.int64()))])
+    """Postings of some chunks: a row for each term of each shard, and one without a term for the shard's chunks, whose tf are
+    the chunks' lengths. chunks and words tell how many chunks a row has, and how many words of these."""
+    schema = pa.schema([("shard", pa.int64()), ("term", pa.string()), ("place", pa.list_(pa.int16())), *((n, pa.list_(pa.int32())) for n in ("tf", "pos")), ("ids", pa.list_(pa.string())), ("docs", pa.list_(pa.int64())), ("chunks", pa.int64()), ("words", pa.int64())])
     lengths = np.diff(words.offsets.to_numpy()).astype(np.int64)
     coded = words.flatten().dictionary_encode()
-    term = coded.indices.to_numpy().astype(np.int64)
+    by_name = pc.sort_indices(coded.dictionary).to_numpy()
+    names = coded.dictionary.take(pa.array(by_name)).cast(pa.string())
+    code = np.empty(len(names), np.int64)
+    code[by_name] = np.arange(len(names))
+    term = code[coded.indices.to_numpy()]
     row = np.repeat(np.arange(len(lengths)), lengths)
     position = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    order = np.lexsort((row, term, shard[row]))  # positions ascend, as the sort is stable
+    numbers, of = np.unique(shard, return_inverse=True)
+    order = np.argsort(of[row] * (len(names) + 1) + term, kind="stable")  # chunks and positions ascend, as the sort is stable
     term, row, position = term[order], row[order], position[order]
     if len(row):
-        new_list = np.r_[True, (term[1:] != term[:-1]) | (shard[row][1:] != shard[row][:-1])]
+        new_list = np.r_[True, (term[1:] != term[:-1]) | (of[row][1:] != of[row][:-1])]
         new_row = new_list | np.r_[True, row[1:] != row[:-1]]
         at, lists = np.flatnonzero(new_row), np.flatnonzero(new_list)
         counts = np.diff(np.r_[at, len(row)])
         by_row = np.searchsorted(at, lists)
         none = pa.nulls(len(lists))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(shard[row[lists]]), coded.dictionary.take(pa.array(term[lists])).cast(pa.string()), _lists(place[row[at]], by_row, pa.int32()), _lists(counts, by_row, pa.int32()), _lists(lengths[row[at]], by_row, pa.int32()), _lists(position, lists, pa.int32()), none.cast(schema.field("ids").type), none.cast(schema.field("docs").type)],
+            [pa.array(shard[row[lists]]), names.take(pa.array(term[lists])), _lists(place[row[at]], by_row, pa.int16()), _lists(counts, by_row, pa.int32()), _lists(position, lists, pa.int32()), none.cast(schema.field("ids").type), none.cast(schema.field("docs").type), pa.array(np.diff(np.r_[by_row, len(at)])), pa.array(np.diff(np.r_[lists, len(row)]))],
             schema=schema,
         )
     if len(shard):
-        order = np.argsort(shard, kind="stable")
-        starts = np.flatnonzero(np.r_[True, shard[order][1:] != shard[order][:-1]])
+        order = np.argsort(of, kind="stable")
+        starts = np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1]])
         held = lambda values, kind: pa.ListArray.from_arrays(pa.array(np.r_[starts, len(order)], pa.int32()), values.take(pa.array(order)).cast(kind))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(shard[order][starts]), pa.array([""] * len(starts)), _lists(place[order], starts, pa.int32()), _lists(lengths[order], starts, pa.int32()), *[pa.nulls(len(starts)).cast(schema.field("pos").type)] * 2, held(ids, pa.string()), held(docs, pa.int64())],
+            [pa.array(numbers), pa.array([""] * len(starts)), _lists(place[order], starts, pa.int16()), _lists(lengths[order], starts, pa.int32()), pa.nulls(len(starts)).cast(schema.field("pos").type), held(ids, pa.string()), held(docs, pa.int64()), pa.array(np.diff(np.r_[starts, len(order)])), pa.array(np.add.reduceat(lengths[order], starts))],
             schema=schema,
         )
 
 
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of chunks (shard, place, words, chunk_id, doc_id) in the order of shards: a shard's are made at once."""
+    held: list[pa.RecordBatch] = []
+
+    def made(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        shard, place, words, ids, docs = (pa.concat_arrays(c.chunks) for c in rows.columns)
+        yield from invert(shard.to_numpy(), place.to_numpy(), words, ids, docs)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        own = batch.column(0).to_numpy()
+        other = np.flatnonzero(own != own[-1])
+        last = int(other[-1]) + 1 if len(other) else 0  # from there on it is the last shard, which may go on
+        if last or held[0].column(0)[0].as_py() != own[-1]:
+            whole = pa.Table.from_batches([*held[:-1], batch.slice(0, last)])
+            yield from made(whole)
+            held = [batch.slice(last)]
+    if held:
+        yield from made(pa.Table.from_batches(held))
+
+
 @dataclass
 class Shard:
-    """Postings of the queried terms in one shard, as arrays: places, counts, and places with positions."""
+    """Postings of the queried terms in one shard, as arrays: places, counts, and places with positions. names and docs are
+    those of the chunks at all places."""
 
     length: np.ndarray
+    names: np.ndarray
+    docs: np.ndarray
     terms: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
+    weights: dict[str, np.ndarray] = field(default_factory=dict)
+    by_name: np.ndarray | None = None
 
     @classmethod
     def of(cls, rows: pa.Table, scoped: bool) -> Shard:
-        size = 1 + (pc.max(rows["place"].combine_chunks().flatten()).as_py() or 0)
-        out, live = cls(np.zeros(size, np.int64)), np.full(size, not scoped)
-        for term, place, tf, length, pos in zip(*(rows[c] for c in ("term", "place", "tf", "len", "pos")), strict=True):
+        """rows: posting rows, those without a term for the chunks, and with a null term for the places in scope."""
+        places = rows["place"].combine_chunks()
+        size = 1 + (pc.max(places.flatten()).as_py() or 0)
+        out, live = cls(np.zeros(size, np.int64), *(np.full(size, None, object) for _ in range(2))), np.full(size, not scoped)
+        for term, place, tf, pos, ids, docs in zip(rows["term"].to_pylist(), places, *(rows[c] for c in ("tf", "pos", "ids", "docs")), strict=True):
             place = place.values.to_numpy().astype(np.int64)
-            if term.as_py() == "":  # only these chunks are in scope
+            if term is None:  # only these chunks are in scope
                 live[place] = True
                 continue
             tf = tf.values.to_numpy().astype(np.int64)
-            out.length[place] = length.values.to_numpy()
-            key = np.repeat(place, tf) * _FAR + pos.values.to_numpy()
-            if term.as_py() in out.terms:  # a shard that several tasks have read
-                a, b, c = out.terms[term.as_py()]
+            if term == "":
+                out.length[place], out.names[place], out.docs[place] = tf, ids.as_py(), docs.as_py()
+                continue
+            key = np.repeat(place, tf) * _FAR + pos.values.to_numpy() if pos.is_valid else np.zeros(0, np.int64)
+            if term in out.terms:  # a shard that several tasks have read
+                a, b, c = out.terms[term]
                 order = np.argsort(np.r_[a, place])
                 place, tf, key = np.r_[a, place][order], np.r_[b, tf][order], np.sort(np.r_[c, key])
-            out.terms[term.as_py()] = place, tf, key
+            out.terms[term] = place, tf, key
         for term, (place, tf, key) in out.terms.items() if scoped else ():
             keep = live[place]
             out.terms[term] = place[keep], tf[keep], key[live[key // _FAR]]
         return out
 
+    def order(self) -> np.ndarray:
+        """The rank of each place by its chunk's name."""
+        if self.by_name is None:
+            self.by_name = np.empty(len(self.names), np.int64)
+            self.by_name[np.argsort(np.where(self.names == None, "", self.names), kind="stable")] = np.arange(len(self.names))  # noqa: E711
+        return self.by_name
+
     def holding(self, terms: list[str], least: int) -> np.ndarray:
         """Places of chunks that hold at least so many of these different terms."""
         own = [self.terms[t][0] for t in terms if t in self.terms]
         if len(own) < least:
             return np.zeros(0, np.int64)
-        if least == len(terms):
-            own.sort(key=len)
-            both = own[0]
-            for other in own[1:]:
-                both = both[np.isin(both, other, assume_unique=True)]
-            return both
-        place, n = np.unique(np.concatenate(own), return_counts=True)
-        return place[n >= least]
+        return np.flatnonzero(np.bincount(np.concatenate(own), minlength=len(self.length)) >= least)
 
     def phrase(self, line: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Places of chunks in which these words stand one after another, and how often: by the rarest word first."""
@@ -134,17 +168,20 @@ class Shard:
             begin = begin[np.isin(begin + i, self.terms[line[i]][2], assume_unique=True)]
         return np.unique(begin // _FAR, return_counts=True)
 
+    def weight(self, term: str, idf: float, mean: float, s: Settings) -> np.ndarray:
+        """What a term adds to the scores of its chunks, for all queries alike."""
+        if term not in self.weights:
+            place, tf, _ = self.terms[term]
+            norm = s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * self.length[place] / mean)
+            self.weights[term] = idf * tf * (s.bm25_k1 + 1) / (tf + norm)
+        return self.weights[term]
+
     def scores(self, places: np.ndarray, terms: list[str], idf: dict[str, float], mean: float, s: Settings) -> np.ndarray:
-        out = np.zeros(len(places))
-        norm = s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * self.length[places] / mean)
+        out = np.zeros(len(self.length))
         for t in terms:
-            if t in self.terms and len(places):
-                own, count, _ = self.terms[t]
-                at = np.minimum(np.searchsorted(own, places), len(own) - 1) if len(own) else None
-                if at is not None:
-                    tf = np.where(own[at] == places, count[at], 0)
-                    out += idf[t] * tf * (s.bm25_k1 + 1) / (tf + norm)
-        return np.round(out, 6)
+            if t in self.terms:
+                out[self.terms[t][0]] += self.weight(t, idf[t], mean, s)
+        return np.round(out[places], 6)
 
 
 class KeywordIndex:
@@ -252,13 +289,8 @@ class KeywordIndex:
         added.drop("shard", "place").withColumn("n", number).withColumns({"shard": F.floor(F.col("n") / SHARD), "place": (F.col("n") % SHARD).cast("int")}).drop("n").write.parquet(target("chunks"))
         stored = self.spark.read.schema(self._schema("chunks")).parquet(target("chunks"))
 
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in batches:
-                shard, place, words, ids, docs = (part.column(i) for i in range(5))
-                yield from invert(shard.to_numpy(), place.to_numpy(), words, ids, docs)
-
-        own = stored.select("shard", "place", tokens("content").alias("words"), "chunk_id", F.col("doc_id").cast("long")).mapInArrow(each, POSTINGS)
-        own.repartitionByRange("term", "shard").sortWithinPartitions("term", "shard").write.parquet(target("postings"))
+        own = stored.select("shard", "place", tokens("content").alias("words"), "chunk_id", F.col("doc_id").cast("long"))
+        own.mapInArrow(_inverted, POSTINGS).write.parquet(target("postings"))
         fresh = stored.select(F.lit(batch).alias("batch"), "shard").distinct()
         kept = None if whole else self._manifest() if dropped is None else self._manifest().join(dropped, ["batch", "shard"], "left_anti")
         live = fresh if kept is None else kept.unionByName(fresh)
@@ -274,7 +306,7 @@ class KeywordIndex:
         n_chunks, n_words = (0, 0) if whole else self.spark.read.parquet(f"{self.folder}/model-{self.version}").select("n_chunks", "n_words").first()
         for rows, sign in ((more, 1), (less, -1)):
             if rows is not None:
-                own = rows.where("term = ''").agg(F.coalesce(F.sum(F.size("place")), F.lit(0)), F.coalesce(F.sum(_total("tf")), F.lit(0))).first()
+                own = rows.where("term = ''").agg(F.coalesce(F.sum("chunks"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
                 n_chunks, n_words = n_chunks + sign * own[0], n_words + sign * own[1]
         self.spark.createDataFrame([(n_chunks, n_words, model)], "n_chunks long, n_words long, model string").write.mode("overwrite").parquet(f"{self.folder}/model-{version}")
         fs.rename(path(f"{self.folder}/next-{version}"), path(f"{self.folder}/manifest-{version}"))
@@ -359,24 +391,19 @@ class KeywordIndex:
             least = len(terms) if mode != "half" else max(1, -(-len(terms) // 2))
             if sum(t in known for t in terms) >= least:
                 plan.append((q, line, terms, least))
-        columns = ["batch", "shard", "term", "place", "tf", "len", "pos"]
-        rows = self.postings().where("term <> ''").join(F.broadcast(wanted), "term").select(columns)
-        every = self.postings().where("term = ''").select("batch", "shard", "place", "ids", "docs")
+        columns = ["batch", "shard", "term", "place", "tf", "pos" if mode == "phrase" else F.lit(None).cast("array<int>").alias("pos")]
+        none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+        first, last = min(known, default=""), max(known, default="")
+        met = self.postings().where((F.col("term") >= first) & (F.col("term") <= last)).join(F.broadcast(wanted), "term")
+        rows = met.select(*columns, none("ids", "array<string>"), none("docs", "array<long>"))
+        every = self.postings().where("term = ''")
+        rows = rows.unionByName(every.select("batch", "shard", "term", "place", "tf", none("pos", "array<int>"), "ids", "docs"))
         if scope is not None:
             line = every.select("batch", "shard", F.explode(F.arrays_zip("place", "docs")).alias("c")).join(scope.select(F.col("doc_id").alias("_doc")).distinct(), F.col("c.docs") == F.col("_doc"), "left_semi")
-            none = F.lit(None).cast("array<int>")
-            rows = rows.unionByName(line.groupBy("batch", "shard").agg(F.collect_list("c.place").alias("place")).select("batch", "shard", F.lit("").alias("term"), "place", none.alias("tf"), none.alias("len"), none.alias("pos")))
-        found = rows.groupBy("batch", "shard").applyInArrow(_solver(plan, mode, k, idf, mean, s, scope is not None), FOUND)
-        if k is not None:  # each task's best and what ties with them, then all tasks'; only these are looked up
-            best = F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
-            found = written(found.withColumn("_r", best).where(F.col("_r") <= k).drop("_r"))
-            found = F.broadcast(found) if found.count() <= SENT else found
-        # a shard's places follow each other, so one is found by its distance from the first; a shard that several tasks have read has several rows
-        guess = F.col("place") - F.element_at("own", 1)
-        at = F.when((guess >= 0) & (F.get("own", guess) == F.col("place")), guess + 1).otherwise(F.array_position("own", F.col("place")).cast("int"))
-        named = every.withColumnRenamed("place", "own").join(found, ["batch", "shard"]).withColumn("at", at).where("at > 0")
-        hits = named.select("query_id", F.element_at("ids", F.col("at")).alias("chunk_id"), F.element_at("docs", F.col("at")).alias("doc_id"), "score", "places")
-        return hits if k is None else ranked(hits, k).drop("rank")
+            live = line.groupBy("batch", "shard").agg(F.collect_list("c.place").alias("place"))  # a shard's places
+            rows = rows.unionByName(live.select("batch", "shard", none("term", "string"), "place", none("tf", "array<int>"), none("pos", "array<int>"), none("ids", "array<string>"), none("docs", "array<long>")))
+        found = rows.groupBy("batch", "shard").applyInArrow(_solver(plan, mode, k, idf, mean, s, scope is not None), HITS)
+        return found if k is None else written(ranked(found, k).drop("rank"))
 
 
 def ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -385,11 +412,10 @@ def ranked(hits: DataFrame, k: int) -> DataFrame:
 
 
 def _solver(plan: list, mode: str, k: int | None, idf: dict[str, float], mean: float, s: Settings, scoped: bool) -> Callable[[pa.Table], pa.Table]:
-    schema = pa.schema([("query_id", pa.int64()), ("batch", pa.string()), ("shard", pa.int64()), ("place", pa.int32()), ("score", pa.float64()), ("places", pa.int64())])
+    schema = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.string()), ("doc_id", pa.int64()), ("score", pa.float64()), ("places", pa.int64())])
 
     def solve(rows: pa.Table) -> pa.Table:
-        batch, number = rows["batch"][0].as_py(), rows["shard"][0].as_py()
-        shard = Shard.of(rows.combine_chunks(), scoped)
+        shard = Shard.of(rows, scoped)
         out = []
         for q, line, terms, least in plan:
             if mode == "phrase":
@@ -400,25 +426,25 @@ def _solver(plan: list, mode: str, k: int | None, idf: dict[str, float], mean: f
             if not len(places):
                 continue
             score = shard.scores(places, terms, idf, mean, s)
-            if k is not None and len(places) > k:  # all that reach the k-th score
-                keep = score >= np.partition(score, -k)[-k]
+            if k is not None and len(places) > k:  # all above the k-th score, and of those with it the first by name
+                bar = np.partition(score, -k)[-k]
+                above, equal = np.flatnonzero(score > bar), np.flatnonzero(score == bar)
+                if len(equal) > k - len(above):
+                    equal = equal[np.argsort(shard.order()[places[equal]])[: k - len(above)]]
+                keep = np.r_[above, equal]
                 places, counts, score = places[keep], counts[keep], score[keep]
             out.append((np.full(len(places), q), places, score, counts))
         if not out:
             return schema.empty_table()
         query, place, score, counts = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pa.table([pa.array(query), pa.array([batch] * len(query)), pa.array(np.full(len(query), number)), pa.array(place, pa.int32()), pa.array(score), pa.array(counts)], schema=schema)
+        return pa.table([pa.array(query), pa.array(shard.names[place], pa.string()), pa.array(shard.docs[place], pa.int64()), pa.array(score), pa.array(counts)], schema=schema)
 
     return solve
 
 
-def _total(counts: str):
-    return F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
-
-
 def _counted(postings: DataFrame, sign: int) -> DataFrame:
     """term, df and occurrences of some shards' postings, negative for those that go."""
-    by = postings.where("term <> ''").groupBy("term").agg(F.sum(F.size("place")).alias("df"), F.sum(_total("tf")).alias("occurrences"))
+    by = postings.where("term <> ''").groupBy("term").agg(F.sum("chunks").alias("df"), F.sum("words").alias("occurrences"))
     return by.select("term", *((F.col(c) * sign).cast("long").alias(c) for c in ("df", "occurrences")))
 
 

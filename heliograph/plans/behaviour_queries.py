@@ -411,7 +411,7 @@ def quick_answer(spark, sf):
     from heliograph.fixtures import text_queries
 
     asked = text_queries(spark, sf)
-    hits = R.bm25_relaxed(asked, index(spark, sf), 3).join(chunks(spark, sf).select("chunk_id", "content"), "chunk_id")
+    hits = R.bm25_relaxed(asked, index(spark, sf), 3).join(index(spark, sf).chunks().select("chunk_id", "content"), "chunk_id")
     return C.quick_answer(asked.select(F.col("query_id").alias("question_id"), F.col("query").alias("question")), hits.select(F.col("query_id").alias("question_id"), "chunk_id", "content"))
 
 

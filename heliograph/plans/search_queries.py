@@ -325,7 +325,7 @@ def hybrid_search(spark, sf):
 @_register("near_tie_rerank")
 def near_tie_rerank(spark, sf):
     files = K.prune(K.confidence(K.to_files(_fused(spark, sf))))
-    tokens = chunks(spark, sf).select("chunk_id", F.array_distinct(F.filter(T.tokens("content"), lambda w: F.length(w) >= 3)).alias("tokens"))
+    tokens = index(spark, sf).chunks().select("chunk_id", F.array_distinct(F.filter(T.tokens("content"), lambda w: F.length(w) >= 3)).alias("tokens"))
     full = files.join(tokens, "chunk_id", "left").select("query_id", "doc_id", "rank", F.col("confidence").alias("band"), "score", (F.col("doc_id") % 11 / 10).alias("boost"), F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
     return K.near_ties(full)
 

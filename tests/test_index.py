@@ -159,3 +159,43 @@ def test_a_write_reads_no_other_postings(spark, tmp_path, monkeypatch):
     finally:
         WORDS.remove("new")
     assert len(index._runs()) == 1
+
+
+def test_rows_are_written_where_chunks_are_read(spark, tmp_path):
+    """Nothing is exchanged to make postings: however chunks are dealt to batches, a shard that one task reads has one row for each
+    term, in their order, which tells chunks and words."""
+    import numpy as np
+    import pyarrow as pa
+
+    from heliograph.operators.index import _inverted
+
+    data = corpus(3, 100)
+    rows = [(i // 40, i % 40, t.split(), c, d) for i, (c, d, t) in enumerate(data)]
+    schema = pa.schema([("shard", pa.int64()), ("place", pa.int32()), ("words", pa.list_(pa.string())), ("ids", pa.string()), ("docs", pa.int64())])
+    whole = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    want = {}
+    for shard, place, words, *_ in rows:
+        for i, w in enumerate(words):
+            want.setdefault((shard, w), []).append((place, i))
+    for size in (7, 40, 1000):
+        told = [r for b in _inverted(whole.slice(k, size) for k in range(0, len(rows), size)) for r in b.to_pylist()]
+        got = [(r["shard"], r["term"]) for r in told if r["term"]]
+        assert got == sorted(want)
+        for r in told:
+            if r["term"]:
+                assert list(zip(np.repeat(r["place"], r["tf"]).tolist(), r["pos"], strict=True)) == want[r["shard"], r["term"]]
+                assert (r["chunks"], r["words"]) == (len(r["place"]), len(r["pos"]))
+        assert [c for r in told if not r["term"] for c in r["ids"]] == [c for c, _, _ in data]
+
+
+def test_ties_send_no_more_than_asked_for(spark, tmp_path, monkeypatch):
+    """A shard of copies sends the first of them by name, not all that tie."""
+    from heliograph.operators import index as module
+
+    sent = []
+    ranked = module.ranked
+    monkeypatch.setattr(module, "ranked", lambda hits, k: sent.append(hits.count()) or ranked(hits, k))
+    index = KeywordIndex.create(str(tmp_path), frame(spark, [(f"{d:03}", d, "ash fir") for d in range(200)]).coalesce(1))
+    got = index.search(spark.createDataFrame([(1, "ash")], "query_id long, query string"), "all", 5)
+    assert sorted(r.chunk_id for r in got.collect()) == [f"{d:03}" for d in range(5)]
+    assert sent[0] <= 5 * 4  # 64 places to a shard
