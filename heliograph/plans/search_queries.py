@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.config import NAME_GENERIC, NAME_NOISE, QUESTION_WORDS, STOP_WORDS
-from heliograph.fixtures import CHUNKS, QUERIES, RECORDS, chunks, file_records, index, read, text_queries, tokens_sql
+from heliograph.fixtures import CHUNKS, QUERIES, RECORDS, file_records, index, read, text_queries, tokens_sql
 from heliograph.functions import text as T
 from heliograph.operators import filters as L
 from heliograph.operators import names as N
@@ -325,8 +325,8 @@ def hybrid_search(spark, sf):
 @_register("near_tie_rerank")
 def near_tie_rerank(spark, sf):
     files = K.prune(K.confidence(K.to_files(_fused(spark, sf))))
-    tokens = index(spark, sf).chunks().select("chunk_id", F.array_distinct(F.filter(T.tokens("content"), lambda w: F.length(w) >= 3)).alias("tokens"))
-    full = files.join(tokens, "chunk_id", "left").select("query_id", "doc_id", "rank", F.col("confidence").alias("band"), "score", (F.col("doc_id") % 11 / 10).alias("boost"), F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
+    tokens = F.array_distinct(F.filter(T.tokens("content"), lambda w: F.length(w) >= 3))
+    full = files.join(index(spark, sf).chunks().select("chunk_id", "content"), "chunk_id", "left").select("query_id", "doc_id", "rank", F.col("confidence").alias("band"), "score", (F.col("doc_id") % 11 / 10).alias("boost"), F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens"))
     return K.near_ties(full)
 
 
@@ -336,8 +336,8 @@ from pruned p join files f using (query_id, doc_id) join asked a on a.query_id =
 def match_explanation(spark, sf):
     files = K.prune(K.confidence(K.to_files(_fused(spark, sf))))
     asked = text_queries(spark, sf).select("query_id", F.array_sort(F.array_distinct(T.tokens("query"))).alias("q"))
-    held = files.join(asked, "query_id").join(index(spark, sf).chunks().select("chunk_id", "page_number", T.tokens("content").alias("own")), "chunk_id", "left")
-    told = held.withColumns({"path": F.lit("x.txt"), "matched": F.array_intersect("q", "own")})
+    held = files.join(asked, "query_id").join(index(spark, sf).chunks().select("chunk_id", "page_number", "content"), "chunk_id", "left")
+    told = held.withColumns({"path": F.lit("x.txt"), "matched": F.array_intersect("q", T.tokens("content"))})
     return K.explain(told).select("query_id", "doc_id", F.array_join("why", " | ").alias("why"))
 
 
@@ -364,6 +364,6 @@ def jaccard_near_dupes(spark, sf):
     told by. Lists are bounded, so their pairs are."""
     hits = R.bm25_relaxed(text_queries(spark, sf), index(spark, sf)).select("query_id", "chunk_id")
     words = F.array_distinct(F.filter(T.tokens("content"), lambda w: F.length(w) >= 3)).alias("s")
-    sets = hits.join(index(spark, sf).chunks().select("chunk_id", words), "chunk_id")
+    sets = hits.join(index(spark, sf).chunks().select("chunk_id", "content"), "chunk_id").select("query_id", "chunk_id", words)  # only of hits
     both = sets.selectExpr("query_id", "chunk_id as a", "s as sa").join(sets.selectExpr("query_id", "chunk_id as b", "s as sb"), "query_id").where("a < b")
     return both.withColumn("value", T.jaccard("sa", "sb")).where("value >= 0.5").select("query_id", "a", "b", F.round("value", 6).alias("jaccard"))
