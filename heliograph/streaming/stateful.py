@@ -77,17 +77,19 @@ class _Debounce(StatefulProcessor):
         self.handle = handle
         self.wait = handle.getValueState("wait", "kind string, us long, events long, deadline long")
 
-    def _told(self, key, wait) -> pd.DataFrame:
-        return pd.DataFrame({"path": [key[0]], "kind": [wait[0]], "us": [wait[1]], "events": [wait[2]]})
+    def _told(self, key, *waits) -> pd.DataFrame:
+        kind, us, events, _ = zip(*waits, strict=True)
+        return pd.DataFrame({"path": [key[0]] * len(waits), "kind": kind, "us": us, "events": events})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         known = self.wait.get()
         wait, before = known, known and known[3]
         now = timerValues.getCurrentProcessingTimeInMs() if self.by_clock else None
+        over = []
         for row in pd.concat(list(rows)).sort_values(["us", "event_id"]).itertuples(index=False):
             at = now if self.by_clock else row.us // 1000
             if wait is not None and at > wait[3]:  # its time was over before this event
-                yield self._told(key, wait)
+                over.append(wait)
                 wait = None
             if row.kind in self.cancels:
                 if wait is None or row.us >= wait[1]:  # an event that came late doesn't cancel what is newer
@@ -106,6 +108,8 @@ class _Debounce(StatefulProcessor):
             self.wait.clear()
         else:
             self.wait.update(wait)
+        if over:  # one frame for all of a key's waits: frames are what a batch costs
+            yield self._told(key, *over)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         wait = self.wait.get()
