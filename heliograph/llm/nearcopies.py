@@ -32,9 +32,11 @@ BITS = SEGMENTS * golay.BITS
 #: Bits in which fingerprints that meet under a Golay key may differ: most such pairs hold when they are verified.
 MOST = 14
 WAYS = [(i, j) for j in range(SEGMENTS) for i in range(j)]
-#: Texts, about, that are sampled for the order of shingles, and shingles of which more than one sampled text told the count.
+#: Texts up to which a shingle counts as rare, and shingles, at most, whose counts are sent to all tasks: the commonest of all.
 #: The order only keeps groups small: similar sets meet under any order.
-SAMPLE, COMMON = 2000, 1 << 16
+RARE, COMMON = 16, 1 << 20
+#: Shingles whose counts are combined before they travel, and shingles, about, for each part in which they are summed.
+COUNTED, PART_SHINGLES = 1 << 19, 1 << 21
 NODES = 2048  # sets whose keys are packed at once
 PART_NODES = 4096  # sets for each part of the Golay keys
 PART_KEYS = 1 << 21  # prefix keys for each part
@@ -94,12 +96,14 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles by (count in the sample, hash): two similar sets share one of them, whatever the counts are."""
+    """The first shingles by (texts that hold it, hash): two similar sets share one of them, whatever the counts are. common: the
+    high 48 bits of shingles that many texts hold, sorted."""
     most = len(own) + (-OVER * len(own) // UNDER) + 1  # n - ceil(0.8 n) + 1
     if not len(own) or not len(common):
         return own[:most] if len(own) else own
-    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-    return own[np.argsort(np.where(common[at] == own, counts[at], 0), kind="stable")[:most]]
+    high = own >> _U(16)
+    at = np.minimum(np.searchsorted(common, high), len(common) - 1)
+    return own[np.argsort(np.where(common[at] == high, counts[at], 0), kind="stable")[:most]]
 
 
 def sketch(own: np.ndarray) -> bytes:
@@ -108,21 +112,63 @@ def sketch(own: np.ndarray) -> bytes:
 
 
 def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of a sample of distinct texts hold, and how many do: the texts whose hash is in the lowest
-    part of all hashes that holds about SAMPLE rows."""
-    low = F.shiftrightunsigned(F.xxhash64("mark"), 11) / float(1 << 53) < SAMPLE / max(1, texts.count())
-    sample = texts.select("mark", "text").where(low)
+    """The high 48 bits of shingles that more than RARE texts hold, sorted, and how many do: all texts are counted. If these are
+    more than COMMON, only those above the least count that leaves no more."""
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = min(max(4, size // 6 // PART_SHINGLES), 1 << 15)  # about six bytes a word
+    held = materialise(_dealt(texts.select("text").mapInArrow(_send_counts(parts, width), PACKED), parts).mapInArrow(_receive_counts, "key long, n long"), "near-common")
+    by = sorted(held.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("keys")).collect(), reverse=True)  # a row for each count
+    least, total = RARE, 0
+    for n, keys in by:
+        total += keys
+        if total > COMMON:
+            least = n
+            break
+    rows = held.where(F.col("n") > least).toArrow()  # bounded
+    discard(held)
+    keys, counts = rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
+def _send_counts(parts: int, width: int):
+    """By part, shingles that stand once among some texts, and those that stand several times with how often."""
+
+    def packed(own: list[np.ndarray]) -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(own) >> _U(16), return_counts=True)
+        part = (key * _U(parts) >> _U(48)).astype(np.int32)
+        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(key) else np.zeros(0, np.int64)
+        once, several = [], []
+        for s, e in zip(starts, [*starts[1:], len(key)], strict=True) if len(key) else ():
+            more = n[s:e] > 1
+            once.append(pack((key[s:e][~more], 6)))
+            several.append(pack((key[s:e][more], 6), (n[s:e][more], 4)))
+        return pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array(once, pa.binary()), pa.array(several, pa.binary())], ["part", "rows", "nodes"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, size = [], 0
         for batch in batches:
             for t in text_bytes(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t, width).view(np.int64))], ["key"])
+                own.append(shingles(t, width))
+                size += len(own[-1])
+                if size >= COUNTED:
+                    yield packed(own)
+                    own, size = [], 0
+        if size:
+            yield packed(own)
 
-    held = sample.dropDuplicates(["mark"]).mapInArrow(each, "key long").groupBy("key").count().where("count > 1")
-    rows = held.orderBy(F.desc("count"), "key").limit(COMMON).toArrow()  # bounded
-    keys, counts = rows["key"].to_numpy().view(np.uint64), rows["count"].to_numpy()
-    order = np.argsort(keys)
-    return keys[order], counts[order]
+    return each
+
+
+def _receive_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key and n of a part's shingles that more than RARE texts hold."""
+    for held in _by_part(batches):
+        once = np.concatenate([unpack(r, 6)[0] for r, _ in held])
+        several, n = (np.concatenate(c) for c in zip(*(unpack(t, 6, 4) for _, t in held), strict=True))
+        key, at = np.unique(np.concatenate([once, several]), return_inverse=True)
+        counts = np.bincount(at[: len(once)], minlength=len(key)) + np.bincount(at[len(once) :], n, minlength=len(key)).astype(np.int64)
+        some = counts > RARE
+        yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(counts[some])], ["key", "n"])
 
 
 # -- Golay keys ------------------------------------------------------------------------------------------------------

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from heliograph.llm import components, golay, nearcopies, simhash
 from tests.llm.helpers import clashing, docs, rows
@@ -222,3 +223,24 @@ def test_keys_in_turns_find_the_same(spark, monkeypatch):
     monkeypatch.setattr(nearcopies, "HOT", 16)
     monkeypatch.setattr(nearcopies, "SENT", 3)
     assert sorted(r.doc_id for r in nearcopies.keep_one(docs(spark, data)).collect()) == want
+
+
+def test_shingles_of_few_texts_are_counted_in_large_tables(spark):
+    """A line that one text in a thousand holds is seen twice, or not, in a sample of two thousand. All texts are counted, so
+    its shingles stand after rarer ones, and texts don't meet by it."""
+    line = " ".join(f"line{i}" for i in range(20))
+    data = [(i, " ".join(f"w{i}x{k}" for k in range(30)) + (" " + line if i % 1000 == 0 else "")) for i in range(20_000)]
+    texts = spark.createDataFrame(data, "doc_id long, text string").withColumn("mark", F.xxhash64("text")).repartition(7)
+    common, counts = nearcopies._common(texts, 5)
+    whole = nearcopies.shingles(line.encode())
+    assert common.tolist() == [k >> 16 for k in whole.tolist()] and set(counts.tolist()) == {20}
+    own = nearcopies.shingles(data[0][1].encode())
+    assert not set(nearcopies.prefix(own, common, counts).tolist()) & set(whole.tolist())
+
+
+def test_only_the_commonest_shingles_are_sent(spark, monkeypatch):
+    data = [(i, f"a b c d e{i % 3} f g h i j") for i in range(90)] + [(i, "k l m n o p") for i in range(90, 130)]
+    monkeypatch.setattr(nearcopies, "COMMON", 4)
+    texts = spark.createDataFrame(data, "doc_id long, text string").withColumn("mark", F.xxhash64("text"))
+    common, counts = nearcopies._common(texts, 5)  # 15 shingles of 30 texts would be too many
+    assert sorted(counts.tolist()) == [40, 40, 90] and counts[common.tolist().index(int(nearcopies.shingles(b"f g h i j")[0]) >> 16)] == 90
