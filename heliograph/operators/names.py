@@ -61,20 +61,24 @@ def ranked_names(matches: DataFrame) -> DataFrame:
 
 
 def within_edits(words: DataFrame, vocab: DataFrame) -> DataFrame:
-    """word, term, occurrences, allowed: pairs among which are all that are one edit apart, two from seven letters on.
+    """word, term, occurrences, allowed: pairs among which are all that are one edit apart, two from seven letters on, and
+    all in which one extends the other by at most two letters.
 
     With at most n edits one of n + 1 pieces of the word is still there, so candidates are met by pieces: every
-    vocabulary word is joined on its substrings of a piece's length.
+    vocabulary word is joined on its substrings of a piece's length, if a word with such a piece is as long, two letters
+    more or less. Edits before a piece move it by their number at most, so it has to stand near its place.
     """
     allowed = F.when(F.length("word") >= 7, 2).otherwise(1)
     cut = lambda i: F.bround(F.lit(i) * F.length("word") / (F.col("allowed") + 1)).cast("int")
-    piece = lambda i: F.substr(F.col("word"), cut(i) + 1, cut(i + 1) - cut(i))
+    piece = lambda i: F.struct(cut(i).alias("at"), F.substr(F.col("word"), cut(i) + 1, cut(i + 1) - cut(i)).alias("piece"))
     pieces = F.when(F.col("allowed") == 2, F.array(piece(0), piece(1), piece(2))).otherwise(F.array(piece(0), piece(1)))
-    asked = words.select("word").distinct().withColumn("allowed", allowed).withColumn("piece", F.explode(F.array_distinct(pieces)))
-    lengths = asked.select(F.length("piece").alias("n")).distinct()
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("len") - F.col("n") + 1), lambda i: F.substr(F.col("term"), i, F.col("n"))))
-    held = vocab.withColumn("len", F.length("term")).join(F.broadcast(lengths), F.col("len") >= F.col("n")).withColumn("piece", F.explode(grams))  # a row for each piece length
-    return held.join(asked, "piece").select("word", "term", "occurrences", "allowed").distinct()
+    asked = words.select("word").distinct().withColumn("allowed", allowed).withColumn("p", F.explode(pieces)).select("word", "allowed", F.length("word").alias("size"), "p.at", "p.piece")
+    lengths = asked.groupBy(F.length("piece").alias("n")).agg((F.min("size") - 2).alias("least"), (F.max("size") + 2).alias("most"))
+    long = vocab.withColumn("len", F.length("term"))
+    held = long.join(F.broadcast(lengths), (F.col("len") >= F.col("n")) & F.col("len").between(F.col("least"), F.col("most")))  # a row for each piece length
+    held = held.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("n")))).withColumn("piece", F.substr(F.col("term"), F.col("i") + 1, F.col("n")))
+    near = (F.abs(F.col("len") - F.col("size")) <= 2) & (F.abs(F.col("i") - F.col("at")) <= F.col("allowed"))
+    return held.join(asked, "piece").where(near).select("word", "term", "occurrences", "allowed").distinct()
 
 
 def closest_word(words: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -242,3 +242,29 @@ def test_large_sessions_meet_in_blocks(spark, monkeypatch):
     want = {(u, a, b, 1) for u, n in ((1, 38), (2, 3)) for a in range(n) for b in range(n) if a != b}
     assert set(map(tuple, behaviour.cooccurrence(frame, active).collect())) == want
     assert set(map(tuple, behaviour.cooccurrence(frame, active, most=20).collect())) == {w for w in want if w[0] == 2}
+
+
+def test_spelling_candidates_stand_near_their_place(spark):
+    """All pairs within the edits are candidates, but no term that has a piece of a word elsewhere, or another length."""
+    import random
+
+    rng = random.Random(4)
+    random_word = lambda a, b: "".join(rng.choices("abc", k=rng.randint(a, b)))
+    words = sorted({random_word(6, 9) for _ in range(40)})
+    terms = sorted({random_word(3, 16) for _ in range(1500)} | {w + "ab" for w in words} | {w[:-2] for w in words})
+    asked, vocab = spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(t, 1) for t in terms], "term string, occurrences long")
+    got = {(r.word, r.term) for r in names.within_edits(asked, vocab).collect()}
+
+    def edits(a, b):
+        line = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, line = line, [i]
+            for j, y in enumerate(b, 1):
+                line.append(min(last[j] + 1, line[-1] + 1, last[j - 1] + (x != y)))
+        return line[-1]
+
+    close = {(w, t) for w in words for t in terms if abs(len(w) - len(t)) <= 2 and (edits(w, t) <= (2 if len(w) >= 7 else 1) or ((w.startswith(t) or t.startswith(w)) and abs(len(w) - len(t)) <= 2))}
+    assert close <= got
+    assert all(abs(len(w) - len(t)) <= 2 for w, t in got)
+    far = names.within_edits(spark.createDataFrame([("abcdefg",)], "word string"), spark.createDataFrame([("zzzzzabzz", 1), ("abzzzzzzzzzz", 1), ("abcdefgh", 1)], "term string, occurrences long"))
+    assert [r.term for r in far.collect()] == ["abcdefgh"]
