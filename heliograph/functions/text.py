@@ -47,6 +47,13 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(WORD), F.lit(0))
 
 
+def token_line(text: Column | str) -> Column:
+    """The tokens with a space between: one string to send to a task's Python, not a string for each word."""
+    t = _c(text)
+    folded = F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(fold(t))  # ASCII has no accents
+    return F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " "))
+
+
 def normalize_text(text: Column | str) -> Column:
     """Composed characters, one kind of line end, single spaces, at most one empty line, no white space at the ends."""
     lines = F.regexp_replace(nfc(text), r"\r\n?", "\n")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from heliograph.config import DEFAULTS, Settings
-from heliograph.functions.text import tokens
+from heliograph.functions.text import token_line, tokens
 from heliograph.sources.tables import written
 
 SHARD = 8192  # at most 32,768, as places are kept in two bytes
@@ -106,6 +106,21 @@ def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from made(pa.Table.from_batches(held))
 
 
+def words_of(lines: pa.StringArray) -> pa.ListArray:
+    """The words of lines that have one space between words; none of an empty or null one."""
+    lines = pc.fill_null(lines, "")
+    split = pc.split_pattern(lines, " ")
+    counts = np.where(pc.equal(lines, "").to_numpy(zero_copy_only=False), 0, np.diff(split.offsets.to_numpy()))
+    words = split.flatten()
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), words.filter(pc.not_equal(words, "")))
+
+
+def _inverted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _inverted, of chunks whose words are one line (shard, place, line, chunk_id, doc_id)."""
+    names = ["shard", "place", "words", "chunk_id", "doc_id"]
+    yield from _inverted(pa.RecordBatch.from_arrays([*b.columns[:2], words_of(b.column(2)), *b.columns[3:]], names=names) for b in batches)
+
+
 @dataclass
 class Shard:
     """Postings of the queried terms in one shard, as arrays: places, counts, and places with positions. names and docs are
@@ -289,8 +304,8 @@ class KeywordIndex:
         added.drop("shard", "place").withColumn("n", number).withColumns({"shard": F.floor(F.col("n") / SHARD), "place": (F.col("n") % SHARD).cast("int")}).drop("n").write.parquet(target("chunks"))
         stored = self.spark.read.schema(self._schema("chunks")).parquet(target("chunks"))
 
-        own = stored.select("shard", "place", tokens("content").alias("words"), "chunk_id", F.col("doc_id").cast("long"))
-        own.mapInArrow(_inverted, POSTINGS).write.parquet(target("postings"))
+        own = stored.select("shard", "place", token_line("content").alias("line"), "chunk_id", F.col("doc_id").cast("long"))
+        own.mapInArrow(_inverted_lines, POSTINGS).write.parquet(target("postings"))
         fresh = stored.select(F.lit(batch).alias("batch"), "shard").distinct()
         kept = None if whole else self._manifest() if dropped is None else self._manifest().join(dropped, ["batch", "shard"], "left_anti")
         live = fresh if kept is None else kept.unionByName(fresh)

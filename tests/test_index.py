@@ -199,3 +199,18 @@ def test_ties_send_no_more_than_asked_for(spark, tmp_path, monkeypatch):
     got = index.search(spark.createDataFrame([(1, "ash")], "query_id long, query string"), "all", 5)
     assert sorted(r.chunk_id for r in got.collect()) == [f"{d:03}" for d in range(5)]
     assert sent[0] <= 5 * 4  # 64 places to a shard
+
+
+def test_a_line_of_tokens_has_the_same_words(spark):
+    """Chunks are sent to Python as a string each, whose words are those of tokens, however odd the text."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from heliograph.functions.text import token_line, tokens
+    from heliograph.operators.index import words_of
+
+    texts = ["Ash, beech!", "", None, " \t", "...", "Crème brûlée N° 5", "été", "İstanbul STRASSE ß", "x_y-z", "𝐀𝐁 ab", "٣٤ 12½", "Я не знаю", "a b c", "ﬁn", "ΑΣ ΟΔΟΣ", "1\x002"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").coalesce(1).select("i", tokens("t").alias("words"), token_line("t").alias("line")).orderBy("i").collect()
+    assert words_of(pa.array([r.line for r in rows], pa.string())).to_pylist() == [r.words or [] for r in rows]
+    plan = spark.range(1).select(F.lit("ash").alias("t")).select(token_line("t"))
+    assert plan.schema[0].dataType.simpleString() == "string"
