@@ -18,6 +18,7 @@ import struct
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from sys import getsizeof
 
 import ahocorasick
 import numpy as np
@@ -30,8 +31,10 @@ from heliograph.llm.common import column, table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Words and pairs of pieces that a worker remembers; which ones it does only changes how fast it is.
-WORDS, WORD_CHARS, PAIRS = 1 << 19, 64, 1 << 19
+#: Bytes of words, and pairs of pieces, that a worker remembers; which ones it does only changes how fast it is.
+WORD_BYTES, WORD_CHARS, PAIRS = 96 << 20, 64, 1 << 19
+#: A worker sends what it has once it holds so many ids, and holds no more of whole texts beyond the last one.
+SLICE = 1 << 20
 #: A text is cut into runs of letters, runs of other characters with any spaces before them, digits, tabs and line
 #: breaks; a model of which any piece holds parts of two is refused.
 _LETTER, _DIGIT, _BREAK = "A-Za-z\u00c0-\u024f", "0-9", "\\t\\n"
@@ -199,8 +202,6 @@ class Pieces:
         """The ids as 32-bit integers. Pieces keep within what the pattern cuts, so each is encoded by itself."""
         if not text:
             return b""
-        if len(self.words) > WORDS:
-            self.words.clear()
         return b"".join(map(self.words.__getitem__, _CUT.findall(" " + text.replace(SPACE, " "))))
 
     def decode(self, ids: list[int]) -> str:
@@ -244,11 +245,16 @@ class _Words(dict):
     """Ids of words, with the spaces before them, as bytes; made when they are first asked for."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces = pieces
+        self.pieces, self.held = pieces, 0
 
     def __missing__(self, word: str) -> bytes:
         ids = array("i", self.pieces.stretch(word.replace(" ", SPACE))).tobytes()
         if len(word) <= WORD_CHARS:
+            size = getsizeof(word) + getsizeof(ids) + 64  # with its place in the table
+            if self.held + size > WORD_BYTES:
+                self.clear()
+                self.held = 0
+            self.held += size
             self[word] = ids
         return ids
 
@@ -263,27 +269,28 @@ def default_model() -> str:
     return public_tokenizers.path(MODEL)
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and ids (array of int) of every whole text, without begin or end ids.
-
-    Takes doc_id and text; other columns are ignored. A null text is as an empty one, which has no ids. Repeated rows and
-    equal or null doc_ids each give a row; an empty table gives an empty result. A very long text, also of a single
-    word, takes time and memory in proportion to its length. No exchange: each text is encoded where it is read. path is
-    a model's file on every machine.
-    """
-    path = path or default_model()
+def _encoded(rows: Iterator[pa.RecordBatch], pieces: Pieces) -> Iterator[pa.RecordBatch]:
+    """doc_id and ids of batches of doc_id and text, SLICE ids or one row at a time."""
+    for batch in rows:
+        keys, found, begin, size = column(batch, "doc_id"), [], 0, 0
+        for at, text in enumerate(column(batch, "text"), 1):
+            found.append(pieces.encode(text.as_py() or ""))
+            size += len(found[-1]) // 4
+            if size >= SLICE or at == len(keys):
+                ends = pa.array(np.cumsum([0, *(len(f) // 4 for f in found)]), pa.int32())
+                values = pa.Array.from_buffers(pa.int32(), size, [None, pa.py_buffer(b"".join(found))])
+                yield pa.RecordBatch.from_arrays([keys[begin:at], pa.ListArray.from_arrays(ends, values)], ["doc_id", "ids"])
+                found, begin, size = [], at, 0
 
-    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = model(path)
-        for batch in rows:
-            found = [pieces.encode(text.as_py() or "") for text in column(batch, "text")]
-            ends = np.cumsum([0, *(len(f) // 4 for f in found)], dtype=np.int64)
-            for k in _under(ends, 1 << 26):
-                values = pa.Array.from_buffers(pa.int32(), int(ends[k.stop] - ends[k.start]), [None, pa.py_buffer(b"".join(found[k]))])
-                ids = pa.ListArray.from_arrays(pa.array(ends[k.start : k.stop + 1] - ends[k.start], pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([column(batch, "doc_id")[k], ids], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, "doc_id long, ids array<int>")
+def _decoded(rows: Iterator[pa.RecordBatch], pieces: Pieces) -> Iterator[pa.RecordBatch]:
+    """Batches of doc_id and ids with what the ids say, SLICE ids or one row at a time."""
+    for batch in rows:
+        keys, ids = column(batch, "doc_id"), column(batch, "ids")
+        values, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+        for k in _under(ends, SLICE):
+            said = [pieces.decode(values[a:b].tolist()) for a, b in zip(ends[k], ends[k.start + 1 : k.stop + 1], strict=True)]
+            yield pa.RecordBatch.from_arrays([keys[k], ids[k], pa.array(said, pa.string())], ["doc_id", "ids", "decoded"])
 
 
 def _under(ends: np.ndarray, most: int) -> Iterator[slice]:
@@ -295,6 +302,22 @@ def _under(ends: np.ndarray, most: int) -> Iterator[slice]:
         at = to
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id and ids (array of int) of every whole text, without begin or end ids.
+
+    Takes doc_id and text; other columns are ignored. A null text is as an empty one, which has no ids. Repeated rows and
+    equal or null doc_ids each give a row; an empty table gives an empty result. A very long text, also of a single
+    word, takes time and memory in proportion to its length. No exchange: each text is encoded where it is read. path is
+    a model's file on every machine.
+    """
+    path = path or default_model()
+    return _texts(docs).mapInArrow(lambda rows: _encoded(rows, model(path)), "doc_id long, ids array<int>")
+
+
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and ids with `decoded`, the text that the ids say.
 
@@ -302,20 +325,18 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     ids are as none and give an empty text. No exchange.
     """
     path = path or default_model()
+    ids = encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>"))
+    return ids.mapInArrow(lambda rows: _decoded(rows, model(path)), "doc_id long, ids array<int>, decoded string")
 
-    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = model(path)
-        for batch in rows:
-            ids = column(batch, "ids")
-            values, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-            said = [pieces.decode(values[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "ids"), pa.array(said, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(batches, "doc_id long, ids array<int>, decoded string")
+def encode_and_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """decode(encode(docs)) by one worker a task, with one model, instead of two."""
+    path = path or default_model()
+    return _texts(docs).mapInArrow(lambda rows: _decoded(_encoded(rows, model(path)), model(path)), "doc_id long, ids array<int>, decoded string")
 
 
 def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = decode(encode(table(spark, sf_dir, "documents")))
+    both = encode_and_decode(table(spark, sf_dir, "documents"))
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

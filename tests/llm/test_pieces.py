@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import sys
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -73,6 +75,45 @@ def test_rows_of_any_kind(spark, library):
     assert pieces.decode(pieces.encode(docs(spark, []))).count() == 0
 
 
+def test_both_ways_by_one_worker(spark):
+    plan = pieces.op12_pieces(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # each has a Python worker of its own in every task
+    frame = clashing(docs(spark))
+    both = pieces.encode_and_decode(frame)
+    assert sorted(map(repr, both.collect())) == sorted(map(repr, pieces.decode(pieces.encode(frame)).collect()))
+
+
+def test_batches_are_small_however_long_texts_are(own, library, monkeypatch):
+    monkeypatch.setattr(pieces, "SLICE", 100)
+    texts = [None, "", "some words " * 40, "", "x"] * 30 + ["a long text of many words " * 900, None] + HARD * 3
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    want = [(k, w, library.decode(w)) for k, w in enumerate(library.encode(t or "") for t in texts)]
+    encoded = list(pieces._encoded(iter([rows, rows[:0]]), own))
+    whole = pa.Table.from_batches(encoded).combine_chunks().to_batches()
+    for got in (pieces._decoded(iter(encoded), own), pieces._decoded(iter(whole), own)):
+        got = list(got)
+        assert [tuple(r.values()) for b in got for r in b.to_pylist()] == want
+        for batch in got:
+            sizes = list(map(len, batch.column(1).to_pylist()))
+            assert sum(sizes) - max(sizes) <= 100
+    assert len(encoded) > 10
+
+
+def test_words_of_any_script_are_held_within_bytes(library, monkeypatch):
+    monkeypatch.setattr(pieces, "WORD_BYTES", 1 << 16)
+    own, chance = pieces.Pieces(open(pieces.default_model(), "rb").read()), random.Random(6)
+    for _ in range(300):
+        text = " ".join("".join(chance.choices("漢字文書検索語彙結合", k=50)) for _ in range(5))
+        assert ids(own, text) == library.encode(text)
+        assert sum(sys.getsizeof(w) + sys.getsizeof(k) for w, k in own.words.items()) <= 1 << 16
+    assert own.words
+
+
+def test_null_ids_are_as_none(spark):
+    rows = spark.createDataFrame([(1, None), (2, []), (None, [300, 400])], "doc_id long, ids array<int>")
+    assert [r.decoded == "" for r in pieces.decode(rows).collect()] == [True, True, False]
+
+
 def test_query(spark, library):
     from heliograph.llm.common import table
 
