@@ -20,14 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, file_rows: int = 0) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back.
 
-    This cuts the lineage: what is read later doesn't depend on any executor's local disk.
+    This cuts the lineage: what is read later doesn't depend on any executor's local disk. file_rows: rows of a file at most, for
+    large values, as Spark's reader holds the values of some thousand rows of a file at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", file_rows).parquet(path)
     atexit.register(remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path

@@ -37,8 +37,10 @@ from heliograph.llm.common import discard, materialise, release, remove, shared_
 FILES = 250
 #: Rows of a partition that is sorted, and these partitions at most; larger ones spill.
 SORTED_ROWS, SORTED_PARTS = 1 << 16, 20_000
-#: Rows that travel and are written at once.
-BLOCK_ROWS = 1 << 12
+#: Rows that travel and are written at once; of wide rows so many as have these bytes.
+BLOCK_ROWS, BLOCK_BYTES = 1 << 12, 1 << 20
+#: Blocks in a file of rows that wait to be sorted: a task that reads them holds a file's blocks at once.
+FILE_BLOCKS = 32
 #: A block of link values for each partition.
 LINK_ROWS = 1 << 17
 LOW = float("-inf")
@@ -77,10 +79,10 @@ def restored(values: tuple, kind: pa.DataType) -> pa.Array:
 
 def _tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = list(zip(*map(comparable, batch.columns), strict=True))
-        blobs = [pickle.dumps(rows[k : k + BLOCK_ROWS], pickle.HIGHEST_PROTOCOL) for k in range(0, len(rows), BLOCK_ROWS)]
-        counts = [min(BLOCK_ROWS, len(rows) - k) for k in range(0, len(rows), BLOCK_ROWS)]
-        yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())], ["n", "rows"])
+        step = min(BLOCK_ROWS, max(1, BLOCK_BYTES * batch.num_rows // max(1, batch.nbytes)))
+        for k in range(0, batch.num_rows, step):
+            rows = list(zip(*map(comparable, batch.slice(k, step).columns), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64()), pa.array([pickle.dumps(rows, pickle.HIGHEST_PROTOCOL)], pa.binary())], ["n", "rows"])
 
 
 def _blocks(ranked: Iterator[tuple[tuple, int]], schema: pa.Schema, size: int) -> Iterator[tuple[int, bytes]]:
@@ -189,7 +191,7 @@ def _write(rows: DataFrame, name: str, folder: str, link: str, value: str | None
     blank = rows.select("row.*").limit(0).toArrow().schema
     schema = pa.schema([pa.field(f.name, f.type) for f in blank])
     flat = rows.select(F.col("order").cast("long"), *(F.col("row")[c].alias(f"c{k}") for k, c in enumerate(schema.names)))
-    packed = materialise(flat.mapInArrow(_tuples, "n long, rows binary"), f"rows-{name}")
+    packed = materialise(flat.mapInArrow(_tuples, "n long, rows binary"), f"rows-{name}", FILE_BLOCKS)
     n = packed.agg(F.sum("n")).first()[0] or 0
     size, files = 1 + n // FILES, -(-n // (1 + n // FILES))
     at = f"{folder}/{name}"

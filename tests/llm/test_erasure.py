@@ -147,3 +147,27 @@ def test_a_task_may_run_again(spark, tmp_path):
         file.close()
     assert pq.read_table(f"{folder}/file-00000.parquet").to_pydict() == {"a": [1, None, 3]}
     assert file.ids.hexdigest() == hashlib.sha256(b"1,,3").hexdigest()
+
+
+def test_a_reader_of_waiting_rows_holds_few_blocks(spark, tmp_path, monkeypatch):
+    """However many rows a task has written: Spark's reader holds all of a file's blocks, up to some thousand, at once."""
+    seen = []
+
+    def look(frame):
+        seen.extend(pq.ParquetFile(f).metadata.num_rows for f in tmp_path.glob(f"{frame._written_to.rpartition('/')[2]}/*.parquet"))
+
+    monkeypatch.setattr(erasure, "shared_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr("heliograph.llm.common.shared_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr(erasure, "discard", look)
+    written = erasure.write_ordered(spark.range(200_000, numPartitions=1), F.col("id"), "t", f"{tmp_path}/out", "id")
+    assert sum(f[1] for f in written.files) == 200_000
+    assert sum(seen) >= 200_000 / erasure.BLOCK_ROWS and max(seen) <= 32
+
+
+def test_blocks_of_wide_rows_are_small():
+    import pyarrow as pa
+
+    batch = pa.record_batch({"a": ["x" * 300_000] * 50})
+    out = list(erasure._tuples(iter([batch])))
+    assert sum(sum(b.column(0).to_pylist()) for b in out) == 50 and max(b.nbytes for b in out) < 2 << 20
+    assert list(erasure._tuples(iter([batch.slice(0, 0)]))) == []
