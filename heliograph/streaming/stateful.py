@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from heliograph.config import DEFAULTS
 from heliograph.sources.tables import exists, removed
 from heliograph.streaming.events import apply_file_events
 
+#: Buckets of paths by which waits are kept.
+BUCKETS = 2048
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -68,50 +71,74 @@ def live_sessions(events: DataFrame, gap: float = DEFAULTS.session_gap_s) -> Dat
 
 
 class _Debounce(StatefulProcessor):
-    """A path's open wait: last event, their number and the deadline, for which a timer is set."""
+    """The open waits of a bucket's paths: last event, number of events and deadline of each, and a timer for the earliest deadline."""
 
-    def __init__(self, quiet_ms: int, cancels: tuple[str, ...], by_clock: bool):
-        self.quiet_ms, self.cancels, self.by_clock = quiet_ms, cancels, by_clock
+    def __init__(self, quiet_ms: int, cancels: tuple[str, ...], by_clock: bool, path: str):
+        self.quiet_ms, self.cancels, self.by_clock, self.path = quiet_ms, cancels, by_clock, path
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.wait = handle.getValueState("wait", "kind string, us long, events long, deadline long")
+        self.waits = handle.getValueState("waits", f"path array<{self.path}>, kind array<string>, us array<long>, events array<long>, deadline array<long>")
 
-    def _told(self, key, wait) -> pd.DataFrame:
-        return pd.DataFrame({"path": [key[0]], "kind": [wait[0]], "us": [wait[1]], "events": [wait[2]]})
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.wait.get()
-        wait, before = known, known and known[3]
-        now = timerValues.getCurrentProcessingTimeInMs() if self.by_clock else None
-        for row in pd.concat(list(rows)).sort_values(["us", "event_id"]).itertuples(index=False):
-            at = now if self.by_clock else row.us // 1000
-            if wait is not None and at > wait[3]:  # its time was over before this event
-                yield self._told(key, wait)
-                wait = None
-            if row.kind in self.cancels:
-                if wait is None or row.us >= wait[1]:  # an event that came late doesn't cancel what is newer
-                    wait = None
-            elif wait is None or row.us >= wait[1]:
-                wait = (row.kind, row.us, 1 + (wait[2] if wait else 0), at + self.quiet_ms)
-            else:
-                wait = (wait[0], wait[1], wait[2] + 1, wait[3])
-        after = wait and wait[3]
+    def _keep(self, key, before: int | None, waits: pd.DataFrame) -> None:
+        """The bucket's open waits from now on. before: the timer that is set."""
+        after = int(waits["deadline"].min()) if len(waits) else None
         if before != after:
             if before is not None:
                 self.handle.deleteTimer(before)
             if after is not None:
                 self.handle.registerTimer(after)
-        if wait is None:
-            self.wait.clear()
+        if after is None:
+            self.waits.clear()
         else:
-            self.wait.update(wait)
+            self.waits.update((self._paths(key, waits), *(waits[c].tolist() for c in ("kind", "us", "events", "deadline"))))
+
+    @staticmethod
+    def _paths(key, waits: pd.DataFrame) -> list:
+        return [None] * len(waits) if key[0] < 0 else waits["path"].tolist()
+
+    def _told(self, key, waits: pd.DataFrame) -> pd.DataFrame:
+        return waits[["kind", "us", "events"]].assign(path=pd.Series(self._paths(key, waits), waits.index, waits["path"].dtype if key[0] >= 0 else object))[["path", "kind", "us", "events"]]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        own = pd.concat(list(rows), ignore_index=True).sort_values(["us", "event_id"], ignore_index=True)
+        known = self.waits.get()
+        open_ = pd.DataFrame(dict(zip(("path", "kind", "us", "events", "deadline"), known or [[]] * 5, strict=True)))
+        before = int(open_["deadline"].min()) if len(open_) else None
+        code = pd.factorize(pd.concat([open_["path"], own["path"]]) if len(open_) else own["path"], use_na_sentinel=False)[0]
+        had, code = code[: len(open_)], code[len(open_) :]
+        cancel = own["kind"].isin(self.cancels).to_numpy()
+        now = timerValues.getCurrentProcessingTimeInMs() if self.by_clock else None
+        if len(open_):  # an event that came late is counted, but neither moves nor cancels what is newer
+            live = open_["deadline"].to_numpy() >= now if self.by_clock else np.full(len(open_), True)
+            latest = np.full(1 + max(had.max(), code.max()), np.iinfo(np.int64).min)
+            latest[had[live]] = open_["us"].to_numpy()[live]
+            late = own["us"].to_numpy() < latest[code]
+            open_["events"] += np.bincount(code[late & ~cancel], minlength=len(latest))[had]
+            own, code, cancel = own[~late], code[~late], cancel[~late]
+        at = np.full(len(own), now, np.int64) if self.by_clock else own["us"].to_numpy() // 1000
+        own = own[["path", "kind", "us"]].assign(events=1, deadline=at + self.quiet_ms)
+        # each path's open wait, then its events in their order; a wait ends by a cancel, or where the next event comes after its deadline
+        code, at, cancel = np.concatenate([had, code]), np.concatenate([np.zeros(len(had), np.int64), at]), np.concatenate([np.full(len(had), False), cancel])
+        order = np.argsort(code, kind="stable")
+        line = (pd.concat([open_, own], ignore_index=True) if len(open_) else own).iloc[order]
+        code, at, cancel, deadline = code[order], at[order], cancel[order], line["deadline"].to_numpy()
+        other = code[1:] != code[:-1]
+        starts = np.concatenate([[0], 1 + np.flatnonzero(other | cancel[:-1] | (at[1:] > deadline[:-1]))])
+        ends = np.append(starts[1:], len(line)) - 1
+        waits = line.iloc[ends].assign(events=np.add.reduceat(line["events"].to_numpy(), starts))
+        last = np.append(other, True)[ends]
+        self._keep(key, before, waits[last & ~cancel[ends]])
+        if (over := ~last & ~cancel[ends]).any():
+            yield self._told(key, waits[over])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        wait = self.wait.get()
-        if wait is not None and wait[3] <= expiredTimerInfo.getExpiryTimeInMs():
-            self.wait.clear()
-            yield self._told(key, wait)
+        waits = pd.DataFrame(dict(zip(("path", "kind", "us", "events", "deadline"), self.waits.get() or [[]] * 5, strict=True)))
+        now = timerValues.getCurrentProcessingTimeInMs() if self.by_clock else timerValues.getCurrentWatermarkInMs()
+        over = (waits["deadline"] < now) | (waits["deadline"] <= expiredTimerInfo.getExpiryTimeInMs())
+        self._keep(key, None, waits[~over])
+        if over.any():
+            yield self._told(key, waits[over])
 
     def close(self) -> None: ...
 
@@ -122,13 +149,18 @@ def debounced(events: DataFrame, quiet_s: float = 30.0, cancels: tuple[str, ...]
 
     With `late`, time is that of events, and what comes later than that after the latest one is dropped; with None it is the clock of the
     machines, so a wait ends even if no further event of any path comes.
+
+    State is kept by buckets of paths, so that a batch costs a few calls for each bucket and not for each path or wait. A bucket's events of a
+    batch and its open waits meet in one task. A stream keeps the number of buckets that it was started with.
     """
     own = events.select("path", "event_id", "kind", "ts")
     if late is not None:
         own = own.withWatermark("ts", late)
-    processor = _Debounce(int(quiet_s * 1000), cancels, late is None)
-    form = f"path {own.schema['path'].dataType.simpleString()}, kind string, us long, events long"
-    told = own.withColumn("us", F.unix_micros("ts")).groupBy("path").transformWithStateInPandas(processor, form, "Append", "ProcessingTime" if late is None else "EventTime")
+    kind = own.schema["path"].dataType.simpleString()
+    processor = _Debounce(int(quiet_s * 1000), cancels, late is None, kind)
+    form = f"path {kind}, kind string, us long, events long"
+    bucket = F.when(F.col("path").isNull(), -1).otherwise(F.pmod(F.hash("path"), F.lit(BUCKETS)))  # nulls apart: beside them numbers would lose digits
+    told = own.withColumns({"us": F.unix_micros("ts"), "bucket": bucket}).groupBy("bucket").transformWithStateInPandas(processor, form, "Append", "ProcessingTime" if late is None else "EventTime")
     return told.select("path", "kind", F.timestamp_micros("us").alias("ts"), "events")
 
 

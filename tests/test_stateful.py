@@ -62,3 +62,94 @@ def test_a_batch_that_broke_before_its_ledger_runs_again(spark, tmp_path):
     sink(spark.createDataFrame([("/c", "deleted", None, None, 2)], events), 1)
     assert sorted((r.path, r.deleted) for r in sink.records().collect()) == [("/b", False), ("/c", True), ("/d", False)]
     assert sink.done() == [0, 1]
+
+
+def test_waits_of_many_paths_are_a_few_entries_of_state(spark, tmp_path, monkeypatch):
+    """Forty open waits, one of them of a null path, in four buckets and that of nulls; large numbers keep their digits."""
+    monkeypatch.setattr(stateful, "BUCKETS", 4, raising=False)
+    paths = [None, *(2**60 + p for p in range(39))]
+    spark.createDataFrame([(p, k, "m", k) for k in range(3) for p in paths], "path long, event_id long, kind string, s long").selectExpr("path", "event_id", "kind", "timestamp_seconds(86400 + s) as ts").write.parquet(f"{tmp_path}/in")
+    stream = stateful.debounced(spark.readStream.schema("path long, event_id long, kind string, ts timestamp").parquet(f"{tmp_path}/in"), 30, late="1 second")
+
+    def run():
+        with stateful.state_store(spark):
+            query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+            query.awaitTermination()
+        return max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress)
+
+    assert run() <= 5
+    spark.createDataFrame([(1, 3, "m", 500)], "path long, event_id long, kind string, s long").selectExpr("path", "event_id", "kind", "timestamp_seconds(86400 + s) as ts").write.mode("append").parquet(f"{tmp_path}/in")
+    run()
+    got = spark.read.schema("path long, kind string, ts timestamp, events long").parquet(f"{tmp_path}/out").collect()
+    assert sorted((r.path or 0, r.kind, int(r.ts.timestamp()) % 86400, r.events) for r in got) == sorted((p or 0, "m", 2, 3) for p in paths)
+
+
+class _Kept:
+    """A value of state, and the timers that are set."""
+
+    value, timers = None, ()
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.timers = {*self.timers, at}
+
+    def deleteTimer(self, at):
+        self.timers = self.timers - {at}
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.value
+
+    getCurrentWatermarkInMs = getExpiryTimeInMs = getCurrentProcessingTimeInMs
+
+
+def _now(at):
+    out = _Kept()
+    out.value = at
+    return out
+
+
+@pytest.mark.parametrize("by_clock", [False, True])
+def test_a_bucket_is_its_paths_one_by_one(by_clock):
+    """Random batches with late events, ties and nulls, against a loop over each path's events."""
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(5)
+    for key in (0,), (-1,):
+        own, waits, now = stateful._Debounce(1000, ("x", "y"), by_clock, "string"), {}, 5_000
+        own.waits, own.handle = _Kept(), _Kept()
+        got, want = [], []
+        for _ in range(300):
+            now += rng.choice([1, 300, 1000, 1001, 4000])
+            batch = [(None if key[0] < 0 else rng.choice("abcde"), k, rng.choice(["m", "n", None, "x"]), 1000 * (now + rng.randrange(-1500, 1500)) + rng.randrange(2)) for k in range(rng.randrange(1, 25))]
+            for path, _, kind, us in sorted(batch, key=lambda r: (r[3], r[1])):
+                wait, at = waits.get(path), now if by_clock else us // 1000
+                if wait and at > wait[3]:
+                    want.append((path, *wait[:3]))
+                    wait = None
+                newer = wait is None or us >= wait[1]
+                if kind in ("x", "y"):
+                    wait = None if newer else wait
+                else:
+                    wait = (kind, us, 1 + (wait[2] if wait else 0), at + 1000) if newer else (*wait[:2], wait[2] + 1, wait[3])
+                waits[path] = wait
+            frame = pd.DataFrame(batch, columns=["path", "event_id", "kind", "us"])
+            told = [*own.handleInputRows(key, iter([frame[:3], frame[3:]] if len(frame) > 3 else [frame]), _now(now))]
+            assert len(told) <= 1 and len(own.handle.timers) <= 1
+            for at in [t for t in own.handle.timers if t < now]:
+                own.handle.timers -= {at}
+                told += own.handleExpiredTimer(key, _now(now), _now(at))
+            want += [(path, *wait[:3]) for path, wait in waits.items() if wait and wait[3] < now]
+            waits = {path: wait for path, wait in waits.items() if wait and wait[3] >= now}
+            got += [r for f in told for r in f.itertuples(index=False, name=None)]
+            assert {*own.handle.timers} == ({min(w[3] for w in waits.values())} if waits else set())
+        assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(want) > 50
